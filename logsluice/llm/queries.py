@@ -1,13 +1,19 @@
 """The registered queries of this subpackage, and DuckDB SQL where SQL can state them."""
 
 from .dac import op7_token_files
+from .decontaminate import op8_decontamination
 from .digest import op9_digest
 from .packing import op10_packing
+from .quality import op1_quality
+from .secrets import op4_secrets
 from .simhash import op6_simhash
 
 QUERIES = {
+    "op1_quality": op1_quality,
+    "op4_secrets": op4_secrets,
     "op6_simhash": op6_simhash,
     "op7_token_files": op7_token_files,
+    "op8_decontamination": op8_decontamination,
     "op9_digest": op9_digest,
     "op10_packing": op10_packing,
 }

@@ -43,7 +43,7 @@ def test_segment_tree_packs_as_plain_best_fit():
 
 
 def test_every_id_once_and_little_padding(spark, documents, corpus, odd):
-    rows = corpus + odd
+    rows = [(100 + k, t) for k, t in corpus] + odd
     found = packing.pack(documents(rows), group=64, with_ids=True).toPandas()
     tool = tokenizer(tokenizer_path(WORD_BPE))
     expected = sorted((str(k), [*tool.encode(t or "", add_special_tokens=False).ids, 1]) for k, t in rows)
