@@ -3,14 +3,20 @@
 from .dac import op7_token_files
 from .decontaminate import op8_decontamination
 from .digest import op9_digest
+from .html import op2_html
 from .packing import op10_packing
 from .quality import op1_quality
+from .rollup import op3_token_counts
 from .secrets import op4_secrets
+from .sentences import op5_sentences
 from .simhash import op6_simhash
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_html": op2_html,
+    "op3_token_counts": op3_token_counts,
     "op4_secrets": op4_secrets,
+    "op5_sentences": op5_sentences,
     "op6_simhash": op6_simhash,
     "op7_token_files": op7_token_files,
     "op8_decontamination": op8_decontamination,
