@@ -168,14 +168,14 @@ def read_files(manifest: DataFrame) -> DataFrame:
                 fs, name = pa.fs.FileSystem.from_uri(file)
                 with fs.open_input_stream(name) as f:
                     reader = Reader(f.read())
-                for k, key in enumerate(reader.doc_ids.tolist()):
-                    ids = reader.document(k)
-                    rows.append((None if key == -(1 << 63) else key, base + int(reader.starts[k]), len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+                whole, starts = reader.slice(0, len(reader)).astype("<u4"), reader.starts.tolist()
+                for key, a, b in zip(reader.doc_ids.tolist(), starts, starts[1:]):
+                    rows.append((None if key == -(1 << 63) else key, base + a, b - a, zlib.crc32(whole[a:b])))
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
         return each
 
-    return map_rows(files, make, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return map_rows(files.repartition(max(1, manifest.count())), make, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op7_token_files(spark, sf_dir: str) -> DataFrame:

@@ -7,17 +7,17 @@ worker keeps the ids of segments that it has met, and gives only new segments to
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
-#: Segments that a worker remembers; beyond it, it forgets all and starts anew. Only segments met before are remembered:
-#: most of a corpus' distinct segments come once. SEEN bits tell (by hash) which have been met.
-MEMORY = 400_000
-SEEN = 1 << 23
+#: Segments that a worker remembers (about 200 bytes each); beyond it, it forgets all and starts anew. Only segments met before
+#: are remembered: most of a corpus' distinct segments come once. SEEN bits tell (by hash) which have been met.
+MEMORY = 1_000_000
+SEEN = 1 << 24
 #: Characters that count as white space for Python alone: such texts, and those with special tokens, go to the library whole.
 _OWN_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 #: White space other than single spaces and line ends.
@@ -25,7 +25,7 @@ _GAPS = re.compile(r"[^\S \n]|\s\s")
 _SEGMENT = re.compile(r"\s*\S+|\s+\Z")
 #: One run of Latin letters, perhaps with marks after it: the pre-tokenizers part these two and nothing else, so that the
 #: library's model can be asked for each directly.
-_PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([-.,!?;:|#$%&*@()+=/]*)")
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([-.,!?;:|#$%&*@()+=/]*)")
 #: Byte-level vocabularies spell each byte as one letter: a printable Latin-1 character as itself, the others as the letters from U+0100 on.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_LETTERS = {b: 256 + n for n, b in enumerate(sorted({*range(256)} - {*_PRINTABLE}))}
@@ -48,31 +48,37 @@ def tokenizer_path(name: str) -> str:
 
 
 class _Memory(dict):
-    """segment -> ids of prefix + segment, asked of the library once."""
+    """segment -> ids of prefix + segment as little-endian 32-bit integers, asked of the library once."""
 
     def __init__(self, tool, prefix: str, lower: bool) -> None:
         self.tool, self.model, self.prefix, self.lower = tool, tool.model, prefix, lower
-        self.ends: dict[str, tuple[int, ...]] = {"": ()}
+        self.letters = prefix.translate(_BYTE_LETTERS)
+        self.ends: dict[str, bytes] = {"": b""}
         self.seen = bytearray(SEEN >> 3)
 
     def clear(self) -> None:
         super().clear()
         self.seen = bytearray(SEEN >> 3)
 
-    def _model(self, piece: str) -> tuple[int, ...]:
-        return tuple([x.id for x in self.model.tokenize(piece.encode().decode("latin-1").translate(_BYTE_LETTERS))])
+    def _model(self, letters: str) -> bytes:
+        return array("I", [x.id for x in self.model.tokenize(letters)]).tobytes()
 
-    def __missing__(self, segment: str) -> tuple[int, ...]:
-        text = self.prefix + segment
-        if m := _PLAIN.fullmatch(text):
+    def _word(self, word: str) -> bytes:
+        """Of prefix + word, where the pre-tokenizer leaves it whole."""
+        if self.lower:
+            word = word.lower()
+        return self._model(self.letters + (word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_LETTERS)))
+
+    def __missing__(self, segment: str) -> bytes:
+        if not self.lower and segment.isalpha():
+            ids = self._word(segment)
+        elif m := _PLAIN.fullmatch(segment):
             word, end = m.groups()
             if end not in self.ends:
                 self.ends[end] = self._model(end)
-            if not end or not (known := self.get(word[len(self.prefix) :])):
-                known = self._model(word.lower() if self.lower else word)
-            ids = known + self.ends[end]
+            ids = (end and self.get(word) or self._word(word)) + self.ends[end]
         else:
-            ids = tuple(self.tool.encode(text, add_special_tokens=False).ids)
+            ids = array("I", self.tool.encode(self.prefix + segment, add_special_tokens=False).ids).tobytes()
         at = hash(segment)
         byte, bit = (at >> 3) & (SEEN >> 3) - 1, 1 << (at & 7)
         if self.seen[byte] & bit:
@@ -93,8 +99,6 @@ def encoder(path: str, spaced: bool) -> Callable[[str], np.ndarray]:
     bare, after_space = _Memory(tool, "", not spaced), _Memory(tool, " ", False)
 
     def encode(text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.uint32)
         if "<|" in text or any(x in text for x in _OWN_SPACE):
             return np.array(tool.encode(text, add_special_tokens=False).ids, np.uint32)
         if len(bare) + len(after_space) > MEMORY:
@@ -105,8 +109,8 @@ def encoder(path: str, spaced: bool) -> Callable[[str], np.ndarray]:
         elif _GAPS.search(text):
             ids = [after_space[x[1:]] if x[0] == " " else bare[x] for x in _SEGMENT.findall(text)]
         else:
-            first, *rest = text.split(" ")
-            ids = chain([bare[first]] if first else [], map(after_space.__getitem__, rest))
-        return np.fromiter(chain.from_iterable(ids), np.uint32)
+            parts = text.split(" ")
+            ids = [bare[parts[0]] if parts[0] else b"", *map(after_space.__getitem__, parts[1:])]
+        return np.frombuffer(b"".join(ids), np.uint32)
 
     return encode
