@@ -5,8 +5,8 @@ test and training texts that differ only in ignored places share it. Several mas
 with a changed word. Tokens are lower-cased words without punctuation.
 
 1. Seeds of all benchmark items: a table (seed, item, place). Items shorter than the span give one seed, their whole.
-2. One Arrow pass over the documents: all seeds of all places, looked up in a bitmap of the benchmark's seeds (BITS bits,
-   whatever the data). Places that may hit become regions: the token hashes around a run of such places, and their seeds.
+2. One Arrow pass over the documents: all seeds of all places, looked up in a Bloom filter of the benchmark's seeds (two
+   megabytes at most). Places that may hit become regions: the token hashes around a run of such places, and their seeds.
 3. Join regions' seeds with the benchmark's on the hash: candidate alignments (document region, item, offset).
 4. Verify: the item is laid over the region at that offset; the best stretch (matches count one, others take one off) must
    hold enough matching words. So a hit that a chance agreement made falls away.
@@ -26,7 +26,9 @@ from .common import map_rows, small_batches, texts_of, word_hashes, written
 SPAN = 12
 # Fixed masks: eight kept places of twelve. The last keeps all of the first eight, for short exact overlaps.
 MASKS = ("110110110110", "111010011101", "101101101011", "111111110000")
-BITS = 1 << 22
+#: Bits of the benchmark's Bloom filter for each seed, and at least and at most; three bits are set for a seed.
+BITS_A_SEED, LEAST_BITS, MOST_BITS = 256, 1 << 20, 1 << 24
+SHIFTS = (0, 18, 36)
 #: Tokens kept to either side of a region's hits, and how far apart hits of one region may lie.
 MARGIN, GAP = 96, 24
 #: A passage counts if so many words match, or this share of a shorter item, but LEAST words (or the whole item) at all events.
@@ -76,7 +78,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def benchmark_tables(benchmark: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray, list[int]]:
-    """(seed, item_id, place), (item_id, tokens), the seeds' bitmap, and the lengths of items shorter than the span."""
+    """(seed, item_id, place), (item_id, tokens), the seeds' Bloom filter, and the lengths of items shorter than the span."""
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -96,11 +98,13 @@ def benchmark_tables(benchmark: DataFrame) -> tuple[DataFrame, DataFrame, np.nda
                 yield pa.RecordBatch.from_arrays([pa.array(_signed(np.array(s, np.uint64))), pa.array(key, pa.int64()), pa.array(at, pa.int32())], ["seed", "item_id", "place"])
 
     table = written(items.mapInArrow(run, "seed long, item_id long, place int").distinct(), "seeds")
-    # pmod by a power of two agrees with the low bits of the unsigned seed
-    words = table.groupBy((F.pmod("seed", F.lit(BITS)) / 64).cast("int").alias("at")).agg(F.expr(f"bit_or(shiftleft(1L, cast(pmod(seed, 64) AS int)))").alias("bits")).collect()  # BITS / 64 rows at most
-    bitmap = np.zeros(BITS // 64, np.uint64)
-    for r in words:
-        bitmap[r["at"]] = r.bits % (1 << 64)
+    count = table.count()
+    bits = 1 << max(LEAST_BITS, min(MOST_BITS, count * BITS_A_SEED)).bit_length() - 1
+    # pmod by a power of two gives the low bits of the unsigned seed
+    places = table.select(F.explode(F.array(*[F.pmod(F.shiftrightunsigned("seed", k), F.lit(bits)) for k in SHIFTS])).alias("p"))
+    words = places.groupBy(F.floor(F.col("p") / 64).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 AS int)))").alias("set")).toArrow()  # bits / 64 rows at most
+    bitmap = np.zeros(bits // 64, np.uint64)
+    bitmap[words["at"].to_numpy()] = words["set"].to_numpy().view(np.uint64)
     short = [r[0] for r in items.filter(F.size("tokens") < SPAN).select(F.size("tokens")).distinct().collect()]  # fewer than SPAN rows
     return table, items, bitmap, sorted(short)
 
@@ -110,8 +114,10 @@ def regions_of(tokens: np.ndarray, bitmap: np.ndarray, short: list[int]) -> list
     places, found = [], []
     for mask in [*(m.ljust(SPAN, "0") for m in MASKS), *("1" * n for n in short)]:
         s = seeds(tokens, mask)
-        low = s & np.uint64(BITS - 1)
-        hit = np.flatnonzero(bitmap[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63)) & np.uint64(1))
+        hit = np.arange(len(s))
+        for k in SHIFTS:
+            low = s[hit] >> np.uint64(k) & np.uint64(64 * len(bitmap) - 1)
+            hit = hit[(bitmap[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63)) & np.uint64(1)).astype(bool)]
         places.append(hit)
         found.append(s[hit])
     at, seed = np.concatenate(places), np.concatenate(found)
@@ -133,7 +139,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     with equal doc_id give one row an item. Extra columns are ignored; an empty benchmark gives no rows.
     """
     table, items, bitmap, short = benchmark_tables(benchmark)
-    shared = docs.sparkSession.sparkContext.broadcast((bitmap, short))  # half a megabyte, whatever the data
+    shared = docs.sparkSession.sparkContext.broadcast((bitmap, short))  # two megabytes at most
     small_batches(docs.sparkSession)
 
     def run(batches):
