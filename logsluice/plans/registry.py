@@ -1,4 +1,7 @@
 """All registered queries of the library, and their DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import parsing
+
+BOOKS = [parsing.book]
+QUERIES = {name: f for book in BOOKS for name, f in book.queries.items()}
+ORACLES = {name: sql for book in BOOKS for name, sql in book.oracles.items()}
