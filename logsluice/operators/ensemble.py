@@ -25,19 +25,21 @@ def best(scores: dict[str, Column]) -> tuple[Column, Column]:
     return pick, top
 
 
-def weighted(models: dict[str, dict[str, Column]], rule: tuple[Column, Column], weights: dict[str, float] | None = None, by_sum: bool = False, override_above: float | None = None) -> dict[str, Column]:
-    """Weighted average of the models' probabilities; a rule's critical above the limit overrides.
+def with_weighted(df: DataFrame, models: dict[str, dict[str, Column]], rule: tuple[Column, Column], weights: dict[str, float] | None = None, by_sum: bool = False, override_above: float | None = None) -> DataFrame:
+    """df with category, confidence, overridden and p_*: the weighted average of the models' probabilities.
 
-    by_sum: divide by the sum of scores (and override above 0.9), else by the total weight (and override above 0.85).
+    by_sum: divide by the sum of scores (a rule's critical above 0.9 overrides), else by the total weight (above 0.85).
     """
     weights, limit = weights or values.MODEL_WEIGHTS, override_above if override_above is not None else (0.9 if by_sum else 0.85)
     plus = lambda xs: sum(xs[1:], xs[0])
-    raw = {c: plus([F.lit(weights.get(m, 0.25)) * p[c] for m, p in models.items()]) for c in CATEGORIES}
-    total = plus(list(raw.values())) if by_sum else F.lit(sum(weights.get(m, 0.25) for m in models))
-    scores = {c: F.try_divide(x, total) for c, x in raw.items()}
-    category, confidence = best(scores)
-    forced = (rule[0] == "critical") & (rule[1] > limit)
-    return {"category": F.when(forced, "critical").otherwise(category), "confidence": F.when(forced, rule[1]).otherwise(confidence), "overridden": F.coalesce(forced, F.lit(False))} | {f"p_{c}": x for c, x in scores.items()}
+    raw = {f"_s_{c}": plus([F.lit(weights.get(m, 0.25)) * p[c] for m, p in models.items()]) for c in CATEGORIES}
+    total = plus([F.col(c) for c in raw]) if by_sum else F.lit(sum(weights.get(m, 0.25) for m in models))
+    out = df.withColumns(raw).withColumns({f"p_{c}": F.try_divide(F.col(f"_s_{c}"), total) for c in CATEGORIES}).drop(*raw)
+    category, confidence = best({c: F.col(f"p_{c}") for c in CATEGORIES})
+    forced = F.coalesce((rule[0] == "critical") & (rule[1] > limit), F.lit(False))
+    out = out.withColumn("overridden", forced).withColumn("_top", confidence)
+    pick = F.when(F.col("overridden"), "critical").otherwise(category)
+    return out.withColumns({"category": pick, "confidence": F.when(F.col("overridden"), rule[1]).otherwise(F.col("_top"))}).drop("_top")
 
 
 def voted(models: dict[str, Column], weights: dict[str, float] | None = None) -> dict[str, Column]:
@@ -81,14 +83,18 @@ def title_severity(title: Column) -> Column:
 
 
 def routes(logs: DataFrame, category: str = "category", table: dict | None = None) -> DataFrame:
-    """A row for each log and destination, with method and batch size. Categories without a rule take the routine queue."""
+    """A row for each log and destination, with method and batch size. Categories without a rule take the routine queue.
+
+    The outer explode loses nothing, as every rule has a destination; the inner one would make the optimizer push a filter on
+    the route through all projections below it, each time writing their expressions out anew.
+    """
     table = table or values.ROUTES
     entry = lambda v: F.struct(F.lit(v[0]).alias("method"), F.array(*map(F.lit, v[1])).alias("destinations"), F.lit(v[2]).alias("batch_size"))
     case = None
     for c, v in table.items():
         case = F.when(F.col(category) == c, entry(v)) if case is None else case.when(F.col(category) == c, entry(v))
     other = (table["routine"][0], ["cold_storage"], table["routine"][2]) if "routine" in table else ("queue", ["cold_storage"], 100)
-    return logs.withColumn("_route", case.otherwise(entry(other))).withColumn("destination", F.explode("_route.destinations")).withColumns({"method": F.col("_route.method"), "batch_size": F.col("_route.batch_size")}).drop("_route")
+    return logs.withColumn("_route", case.otherwise(entry(other))).withColumn("destination", F.explode_outer("_route.destinations")).withColumns({"method": F.col("_route.method"), "batch_size": F.col("_route.batch_size")}).drop("_route")
 
 
 def triage(logs: DataFrame, with_models: bool = True) -> DataFrame:
@@ -96,18 +102,18 @@ def triage(logs: DataFrame, with_models: bool = True) -> DataFrame:
 
     logs has log_id, raw_message, source and, with_models, text_* and anomaly_* columns (see plans.views.scored).
     """
-    out = parse.parsed(logs)
-    out = out.withColumns({"decision": rules.compliance(F.col("source"), F.col("parsed_message")), "rule": rules.classified(F.col("parsed_message"))})
-    rule = (F.col("rule.category"), F.col("rule.confidence"))
+    message = F.col("parsed_message")
+    out = rules.with_compliance(parse.parsed(logs), F.col("source"), message)
+    out = rules.with_rule(out, message, names=("_category", "_rule_name", "_confidence"))
+    rule = (F.col("_category"), F.col("_confidence"))
+    models = {"rule_based": spread(*rule)}
     if with_models:
-        models = {"rule_based": spread(*rule), "text_model": {c: F.col(f"text_p_{c}") for c in CATEGORIES}, "anomaly": spread(F.col("anomaly_category"), F.col("anomaly_confidence"))}
-    else:
-        models = {"rule_based": spread(*rule)}
-    mixed = weighted(models, rule)
+        models |= {"text_model": {c: F.col(f"text_p_{c}") for c in CATEGORIES}, "anomaly": spread(F.col("anomaly_category"), F.col("anomaly_confidence"))}
+    out = with_weighted(out, models, rule)
     regulated = F.col("decision.is_regulated")
     out = out.withColumns({
-        "category": F.when(regulated, "critical").otherwise(mixed["category"]),
-        "confidence": F.when(regulated, 1.0).otherwise(mixed["confidence"]),
+        "category": F.when(regulated, "critical").otherwise(F.col("category")),
+        "confidence": F.when(regulated, 1.0).otherwise(F.col("confidence")),
         "model": F.when(regulated, "compliance_bypass").otherwise("ensemble"),
         "retention_days": F.col("decision.retention_days"),
     })

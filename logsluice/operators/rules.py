@@ -29,17 +29,20 @@ def any_of(text: Column, patterns: list[str], ignore_case: bool = True) -> Colum
     return text.rlike(("(?i)" if ignore_case else "") + "|".join(f"(?:{p})" for p in patterns)) if patterns else F.lit(False)
 
 
-def classified(text: Column, rules: list[Rule] | None = None, priority: tuple[str, ...] = values.PRIORITY, default: tuple[str, float] = (values.DEFAULT_CATEGORY, values.DEFAULT_CONFIDENCE), ignore_case: bool = True) -> Column:
-    """struct(category, rule, confidence) of the first rule that matches, categories in order of priority. Null text: the default."""
-    found = F.lit(None).cast("struct<category:string,rule:string,confidence:double>")
-    ordered = [r for c in priority for r in usable(rules or values.RULES) if r[0] == c]
-    struct = lambda c, n, x: F.struct(F.lit(c).alias("category"), F.lit(n).cast("string").alias("rule"), F.lit(float(x)).alias("confidence"))
-    case = None
-    for category, name, confidence, patterns in ordered:
+def with_rule(df: DataFrame, text: Column, rules: list[Rule] | None = None, priority: tuple[str, ...] = values.PRIORITY, default: tuple[str, float] = (values.DEFAULT_CATEGORY, values.DEFAULT_CONFIDENCE), ignore_case: bool = True, names: tuple[str, str, str] = ("category", "rule", "confidence")) -> DataFrame:
+    """df with category, rule and confidence of the first rule that matches, categories in order of priority.
+
+    The rule's place in the list is a column of its own, so that patterns are tried once. Null text, or none: the default.
+    """
+    ordered, at = [r for c in priority for r in usable(rules or values.RULES) if r[0] == c], None
+    for k, (_, _, _, patterns) in enumerate(ordered):
         hit = any_of(text, patterns, ignore_case)
-        case = F.when(hit, struct(category, name, confidence)) if case is None else case.when(hit, struct(category, name, confidence))
-    other = struct(default[0], None, default[1])
-    return F.coalesce(found, case.otherwise(other) if case is not None else other)
+        at = F.when(hit, k) if at is None else at.when(hit, k)
+    at = F.lit(len(ordered)) if at is None else at.otherwise(len(ordered))
+    of = lambda xs: F.get(F.array(*[F.lit(x) for x in xs]), F.col("_rule"))
+    out = df.withColumn("_rule", at)
+    columns = of([*[r[0] for r in ordered], default[0]]), of([*[r[1] for r in ordered], None]).cast("string"), of([*[float(r[2]) for r in ordered], float(default[1])])
+    return out.withColumns(dict(zip(names, columns))).drop("_rule")
 
 
 def all_matches(logs: DataFrame, text: str, key: str, rules: list[Rule] | None = None) -> DataFrame:
@@ -58,22 +61,25 @@ def auto_labels(text: Column, labels: list | None = None) -> tuple[Column, Colum
     return label.otherwise("routine"), confidence.otherwise(F.lit(0.5))
 
 
-def compliance(source: Column, message: Column, rules: list | None = None, enabled: bool = True, additional_sources: dict[str, list[str]] | None = None) -> Column:
-    """struct(is_regulated, matched_rules, frameworks, retention_days, must_forward, reason); arrays sorted and distinct.
+def with_compliance(df: DataFrame, source: Column, message: Column, rules: list | None = None, enabled: bool = True, additional_sources: dict[str, list[str]] | None = None, name: str = "decision") -> DataFrame:
+    """df with struct(is_regulated, matched_rules, frameworks, retention_days, must_forward, reason); arrays sorted and distinct.
 
-    additional_sources: more source patterns by framework. A null source or message matches nothing.
+    additional_sources: more source patterns by framework. A null source or message matches nothing. Which rules match is a
+    column of bits first, so that patterns are tried once.
     """
-    more = additional_sources or {}
+    more, bits = additional_sources or {}, F.lit(0)
     every = [] if not enabled else (rules if rules is not None else values.COMPLIANCE_RULES)
-    every = [(n, f, days, [*s, *more.get(f, [])], m) for n, f, days, s, m in every]
-    hits = [(n, f, days, F.coalesce(any_of(source, s), F.lit(False)) | F.coalesce(any_of(message, m), F.lit(False))) for n, f, days, s, m in every]
-    none = F.array().cast("array<string>")
-    names = F.array_sort(F.array_compact(F.array(*[F.when(h, n) for n, _, _, h in hits]))) if hits else none
-    frameworks = F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(h, f) for _, f, _, h in hits])))) if hits else none
-    days = F.greatest(F.lit(0), *[F.when(h, F.lit(d)).otherwise(0) for _, _, d, h in hits]) if hits else F.lit(0)
-    regulated = F.size(names) > 0
-    reason = F.when(regulated, F.concat(F.lit("Matched compliance rules: "), F.array_join(names, ", "), F.lit(". Frameworks: "), F.array_join(frameworks, ", ")))
-    return F.struct(regulated.alias("is_regulated"), names.alias("matched_rules"), frameworks.alias("frameworks"), days.alias("retention_days"), regulated.alias("must_forward"), reason.alias("reason"))
+    for k, (_, f, _, s, m) in enumerate(every):
+        hit = F.coalesce(any_of(source, [*s, *more.get(f, [])]), F.lit(False)) | F.coalesce(any_of(message, m), F.lit(False))
+        bits = bits + F.when(hit, 1 << k).otherwise(0)
+    one = lambda k: F.col("_hits").bitwiseAND(1 << k) > 0
+    listed = lambda i: F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(one(k), r[i]) for k, r in enumerate(every)])))) if every else F.array().cast("array<string>")
+    out = df.withColumn("_hits", bits).withColumns({"_names": listed(0), "_frameworks": listed(1)})
+    days = F.greatest(F.lit(0), *[F.when(one(k), r[2]).otherwise(0) for k, r in enumerate(every)]) if every else F.lit(0)
+    regulated = F.col("_hits") > 0
+    reason = F.when(regulated, F.concat(F.lit("Matched compliance rules: "), F.array_join("_names", ", "), F.lit(". Frameworks: "), F.array_join("_frameworks", ", ")))
+    struct = F.struct(regulated.alias("is_regulated"), F.col("_names").alias("matched_rules"), F.col("_frameworks").alias("frameworks"), days.alias("retention_days"), regulated.alias("must_forward"), reason.alias("reason"))
+    return out.withColumn(name, struct).drop("_hits", "_names", "_frameworks")
 
 
 def by_framework(framework: str, rules: list | None = None) -> list:

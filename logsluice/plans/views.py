@@ -41,14 +41,14 @@ FROM (
 
 #: Given model scores: a text model that leans to the expected category, an anomaly model from a score.
 SCORED = """
-SELECT *, expected_category AS text_category, 0.55 + 0.1 * (log_id % 4) AS text_confidence,
-  CASE WHEN expected_category = 'critical' THEN 0.55 + 0.1 * (log_id % 4) ELSE (0.45 - 0.1 * (log_id % 4)) / 3 END AS text_p_critical,
-  CASE WHEN expected_category = 'suspicious' THEN 0.55 + 0.1 * (log_id % 4) ELSE (0.45 - 0.1 * (log_id % 4)) / 3 END AS text_p_suspicious,
-  CASE WHEN expected_category = 'routine' THEN 0.55 + 0.1 * (log_id % 4) ELSE (0.45 - 0.1 * (log_id % 4)) / 3 END AS text_p_routine,
-  CASE WHEN expected_category = 'noise' THEN 0.55 + 0.1 * (log_id % 4) ELSE (0.45 - 0.1 * (log_id % 4)) / 3 END AS text_p_noise,
-  ((log_id * 37) % 100 - 50) / 100.0 AS anomaly_score,
+SELECT *, expected_category AS text_category, 0.55e0 + 0.1e0 * (log_id % 4) AS text_confidence,
+  CASE WHEN expected_category = 'critical' THEN 0.55e0 + 0.1e0 * (log_id % 4) ELSE (0.45e0 - 0.1e0 * (log_id % 4)) / 3 END AS text_p_critical,
+  CASE WHEN expected_category = 'suspicious' THEN 0.55e0 + 0.1e0 * (log_id % 4) ELSE (0.45e0 - 0.1e0 * (log_id % 4)) / 3 END AS text_p_suspicious,
+  CASE WHEN expected_category = 'routine' THEN 0.55e0 + 0.1e0 * (log_id % 4) ELSE (0.45e0 - 0.1e0 * (log_id % 4)) / 3 END AS text_p_routine,
+  CASE WHEN expected_category = 'noise' THEN 0.55e0 + 0.1e0 * (log_id % 4) ELSE (0.45e0 - 0.1e0 * (log_id % 4)) / 3 END AS text_p_noise,
+  ((log_id * 37) % 100 - 50) / 1e2 AS anomaly_score,
   CASE WHEN ((log_id * 37) % 100 - 50) < -30 THEN 'suspicious' ELSE 'routine' END AS anomaly_category,
-  CASE WHEN ((log_id * 37) % 100 - 50) < -30 THEN least(0.9, 0.5 + abs(((log_id * 37) % 100 - 50) / 100.0)) ELSE 0.5 END AS anomaly_confidence
+  CASE WHEN ((log_id * 37) % 100 - 50) < -30 THEN least(9e-1, 5e-1 + abs(((log_id * 37) % 100 - 50) / 1e2)) ELSE 5e-1 END AS anomaly_confidence
 FROM logs
 """
 
@@ -64,7 +64,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return logs(spark, sf_dir).select("*", rules.classified(F.col("message")).alias("_r")).select("*", "_r.*").drop("_r")
+    return rules.with_rule(logs(spark, sf_dir), F.col("message"))
 
 
 def offenses(spark: SparkSession, sf_dir: str) -> DataFrame:
