@@ -7,23 +7,11 @@ from pyspark.sql import functions as F
 from ..functions import parse, text
 from ..operators import ensemble, leef
 from ..sources import files, kafka, sinks
+from ..sources.scratch import folder as scratch
 from . import views
 from .book import Book, decided, on_logs
 
 book = Book()
-_scratch = None
-
-
-def scratch(spark, name: str) -> str:
-    """A new folder that all executors share, for queries that write and read again."""
-    import tempfile
-    import uuid
-
-    global _scratch
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not top:
-        top = _scratch = _scratch or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{top.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def records(spark, sf):

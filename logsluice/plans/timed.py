@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text, values
 from ..operators import correlate, cost, ensemble, metrics, ml, rows, windows
+from ..sources.scratch import folder as scratch
 from ..streaming import jobs
 from . import views
 from .book import Book, decided, on_logs
-from .parsing import scratch
 
 book = Book()
 SIX = lambda c: F.round(c, 6)
@@ -41,10 +41,13 @@ def spc_rolling(spark, sf):
     return out.select("metric_name", F.unix_timestamp("ts").alias("at"), "value", "n", F.round("mean", 5).alias("mean"), F.round("std", 5).alias("std"), F.round("z", 4).alias("z"))
 
 
-@book.query("spc_presets", on_logs(" UNION ALL ".join(f"SELECT metric_name, count(*) AS n, count(*) FILTER (direction = 'upper') AS upper, round(avg(mean), 4) AS mean FROM ({_chart(n, s, m)}) WHERE metric_name = '{k}' GROUP BY 1" for k, n, s, m in values.SPC_PRESETS if k != "processing_latency_ms"), _SERIES))
+@book.query("spc_presets", on_logs(" UNION ALL ".join(f"SELECT metric_name, count(*) AS n, count(*) FILTER (z > {s} + 1e-6) AS upper, round(avg(mean), 4) AS mean FROM ({_chart(n, s, m)}) WHERE metric_name = '{k}' GROUP BY 1" for k, n, s, m in values.SPC_PRESETS if k != "processing_latency_ms"), _SERIES))
 def spc_presets(spark, sf):
     out = windows.spc_presets(_series(spark, sf))
-    return out.groupBy("metric_name").agg(F.count("*").alias("n"), F.count_if(F.col("direction") == "upper").alias("upper"), F.round(F.avg("mean"), 4).alias("mean"))
+    limit = F.lit(3.0)
+    for name, _, sigma, _ in values.SPC_PRESETS:
+        limit = F.when(F.col("metric_name") == name, sigma).otherwise(limit)
+    return out.groupBy("metric_name").agg(F.count("*").alias("n"), F.count_if(F.col("z") > limit + 1e-6).alias("upper"), F.round(F.avg("mean"), 4).alias("mean"))
 
 
 @book.query("spc_stats", on_logs(f"SELECT metric_name, count(*) AS checks, count(direction) AS anomalies, round(count(direction) / count(*), 4) AS anomaly_rate, round(arg_max(mean, ts), 5) AS last_mean, round(arg_max(std, ts), 5) AS last_std FROM ({_chart(100, 3, 30)}) GROUP BY 1", _HOURLY))
@@ -57,10 +60,10 @@ def metric_series(spark, sf):
     return _series(spark, sf).select("metric_name", F.unix_timestamp("ts").alias("at"), SIX(F.col("value")).alias("value"))
 
 
-_EPS = "seconds AS (SELECT source, CAST(floor(epoch(event_ts)) AS BIGINT) AS at, count(*) AS n FROM logs GROUP BY ALL)"
+_EPS = "seconds AS (SELECT source, CAST(floor(epoch(event_ts)) AS BIGINT) AS s, count(*) AS n FROM logs GROUP BY ALL)"
 
 
-@book.query("eps_window", on_logs("SELECT source, at, round(CASE WHEN max(at) OVER w > min(at) OVER w THEN sum(n) OVER w / (max(at) OVER w - min(at) OVER w) ELSE 0 END, 6) AS eps FROM seconds WINDOW w AS (PARTITION BY source ORDER BY at RANGE BETWEEN 60 PRECEDING AND CURRENT ROW)", _EPS))
+@book.query("eps_window", on_logs("SELECT source, s AS \"at\", round(CASE WHEN max(s) OVER w > min(s) OVER w THEN sum(n) OVER w / (max(s) OVER w - min(s) OVER w) ELSE 0 END, 6) AS eps FROM seconds WINDOW w AS (PARTITION BY source ORDER BY s RANGE BETWEEN 60 PRECEDING AND CURRENT ROW)", _EPS))
 def eps_window(spark, sf):
     counts = views.logs(spark, sf).groupBy("source", F.unix_timestamp("event_ts").alias("at")).agg(F.count("*").alias("n"))
     return counts.select("source", "at", SIX(windows.trailing_rate(counts, "at", "n", 60, "source")).alias("eps"))
@@ -117,7 +120,7 @@ def cost_report(spark, sf):
     return cost.report(s).select("avg_eps_before", "avg_eps_after", "reduction_percent", "daily", "annual", "days_to_break_even")
 
 
-@book.query("circuit_state_runs", on_logs("SELECT at, failed, failures, failed AND failures >= 5 AS open FROM (SELECT at, failed, sum(CASE WHEN failed THEN 1 ELSE 0 END) OVER (PARTITION BY run ORDER BY at) AS failures FROM (SELECT at, failed, sum(CASE WHEN failed THEN 0 ELSE 1 END) OVER (ORDER BY at) AS run FROM (SELECT CAST(floor(epoch(date_trunc('hour', event_ts))) AS BIGINT) AS at, count(*) FILTER (event_type = 'error') >= 2 AS failed FROM logs GROUP BY 1)))"))
+@book.query("circuit_state_runs", on_logs("SELECT s AS \"at\", failed, failures, failed AND failures >= 5 AS open FROM (SELECT s, failed, sum(CASE WHEN failed THEN 1 ELSE 0 END) OVER (PARTITION BY run ORDER BY s) AS failures FROM (SELECT s, failed, sum(CASE WHEN failed THEN 0 ELSE 1 END) OVER (ORDER BY s) AS run FROM (SELECT CAST(floor(epoch(date_trunc('hour', event_ts))) AS BIGINT) AS s, count(*) FILTER (event_type = 'error') >= 2 AS failed FROM logs GROUP BY 1)))"))
 def circuit_state_runs(spark, sf):
     batches = views.logs(spark, sf).groupBy(F.unix_timestamp(F.date_trunc("hour", "event_ts")).alias("at")).agg((F.count_if(F.col("event_type") == "error") >= 2).alias("failed"))
     return windows.failure_runs(batches, "at", "failed")
@@ -291,9 +294,9 @@ def stream_correlate(spark, sf):
 def stream_pending_timeout(spark, sf):
     d = views.decisions(spark, sf).select("log_id", "event_ts", "category")
     outcomes = d.filter("log_id % 3 <> 0").select("log_id", (F.col("event_ts") + F.expr("INTERVAL 1 HOUR")).alias("outcome_ts"))
-    out = jobs.with_outcome(jobs.replayed(d, files_a_batch=100), jobs.replayed(outcomes, "outcome_ts", 100))
+    out = jobs.with_outcome(jobs.replayed(d, files_a_batch=100, key="log_id"), jobs.replayed(outcomes, "outcome_ts", 100, "log_id"))
     done = jobs.finished(out.select("log_id", F.when(F.col("outcome_ts").isNull(), "timeout").otherwise("outcome").alias("state")), "pending")
-    return done.filter("log_id IS NOT NULL").groupBy("state").agg(F.count("*").alias("n"))
+    return done.filter("log_id >= 0").groupBy("state").agg(F.count("*").alias("n"))
 
 
 # models

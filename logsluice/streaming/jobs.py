@@ -6,34 +6,32 @@ bounded by watermarks or by the operator's own window.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import text, values
 from ..operators import ensemble
+from ..sources.scratch import folder as _place
 
 LATE, LATE_DECISIONS = "10 minutes", "24 hours"
 
 
-def _place(spark: SparkSession, name: str) -> str:
-    from ..plans.parsing import scratch
+def replayed(rows: DataFrame, at: str = "event_ts", files_a_batch: int = 4, key: str | None = None) -> DataFrame:
+    """A table as a stream from files, closed by a row of the far future that lets every window end.
 
-    return scratch(spark, f"{name}-{uuid.uuid4().hex[:8]}")
-
-
-def replayed(rows: DataFrame, at: str = "event_ts", files_a_batch: int = 4) -> DataFrame:
-    """A table as a stream from files, closed by a row of the far future (all else null) that lets every window end."""
+    All else in that row is null, but for a key of -1: a join key must not be null, or the row is filtered out before the
+    watermark sees it.
+    """
     path = _place(rows.sparkSession, "replay")
     closing = rows.sparkSession.range(1).select(F.lit("2100-01-01").cast("timestamp").alias(at))
     rows.withColumn(at, F.col(at).cast("timestamp")).write.parquet(f"{path}/0")
-    closing.select(*[F.col(c) if c == at else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns]).write.mode("append").parquet(f"{path}/0")
+    closing.select(*[F.col(c) if c == at else F.lit(-1 if c == key else None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns]).write.mode("append").parquet(f"{path}/0")
     schema = rows.sparkSession.read.parquet(f"{path}/0").schema
     return rows.sparkSession.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(f"{path}/0")
 
