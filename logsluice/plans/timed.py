@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text, values
-from ..operators import correlate, cost, ensemble, metrics, ml, rows, windows
+from ..operators import correlate, cost, enrich, ensemble, metrics, ml, rows, rules, windows
 from ..sources.scratch import folder as scratch
 from ..streaming import jobs
 from . import views
@@ -238,6 +238,32 @@ def feedback_relabel(spark, sf):
     return both.select("log_id", F.coalesce("correction", "category").alias("category"), F.col("correction").isNotNull().alias("corrected"))
 
 
+@book.query("enrich_lookup", on_logs("SELECT log_id, logs.source, owner, hits FROM logs LEFT JOIN (SELECT source, min(upper(source)) AS owner, count(*) AS hits FROM logs WHERE source <> 'ids-sensor' GROUP BY 1) t USING (source)"))
+def enrich_lookup(spark, sf):
+    logs = views.logs(spark, sf)
+    assets = logs.filter("source <> 'ids-sensor'").groupBy("source").agg(F.min(F.upper("source")).alias("owner"), F.count("*").alias("hits"))
+    return enrich.enriched(logs.select("log_id", "source"), assets, "source", ["owner", "hits"])
+
+
+@book.query("confidence_thresholds", on_logs("SELECT log_id, CASE WHEN low THEN 'routine' ELSE category END AS category, NOT low AS kept FROM (SELECT log_id, category, CASE category WHEN 'critical' THEN confidence < 0.7 WHEN 'suspicious' THEN confidence < 0.72 WHEN 'noise' THEN confidence < 0.88 ELSE false END AS low FROM decisions)", decided()))
+def confidence_thresholds(spark, sf):
+    return enrich.above_threshold(views.decisions(spark, sf), {"critical": 0.7, "suspicious": 0.72, "noise": 0.88}).select("log_id", "category", "kept")
+
+
+@book.query("audit_records", on_logs("SELECT log_id, source AS host, source_ip AS ip, category AS class, category IN ('critical', 'suspicious') AS forwarded, 'v1' AS model_version FROM decisions", decided()))
+def audit_records(spark, sf):
+    path = scratch(spark, "audit")
+    judged = rules.with_compliance(views.decisions(spark, sf), F.col("source"), F.col("message"))
+    enrich.decision_records(judged, "v1", "r1").write.parquet(path)
+    return spark.read.parquet(path).select("log_id", "source.host", "source.ip", "decision.class", "decision.forwarded", "model.model_version")
+
+
+@book.query("alert_rules", on_logs("SELECT alert, severity, CAST(floor(epoch(ts)) AS BIGINT) AS ts FROM (SELECT 'quiet' AS alert, 'warning' AS severity, ts, sum(CASE WHEN value < 2 THEN 1 ELSE 0 END) OVER (PARTITION BY metric_name ORDER BY ts ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS b FROM series WHERE metric_name = 'load-balancer') WHERE b = 3 UNION ALL SELECT 'busy', 'critical', CAST(floor(epoch(ts)) AS BIGINT) FROM series WHERE metric_name = 'ids-sensor' AND value > 7", _HOURLY))
+def alert_rules(spark, sf):
+    wanted = [("quiet", "load-balancer", "<", 2.0, 3, "warning"), ("busy", "ids-sensor", ">", 7.0, 1, "critical")]
+    return enrich.alerts(_hourly(spark, sf), wanted).withColumn("ts", F.unix_timestamp("ts"))
+
+
 # streams
 @book.query("stream_triage", on_logs("SELECT destination, count(*) AS n FROM (SELECT category FROM checked) JOIN routes USING (category) GROUP BY 1", decided().replace("(message,", "(parsed,").replace("FROM logs)", "FROM (SELECT *, CASE WHEN log_id % 6 = 5 THEN raw_message ELSE message END AS parsed FROM logs))"), "checked AS (SELECT CASE WHEN user_id % 20 < 4 OR message LIKE '%credit_card%' THEN 'critical' WHEN category IN ('critical', 'suspicious', 'noise') OR confidence > 0.5 THEN category ELSE 'routine' END AS category FROM decisions)", "routes AS (SELECT * FROM (VALUES ('critical', 'qradar'), ('critical', 'cold_storage'), ('suspicious', 'qradar'), ('suspicious', 'cold_storage'), ('routine', 'cold_storage'), ('noise', 'summary'), ('noise', 'cold_storage')) r(category, destination))"))
 def stream_triage(spark, sf):
