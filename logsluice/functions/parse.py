@@ -27,7 +27,7 @@ def _group(text: Column, pattern: str, k: int) -> Column:
 
 
 def stripped(raw: Column) -> Column:
-    return F.regexp_replace(raw, r"^\s+|\s+$", "")
+    return F.btrim(raw, F.lit(" \t\n\r\f\x0b"))
 
 
 def detected(raw: Column) -> Column:

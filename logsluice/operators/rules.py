@@ -25,8 +25,34 @@ def usable(rules: list[Rule]) -> list[Rule]:
     return [(c, n, conf, good) for c, n, conf, patterns in rules if (good := [p for p in patterns if valid(p)])]
 
 
-def any_of(text: Column, patterns: list[str], ignore_case: bool = True) -> Column:
-    return text.rlike(("(?i)" if ignore_case else "") + "|".join(f"(?:{p})" for p in patterns)) if patterns else F.lit(False)
+def _plain(pattern: str) -> bool:
+    return re.fullmatch(r"[\w \-/]+", pattern) is not None
+
+
+def lowerable(patterns: list[str]) -> bool:
+    """Whether case-blind matching is the same as matching the lower-cased text: no capital anywhere, so no class like \\S either."""
+    return all(p == p.lower() for p in patterns)
+
+
+def any_of(text: Column, patterns: list[str], ignore_case: bool = True, low: Column | None = None) -> Column:
+    """Whether any pattern is found. Literals are looked for as such; the others become one regular expression.
+
+    low: the lower-cased text, if there is a column of it already.
+    """
+    if not patterns:
+        return F.lit(False)
+    flag = ""
+    if ignore_case and lowerable(patterns):
+        text = low if low is not None else F.lower(text)
+    elif ignore_case:
+        flag = "(?i)"
+    literal = [p for p in patterns if _plain(p) and not flag]
+    other = [p for p in patterns if p not in literal]
+    hits = [text.contains(p) for p in literal] + ([text.rlike(flag + "|".join(f"(?:{p})" for p in other))] if other else [])
+    out = hits[0]
+    for h in hits[1:]:
+        out = out | h
+    return out
 
 
 def with_rule(df: DataFrame, text: Column, rules: list[Rule] | None = None, priority: tuple[str, ...] = values.PRIORITY, default: tuple[str, float] = (values.DEFAULT_CATEGORY, values.DEFAULT_CONFIDENCE), ignore_case: bool = True, names: tuple[str, str, str] = ("category", "rule", "confidence")) -> DataFrame:
@@ -36,13 +62,13 @@ def with_rule(df: DataFrame, text: Column, rules: list[Rule] | None = None, prio
     """
     ordered, at = [r for c in priority for r in usable(rules or values.RULES) if r[0] == c], None
     for k, (_, _, _, patterns) in enumerate(ordered):
-        hit = any_of(text, patterns, ignore_case)
+        hit = any_of(text, patterns, ignore_case, F.col("_low"))
         at = F.when(hit, k) if at is None else at.when(hit, k)
     at = F.lit(len(ordered)) if at is None else at.otherwise(len(ordered))
     of = lambda xs: F.get(F.array(*[F.lit(x) for x in xs]), F.col("_rule"))
-    out = df.withColumn("_rule", at)
+    out = df.withColumn("_low", F.lower(text)).withColumn("_rule", at)
     columns = of([*[r[0] for r in ordered], default[0]]), of([*[r[1] for r in ordered], None]).cast("string"), of([*[float(r[2]) for r in ordered], float(default[1])])
-    return out.withColumns(dict(zip(names, columns))).drop("_rule")
+    return out.withColumns(dict(zip(names, columns))).drop("_rule", "_low")
 
 
 def all_matches(logs: DataFrame, text: str, key: str, rules: list[Rule] | None = None) -> DataFrame:
@@ -70,16 +96,16 @@ def with_compliance(df: DataFrame, source: Column, message: Column, rules: list
     more, bits = additional_sources or {}, F.lit(0)
     every = [] if not enabled else (rules if rules is not None else values.COMPLIANCE_RULES)
     for k, (_, f, _, s, m) in enumerate(every):
-        hit = F.coalesce(any_of(source, [*s, *more.get(f, [])]), F.lit(False)) | F.coalesce(any_of(message, m), F.lit(False))
+        hit = F.coalesce(any_of(source, [*s, *more.get(f, [])], low=F.col("_low_source")), F.lit(False)) | F.coalesce(any_of(message, m, low=F.col("_low")), F.lit(False))
         bits = bits + F.when(hit, 1 << k).otherwise(0)
     one = lambda k: F.col("_hits").bitwiseAND(1 << k) > 0
     listed = lambda i: F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(one(k), r[i]) for k, r in enumerate(every)])))) if every else F.array().cast("array<string>")
-    out = df.withColumn("_hits", bits).withColumns({"_names": listed(0), "_frameworks": listed(1)})
+    out = df.withColumns({"_low": F.lower(message), "_low_source": F.lower(source)}).withColumn("_hits", bits).withColumns({"_names": listed(0), "_frameworks": listed(1)})
     days = F.greatest(F.lit(0), *[F.when(one(k), r[2]).otherwise(0) for k, r in enumerate(every)]) if every else F.lit(0)
     regulated = F.col("_hits") > 0
     reason = F.when(regulated, F.concat(F.lit("Matched compliance rules: "), F.array_join("_names", ", "), F.lit(". Frameworks: "), F.array_join("_frameworks", ", ")))
     struct = F.struct(regulated.alias("is_regulated"), F.col("_names").alias("matched_rules"), F.col("_frameworks").alias("frameworks"), days.alias("retention_days"), regulated.alias("must_forward"), reason.alias("reason"))
-    return out.withColumn(name, struct).drop("_hits", "_names", "_frameworks")
+    return out.withColumn(name, struct).drop("_hits", "_names", "_frameworks", "_low", "_low_source")
 
 
 def by_framework(framework: str, rules: list | None = None) -> list:
