@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from codecs import charmap_decode
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -21,14 +22,15 @@ SEEN = 1 << 24
 #: Characters that count as white space for Python alone: such texts, and those with special tokens, go to the library whole.
 _OWN_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 #: White space other than single spaces and line ends.
-_GAPS = re.compile(r"[^\S \n]|\s\s")
+_ODD_SPACE, _WIDE_SPACE = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c"), re.compile(r"[^\S \n]")
 _SEGMENT = re.compile(r"\s*\S+|\s+\Z")
 #: One run of Latin letters, perhaps with marks after it: the pre-tokenizers part these two and nothing else, so that the
 #: library's model can be asked for each directly.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([-.,!?;:|#$%&*@()+=/]*)")
 #: Byte-level vocabularies spell each byte as one letter: a printable Latin-1 character as itself, the others as the letters from U+0100 on.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_BYTE_LETTERS = {b: 256 + n for n, b in enumerate(sorted({*range(256)} - {*_PRINTABLE}))}
+_OTHERS = sorted({*range(256)} - {*_PRINTABLE})
+_LETTERS = "".join(chr(b) if b in _PRINTABLE else chr(256 + _OTHERS.index(b)) for b in range(256))
 
 
 @lru_cache(maxsize=4)
@@ -52,7 +54,6 @@ class _Memory(dict):
 
     def __init__(self, tool, prefix: str, lower: bool) -> None:
         self.tool, self.model, self.prefix, self.lower = tool, tool.model, prefix, lower
-        self.letters = prefix.translate(_BYTE_LETTERS)
         self.ends: dict[str, bytes] = {"": b""}
         self.seen = bytearray(SEEN >> 3)
 
@@ -60,23 +61,18 @@ class _Memory(dict):
         super().clear()
         self.seen = bytearray(SEEN >> 3)
 
-    def _model(self, letters: str) -> bytes:
-        return array("I", [x.id for x in self.model.tokenize(letters)]).tobytes()
-
-    def _word(self, word: str) -> bytes:
-        """Of prefix + word, where the pre-tokenizer leaves it whole."""
-        if self.lower:
-            word = word.lower()
-        return self._model(self.letters + (word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_LETTERS)))
+    def _model(self, piece: str) -> bytes:
+        """Of a piece that the pre-tokenizer leaves whole."""
+        return array("I", [x.id for x in self.model.tokenize(charmap_decode(piece.encode(), "strict", _LETTERS)[0])]).tobytes()
 
     def __missing__(self, segment: str) -> bytes:
         if not self.lower and segment.isalpha():
-            ids = self._word(segment)
+            ids = self._model(self.prefix + segment)
         elif m := _PLAIN.fullmatch(segment):
             word, end = m.groups()
             if end not in self.ends:
                 self.ends[end] = self._model(end)
-            ids = (end and self.get(word) or self._word(word)) + self.ends[end]
+            ids = (end and self.get(word) or self._model(self.prefix + (word.lower() if self.lower else word))) + self.ends[end]
         else:
             ids = array("I", self.tool.encode(self.prefix + segment, add_special_tokens=False).ids).tobytes()
         at = hash(segment)
@@ -106,7 +102,7 @@ def encoder(path: str, spaced: bool) -> Callable[[str], np.ndarray]:
             after_space.clear()
         if not spaced:
             ids = map(bare.__getitem__, text.split())
-        elif _GAPS.search(text):
+        elif any(x in text for x in _ODD_SPACE) or not text.isascii() and _WIDE_SPACE.search(text):
             ids = [after_space[x[1:]] if x[0] == " " else bare[x] for x in _SEGMENT.findall(text)]
         else:
             parts = text.split(" ")
