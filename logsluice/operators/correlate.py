@@ -33,34 +33,38 @@ def by_ip(decisions: DataFrame, offenses: DataFrame) -> DataFrame:
     return addresses.join(decisions, "source_ip")
 
 
+def bucketed(decisions: DataFrame, offenses: DataFrame, width: int = (BEFORE + AFTER) * 60) -> tuple[DataFrame, DataFrame]:
+    """Both with a time bucket as wide as the window; an offense has a row for its own bucket and each beside it."""
+    own = F.floor(F.unix_timestamp("start_time") / width)
+    return decisions.withColumn("bucket", F.floor(F.unix_timestamp("event_ts") / width)), offenses.withColumn("bucket", F.explode(F.array(own - 1, own, own + 1)))
+
+
 def by_source(decisions: DataFrame, offenses: DataFrame) -> DataFrame:
-    """Distinct source names meet distinct offense names first; there are few of either."""
+    """Pairs in the window. Distinct source names meet distinct offense names first; there are few of either."""
+    decisions, offenses = bucketed(decisions, offenses)
     named = offenses.select("*", F.explode(F.array_distinct("log_sources")).alias("log_source"))
     wanted = named.select("log_source").distinct().withColumn("name", F.replace(F.lower("log_source"), F.lit(" "), F.lit("_")))
     known = decisions.select("source").distinct()
     pairs = wanted.join(known, F.col("name").contains(F.lower("source")) | F.lower("source").contains(F.col("name"))).select("log_source", "source")
-    return named.join(pairs, "log_source").join(decisions, "source").dropDuplicates(["offense_id", "log_id"])
+    return named.join(pairs, "log_source").join(decisions, ["source", "bucket"]).filter(in_window()).drop("bucket").dropDuplicates(["offense_id", "log_id"])
 
 
-def by_time(decisions: DataFrame, offenses: DataFrame, least_severity: int = 7, minutes: int = BEFORE + AFTER) -> DataFrame:
-    """Routine and noise in the window of a severe offense: both sides fall into buckets of the window's length."""
-    width = minutes * 60
-    bucket = F.floor(F.unix_timestamp("start_time") / width)
-    severe = offenses.filter(F.col("severity") >= least_severity).withColumn("bucket", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
-    quiet = decisions.filter(F.col("category").isin("routine", "noise")).withColumn("bucket", F.floor(F.unix_timestamp("event_ts") / width))
+def by_time(decisions: DataFrame, offenses: DataFrame, least_severity: int = 7) -> DataFrame:
+    """Routine and noise in the window of a severe offense."""
+    quiet, severe = bucketed(decisions.filter(F.col("category").isin("routine", "noise")), offenses.filter(F.col("severity") >= least_severity))
     return severe.join(quiet, "bucket").filter(in_window()).drop("bucket")
 
 
 def correlated(decisions: DataFrame, offenses: DataFrame, least: float = LEAST) -> DataFrame:
-    """Matches of all strategies: (offense_id, log_id, strategy, score, category, is_false_negative)."""
+    """Matches of all strategies, the window first, as it is the same for all: (offense_id, log_id, strategy, score, category, is_false_negative)."""
     columns = ["offense_id", "log_id", "event_ts", "start_time", "severity", "category"]
-    ip = by_ip(decisions, offenses).select(*columns).withColumn("strategy", F.lit("ip_match"))
+    ip = by_ip(decisions, offenses).filter(in_window()).select(*columns).withColumn("strategy", F.lit("ip_match"))
     source = by_source(decisions, offenses).select(*columns).withColumn("strategy", F.lit("source_match"))
     source = source.join(ip.select("offense_id", "log_id"), ["offense_id", "log_id"], "left_anti")
     checked = ip.select("offense_id", "log_id").unionByName(source.select("offense_id", "log_id"))
     time = by_time(decisions, offenses).select(*columns).withColumn("strategy", F.lit("time_window"))
     time = time.join(checked, ["offense_id", "log_id"], "left_anti")
-    every = ip.unionByName(source).unionByName(time).dropDuplicates(["offense_id", "log_id"]).filter(in_window()).withColumn("score", score(F.col("strategy")))
+    every = ip.unionByName(source).unionByName(time).dropDuplicates(["offense_id", "log_id"]).withColumn("score", score(F.col("strategy")))
     return every.filter(F.col("score") >= least).select("offense_id", "log_id", "strategy", "score", "category", F.col("category").isin("routine", "noise").alias("is_false_negative"))
 
 

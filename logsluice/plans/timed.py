@@ -136,7 +136,13 @@ _ALL = f"matches AS (SELECT o.offense_id, d.log_id, d.category, offense_type_nam
 
 
 def _both(spark, sf):
-    return views.decisions(spark, sf), views.offenses(spark, sf)
+    """Decisions and offenses as stored tables: correlation reads each several times."""
+    out = []
+    for name, rows_ in (("decisions", views.decisions(spark, sf).select("log_id", "event_ts", "source", "source_ip", "category")), ("offenses", views.offenses(spark, sf))):
+        path = scratch(spark, name)
+        rows_.write.parquet(path)
+        out.append(spark.read.schema(rows_.schema).parquet(path))
+    return out
 
 
 @book.query("offense_scan", on_logs("SELECT offense_id, CAST(floor(epoch(start_time)) AS BIGINT) AS start_time, severity FROM offenses WHERE status = 'OPEN' AND start_time >= TIMESTAMP '2024-01-05' AND start_time < TIMESTAMP '2024-01-25' ORDER BY start_time, offense_id LIMIT 100", _OFF))
