@@ -2,14 +2,16 @@
 
 A page is read as a sequence of tokens: block-level tags, each with the path of elements around it, and text blocks, each
 with its path and a hash of its text. On one host, tokens with the same occurrence vector (as often on the same pages)
-form an equivalence class; classes with enough tokens on enough pages, in the same order everywhere, belong to the
-template. The root class has what stands once on every page; other classes (list items, paragraphs) nest in the gaps of
-the class whose paths enclose theirs. What template text leaves open are slots, named by their paths.
+form an equivalence class; classes with enough tokens on enough pages (a share of those with tokens, so an error page or a
+second layout hides nothing), in the same order everywhere, belong to the template. Classes nest: an element around all of
+a class' tokens must belong to a class on as many pages or more. What template text leaves open are slots, named by their
+paths.
 
 1. One Arrow pass gives (host, token, occurrences) rows. An occurrence vector is never built: its fingerprint is the exclusive
    or of hash(page, occurrences), an aggregate that is combined before the shuffle, so a host with a third of all pages
    is no harder than others.
-2. Aggregates by host: text blocks in the root class, and the container whose slots take in most text.
+2. Aggregates by host over the token table: classes, the order of their tokens on every page, the elements around them; then
+   the text blocks of the classes that hold, and the container whose slots take in most text.
 3. A second pass extracts: slots of the article (or the host's main container), without the blocks of the template and
    without parts whose element, role or class name says that they are menus, adverts, forms, comments and the like.
 """
@@ -27,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import map_rows, texts_of, written
 
-#: A root class counts on hosts with so many pages, and if it has so many tokens.
-LEAST_PAGES, LEAST_TOKENS = 4, 3
+#: A class counts if it stands on so many pages, on this share of the host's pages with tokens, and has so many tokens.
+LEAST_PAGES, LEAST_SHARE, LEAST_TOKENS = 4, 0.2, 3
 #: Templates are broadcast up to so many text tokens and hosts, else joined.
 BROADCAST_ROWS = 50_000
 
@@ -46,13 +48,13 @@ _ROLES = frozenset("navigation banner contentinfo complementary search form aler
 _NAMES = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead topbar toolbar comment comments commentlist reply replies respond disqus discussion cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended widget pagination pager form search skip paywall disclaimer".split())
 
 
-def blocks(html: str) -> tuple[list[tuple[str, str, bool]], list[str]]:
-    """The page's text blocks in order, (path, text, kept), and the paths of its block-level tags.
+def blocks(html: str) -> tuple[list[tuple[str, str, bool, int]], list[tuple[str, int]]]:
+    """The page's text blocks in order, (path, text, kept, place), and its block-level tags, (path, place).
 
     kept is False inside elements that are no part of an article. Character references are decoded, white space is one space.
     """
-    out: list[tuple[str, str, bool]] = []
-    tags: list[str] = []
+    out: list[tuple[str, str, bool, int]] = []
+    tags: list[tuple[str, int]] = []
     stack: list[tuple[str, str, bool]] = [("", "", True)]  # element, path, kept
     text: list[str] = []
 
@@ -60,7 +62,7 @@ def blocks(html: str) -> tuple[list[tuple[str, str, bool]], list[str]]:
         if text:
             joined = _SPACE.sub(" ", unescape("".join(text))).strip()
             if joined:
-                out.append((stack[-1][1], joined, stack[-1][2]))
+                out.append((stack[-1][1], joined, stack[-1][2], len(out) + len(tags)))
             text.clear()
 
     at, end = 0, len(html)
@@ -79,7 +81,7 @@ def blocks(html: str) -> tuple[list[tuple[str, str, bool]], list[str]]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == name:
                     del stack[k:]
-                    tags.append(f"/{name}" if not stack else f"{stack[-1][1]}/-{name}")
+                    tags.append((f"{stack[-1][1]}/-{name}", len(out) + len(tags)))
                     break
             continue
         if name in _RAW:
@@ -114,7 +116,7 @@ def blocks(html: str) -> tuple[list[tuple[str, str, bool]], list[str]]:
             del stack[1 + (len(stack) > 1 and stack[1][0] == "html") :]
         path = stack[-1][1] + "/" + name + "".join(sorted("." + _SPACE.sub(".", v.strip()) for k, v in said if k == "class"))
         stack.append((name, path, stack[-1][2] and not away))
-        tags.append(path)
+        tags.append((path, len(out) + len(tags)))
     flush()
     return out, tags
 
@@ -134,7 +136,10 @@ def _article(path: str) -> bool:
 
 
 def occurrences(pages: DataFrame) -> DataFrame:
-    """Rows (host, page, token, kind, path, n, chars, place): each page's distinct tokens, and how often they occur."""
+    """Rows (host, page, token, kind, path, n, chars, place): each page's distinct tokens, and how often they occur.
+
+    kind is 0 for tags, 1 for text blocks, 2 for the page itself (one row for each page with any token).
+    """
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -142,14 +147,16 @@ def occurrences(pages: DataFrame) -> DataFrame:
             for host, page, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch.column(2))):
                 found, tags = blocks(html)
                 own: dict[int, list] = {}
-                for k, path in enumerate(tags):
-                    own.setdefault(_hash("tag", path), [host, page, 0, path, 0, 0, k])[4] += 1
-                for k, (path, text, kept) in enumerate(found):
+                for path, place in tags:
+                    own.setdefault(_hash("tag", path), [host, page, 0, path, 0, 0, place])[4] += 1
+                for path, text, kept, place in found:
                     if kept:
-                        x = own.setdefault(_hash(path, text), [host, page, 1, _container(path), 0, 0, k])
+                        x = own.setdefault(_hash(path, text), [host, page, 1, path, 0, 0, place])
                         x[4] += 1
                         x[5] += len(text)
                 rows += [(h, p, token, kind, path, n, chars, place) for token, (h, p, kind, path, n, chars, place) in own.items()]
+                if own:
+                    rows.append((host, page, 0, 2, "", 1, 0, 0))
             types = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.int32()]
             names = ["host", "page", "token", "kind", "path", "n", "chars", "place"]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types], names)
@@ -159,26 +166,77 @@ def occurrences(pages: DataFrame) -> DataFrame:
     return map_rows(pages.select("host", "page", "html"), make, "host string, page long, token long, kind int, path string, n int, chars long, place int")
 
 
+def _around(low: str, high: str) -> str:
+    """SQL: the paths, from the empty one on, that enclose all of a set of paths with this least and this greatest one."""
+    a, b = f"split({low}, '/')", f"split({high}, '/')"
+    return f"transform(filter(sequence(1, least(size({a}), size({b}))), k -> slice({a}, 1, k) = slice({b}, 1, k)), k -> array_join(slice({a}, 1, k), '/'))"
+
+
+def _in_article(path: str) -> str:
+    return f"{path} RLIKE '/(article|main)([./]|$)'"
+
+
+def class_tokens(found: DataFrame, tokens: DataFrame, counts: DataFrame) -> DataFrame:
+    """Rows (host, vector, pages, most, token, kind, path, rank) of all classes that hold: by support, order and nesting.
+
+    A class of nothing but article text is a text that was published again, not a template.
+    """
+    by = ["host", "vector", "pages", "most"]
+    sized = lambda df: df.groupBy(*by).agg(F.count("*").alias("size"), F.max(F.expr(f"kind = 0 OR NOT {_in_article('path')}")).alias("outside")).filter(f"size >= {LEAST_TOKENS} AND outside").select(*by)
+    wide = tokens.filter(f"kind < 2 AND pages >= {LEAST_PAGES}").join(counts, "host").filter(f"pages >= {LEAST_SHARE} * all_pages").select(*by, "token", "kind", "path", "place")
+    near = written(wide.join(sized(wide), by), "candidates")
+    few = near.count() <= BROADCAST_ROWS
+    small = lambda df: F.broadcast(df) if few else df
+    # Order: on each page, a class' tokens by place; one that stands behind a token of greater mean place is out of order.
+    seen = found.select("host", "page", "token", F.col("place").alias("at")).join(small(near.select("host", "token", "vector", "most", "place")), ["host", "token"])
+    lines = seen.groupBy("host", "page", "vector", "most").agg(F.array_sort(F.collect_list(F.struct("at", "place", "token"))).alias("line"))  # no more than a page has tokens
+    back = lines.select("host", F.explode(F.expr("filter(line, (x, i) -> i > 0 AND x.place < array_max(transform(slice(line, 1, i), y -> y.place)))")).alias("x")).select("host", F.col("x.token").alias("token")).distinct()
+    straight = near.join(small(back), ["host", "token"], "left_anti")
+    straight = written(straight.join(sized(straight), by), "ordered")
+    # Nesting: some element around the class belongs to a class on as many pages or more; or nothing is around it.
+    nests = straight.groupBy(*by).agg(F.min("path").alias("low"), F.max("path").alias("high")).select(*by, F.explode(F.expr(_around("low", "high"))).alias("path"))
+    tags = straight.filter("kind = 0").groupBy("host", "path").agg(F.max("pages").alias("around"))
+    top = nests.groupBy(*by).agg(F.max(F.length("path")).alias("deep")).filter("deep = 0").select(*by)
+    nested = nests.join(tags, ["host", "path"]).filter("around >= pages").select(*by).unionByName(top).distinct()
+    return straight.join(nested, by).withColumnRenamed("place", "rank")
+
+
+def _container_of(path: str):
+    """The path without its last element if that is a leaf."""
+    last = F.element_at(F.split(F.element_at(F.split(path, "/"), -1), r"\."), 1)
+    return F.when(last.isin(*sorted(_LEAF)), F.regexp_replace(path, "/[^/]*$", "")).otherwise(F.col(path))
+
+
 def templates(pages: DataFrame) -> DataFrame:
-    """Rows (host, fixed, main): the root class' text blocks in order (hashes), and the path of the main container."""
-    found = occurrences(pages)
+    """Rows (host, fixed, main): the classes' text blocks (token, class, mean place, whether it recurs), and the path of the main container."""
+    found = written(occurrences(pages), "occurrences")
     tokens = found.groupBy("host", "kind", "token", "path").agg(
         F.count("*").alias("pages"), F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.max("n").alias("most"), F.sum("chars").alias("chars"), F.avg("place").alias("place")
     )
     tokens = written(tokens, "tokens")
-    counts = pages.groupBy("host").agg(F.count("*").alias("all_pages"))
-    classes = tokens.groupBy("host", "vector", "pages", "most").agg(F.count("*").alias("size"))
-    roots = classes.filter(f"most = 1 AND size >= {LEAST_TOKENS}").join(counts, "host").filter(f"pages = all_pages AND pages >= {LEAST_PAGES}").select("host", "vector", "pages")
-    fixed = tokens.filter("kind = 1 AND most = 1").join(roots, ["host", "vector", "pages"])
-    fixed = fixed.groupBy("host").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "token"))), lambda x: x["token"]).alias("fixed"))  # no more than the shortest page has
-    slots = tokens.filter("kind = 1").join(roots.select("host", "vector", "pages", F.lit(True).alias("root")), ["host", "vector", "pages"], "left").filter("root IS NULL")
-    mains = slots.groupBy("host", "path").agg(F.sum("chars").alias("chars")).groupBy("host").agg(F.max_by("path", F.struct("chars", "path")).alias("main"))
-    return counts.join(fixed, "host", "left").join(mains, "host", "left").select("host", "fixed", "main")
-
-
-def main_text(html: str, fixed: list[int], main: str | None) -> str:
+    counts = tokens.filter("kind = 2").select("host", F.col("pages").alias("all_pages"))
+    held = written(class_tokens(found, tokens, counts).filter("kind = 1"), "classes")
+    fixed = held.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("token", F.xxhash64("vector", "most").alias("class"), "rank", (F.col("most") > 1).alias("many")))).alias("fixed"))  # five times the text of a page's template at most
+    slots = tokens.filter("kind = 1").join(held.select("host", "token"), ["host", "token"], "left_anti")
+    mains = slots.groupBy("host", _container_of("path").alias("path")).agg(F.sum("chars").alias("chars")).groupBy("host").agg(F.max_by("path", F.struct("chars", "path")).alias("main"))
+    return counts.select("host").join(fixed, "host", "left").join(mains, "host", "left").select("host", "fixed", "main")
+
+
+def slots_of(found: list[tuple[str, str]], fixed: list[dict]) -> list[tuple[str, str]]:
+    """The blocks that the template leaves open: not those of its classes, each class in its order."""
+    order, last, left = {x["token"]: x for x in fixed}, {}, []
+    for path, text in found:
+        x = order.get(_hash(path, text))
+        if x and (x["many"] or x["rank"] > last.get(x["class"], -1.0)):
+            last[x["class"]] = x["rank"]
+        else:
+            left.append((path, text))
+    return left
+
+
+def main_text(html: str, fixed: list[dict], main: str | None) -> str:
     """The text of a page's article, under its host's template."""
-    found = [(path, text) for path, text, kept in blocks(html)[0] if kept]
+    found = [(path, text) for path, text, kept, _ in blocks(html)[0] if kept]
     inside = [x for x in found if _article(x[0])]
     if not inside and main is not None:
         inside = [x for x in found if x[0] == main or x[0].startswith(main + "/")]
@@ -188,17 +246,8 @@ def main_text(html: str, fixed: list[int], main: str | None) -> str:
             sums[_container(path)] = sums.get(_container(path), 0) + len(text)
         own = max(sums, key=lambda p: (sums[p], p))
         inside = [x for x in found if x[0] == own or x[0].startswith(own + "/")]
-    if fixed:
-        order, last, left = {h: k for k, h in enumerate(fixed)}, -1, []
-        for path, text in inside:
-            k = order.get(_hash(path, text), -1)
-            if k > last:
-                last = k
-            else:
-                left.append((path, text))
-        inside = left or inside  # a host whose pages are all the same has no template to tell from the text
-    return "\n".join(text for _, text in inside)
-
+    left = slots_of(inside, fixed) if fixed else inside
+    return "\n".join(text for _, text in left or inside)  # a host whose pages are all the same has no template to tell from the text
 
 def extracted(pages: DataFrame) -> DataFrame:
     """Rows (page_id, url, text, n_chars) for every row of pages.
@@ -209,7 +258,7 @@ def extracted(pages: DataFrame) -> DataFrame:
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/@]*@)?([^/:?#]*)", 1)), F.lit(""))
     named = pages.select(F.col("page_id").cast("long").alias("page"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host.alias("host"))
     known = written(templates(named), "templates")
-    size = known.agg(F.count("*") + F.coalesce(F.sum(F.size(F.coalesce("fixed", F.array().cast("array<long>")))), F.lit(0))).first()[0]
+    size = known.agg(F.count("*") + F.coalesce(F.sum(F.size(F.coalesce("fixed", F.array().cast(known.schema["fixed"].dataType)))), F.lit(0))).first()[0]
     both = named.join(F.broadcast(known) if size <= BROADCAST_ROWS else known, "host", "left")
 
     def make():

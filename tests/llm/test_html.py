@@ -58,3 +58,24 @@ def test_fixed_blocks_are_left_out(spark):
     assert sorted(r.text for r in found) == [f"Own {k} text\nTwice\nTwice" for k in range(5)]
     same = [(k, "http://h.example/", page("<article><p>All the same</p><p>on every page</p></article>")) for k in range(5)]
     assert {r.text for r in html.extracted(spark.createDataFrame(same, PAGES)).collect()} == {"All the same\non every page"}
+
+
+def test_classes_with_an_error_page_and_two_layouts(spark):
+    rows = []
+    for k in range(6):
+        for host, top in (("a", "Welcome to us"), ("b", "Welcome to us" if k % 2 else "Another head")):
+            low = "Imprint" if k % 2 or host == "a" else "Contact us"
+            body = f"<div class='x'><p>{top}</p><p>{top}, again</p></div><div class='y'><p>Own text {k} of {host}.</p></div><div class='z'><p>{low}</p></div>"
+            rows.append((len(rows), f"http://{host}.example/{k}", page(body, k)))
+    rows += [(50 + k, "http://b.example/", page("<div class='x'><p>Another head</p><p>Another head, again</p></div><div class='y'><p>Own text 7.</p></div><div class='z'><p>Contact us</p></div>" if k % 2 else "<div class='x'><p>Welcome to us</p><p>Welcome to us, again</p></div><div class='y'><p>Own text 8.</p></div><div class='z'><p>Imprint</p></div>")) for k in range(2)]
+    rows += [(90, "http://a.example/e", None), (91, "http://a.example/f", ""), (92, "http://a.example/g", "<p>Error 500")]
+    found = {r.page_id: r.text for r in html.extracted(spark.createDataFrame(rows, PAGES)).collect()}
+    assert all(found[i] == f"Own text {i // 2} of {'ab'[i % 2]}." for i in range(12))
+    assert (found[50], found[51], found[90], found[91], found[92]) == ("Own text 8.", "Own text 7.", "", "", "Error 500")
+
+
+def test_classes_out_of_order_do_not_count(spark):
+    parts = ["<div class='m'><p>One</p></div>", "<div class='n'><p>Two</p></div>", "<div class='o'><p>Three</p></div>"]
+    pages = [(k, "http://h.example/", "".join(parts[(k + i) % 3] for i in range(3)) + f"<div class='q'><p>Own {k}</p></div>") for k in range(6)]
+    found = {r.page_id: sorted(r.text.split("\n")) for r in html.extracted(spark.createDataFrame(pages, PAGES)).collect()}
+    assert all({f"Own {k}"} < set(found[k]) for k in range(6))
