@@ -11,9 +11,10 @@ paths.
    or of hash(page, occurrences), an aggregate that is combined before the shuffle, so a host with a third of all pages
    is no harder than others.
 2. Aggregates by host over the token table: classes, the order of their tokens on every page, the elements around them; then
-   the text blocks of the classes that hold, and the container whose slots take in most text.
-3. A second pass extracts: slots of the article (or the host's main container), without the blocks of the template and
-   without parts whose element, role or class name says that they are menus, adverts, forms, comments and the like.
+   the text blocks of the classes that hold, and the path around all slots with a fair share of the text.
+3. A second pass extracts: a page's blocks without those of the template are its slots, whatever its elements are. Names come
+   after: no parts whose element, role or class name says that they are menus, adverts, forms, comments and the like; where
+   a slot lies in an <article> or <main>, such slots alone, else those below the path around the article's slots.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from .common import map_rows, texts_of, written
 
 #: A class counts if it stands on so many pages, on this share of the host's pages with tokens, and has so many tokens.
 LEAST_PAGES, LEAST_SHARE, LEAST_TOKENS = 4, 0.2, 3
+#: A slot with this share of the fullest slot's text is part of the article.
+SLOT_SHARE = 0.05
 #: Templates are broadcast up to so many text tokens and hosts, else joined.
 BROADCAST_ROWS = 50_000
 
@@ -121,11 +124,6 @@ def blocks(html: str) -> tuple[list[tuple[str, str, bool, int]], list[tuple[str,
     return out, tags
 
 
-def _container(path: str) -> str:
-    head, _, last = path.rpartition("/")
-    return head if last.split(".")[0] in _LEAF else path
-
-
 def _hash(*parts: str) -> int:
     h = xxhash.xxh64_intdigest("\x00".join(parts).encode("utf-8", "replace"))
     return h - (1 << 64) if h >> 63 else h
@@ -218,7 +216,10 @@ def templates(pages: DataFrame) -> DataFrame:
     held = written(class_tokens(found, tokens, counts).filter("kind = 1"), "classes")
     fixed = held.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("token", F.xxhash64("vector", "most").alias("class"), "rank", (F.col("most") > 1).alias("many")))).alias("fixed"))  # five times the text of a page's template at most
     slots = tokens.filter("kind = 1").join(held.select("host", "token"), ["host", "token"], "left_anti")
-    mains = slots.groupBy("host", _container_of("path").alias("path")).agg(F.sum("chars").alias("chars")).groupBy("host").agg(F.max_by("path", F.struct("chars", "path")).alias("main"))
+    # All slots of the article: what encloses every slot with a fair share of the text of the fullest.
+    sizes = slots.groupBy("host", _container_of("path").alias("path")).agg(F.sum("chars").alias("chars"))
+    fullest = sizes.groupBy("host").agg(F.max("chars").alias("most"))
+    mains = sizes.join(fullest, "host").filter(f"chars >= {SLOT_SHARE} * most").groupBy("host").agg(F.min("path").alias("low"), F.max("path").alias("high")).select("host", F.expr(f"element_at({_around('low', 'high')}, -1)").alias("main"))
     return counts.select("host").join(fixed, "host", "left").join(mains, "host", "left").select("host", "fixed", "main")
 
 
@@ -235,19 +236,13 @@ def slots_of(found: list[tuple[str, str]], fixed: list[dict]) -> list[tuple[str,
 
 
 def main_text(html: str, fixed: list[dict], main: str | None) -> str:
-    """The text of a page's article, under its host's template."""
+    """The text of a page's article: the slots of its host's template, then those that element and class names leave."""
     found = [(path, text) for path, text, kept, _ in blocks(html)[0] if kept]
-    inside = [x for x in found if _article(x[0])]
+    left = slots_of(found, fixed) or found  # a host whose pages are all the same has no template to tell from the text
+    inside = [x for x in left if _article(x[0])] or ([x for x in found if _article(x[0])] if fixed else [])
     if not inside and main is not None:
-        inside = [x for x in found if x[0] == main or x[0].startswith(main + "/")]
-    if not inside and found:  # a page unlike its host's others: its own fullest container
-        sums: dict[str, int] = {}
-        for path, text in found:
-            sums[_container(path)] = sums.get(_container(path), 0) + len(text)
-        own = max(sums, key=lambda p: (sums[p], p))
-        inside = [x for x in found if x[0] == own or x[0].startswith(own + "/")]
-    left = slots_of(inside, fixed) if fixed else inside
-    return "\n".join(text for _, text in left or inside)  # a host whose pages are all the same has no template to tell from the text
+        inside = [x for x in left if x[0] == main or x[0].startswith(main + "/")]
+    return "\n".join(text for _, text in inside or left)  # a page unlike its host's others: all its slots
 
 def extracted(pages: DataFrame) -> DataFrame:
     """Rows (page_id, url, text, n_chars) for every row of pages.

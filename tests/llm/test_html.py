@@ -79,3 +79,16 @@ def test_classes_out_of_order_do_not_count(spark):
     pages = [(k, "http://h.example/", "".join(parts[(k + i) % 3] for i in range(3)) + f"<div class='q'><p>Own {k}</p></div>") for k in range(6)]
     found = {r.page_id: sorted(r.text.split("\n")) for r in html.extracted(spark.createDataFrame(pages, PAGES)).collect()}
     assert all({f"Own {k}"} < set(found[k]) for k in range(6))
+
+
+def test_all_slots_of_the_article(spark):
+    rows = []
+    for k in range(5):
+        parts = "".join(f"<div class='{c}'><p>{c} {k} " + f"{c}{k} " * n + "</p></div>" for c, n in (("first", 9), ("second", 40), ("third", 12)))
+        rows.append((k, "http://h.example/", page(f"<div class='top'><p>Our site</p></div><div class='all'>{parts}</div>", k)))
+        inner = f"<p>Welcome here</p><p>Own {k}</p><p>Copied from nowhere</p>"
+        rows.append((10 + k, "http://i.example/", page(f"<div class='top'><p>Our site</p></div><article>{inner}</article>", k)))
+    found = {r.page_id: r.text for r in html.extracted(spark.createDataFrame(rows, PAGES)).collect()}
+    for k in range(5):
+        assert [x.split()[0] for x in found[k].split("\n")] == ["first", "second", "third"]
+        assert found[10 + k] == f"Own {k}"
