@@ -49,23 +49,59 @@ _LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote figcaption
 _AWAY = frozenset("nav footer aside form dialog head menu fieldset".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 _NAMES = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead topbar toolbar comment comments commentlist reply replies respond disqus discussion cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended widget pagination pager form search skip paywall disclaimer".split())
+#: Words that may stand beside those in a name, as in share-link; any other makes it another name, as in has-sidebar.
+_BESIDE = frozenset("inline link links box bar list block item items button buttons site page top".split())
 
 
-def blocks(html: str) -> tuple[list[tuple[str, str, bool, int]], list[tuple[str, int]]]:
-    """The page's text blocks in order, (path, text, kept, place), and its block-level tags, (path, place).
+class _Element:
+    """An open or closed element: its name, path, and what speaks for leaving it out."""
 
-    kept is False inside elements that are no part of an article. Character references are decoded, white space is one space.
+    __slots__ = ("name", "path", "parent", "inside", "away", "named", "holds", "mark")
+
+    def __init__(self, name: str, path: str, parent: _Element | None, away: bool = False, named: bool = False, mark: int = 0) -> None:
+        self.name, self.path, self.parent, self.away, self.named, self.mark, self.holds = name, path, parent, away, named, mark, False
+        self.inside = parent is not None and (parent.inside or parent.name in ("article", "main"))
+
+    def left_out(self) -> tuple[bool, tuple[int, ...]]:
+        """Whether it is no part of an article at all events; and the marks that leave it out if they repeat on the host."""
+        x, marks = self, []
+        while x is not None:
+            if x.away or x.named and not x.inside and not x.holds:
+                return True, ()
+            if x.named and x.inside:
+                marks.append(x.mark)
+            x = x.parent
+        return False, tuple(marks)
+
+
+def _named(said: list[tuple[str, str]], more: tuple[str, ...] = ()) -> bool:
+    """Whether a whole class name or id says that the element is no part of an article."""
+    for _, value in (x for x in said if x[0] != "role"):
+        for whole in value.split():
+            words = [w.lower() for w in _WORD.findall(whole)]
+            if any(w in _NAMES or w in more for w in words) and all(w in _NAMES or w in more or w in _BESIDE for w in words):
+                return True
+    return False
+
+
+def blocks(html: str) -> tuple[list[tuple[str, str, tuple[int, ...], int]], list[tuple[str, int]], dict[int, int]]:
+    """The page's text blocks in order, (path, text, marks, place), its block-level tags, (path, place), and its marks' places.
+
+    Left out are blocks inside elements that are no part of an article. A name alone never drops body, main, article or what
+    holds one of them. Inside an article it makes a mark: such a block is to go only if one of its marks repeats on the host.
+    Character references are decoded, white space is one space.
     """
-    out: list[tuple[str, str, bool, int]] = []
+    out: list[tuple[_Element, str, int]] = []
     tags: list[tuple[str, int]] = []
-    stack: list[tuple[str, str, bool]] = [("", "", True)]  # element, path, kept
+    stack: list[_Element] = [_Element("", "", None)]
+    marks: dict[int, int] = {}
     text: list[str] = []
 
     def flush() -> None:
         if text:
             joined = _SPACE.sub(" ", unescape("".join(text))).strip()
             if joined:
-                out.append((stack[-1][1], joined, stack[-1][2], len(out) + len(tags)))
+                out.append((stack[-1], joined, len(out) + len(tags)))
             text.clear()
 
     at, end = 0, len(html)
@@ -82,9 +118,9 @@ def blocks(html: str) -> tuple[list[tuple[str, str, bool, int]], list[tuple[str,
                 continue
             flush()
             for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
+                if stack[k].name == name:
                     del stack[k:]
-                    tags.append((f"{stack[-1][1]}/-{name}", len(out) + len(tags)))
+                    tags.append((f"{stack[-1].path}/-{name}", len(out) + len(tags)))
                     break
             continue
         if name in _RAW:
@@ -95,33 +131,43 @@ def blocks(html: str) -> tuple[list[tuple[str, str, bool, int]], list[tuple[str,
         said = [(k.lower(), a or b or c) for k, a, b, c in _ATTRIBUTE.findall(m[2])] if m[2] else []
         if name in _INLINE and not said:
             continue
-        names = {w.lower() for _, v in said for w in _WORD.findall(v)}
-        away = name in _AWAY or bool(names & _NAMES) or any(k == "role" and v.lower() in _ROLES for k, v in said)
+        away = name in _AWAY or any(k == "role" and v.lower() in _ROLES for k, v in said)
         if name in _INLINE:
-            if away and name in ("a", "label", "small", "span"):  # marked inline parts are left out to their end
+            if (away or _named(said)) and name in ("a", "label", "small", "span"):  # marked inline parts are left out to their end
                 close = html.find(f"</{name}", at)
                 at = close if close >= 0 else at
             continue
         flush()
         if name in _VOID:
             continue
-        inside = any(x[0] in ("article", "main") for x in stack)
-        if name == "header" and not inside or names & {"header"} and not inside:
-            away = True
         if name in _LEAF or name in ("ul", "ol", "table", "div", "section", "article", "main", "footer", "nav", "aside", "form", "header"):
             for k in range(len(stack) - 1, 0, -1):  # a paragraph ends where a block begins; an item where the next begins
-                if stack[k][0] == "p" or stack[k][0] == name and name in ("li", "dt", "dd", "td", "th"):
+                if stack[k].name == "p" or stack[k].name == name and name in ("li", "dt", "dd", "td", "th"):
                     del stack[k:]
                     break
-                if stack[k][0] not in _LEAF:
+                if stack[k].name not in _LEAF:
                     break
         if name == "body":  # a head that was never closed ends here
-            del stack[1 + (len(stack) > 1 and stack[1][0] == "html") :]
-        path = stack[-1][1] + "/" + name + "".join(sorted("." + _SPACE.sub(".", v.strip()) for k, v in said if k == "class"))
-        stack.append((name, path, stack[-1][2] and not away))
+            del stack[1 + (len(stack) > 1 and stack[1].name == "html") :]
+        path = stack[-1].path + "/" + name + "".join(sorted("." + _SPACE.sub(".", v.strip()) for k, v in said if k == "class"))
+        own = _Element(name, path, stack[-1])
+        whole_part = name in ("html", "body", "main", "article")
+        own.away = away or name == "header" and not own.inside
+        own.named = not whole_part and _named(said, () if own.inside else ("header",))
+        if own.named and own.inside:
+            own.mark = _hash("mark", path, *sorted(v for k, v in said if k in ("class", "id")))
+            marks.setdefault(own.mark, len(out) + len(tags))
+        if whole_part:
+            for x in stack:
+                x.holds = True
+        stack.append(own)
         tags.append((path, len(out) + len(tags)))
     flush()
-    return out, tags
+    known: dict[_Element, tuple[bool, tuple[int, ...]]] = {}
+    for own, _, _ in out:
+        if own not in known:
+            known[own] = own.left_out()
+    return [(own.path, joined, known[own][1], place) for own, joined, place in out if not known[own][0]], tags, marks
 
 
 def _hash(*parts: str) -> int:
@@ -136,22 +182,23 @@ def _article(path: str) -> bool:
 def occurrences(pages: DataFrame) -> DataFrame:
     """Rows (host, page, token, kind, path, n, chars, place): each page's distinct tokens, and how often they occur.
 
-    kind is 0 for tags, 1 for text blocks, 2 for the page itself (one row for each page with any token).
+    kind is 0 for tags, 1 for text blocks, 2 for the page itself (one row for each page with any token), 3 for marks.
     """
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = []
             for host, page, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch.column(2))):
-                found, tags = blocks(html)
+                found, tags, marks = blocks(html)
                 own: dict[int, list] = {}
                 for path, place in tags:
                     own.setdefault(_hash("tag", path), [host, page, 0, path, 0, 0, place])[4] += 1
-                for path, text, kept, place in found:
-                    if kept:
-                        x = own.setdefault(_hash(path, text), [host, page, 1, path, 0, 0, place])
-                        x[4] += 1
-                        x[5] += len(text)
+                for path, text, _, place in found:
+                    x = own.setdefault(_hash(path, text), [host, page, 1, path, 0, 0, place])
+                    x[4] += 1
+                    x[5] += len(text)
+                for mark, place in marks.items():
+                    own[mark] = [host, page, 3, "", 1, 0, place]
                 rows += [(h, p, token, kind, path, n, chars, place) for token, (h, p, kind, path, n, chars, place) in own.items()]
                 if own:
                     rows.append((host, page, 0, 2, "", 1, 0, 0))
@@ -206,7 +253,7 @@ def _container_of(path: str):
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """Rows (host, fixed, main): the classes' text blocks (token, class, mean place, whether it recurs), and the path of the main container."""
+    """Rows (host, fixed, main, marks): the classes' text blocks (token, class, mean place, whether it recurs), the path around the article's slots, the marks that repeat."""
     found = written(occurrences(pages), "occurrences")
     tokens = found.groupBy("host", "kind", "token", "path").agg(
         F.count("*").alias("pages"), F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.max("n").alias("most"), F.sum("chars").alias("chars"), F.avg("place").alias("place")
@@ -220,7 +267,8 @@ def templates(pages: DataFrame) -> DataFrame:
     sizes = slots.groupBy("host", _container_of("path").alias("path")).agg(F.sum("chars").alias("chars"))
     fullest = sizes.groupBy("host").agg(F.max("chars").alias("most"))
     mains = sizes.join(fullest, "host").filter(f"chars >= {SLOT_SHARE} * most").groupBy("host").agg(F.min("path").alias("low"), F.max("path").alias("high")).select("host", F.expr(f"element_at({_around('low', 'high')}, -1)").alias("main"))
-    return counts.select("host").join(fixed, "host", "left").join(mains, "host", "left").select("host", "fixed", "main")
+    marks = tokens.filter(f"kind = 3 AND pages >= {LEAST_PAGES}").join(counts, "host").filter(f"pages >= {LEAST_SHARE} * all_pages").groupBy("host").agg(F.collect_list("token").alias("marks"))  # each on a share of the pages
+    return counts.select("host").join(fixed, "host", "left").join(mains, "host", "left").join(marks, "host", "left").select("host", "fixed", "main", "marks")
 
 
 def slots_of(found: list[tuple[str, str]], fixed: list[dict]) -> list[tuple[str, str]]:
@@ -235,9 +283,10 @@ def slots_of(found: list[tuple[str, str]], fixed: list[dict]) -> list[tuple[str,
     return left
 
 
-def main_text(html: str, fixed: list[dict], main: str | None) -> str:
+def main_text(html: str, fixed: list[dict], main: str | None, marks: list[int] = ()) -> str:
     """The text of a page's article: the slots of its host's template, then those that element and class names leave."""
-    found = [(path, text) for path, text, kept, _ in blocks(html)[0] if kept]
+    gone = set(marks)
+    found = [(path, text) for path, text, own, _ in blocks(html)[0] if gone.isdisjoint(own)]
     left = slots_of(found, fixed) or found  # a host whose pages are all the same has no template to tell from the text
     inside = [x for x in left if _article(x[0])] or ([x for x in found if _article(x[0])] if fixed else [])
     if not inside and main is not None:
@@ -258,12 +307,12 @@ def extracted(pages: DataFrame) -> DataFrame:
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            text = [main_text(h, f or [], m) for h, f, m in zip(texts_of(batch.column(2)), batch.column(3).to_pylist(), batch.column(4).to_pylist())]
+            text = [main_text(h, f or [], m, r or ()) for h, f, m, r in zip(texts_of(batch.column(2)), *(batch.column(k).to_pylist() for k in (3, 4, 5)))]
             return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array(np.array([len(t) for t in text], np.int64))], ["page_id", "url", "text", "n_chars"])
 
         return each
 
-    return map_rows(both.select("page", "url", "html", "fixed", "main"), make, "page_id long, url string, text string, n_chars long")
+    return map_rows(both.select("page", "url", "html", "fixed", "main", "marks"), make, "page_id long, url string, text string, n_chars long")
 
 
 def op2_html(spark, sf_dir: str) -> DataFrame:

@@ -92,3 +92,18 @@ def test_all_slots_of_the_article(spark):
     for k in range(5):
         assert [x.split()[0] for x in found[k].split("\n")] == ["first", "second", "third"]
         assert found[10 + k] == f"Own {k}"
+
+
+def test_names_drop_no_article():
+    for around in ("<body class='has-sidebar'><article class='post comments-open'>{}</article>", "<body class='sidebar'><div class='widget'><article class='comment'>{}</article></div>", "<div id='sidebar'><main id='search'>{}</main></div>"):
+        assert html.main_text(around.format("<p>Text</p>"), [], None) == "Text"
+    inner = "<h2 id='related-work'>Related work</h2><section id='discussion'><p>We discuss.</p></section>"
+    assert html.main_text(f"<article>{inner}</article><div class='related'><p>Other</p></div>", [], None) == "Related work\nWe discuss."
+
+
+def test_names_inside_an_article_count_if_they_repeat(spark):
+    share = lambda k: f"<div class='share'><p>Share {k} now</p></div>"
+    rows = [(k, "http://h.example/", page(f"<article><p>Own {k}</p>{share(k)}</article>", k)) for k in range(5)]
+    rows += [(9, "http://h.example/", page("<article><p>Own 9</p><section id='discussion'><p>Once</p></section></article>"))]
+    found = {r.page_id: r.text for r in html.extracted(spark.createDataFrame(rows, PAGES)).collect()}
+    assert found == {k: f"Own {k}" for k in range(5)} | {9: "Own 9\nOnce"}
