@@ -124,14 +124,24 @@ def _tree(x: np.ndarray, rng: np.random.Generator, limit: int) -> list:
     return nodes
 
 
+def draw_limit(n: int, sample: int) -> int:
+    """The share sample / n of all signed 64-bit hashes lies below this."""
+    return sample * (1 << 64) // n - (1 << 63)
+
+
 def isolation_forest(df: DataFrame, key: str, columns: list[str], trees: int = 200, sample: int = 256) -> DataFrame:
     """Rows (tree, nodes): each tree grows on its own hashed sample of about sample rows, in one task of its own.
 
-    A row's trees follow from a hash of its key, so a sample is a filter and no tree sees more than twice its sample size.
+    A row's trees follow from a hash of its key and its number, so a sample is a filter, rows of one key are drawn one by one,
+    and no tree sees more than twice its sample size.
     """
-    n = df.count()
-    chance = min(1.0, sample / max(n, 1))
-    drawn = df.select(key, *columns).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))) if chance == 1.0 else df.select(key, *columns, F.explode(F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.pmod(F.xxhash64(F.col(key), t), F.lit(1_000_000)) < int(chance * 1_000_000))).alias("tree"))
+    n, every = df.count(), F.sequence(F.lit(0), F.lit(trees - 1))
+    drawn = df.select(key, *columns)
+    if n <= sample:
+        drawn = drawn.withColumn("tree", F.explode(every))
+    else:
+        drawn = drawn.withColumn("_row", F.monotonically_increasing_id())
+        drawn = drawn.select(key, *columns, F.explode(F.filter(every, lambda t: F.xxhash64(F.col(key), F.col("_row"), t) < F.lit(draw_limit(n, sample)))).alias("tree"))
 
     def grow(key_: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(key).head(2 * sample)
@@ -144,6 +154,8 @@ def isolation_forest(df: DataFrame, key: str, columns: list[str], trees: int = 2
 def forest_scored(df: DataFrame, forest: DataFrame, columns: list[str], sample: int = 256) -> DataFrame:
     """df with anomaly_score: 0.5 less the usual isolation score, so negative means anomalous."""
     trees = [np.array(r.nodes).reshape(-1, 5) for r in forest.orderBy("tree").collect()]  # trees * 2 * sample nodes
+    if not trees:
+        raise ValueError("The forest has no trees: it was grown on no rows.")
     shared, usual = df.sparkSession.sparkContext.broadcast(trees), _depth_left(sample)
 
     @F.pandas_udf("double")

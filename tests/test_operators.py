@@ -141,3 +141,10 @@ def test_rows_and_models(spark):
     assert "rules" in registry.names()
     with pytest.raises(KeyError):
         registry.classify(df, "none")
+
+
+def test_forest_draws_rows_of_one_key_and_of_very_large_tables(spark):
+    for n in (1_000, 300_000_000, 10**12):
+        assert abs((ml.draw_limit(n, 256) + 2**63) / 2**64 * n / 256 - 1) < 1e-6
+    same = spark.range(5_000).selectExpr("1L AS id", "cast(id AS double) AS a")
+    assert ml.isolation_forest(same, "id", ["a"], trees=30).count() == 30
