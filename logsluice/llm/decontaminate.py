@@ -4,7 +4,8 @@ A mask is a fixed pattern of kept and ignored places over SPAN tokens. The hash
 test and training texts that differ only in ignored places share it. Several masks together find any passage of 24 tokens
 with a changed word. Tokens are lower-cased words without punctuation.
 
-1. Seeds of all benchmark items: a table (seed, item, place). Items shorter than the span give one seed, their whole.
+1. Seeds of all benchmark items: a table (seed, item, place). Items shorter than the span give
+   their whole, and all but one of their words, as seeds.
 2. One Arrow pass over the documents: all seeds of all places, looked up in a Bloom filter of the benchmark's seeds (two
    megabytes at most). Places that may hit become regions: the token hashes around a run of such places, and their seeds.
 3. Join regions' seeds with the benchmark's on the hash: candidate alignments (document region, item, offset).
@@ -32,7 +33,7 @@ SHIFTS = (0, 18, 36)
 #: Tokens kept to either side of a region's hits, and how far apart hits of one region may lie.
 MARGIN, GAP = 96, 24
 #: A passage counts if so many words match, or this share of a shorter item, but LEAST words (or the whole item) at all events.
-ENOUGH, SHARE, LEAST = 24, 0.6, 8
+ENOUGH, SHARE, LEAST = 13, 0.6, 8
 
 _PLACE = np.array([pow(0x9E3779B97F4A7C15, 2 * k + 3, 1 << 64) for k in range(SPAN)], np.uint64)
 
@@ -51,10 +52,15 @@ def seeds(tokens: np.ndarray, mask: str) -> np.ndarray:
     return total ^ (total >> np.uint64(29))
 
 
+def short_masks(n: int) -> list[str]:
+    """The masks of an item of n words, fewer than the span: its whole, and all but one where that is enough."""
+    return (["1" * n] if n else []) + ["1" * k + "0" + "1" * (n - k - 1) for k in range(n) if n > LEAST]
+
+
 def item_seeds(tokens: np.ndarray) -> list[tuple[int, int]]:
-    """(seed, place) of an item's places under every mask; an item shorter than the span has its whole as seed."""
+    """(seed, place) of an item's places under every mask; an item shorter than the span has its whole and, from LEAST + 1 words, all but one."""
     if len(tokens) < SPAN:
-        return [(int(seeds(tokens, "1" * len(tokens))[0]), 0)] if len(tokens) else []
+        return [(int(seeds(tokens, mask)[0]), 0) for mask in short_masks(len(tokens))]
     return [(int(s), at) for mask in MASKS for at, s in enumerate(seeds(tokens, mask.ljust(SPAN, "0")))]
 
 
@@ -112,7 +118,7 @@ def benchmark_tables(benchmark: DataFrame) -> tuple[DataFrame, DataFrame, np.nda
 def regions_of(tokens: np.ndarray, bitmap: np.ndarray, short: list[int]) -> list[tuple[int, np.ndarray, list[int], list[int]]]:
     """(first token's place, token hashes, seeds, the seeds' places) of each run of places that may hit."""
     places, found = [], []
-    for mask in [*(m.ljust(SPAN, "0") for m in MASKS), *("1" * n for n in short)]:
+    for mask in [*(m.ljust(SPAN, "0") for m in MASKS), *(m for n in short for m in short_masks(n))]:
         s = seeds(tokens, mask)
         hit = np.arange(len(s))
         for k in SHIFTS:

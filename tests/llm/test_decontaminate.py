@@ -66,3 +66,11 @@ def test_empty_tables(spark, documents):
     assert d.overlaps(documents([]), bench).count() == 0
     assert d.overlaps(documents([(1, "a b")]), bench.limit(0)).count() == 0
     assert d.without(documents([(None, "a b"), (None, None)]), bench).count() == 2
+
+
+def test_short_passages_of_long_items_and_changed_short_items(spark, documents):
+    item, small = [f"t{i}" for i in range(60)], [f"s{i}" for i in range(9)]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(small))], BENCH)
+    changed = item[10:22] + ["x"] + item[23:34]
+    rows = [(k, "before " * 30 + " ".join(t) + " after" * 30) for k, t in enumerate([item[20:33], changed, item[20:30], [*small[:4], "y", *small[5:]], small[:6]])]
+    assert sorted((r.doc_id, r.item_id) for r in d.overlaps(documents(rows), bench).collect()) == [(0, 1), (1, 1), (3, 2)]
