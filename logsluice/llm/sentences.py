@@ -117,4 +117,4 @@ def cleaned(docs: DataFrame, changed_only: bool = False) -> DataFrame:
 
 def op5_sentences(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return cleaned(docs, changed_only=True)
+    return cleaned(docs).select("doc_id", "n_sentences", "n_removed", "text")

@@ -56,3 +56,9 @@ def test_equal_ids_and_empty(spark, documents):
     assert [r.n_removed for r in s.cleaned(documents([(5, text), (5, text)])).collect()] == [0, 0]
     assert sorted((r.doc_id, r.n_removed, r.text) for r in s.cleaned(documents([(5, text), (6, text.upper())])).collect()) == [(5, 0, text), (6, 2, "")]
     assert s.cleaned(documents([])).count() == 0
+
+
+def test_query_returns_every_document(spark, corpus):
+    found = s.op5_sentences(spark, "/root/testdata/sf0.001")
+    assert found.columns == ["doc_id", "n_sentences", "n_removed", "text"]
+    assert {r.doc_id: (r.n_removed, r.text) for r in found.collect()} == plain(corpus)
