@@ -177,6 +177,17 @@ def forest_scored(df: DataFrame, forest: DataFrame, columns: list[str], sample:
     return df.withColumn("anomaly_score", score(*columns))
 
 
+def scaled(df: DataFrame, train: DataFrame, columns: list[str]) -> DataFrame:
+    """df with columns less their mean over train, by their deviation (by 1 where that is 0)."""
+    r = train.agg(*[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns]).first()
+    return df.withColumns({c: (F.col(c) - F.lit(r[f"m_{c}"])) / F.lit(r[f"s_{c}"] or 1.0) for c in columns})
+
+
+def contamination_cut(scores: DataFrame, contamination: float = 0.1) -> float:
+    """The score below which that share of the training rows lies."""
+    return scores.agg(F.percentile_approx("anomaly_score", contamination, 10_000)).first()[0]
+
+
 def anomaly_category(score: Column, cut: Column | float) -> tuple[Column, Column]:
     """Below the cut suspicious at min(0.9, 0.5 + |score|), else routine at 0.5."""
     odd = score < cut

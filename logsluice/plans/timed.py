@@ -382,17 +382,25 @@ def model_save_load(spark, sf):
     return out.agg(F.lit(manifest["name"]).alias("name"), F.count("*").alias("n"), F.count_if(F.col("again") == F.col("prediction")).alias("equal"))
 
 
+def _forest(spark, sf):
+    """The logs with scaled features, those to train on, the features' names and a forest of 200 trees."""
+    df, columns = _features(spark, sf)
+    usual = F.col("expected_category").isin("routine", "noise")
+    few = df.filter(usual).limit(101).count() <= 100
+    train = F.lit(True) if few else usual
+    df = ml.scaled(df, df.filter(train), columns)
+    return df, df.filter(train), columns, ml.isolation_forest(df.filter(train), "log_id", columns)
+
+
 @book.query("isolation_forest_train")
 def isolation_forest_train(spark, sf):
-    df, columns = _features(spark, sf)
-    forest = ml.isolation_forest(df.filter("expected_category IN ('routine', 'noise')"), "log_id", columns, trees=100)
+    _, _, _, forest = _forest(spark, sf)
     return forest.select("tree", (F.size("nodes") / 5).cast("long").alias("nodes"))
 
 
 @book.query("isolation_forest_score")
 def isolation_forest_score(spark, sf):
-    df, columns = _features(spark, sf)
-    forest = ml.isolation_forest(df.filter("expected_category IN ('routine', 'noise')"), "log_id", columns, trees=50)
-    out = ml.forest_scored(df, forest, columns)
-    category, confidence = ml.anomaly_category(F.col("anomaly_score"), 0.0)
-    return out.select("log_id", "anomaly_score", category.alias("category"), confidence.alias("confidence"))
+    df, train, columns, forest = _forest(spark, sf)
+    cut = ml.contamination_cut(ml.forest_scored(train, forest, columns))
+    category, confidence = ml.anomaly_category(F.col("anomaly_score"), cut)
+    return ml.forest_scored(df, forest, columns).select("log_id", "anomaly_score", category.alias("category"), confidence.alias("confidence"))

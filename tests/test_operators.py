@@ -148,3 +148,14 @@ def test_forest_draws_rows_of_one_key_and_of_very_large_tables(spark):
         assert abs((ml.draw_limit(n, 256) + 2**63) / 2**64 * n / 256 - 1) < 1e-6
     same = spark.range(5_000).selectExpr("1L AS id", "cast(id AS double) AS a")
     assert ml.isolation_forest(same, "id", ["a"], trees=30).count() == 30
+
+
+def test_forest_queries_grow_200_trees_and_cut_at_the_contamination(spark):
+    from logsluice.plans import timed, views
+
+    at = "/root/testdata/sf0.001"
+    assert timed.isolation_forest_train(spark, at).count() == 200
+    usual = views.logs(spark, at).filter("expected_category IN ('routine', 'noise')").select("log_id")
+    found = timed.isolation_forest_score(spark, at).join(usual, "log_id").groupBy("category").count().collect()
+    shares = {r["category"]: r["count"] / sum(x["count"] for x in found) for r in found}
+    assert 0.02 < shares["suspicious"] <= 0.1
