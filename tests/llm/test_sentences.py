@@ -4,32 +4,37 @@ from logsluice.llm import sentences as s
 
 
 def plain(rows):
-    """Cleaned texts by place, from runs as word lists."""
+    """(id, removed, cleaned text) by row, from runs as word lists; rows of equal id and text are one."""
     places = {}
-    for key, text in rows:
+    for key, text in set(rows):
         spans = s.sentences(text or "")
-        words = [(text or "")[a:b].lower().split() for a, b in spans]
+        words = [s._words((text or "")[a:b].lower()) for a, b in spans]
         for i in range(len(words)):
             for n in range(s.LEAST_SENTENCES, len(words) - i + 1):
                 if sum(map(len, words[i : i + n])) >= s.LEAST_WORDS:
                     run = tuple(w for x in words[i : i + n] for w in x)
-                    places.setdefault(run, set()).add((-1 if key is None else key, i, n))
+                    places.setdefault(run, set()).add((-1 if key is None else key, text, i, n))
                     break
     gone = {}
     for at in places.values():
-        first = min((k, i) for k, i, _ in at)
-        for k, i, n in at:
-            if (k, i) != first:
-                gone.setdefault(k, set()).update(range(i, i + n))
-    out = {}
+        first = min(k for k, *_ in at)
+        some = [t for k, t, *_ in at if k == first]
+        assert len(set(some)) == 1  # else the hash of the text decides
+        least = min(i for k, _, i, _ in at if k == first)
+        for k, t, i, n in at:
+            if (k, i) != (first, least):
+                gone.setdefault((k, t), set()).update(range(i, i + n))
+    out = []
     for key, text in rows:
-        hit = gone.get(-1 if key is None else key, set())
-        parts = s.sentences(text or "")
-        hit = {k for k in hit if k < len(parts)}
-        out[key] = (len(hit), "".join(text[a:b] for k, (a, b) in enumerate(parts) if k not in hit).rstrip() if hit else text)
+        hit, parts = gone.get((-1 if key is None else key, text), set()), s.sentences(text or "")
+        out.append((key, len(hit), "".join(text[a:b] for k, (a, b) in enumerate(parts) if k not in hit).rstrip() if hit else text))
     return out
 
 
+def by_row(rows):
+    return sorted(rows, key=repr)
+
+
 def test_sentences_make_up_the_text():
     for text in ("", "a", " x" * 300, "ab cd ef gh " * 40, "A b. C d! E?\n\nF\ng.h i", " lead. ", "...\n..."):
         assert "".join(text[a:b] for a, b in s.sentences(text)) == text
@@ -44,10 +49,10 @@ def test_against_brute_force(spark, documents, corpus, odd):
         rows.append((1000 + k, f"{words}. {rng.choice(passages)} {words[::-1]}." if k % 2 else words + "."))
     expected = plain(rows)
     found = s.cleaned(documents(rows)).collect()
-    assert {r.doc_id: (r.n_removed, r.text) for r in found} == expected
+    assert by_row((r.doc_id, r.n_removed, r.text) for r in found) == by_row(expected)
     changed = {r.doc_id for r in s.cleaned(documents(rows), changed_only=True).collect()}
-    assert changed == {k for k, (n, _) in expected.items() if n} and len(changed) > 12
-    clean = {k for k, (n, _) in expected.items() if not n}
+    assert changed == {k for k, n, _ in expected if n} and len(changed) > 12
+    clean = {k for k, n, _ in expected if not n}
     assert {1000 + k for k in range(0, 40, 2)} <= clean
 
 
@@ -61,4 +66,30 @@ def test_equal_ids_and_empty(spark, documents):
 def test_query_returns_every_document(spark, corpus):
     found = s.op5_sentences(spark, "/root/testdata/sf0.001")
     assert found.columns == ["doc_id", "n_sentences", "n_removed", "text"]
-    assert {r.doc_id: (r.n_removed, r.text) for r in found.collect()} == plain(corpus)
+    assert by_row((r.doc_id, r.n_removed, r.text) for r in found.collect()) == by_row(plain(corpus))
+
+
+A = "One short note for all. Call me soon at home. " * 2 + "Bring nothing but your own red pen and some good paper."
+B = "This text stands nowhere else in the world. It has two sentences of its own, which is enough for runs of them."
+
+
+def test_unequal_texts_of_one_id_lose_only_what_repeats(spark, documents):
+    found = s.cleaned(documents([(1, A), (7, A), (7, B), (None, B + " And more."), (9, A)])).collect()
+    texts = {(r.doc_id, r.n_sentences): r.text for r in found}
+    assert texts[None, 3] == B + " And more." and texts[7, 2] == "" and texts[9, 5] == "" and texts[7, 5] == ""
+    assert texts[1, 5].startswith("One short note for all. Call me soon at home. ") and len(texts) == 5
+    assert {r.text for r in s.cleaned(documents([(1, A), (7, A), (7, B)])).collect()} == {texts[1, 5], "", B}
+
+
+def test_a_run_in_every_text_and_texts_without_spaces(spark, documents):
+    rng = random.Random(8)
+    own = lambda: "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(200))
+    rows = [(k, f"{B} {own()}") for k in range(40)]
+    passage = own()
+    rows += [(100 + k, own() + passage + own()) for k in range(3)]
+    found = {r.doc_id: r for r in s.cleaned(documents(rows)).collect()}
+    assert found[0].n_removed == 0 and all(found[k].text == rows[k][1][len(B) + 1 :] for k in range(1, 40))
+    assert by_row((r.doc_id, r.n_removed, r.text) for r in found.values()) == by_row(plain(rows))
+    assert passage[60:140] in found[100].text and all(passage[60:140] not in found[k].text for k in (101, 102))
+    same = s.cleaned(documents([(k, "of " * 700) for k in range(3)])).collect()
+    assert sorted(len(r.text.split()) for r in same)[:2] == [0, 0]
