@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import unicodedata
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,18 +13,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows of text that one Arrow batch may hold; keeps a Python worker's memory small where texts are long.
-BATCH_ROWS = 256
+#: Bytes that one Arrow batch may hold; keeps a Python worker's memory small where texts are long.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.ones(1, np.uint64), np.ones(1, np.uint64)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's checkpoint folder, or one of our own where it names none."""
+    """The folder that driver and executors share: the session's checkpoint folder, or on one machine one of our own."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not where:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         sc.setCheckpointDir(where)
     return where.rstrip("/")
@@ -41,9 +45,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Fewer rows to an Arrow batch, for whole texts."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Smaller Arrow batches, for whole texts. The session keeps the setting: it bounds bytes, not rows, so narrow rows do not mind."""
+    now = int(str(spark.conf.get(_BATCH)).rstrip("b"))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
 def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
@@ -67,8 +72,13 @@ def in_order(df: DataFrame, key: str) -> DataFrame:
     n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     cuts = [x / n for x in range(1, n)] or [0.5]
     bounds = sorted(set(df.select(F.percentile_approx(key, cuts, 10 * n + 1000)).first()[0] or ()))
-    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(key))) if bounds else F.lit(0)
-    return df.withColumn("part", F.coalesce(part, F.lit(0)).cast("int")).repartitionById(len(bounds) + 1, "part").sortWithinPartitions(F.asc_nulls_first(key))
+    # How many bounds lie below the key, in two steps: whole chunks of about the root of their number, then within one.
+    w = max(1, int(len(bounds) ** 0.5))
+    chunks = [bounds[k : k + w] for k in range(0, len(bounds), w)]
+    below = lambda xs: F.coalesce(F.size(F.filter(xs, lambda b: b < F.col(key))), F.lit(0))
+    whole = below(F.array(*[F.lit(c[-1]) for c in chunks if len(c) == w])) if bounds else F.lit(0)
+    part = whole * w + F.greatest(F.lit(0), below(F.get(F.array(*[F.array(*map(F.lit, c)) for c in chunks]), whole))) if bounds else F.lit(0)
+    return df.withColumn("part", F.when(F.col(key).isNull(), 0).otherwise(part).cast("int")).repartitionById(len(bounds) + 1, "part").sortWithinPartitions(F.asc_nulls_first(key))
 
 
 def texts_of(column: pa.Array) -> list[str]:
@@ -107,22 +117,39 @@ class SpanHash:
         return mixed((self.sums[ends] - self.sums[starts]) * self.down[starts])
 
 
-_WORD = np.zeros(256, bool)
-_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+#: Letters of scripts that put no spaces between words (Thai to Lao, Burmese, Khmer, kana, ideographs): each is a word.
+_ALONE = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0x20000, 0x3FFFF))
+_kinds: list[np.ndarray] = []
 
 
-def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the runs of ASCII letters, digits and non-ASCII bytes."""
-    inside = np.zeros(len(data) + 2, np.int8)
-    inside[1:-1] = _WORD[data]
-    edges = np.flatnonzero(np.diff(inside))
-    return edges[::2], edges[1::2]
+def _char_kinds() -> np.ndarray:
+    """By code point: 1 for letters, digits and marks of words, 2 for letters that are words, else 0."""
+    if not _kinds:
+        kinds = np.zeros(0x110000, np.int8)
+        kinds[[k for k in range(0x20000) if (c := chr(k)).isalnum() or unicodedata.category(c)[0] == "M"]] = 1
+        for a, b in _ALONE:
+            kinds[a : b + 1] *= 2
+        kinds[0x20000:0x40000] = 2
+        _kinds.append(kinds)
+    return _kinds[0]
 
 
-def word_hashes(text: str) -> np.ndarray:
-    """A 64-bit hash of each lower-cased word of the text; punctuation and white space part words."""
-    data = np.frombuffer(text.lower().encode("utf-8", "replace"), np.uint8)
-    if not len(data):
-        return np.zeros(0, np.uint64)
-    starts, ends = word_bounds(data)
-    return SpanHash(data).of(starts, ends)
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("ascii"), np.uint8) if text.isascii() else np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
+
+
+def word_bounds(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words: runs of letters and digits; of scripts without spaces, each letter."""
+    kinds = np.zeros(len(points) + 2, np.int8)
+    kinds[1:-1] = _char_kinds()[points]
+    own, before, after = kinds[1:-1], kinds[:-2], kinds[2:]
+    return np.flatnonzero((own == 2) | (own == 1) & (before != 1)), np.flatnonzero((own == 2) | (own == 1) & (after != 1)) + 1
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each lower-cased word of all texts, and the number of its text; punctuation and white space part words."""
+    low = [t.lower() for t in texts]
+    points = code_points("\n".join(low))
+    starts, ends = word_bounds(points)
+    ends_of = np.cumsum(np.fromiter(map(len, low), np.int64, len(low)) + 1)
+    return SpanHash(points).of(starts, ends), np.searchsorted(ends_of, starts, side="right")

@@ -1,7 +1,7 @@
 import corpus_pipeline
 import numpy as np
 import pandas as pd
-from logsluice.llm import decontaminate, quality, secrets, simhash
+from logsluice.llm import decontaminate, quality, secrets
 from logsluice.llm.common import word_hashes
 from logsluice.llm.tokens import WORD_BPE, tokenizer, tokenizer_path
 
@@ -21,19 +21,19 @@ def test_stages_against_plain_versions(spark):
     odds = [bias + (weights[quality.features(t)].mean(dtype=float) if t.strip() else 0) for t in raw.text]
     assert good.doc_id.tolist() == raw.doc_id[[1 / (1 + np.exp(-o)) >= quality.THRESHOLD for o in odds]].tolist()
     assert 0.6 * len(raw) < len(good) < len(raw)
-    marks, group = [simhash.fingerprint(t) for t in good.text], list(range(len(good)))
+    sets, group = [{b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in (t.encode().lower().split() for t in good.text)], list(range(len(good)))
     for i in range(len(good)):
         for j in range(i):
-            if (marks[i] ^ marks[j]).bit_count() <= 4:
+            if 4 * len(sets[i]) <= 5 * len(sets[j]) and 4 * len(sets[j]) <= 5 * len(sets[i]) and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
                 a, b = group[i], group[j]
                 group = [min(a, b) if g in (a, b) else g for g in group]
-    assert single.doc_id.tolist() == [good.doc_id[i] for i in range(len(good)) if group[i] == i]
-    items = [word_hashes(t).tolist() for t in pd.read_parquet(f"{AT}/benchmark.parquet").text]
-    runs = {tuple(t[k : k + 12]): None for t in items for k in range(len(t) - 11)}
-    holds = lambda t: any(tuple(t[k : k + 12]) in runs for k in range(len(t) - 11))
+    assert single.doc_id.tolist() == [good.doc_id[i] for i in range(len(good)) if group[i] == i] and len(single) < len(good)
+    words = lambda t: word_hashes([t])[0].tolist()
+    items = [words(t) for t in pd.read_parquet(f"{AT}/benchmark.parquet").text]
+    runs = {tuple(t[k : k + 13]) for t in items for k in range(len(t) - 12)} | {tuple(t) for t in items if len(t) < 13}
+    holds = lambda t: any(tuple(t[k : k + n]) in runs for n in {len(r) for r in runs} for k in range(len(t) - n + 1))
     dropped = set(single.doc_id) - set(clean.doc_id)
-    for key, text in zip(single.doc_id, single.text):
-        assert (key in dropped) >= holds(word_hashes(text).tolist()) or key not in dropped
+    assert dropped == {key for key, text in zip(single.doc_id, single.text) if holds(words(text))} and dropped
     field = secrets.fit(spark.createDataFrame(clean))
     for before, after in zip(clean.text, masked.text):
         spans = secrets.all_spans(before, field)
