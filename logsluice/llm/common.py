@@ -81,6 +81,20 @@ def in_order(df: DataFrame, key: str) -> DataFrame:
     return df.withColumn("part", F.when(F.col(key).isNull(), 0).otherwise(part).cast("int")).repartitionById(len(bounds) + 1, "part").sortWithinPartitions(F.asc_nulls_first(key))
 
 
+#: Keys that have this share of all rows meet them by broadcast.
+HOT = 1000
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, on: list[str], total: int) -> DataFrame:
+    """rows with their match in counted, a written table of one row for each key and of its number of rows, times.
+
+    Keys of more than a share of 1 / HOT of all rows are fewer than HOT, so these are broadcast; all others meet their rows in
+    a join whose largest key has no more than that share.
+    """
+    hot = F.col("times") > total / HOT
+    return rows.join(F.broadcast(counted.filter(hot).drop("times")), on).unionByName(rows.join(counted.filter(~hot).drop("times"), on))
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """Null counts as empty."""
     return [x or "" for x in column.to_pylist()]

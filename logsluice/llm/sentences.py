@@ -6,7 +6,7 @@ sentence). Sentences that a run covers at any other place are removed.
 
 1. One Arrow pass writes the runs, rows of five numbers.
 2. Counts by hash, combined before the shuffle, are written; so the join of runs with those that repeat has two plain sides.
-   A run that makes up a share of 1 / HOT of all places meets them by broadcast: there are no more than HOT such runs.
+   Very common runs are broadcast.
 3. First places are a minimum by hash, combined before the shuffle; all others are told by an anti-join on the whole place.
 4. Texts cross the network once, to meet their list of covered sentences.
 """
@@ -22,14 +22,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, small_batches, texts_of, written
+from .common import join_counted, map_rows, small_batches, texts_of, written
 
 LEAST_SENTENCES, LEAST_WORDS = 2, 16
 #: A sentence of more words is cut into parts that count as sentences: after each word whose checksum divides by CUT, and after
 #: MOST words at all events. So lists and texts without full stops have parts too, and equal passages equal parts wherever they begin.
 LONG, CUT, MOST = 24, 8, 64
-#: Runs that hold this share of all places meet them by broadcast.
-HOT = 1000
 _END = re.compile(r"[.!?]['\")\]]*\s+|[。！？]+\s*|\n\s*")
 # A word: a letter of a script without spaces (kana, ideographs, Thai to Khmer), or a run of other signs than these and space.
 _ALONE = "฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿\U00020000-\U0003ffff"
@@ -101,10 +99,7 @@ def repeats(docs: DataFrame) -> DataFrame:
 
     found = written(map_rows(_named(docs), make, "doc_id long, same long, at int, n int, h long, c int"), "runs")
     known = written(found.groupBy("h", "c").agg(F.count("*").alias("times")).filter("times > 1"), "known")
-    hot = F.lit(found.count() / HOT)
-    often = F.broadcast(known.filter(F.col("times") > hot).select("h", "c"))  # fewer than HOT rows
-    rest = found.join(known.filter(F.col("times") <= hot).select("h", "c"), ["h", "c"])
-    places = written(found.join(often, ["h", "c"]).unionByName(rest), "places")
+    places = written(join_counted(found, known, ["h", "c"], found.count()), "places")
     place = ["doc_id", "same", "at"]
     first = places.groupBy("h", "c").agg(F.min(F.struct(*place)).alias("p")).select("h", "c", "p.*")
     later = places.join(first, ["h", "c", *place], "left_anti")

@@ -1,7 +1,9 @@
 from collections import Counter
 
+import pytest
 from logsluice.llm import rollup
 from logsluice.llm.tokens import BYTE_BPE, tokenizer, tokenizer_path
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SCHEMA = T.StructType([T.StructField(n, t) for n, t in (("doc_id", T.LongType()), ("text", T.StringType()), ("lang", T.StringType()), ("source", T.StringType()))])
@@ -29,19 +31,48 @@ def test_inserts_deletes_revisions_and_replays(spark, tmp_path, corpus):
     sums = rollup.Rollup(spark, str(tmp_path / "sums"))
     assert totals(sums) == {}
     table = lambda rows: rollup.ledger(spark.createDataFrame(rows, SCHEMA))
-    sums.commit("1", table(rows))
-    sums.commit("1", table(rows))
+    assert sums.commit("1", table(rows)) and not sums.commit("1", table(rows))
     expected = counted(rows)
     assert totals(sums) == {k: v for k, v in expected.items() if v}
     old, new = rows[3], (*rows[3][:1], "a revised text", *rows[3][2:])
     change = table([old]).selectExpr("*", "-1 AS by").unionByName(table([new]).selectExpr("*", "1 AS by"))
-    for _ in range(2):
-        sums.commit("2", change, change["by"])
+    for k in range(2):
+        assert sums.commit("2", change, change["by"]) == (not k)
     expected.update(counted([new]))
     expected.update(counted([old], -1))
     sums.commit("3", table(rows[10:20]), -1)
     expected.update(counted(rows[10:20], -1))
     assert totals(sums) == {k: v for k, v in expected.items() if v}
+    with pytest.raises(ValueError, match="other rows"):
+        sums.commit("3", table(rows[10:21]), -1)
+    again = rollup.Rollup(spark, str(tmp_path / "sums"))  # as after a restart
+    assert totals(again) == totals(sums) and not again.commit("1", table(rows[::-1]))
+    assert sorted(r.batch for r in again.batches().collect()) == ["1", "2", "3"]
+
+
+def test_a_failed_commit_leaves_nothing(spark, tmp_path):
+    rows = rollup.ledger(spark.createDataFrame([(1, "a b c", "en", "s"), (2, None, None, None)], SCHEMA))
+    sums = rollup.Rollup(spark, str(tmp_path / "sums"))
+    sums.prepared(rows, 1, "crashed")  # the sums are there, the marker is not
+    assert totals(sums) == {} and sums.digest_of("1") is None
+    assert sums.commit("1", rows) and totals(sums)["s", "en", rollup.WORDS, "tokens"] == 3
+    before = totals(sums)
+    bad = rows.withColumn("bpe", F.raise_error(F.lit("lost")).cast("long"))
+    with pytest.raises(Exception, match="lost"):
+        sums.commit("2", bad)
+    assert totals(rollup.Rollup(spark, str(tmp_path / "sums"))) == before
+    # two sessions that raced for a batch left a marker each: one of them counts
+    digest = sums.prepared(rows, 1, "racing")
+    spark.createDataFrame([("1", "racing", digest)], rollup._MARK).write.mode("append").parquet(str(tmp_path / "sums" / "markers"))
+    assert totals(sums) == before
+    assert sums.commit("3", rows.limit(0)) and totals(sums) == before
+
+
+def test_copies_of_a_common_text(spark):
+    docs = spark.createDataFrame([(k, "same text" if k % 3 else f"own {k}", "en", "s") for k in range(90)] + [(None, "same text", "en", "s"), (1, "same text", "de", "s")], SCHEMA)
+    gone = rollup.copies(rollup.ledger(docs)).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in gone) == [(False, k) for k in range(2, 90) if k % 3] + [(True, 0)]
+    assert rollup.copies(rollup.ledger(docs.limit(0))).count() == 0
 
 
 def test_query_against_brute_force(spark):
@@ -49,6 +80,8 @@ def test_query_against_brute_force(spark):
 
     docs = pd.read_parquet("/root/testdata/sf0.001/documents.parquet")
     keep = docs.sort_values("doc_id").drop_duplicates("text")
+    keep["text"] = keep.text.map(lambda t: "\n".join(dict.fromkeys(t.split("\n"))))
+    assert (keep.text != docs.loc[keep.index].text).any()
     expected = counted(keep[["doc_id", "text", "lang", "source"]].itertuples(index=False))
     found = rollup.op3_token_counts(spark, "/root/testdata/sf0.001").collect()
     got = Counter()
