@@ -31,20 +31,30 @@ from pyspark.sql import functions as F
 from .common import map_rows, texts_of, written
 
 #: A class counts if it stands on so many pages, on this share of the host's pages with tokens, and has so many tokens.
-LEAST_PAGES, LEAST_SHARE, LEAST_TOKENS = 4, 0.2, 3
+LEAST_PAGES, LEAST_SHARE, LEAST_TOKENS = 3, 0.2, 2
+#: Elements in more than so many others count as their parents.
+DEEPEST = 200
 #: A slot with this share of the fullest slot's text is part of the article.
 SLOT_SHARE = 0.05
 #: Templates are broadcast up to so many text tokens and hosts, else joined.
 BROADCAST_ROWS = 50_000
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</?([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|</?[a-zA-Z][^<>]*(?:>|\Z)|[^<]+|<""", re.DOTALL)
+# A comment, a declaration, a tag or text. Quotes count after an equals sign; no part of a match is tried in two ways, so a match
+# takes time in proportion to what it reads. Where a tag does not end before the page does, SIMPLE ones end at the next angle.
+_REST = r"|[^<]++|<"
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|</?([a-zA-Z][^\s/<>]*+)((?:[^>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+)>|</?[a-zA-Z][^<>]*+(?:>|\Z)?""" + _REST, re.DOTALL)
+_SIMPLE = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|</?([a-zA-Z][^\s/<>]*+)([^<>]*+)>|</?[a-zA-Z][^<>]*+" + _REST, re.DOTALL)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 # What HTML's elements are.
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template svg iframe textarea select button object math audio video canvas".split())
+_RAW = frozenset("script style noscript template iframe textarea title".split())
+#: Parts that are left out whole; where one does not end before the next of its kind begins, its tag alone.
+_PARTS = frozenset("svg select button object math audio video canvas".split())
+_MARKED = frozenset("a label small span".split())
+_ENDING = re.compile(rf"<(/?)({'|'.join(sorted(_RAW | _PARTS | _MARKED))})(?=[\s/>])[^<>]*+>?", re.IGNORECASE)
 _LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote figcaption caption".split())
 _AWAY = frozenset("nav footer aside form dialog head menu fieldset".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
@@ -96,6 +106,20 @@ def blocks(html: str) -> tuple[list[tuple[str, str, tuple[int, ...], int]], list
     stack: list[_Element] = [_Element("", "", None)]
     marks: dict[int, int] = {}
     text: list[str] = []
+    below: list[str] = []  # open elements below the deepest that counts, and how often each
+    deep: dict[str, int] = {}
+    ends: dict[str, list[tuple[int, int, bool]]] = {}
+    for m in _ENDING.finditer(html):
+        ends.setdefault(m[2].lower(), []).append((m.start(), m.end(), bool(m[1])))
+    passed = dict.fromkeys(ends, 0)
+
+    def end_of(name: str, at: int) -> int | None:
+        """Where the element that begins before at ends: behind its end tag, if that comes before another of its kind begins."""
+        tags_, k = ends.get(name, ()), passed.get(name, 0)
+        while k < len(tags_) and tags_[k][0] < at:
+            k += 1
+        passed[name] = k
+        return tags_[k][1] if k < len(tags_) and tags_[k][2] else None
 
     def flush() -> None:
         if text:
@@ -104,9 +128,12 @@ def blocks(html: str) -> tuple[list[tuple[str, str, tuple[int, ...], int]], list
                 out.append((stack[-1], joined, len(out) + len(tags)))
             text.clear()
 
-    at, end = 0, len(html)
+    at, end, token = 0, len(html), _TOKEN
     while at < end:
-        m = _TOKEN.match(html, at)
+        m = token.match(html, at)
+        if m[1] is None and token is _TOKEN and m[0][0] == "<" and m[0][1:2] not in ("", "!", "?"):  # a tag that does not end
+            token = _SIMPLE
+            m = token.match(html, at)
         at, whole, name = m.end(), m[0], m[1]
         if name is None:
             if whole[0] != "<" or whole == "<":
@@ -117,25 +144,34 @@ def blocks(html: str) -> tuple[list[tuple[str, str, tuple[int, ...], int]], list
             if name in _INLINE or name in _VOID and name != "br":
                 continue
             flush()
+            if deep.get(name):
+                while (last := below.pop()) != name:
+                    deep[last] -= 1
+                deep[name] -= 1
+                continue
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].name == name:
+                    below.clear()
+                    deep.clear()
                     del stack[k:]
                     tags.append((f"{stack[-1].path}/-{name}", len(out) + len(tags)))
                     break
             continue
-        if name in _RAW:
-            close = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(html, at)
+        if name in _RAW or name in _PARTS:
             if whole[-2:] != "/>":
-                at = close.end() if close else end
+                behind = end_of(name, at)
+                if behind is None and name in ("script", "style"):  # code without end: up to the next tag
+                    behind = html.find("<", at)
+                    behind = behind if behind >= 0 else end
+                at = behind or at
             continue
         said = [(k.lower(), a or b or c) for k, a, b, c in _ATTRIBUTE.findall(m[2])] if m[2] else []
         if name in _INLINE and not said:
             continue
         away = name in _AWAY or any(k == "role" and v.lower() in _ROLES for k, v in said)
         if name in _INLINE:
-            if (away or _named(said)) and name in ("a", "label", "small", "span"):  # marked inline parts are left out to their end
-                close = html.find(f"</{name}", at)
-                at = close if close >= 0 else at
+            if (away or _named(said)) and name in _MARKED:  # marked inline parts are left out to their end
+                at = end_of(name, at) or at
             continue
         flush()
         if name in _VOID:
@@ -149,6 +185,10 @@ def blocks(html: str) -> tuple[list[tuple[str, str, tuple[int, ...], int]], list
                     break
         if name == "body":  # a head that was never closed ends here
             del stack[1 + (len(stack) > 1 and stack[1].name == "html") :]
+        if len(stack) > DEEPEST:
+            below.append(name)
+            deep[name] = deep.get(name, 0) + 1
+            continue
         path = stack[-1].path + "/" + name + "".join(sorted("." + _SPACE.sub(".", v.strip()) for k, v in said if k == "class"))
         own = _Element(name, path, stack[-1])
         whole_part = name in ("html", "body", "main", "article")
@@ -296,12 +336,12 @@ def main_text(html: str, fixed: list[dict], main: str | None, marks: list[int] =
 def extracted(pages: DataFrame) -> DataFrame:
     """Rows (page_id, url, text, n_chars) for every row of pages.
 
-    Null and empty html give an empty text; a null or odd url counts as a host of its own name; rows with equal page_id stay
-    rows of their own (for occurrence vectors they are one page). Extra columns are ignored.
+    Null and empty html give an empty text; a null or odd url counts as a host of its own name; rows with equal page_id are
+    pages of their own. Extra columns are ignored.
     """
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/@]*@)?([^/:?#]*)", 1)), F.lit(""))
     named = pages.select(F.col("page_id").cast("long").alias("page"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host.alias("host"))
-    known = written(templates(named), "templates")
+    known = written(templates(named.withColumn("page", F.monotonically_increasing_id())), "templates")  # a page is a row, whatever its id
     size = known.agg(F.count("*") + F.coalesce(F.sum(F.size(F.coalesce("fixed", F.array().cast(known.schema["fixed"].dataType)))), F.lit(0))).first()[0]
     both = named.join(F.broadcast(known) if size <= BROADCAST_ROWS else known, "host", "left")
 

@@ -1,4 +1,6 @@
+import random
 import re
+import time
 from html import unescape
 
 import pandas as pd
@@ -107,3 +109,79 @@ def test_names_inside_an_article_count_if_they_repeat(spark):
     rows += [(9, "http://h.example/", page("<article><p>Own 9</p><section id='discussion'><p>Once</p></section></article>"))]
     found = {r.page_id: r.text for r in html.extracted(spark.createDataFrame(rows, PAGES)).collect()}
     assert found == {k: f"Own {k}" for k in range(5)} | {9: "Own 9\nOnce"}
+
+
+def test_unclosed_parts_are_skipped_alone():
+    for name in ("button", "svg", "select", "textarea", "object", "iframe", "video"):
+        assert html.main_text(f"<article><p>One</p><{name} x='y'><p>Two</p><p>Three</p></article>", [], None) == "One\nTwo\nThree"
+        assert html.main_text(f"<article><p>One</p><{name}>no</{name.upper()} ><p>Two</p><{name}><p>Three</p></article>", [], None) == "One\nTwo\nThree"
+    assert html.main_text("<p>a <a class='share'>no</A> yes <A class='share'>no</a> end</p>", [], None) == "a yes end"
+    assert html.main_text("<article><p title=it's>don't</p><p>won't</p></article>", [], None) == "don't\nwon't"
+    assert html.main_text("<article><p>x</p><script>var a<p>y</p>", [], None) == "x\ny"
+
+
+def test_broken_tags_take_time_in_proportion():
+    start = time.perf_counter()
+    for bit in ("<a ", '<a "', "<a x='<b y=\"", '<span class="share">', "<button>x", "<script>", "<!--", "<p><b", "<div>", "</"):
+        html.blocks(bit * (1_000_000 // len(bit)))
+    assert time.perf_counter() - start < 60
+    assert html.main_text("<div>" * 500 + "<p>deep</p><p>down</p>" + "</div>" * 500 + "<p>up</p>", [], None) == "deep\ndown\nup"
+
+
+def test_rows_with_equal_page_id_are_pages(spark):
+    rows = [(7, "http://h.example/", page(f"<div class='c'><p>Always here</p><p>Own {k} text</p><p>And here</p></div>", k)) for k in range(4)]
+    assert sorted(r.text for r in html.extracted(spark.createDataFrame(rows, PAGES)).collect()) == [f"Own {k} text" for k in range(4)]
+
+
+def deduced(pages):
+    """The text of each page of one host by plain deduction: classes of equal vectors, checked for support, order and nesting; then the slots."""
+    parts = [html.blocks(h) for h in pages]
+    seen = {}  # token: (kind, path, counts by page, places by page)
+    for k, (found, tags, _) in enumerate(parts):
+        for kind, path, text, place in [(0, p, None, at) for p, at in tags] + [(1, p, t, at) for p, t, _, at in found]:
+            _, _, counts, places = seen.setdefault((path, text), (kind, path, [0] * len(pages), {}))
+            counts[k] += 1
+            places.setdefault(k, place)
+    classes = {}
+    for token, (_, _, counts, _) in seen.items():
+        if sum(map(bool, counts)) >= max(html.LEAST_PAGES, html.LEAST_SHARE * len(pages)):
+            classes.setdefault(tuple(counts), []).append(token)
+    big = lambda c: {v: t for v, t in c.items() if len(t) >= html.LEAST_TOKENS}
+    mean = lambda t: sum(seen[t][3].values()) / len(seen[t][3])
+    for vector, tokens in big(classes).items():
+        bad = set()
+        for k in (k for k, n in enumerate(vector) if n):
+            line = sorted(tokens, key=lambda t: seen[t][3][k])
+            bad |= {t for i, t in enumerate(line) if any(mean(u) > mean(t) for u in line[:i])}
+        classes[vector] = [t for t in tokens if t not in bad]
+    classes = big(classes)
+    support = {}
+    for vector, tokens in classes.items():
+        for t in tokens:
+            if seen[t][0] == 0:
+                support[t[0]] = max(support.get(t[0], 0), sum(map(bool, vector)))
+    fixed = set()
+    for vector, tokens in classes.items():
+        around = ["/".join(p) for p in [tokens[0][0].split("/")[:k] for k in range(1, 99)] if all(t[0].split("/")[: len(p)] == p for t in tokens)]
+        if set(around) == {""} or any(support.get(p, 0) >= sum(map(bool, vector)) for p in around):
+            fixed |= {t for t in tokens if seen[t][0] == 1}
+    return ["\n".join(t for p, t, _, _ in found if (p, t) not in fixed) for found, _, _ in parts]
+
+
+def test_deduction_alone_against_a_plain_one(spark):
+    rng, rows, expected, whole = random.Random(4), [], [], []
+    word = lambda: f"w{rng.randrange(10**6)}"
+    for host in range(3):
+        top, low = [f"Top {word()} {i}" for i in range(3)], [f"Low {word()} {i}" for i in range(4)]
+        pages = []
+        for k in range(9):
+            items = "".join(f"<li>{word()} {word()}</li>" for _ in range(rng.randrange(4)))
+            texts = [f"{word()} {word()} {word()}." for _ in range(rng.randrange(1, 5))]
+            extra = "<div class='k9'><p>Seen on some</p><p>pages alone</p></div>" if k % 3 == 0 else ""
+            body = f"<div class='k1'>{''.join(f'<p>{x}</p>' for x in top)}</div>{extra}<div class='k2'>{''.join(f'<p>{x}</p>' for x in texts)}<ul class='k3'>{items}</ul></div><div class='k4'>{''.join(f'<span>{x}</span><br>' for x in low)}</div>"
+            pages.append(page(body, k))
+            whole.append("\n".join(texts + re.findall("<li>(.*?)</li>", items)))
+        rows += [(len(rows) + k, f"http://h{host}.example/{k}", h) for k, h in enumerate(pages)]
+        expected += deduced(pages)
+    found = {r.page_id: r.text for r in html.extracted(spark.createDataFrame(rows, PAGES).repartition(4)).collect()}
+    assert [found[k] for k in range(27)] == expected == whole
