@@ -1,10 +1,10 @@
 """Correlation of decisions with SIEM offenses, to find what triage missed.
 
-Three strategies, each a table (offense_id, log_id): an equal address (hash join on the exploded addresses), a source name
-that contains the other (a theta join over distinct names alone, then an equi-join), a time window (an equi-join on time
-buckets). The first strategy that looks at a log counts for an offense, even if its time or score then fails.
+Three strategies, each a table (offense_id, log_id), and each an equi-join on time buckets besides its own key: an equal address,
+a source name that contains the other (distinct names meet by their substrings first), or the time alone (salted). The first
+strategy that looks at a log counts for an offense, even if its time or score then fails.
 
-A hot address or source is a skewed join key: adaptive execution splits it, since both sides are plain joins.
+A hot address or source is a skewed join key in its bucket: adaptive execution splits it, since both sides are plain joins.
 """
 
 from __future__ import annotations
@@ -28,37 +28,55 @@ def score(strategy: Column) -> Column:
     return F.when(strategy == "time_window", 0.5).otherwise(F.least(base + bonus + F.col("severity") / 10 * 0.2, F.lit(1.0)))
 
 
-def by_ip(decisions: DataFrame, offenses: DataFrame) -> DataFrame:
-    addresses = offenses.select("*", F.explode(F.array_distinct("source_ips")).alias("source_ip"))
-    return addresses.join(decisions, "source_ip")
-
-
-def bucketed(decisions: DataFrame, offenses: DataFrame, width: int = (BEFORE + AFTER) * 60) -> tuple[DataFrame, DataFrame]:
+def bucketed(decisions: DataFrame, offenses: DataFrame, before: int = BEFORE, after: int = AFTER) -> tuple[DataFrame, DataFrame]:
     """Both with a time bucket as wide as the window; an offense has a row for its own bucket and each beside it."""
+    width = (before + after) * 60
     own = F.floor(F.unix_timestamp("start_time") / width)
     return decisions.withColumn("bucket", F.floor(F.unix_timestamp("event_ts") / width)), offenses.withColumn("bucket", F.explode(F.array(own - 1, own, own + 1)))
 
 
+def by_ip(decisions: DataFrame, offenses: DataFrame, before: int = BEFORE, after: int = AFTER) -> DataFrame:
+    """Pairs of one address in the window. An address' other history never meets its offenses."""
+    decisions, offenses = bucketed(decisions, offenses, before, after)
+    addresses = offenses.select("*", F.explode(F.array_distinct("source_ips")).alias("source_ip"))
+    return addresses.join(decisions, ["source_ip", "bucket"]).filter(in_window(before, after)).drop("bucket")
+
+
+def _substrings(names: DataFrame, name: str, to: str) -> DataFrame:
+    """names with a row for each distinct substring, the empty one included, of a name; in the number of distinct names, not of logs."""
+    every = f"flatten(transform(sequence(1, length({name})), i -> transform(sequence(1, length({name}) - i + 1), k -> substring({name}, i, k))))"
+    some = F.expr(f"CASE WHEN length({name}) > 0 THEN array_distinct({every}) ELSE array() END")
+    return names.withColumn(to, F.explode(F.concat(F.array(F.lit("")), some)))
+
+
+def containing(wanted: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows (log_source, source): names of wanted (log_source, name) and known (source, low) of which one contains the other."""
+    inner = _substrings(wanted, "name", "part").join(known.withColumnRenamed("low", "part"), "part")
+    outer = _substrings(known, "low", "part").join(wanted.withColumnRenamed("name", "part"), "part")
+    return inner.select("log_source", "source").unionByName(outer.select("log_source", "source")).distinct()
+
+
 def by_source(decisions: DataFrame, offenses: DataFrame) -> DataFrame:
-    """Pairs in the window. Distinct source names meet distinct offense names first; there are few of either."""
+    """Pairs in the window. Distinct source names meet distinct offense names first."""
     decisions, offenses = bucketed(decisions, offenses)
     named = offenses.select("*", F.explode(F.array_distinct("log_sources")).alias("log_source"))
     wanted = named.select("log_source").distinct().withColumn("name", F.replace(F.lower("log_source"), F.lit(" "), F.lit("_")))
-    known = decisions.select("source").distinct()
-    pairs = wanted.join(known, F.col("name").contains(F.lower("source")) | F.lower("source").contains(F.col("name"))).select("log_source", "source")
-    return named.join(pairs, "log_source").join(decisions, ["source", "bucket"]).filter(in_window()).drop("bucket").dropDuplicates(["offense_id", "log_id"])
+    known = decisions.select("source").distinct().withColumn("low", F.lower("source"))
+    return named.join(containing(wanted, known), "log_source").join(decisions, ["source", "bucket"]).filter(in_window()).drop("bucket").dropDuplicates(["offense_id", "log_id"])
 
 
-def by_time(decisions: DataFrame, offenses: DataFrame, least_severity: int = 7) -> DataFrame:
-    """Routine and noise in the window of a severe offense."""
+def by_time(decisions: DataFrame, offenses: DataFrame, least_severity: int = 7, salts: int = 16) -> DataFrame:
+    """Routine and noise in the window of a severe offense. A bucket's logs are dealt out by a salt, to each of which an offense is copied."""
     quiet, severe = bucketed(decisions.filter(F.col("category").isin("routine", "noise")), offenses.filter(F.col("severity") >= least_severity))
-    return severe.join(quiet, "bucket").filter(in_window()).drop("bucket")
+    quiet = quiet.withColumn("salt", F.pmod(F.xxhash64("log_id"), F.lit(salts)).cast("int"))
+    severe = severe.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return severe.join(quiet, ["bucket", "salt"]).filter(in_window()).drop("bucket", "salt")
 
 
 def correlated(decisions: DataFrame, offenses: DataFrame, least: float = LEAST) -> DataFrame:
     """Matches of all strategies, the window first, as it is the same for all: (offense_id, log_id, strategy, score, category, is_false_negative)."""
     columns = ["offense_id", "log_id", "event_ts", "start_time", "severity", "category"]
-    ip = by_ip(decisions, offenses).filter(in_window()).select(*columns).withColumn("strategy", F.lit("ip_match"))
+    ip = by_ip(decisions, offenses).select(*columns).withColumn("strategy", F.lit("ip_match"))
     source = by_source(decisions, offenses).select(*columns).withColumn("strategy", F.lit("source_match"))
     source = source.join(ip.select("offense_id", "log_id"), ["offense_id", "log_id"], "left_anti")
     checked = ip.select("offense_id", "log_id").unionByName(source.select("offense_id", "log_id"))

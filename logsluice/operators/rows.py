@@ -6,18 +6,56 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: percentile_approx looks at a table with ranks right to one in so many.
+ACCURACY = 200_000
+
+
 def shuffled_order(key: str, seed: int = 42) -> Column:
-    return F.xxhash64(F.col(key), F.lit(seed))
+    """The first 60 bits of an MD5 of key and seed: the same order in any engine."""
+    return F.conv(F.left(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)))), F.lit(15)), 16, 10).cast("long")
+
+
+def _ranked(df: DataFrame, value: str, shares: list[float], by: list[str]) -> DataFrame:
+    """Rows (by, share, n, value, below, upto): the group's size, and values around each share with the numbers of rows less, and no greater.
+
+    Two passes. The first bounds each share by approximate quantiles on either side (small groups: by least and greatest), the
+    second counts the rows below and ranks the distinct values in between, 5 / ACCURACY of a group at most.
+    """
+    near = [(s, max(0.0, s - 2 / ACCURACY), min(1.0, s + 2 / ACCURACY)) for s in shares]
+    kept = df.filter(F.col(value).isNotNull())
+    cuts = sorted({c for _, lo, hi in near for c in (lo, hi)})
+    found = kept.groupBy(*by).agg(F.count("*").alias("n"), F.min(value).alias("_a"), F.max(value).alias("_z"), F.percentile_approx(value, cuts, ACCURACY).alias("_q"))
+    few = F.col("n") <= ACCURACY
+    bound = lambda c, end: F.when(few, F.col(end)).otherwise(F.col("_q")[cuts.index(c)])
+    bounds = found.select(*by, "n", F.inline(F.array(*[F.struct(F.lit(s).alias("share"), bound(lo, "_a").alias("lo"), bound(hi, "_z").alias("hi")) for s, lo, hi in near])))
+    both = kept.select(*by, F.col(value).alias("value")).join(bounds, by) if by else kept.select(F.col(value).alias("value")).join(F.broadcast(bounds))  # a row for each share
+    both = both.filter("value <= hi").withColumn("value", F.when(F.col("value") >= F.col("lo"), F.col("value")))  # those below the bound count as one
+    counts = both.groupBy(*by, "share", "n", "value").agg(F.count("*").alias("k"))
+    upto = F.sum("k").over(Window.partitionBy(*by, "share").orderBy(F.asc_nulls_first("value")))
+    return counts.withColumn("upto", upto).withColumn("below", F.col("upto") - F.col("k")).filter("value IS NOT NULL").drop("k")
+
+
+def quantiles(df: DataFrame, value: str, shares: list[float], *by: str) -> DataFrame:
+    """Rows (by, share, quantile), exact, with linear interpolation between neighbours; nulls do not count."""
+    at = F.col("share") * (F.col("n") - 1)
+    own = lambda r: F.max(F.when((F.col("below") <= r) & (r < F.col("upto")), F.col("value").cast("double")))
+    ends = _ranked(df, value, shares, [*by]).groupBy(*by, "share", "n").agg(own(F.floor(at)).alias("_l"), own(F.ceil(at)).alias("_h"))
+    return ends.select(*by, "share", (F.col("_l") + (F.col("_h") - F.col("_l")) * (at - F.floor(at))).alias("quantile"))
 
 
 def stratified_split(df: DataFrame, key: str, label: str, shares: tuple[float, float] = (0.75, 0.10), seed: int = 42) -> DataFrame:
-    """df with split (train, val, test): within each label, the rows in hashed order are cut at the shares.
+    """df with split (train, val, test): within each label, rows in hashed order are cut at the shares, rounded down to whole rows.
 
-    The hash's low bits spread rows evenly, so cutting the hash itself at the shares needs no sort; a class of few rows may
-    be off by a few.
+    The hash at a cut is an order statistic of the label's hashes, so no class is sorted in one task. Rows of equal key stay together.
     """
-    place = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.col(label), F.lit(str(seed)))), 1, 8), 16, 10).cast("long"), F.lit(10_000)) / 10_000.0
-    return df.withColumn("split", F.when(place < shares[0], "train").when(place < sum(shares), "val").otherwise("test"))
+    hashed = df.withColumn("_h", shuffled_order(key, seed)).withColumn("_label", F.coalesce(F.col(label).cast("string"), F.lit("")))
+    ends = [shares[0], sum(shares)]
+    ranked = _ranked(hashed, "_h", ends, ["_label"])
+    rank = F.floor(F.col("share") * F.col("n") + 1e-9)
+    cuts = ranked.groupBy("_label").agg(*[F.max(F.when((F.col("share") == s) & (F.col("below") < rank) & (rank <= F.col("upto")), F.col("value"))).alias(f"_c{k}") for k, s in enumerate(ends)])
+    both = hashed.join(cuts, "_label", "left")  # a row for each label
+    split = F.when(F.col("_h") <= F.col("_c0"), "train").when(F.col("_h") <= F.col("_c1"), "val").otherwise("test")
+    return both.withColumn("split", split).drop("_h", "_label", "_c0", "_c1")
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
@@ -40,8 +78,8 @@ def shuffled(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
 
 
 def tail_fraction(df: DataFrame, order: str, share: float = 0.2) -> DataFrame:
-    """The last share of rows by a numeric order column: its exact quantile is one aggregate, so no global sort."""
-    cut = df.agg(F.percentile(order, F.lit(1 - share)).alias("_cut"))
+    """The last share of rows by a numeric order column: all beyond its exact quantile, so no global sort."""
+    cut = quantiles(df, order, [1 - share]).select(F.col("quantile").alias("_cut"))
     return df.join(F.broadcast(cut), F.col(order) > F.col("_cut")).drop("_cut")  # one row is broadcast
 
 

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,16 +15,18 @@ from ..functions import values
 Rule = tuple[str, str, float, list[str]]
 
 
-def usable(rules: list[Rule]) -> list[Rule]:
-    """The rules without patterns that are no valid regular expressions."""
+@lru_cache(4096)
+def valid(pattern: str) -> bool:
+    """Whether the engine that will run it takes the pattern: the JVM's."""
+    try:
+        SparkContext._active_spark_context._jvm.java.util.regex.Pattern.compile(pattern)
+    except Py4JJavaError:
+        return False
+    return True
 
-    def valid(pattern: str) -> bool:
-        try:
-            re.compile(pattern)
-        except re.error:
-            return False
-        return True
 
+def usable(rules: list[Rule]) -> list[Rule]:
+    """The rules without patterns that are no valid regular expressions."""
     return [(c, n, conf, good) for c, n, conf, patterns in rules if (good := [p for p in patterns if valid(p)])]
 
 
@@ -91,18 +96,17 @@ def with_compliance(df: DataFrame, source: Column, message: Column, rules: list
     """df with struct(is_regulated, matched_rules, frameworks, retention_days, must_forward, reason); arrays sorted and distinct.
 
     additional_sources: more source patterns by framework. A null source or message matches nothing. Which rules match is a
-    column of bits first, so that patterns are tried once.
+    column of its own first, so that patterns are tried once.
     """
-    more, bits = additional_sources or {}, F.lit(0)
+    more, hits = additional_sources or {}, []
     every = [] if not enabled else (rules if rules is not None else values.COMPLIANCE_RULES)
-    for k, (_, f, _, s, m) in enumerate(every):
-        hit = F.coalesce(any_of(source, [*s, *more.get(f, [])], low=F.col("_low_source")), F.lit(False)) | F.coalesce(any_of(message, m, low=F.col("_low")), F.lit(False))
-        bits = bits + F.when(hit, 1 << k).otherwise(0)
-    one = lambda k: F.col("_hits").bitwiseAND(1 << k) > 0
+    for _, f, _, s, m in every:
+        hits.append(F.coalesce(any_of(source, [*s, *more.get(f, [])], low=F.col("_low_source")), F.lit(False)) | F.coalesce(any_of(message, m, low=F.col("_low")), F.lit(False)))
+    one = lambda k: F.col("_hits")[k]
     listed = lambda i: F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(one(k), r[i]) for k, r in enumerate(every)])))) if every else F.array().cast("array<string>")
-    out = df.withColumns({"_low": F.lower(message), "_low_source": F.lower(source)}).withColumn("_hits", bits).withColumns({"_names": listed(0), "_frameworks": listed(1)})
+    out = df.withColumns({"_low": F.lower(message), "_low_source": F.lower(source)}).withColumn("_hits", F.array(*hits).cast("array<boolean>")).withColumns({"_names": listed(0), "_frameworks": listed(1)})
     days = F.greatest(F.lit(0), *[F.when(one(k), r[2]).otherwise(0) for k, r in enumerate(every)]) if every else F.lit(0)
-    regulated = F.col("_hits") > 0
+    regulated = F.array_contains("_hits", True) if every else F.lit(False)
     reason = F.when(regulated, F.concat(F.lit("Matched compliance rules: "), F.array_join("_names", ", "), F.lit(". Frameworks: "), F.array_join("_frameworks", ", ")))
     struct = F.struct(regulated.alias("is_regulated"), F.col("_names").alias("matched_rules"), F.col("_frameworks").alias("frameworks"), days.alias("retention_days"), regulated.alias("must_forward"), reason.alias("reason"))
     return out.withColumn(name, struct).drop("_hits", "_names", "_frameworks", "_low", "_low_source")

@@ -154,14 +154,14 @@ def offense_scan(spark, sf):
 @book.query("offense_events", on_logs("SELECT offense_id, log_id FROM offenses o JOIN decisions d ON d.source_ip = o.offense_ip AND d.event_ts BETWEEN o.start_time - INTERVAL 24 HOURS AND o.start_time QUALIFY row_number() OVER (PARTITION BY offense_id ORDER BY log_id DESC) <= 100", decided(), _OFF))
 def offense_events(spark, sf):
     d, o = _both(spark, sf)
-    near = correlate.by_ip(d, o).filter("event_ts BETWEEN start_time - INTERVAL 24 HOURS AND start_time")
+    near = correlate.by_ip(d, o, 24 * 60, 0)
     place = F.row_number().over(Window.partitionBy("offense_id").orderBy(F.desc("log_id")))
     return near.withColumn("_k", place).filter("_k <= 100").select("offense_id", "log_id")
 
 
 @book.query("correlate_ip", on_logs(f"SELECT offense_id, log_id FROM decisions d JOIN offenses o ON d.source_ip = o.offense_ip AND {_IN}", decided(), _OFF))
 def correlate_ip(spark, sf):
-    return correlate.by_ip(*_both(spark, sf)).filter(correlate.in_window()).select("offense_id", "log_id")
+    return correlate.by_ip(*_both(spark, sf)).select("offense_id", "log_id")
 
 
 @book.query("correlate_source", on_logs(f"SELECT offense_id, log_id FROM decisions d JOIN offenses o ON {_SRC} AND {_IN}", decided(), _OFF))

@@ -219,9 +219,10 @@ def batch_size_bucket(spark, sf):
 
 @book.query("latency_percentiles", "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, round(max(value), 6) AS most, round(avg(value), 6) AS mean FROM events GROUP BY 1")
 def latency_percentiles(spark, sf):
-    p = F.percentile("value", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    out = spark.read.parquet(f"{sf}/events.parquet").groupBy("event_type").agg(p.alias("p"), F.max("value").alias("most"), F.avg("value").alias("mean"))
-    return out.select("event_type", *[SIX(F.col("p")[k]).alias(n) for k, n in enumerate(("p50", "p95", "p99"))], SIX(F.col("most")).alias("most"), SIX(F.col("mean")).alias("mean"))
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    p = rows.quantiles(events, "value", [0.5, 0.95, 0.99], "event_type").groupBy("event_type").agg(*[F.max(F.when(F.col("share") == s, F.col("quantile"))).alias(n) for s, n in ((0.5, "p50"), (0.95, "p95"), (0.99, "p99"))])
+    out = events.groupBy("event_type").agg(F.max("value").alias("most"), F.avg("value").alias("mean")).join(p, "event_type")
+    return out.select("event_type", *[SIX(F.col(c)).alias(c) for c in ("p50", "p95", "p99", "most", "mean")])
 
 
 @book.query("confusion_matrix", on_logs("SELECT c AS expected_category, " + ", ".join(f"count(*) FILTER (expected_category = c AND category = '{c}') AS {c}" for c in CATS) + " FROM decisions, (SELECT unnest(['critical', 'suspicious', 'routine', 'noise']) AS c) GROUP BY 1", decided()))
@@ -295,12 +296,16 @@ def eps_reduction(spark, sf):
 
 
 # rows and sets
-@book.query("dataset_stats", on_logs("SELECT split, expected_category, count(*) AS n FROM (SELECT expected_category, CASE WHEN p < 0.75 THEN 'train' WHEN p < 0.85 THEN 'val' ELSE 'test' END AS split FROM (SELECT expected_category, (CAST('0x' || left(md5(log_id || '|' || expected_category || '|42'), 8) AS BIGINT) % 10000) / 10000.0 AS p FROM logs)) GROUP BY CUBE (split, expected_category)"))
+#: Within each class, rows in the order of a hash: three quarters to train on, a tenth to stop by, the rest to test.
+_SPLIT = "split AS (SELECT log_id, expected_category, CASE WHEN k <= floor(0.75 * n + 1e-9) THEN 'train' WHEN k <= floor(0.85 * n + 1e-9) THEN 'val' ELSE 'test' END AS split FROM (SELECT log_id, expected_category, row_number() OVER (PARTITION BY expected_category ORDER BY left(md5(log_id || '|42'), 15)) AS k, count(*) OVER (PARTITION BY expected_category) AS n FROM logs))"
+
+
+@book.query("dataset_stats", on_logs("SELECT split, expected_category, count(*) AS n FROM split GROUP BY CUBE (split, expected_category)", _SPLIT))
 def dataset_stats(spark, sf):
     return rows.stratified_split(views.logs(spark, sf), "log_id", "expected_category").cube("split", "expected_category").agg(F.count("*").alias("n"))
 
 
-@book.query("stratified_split", on_logs("SELECT log_id, CASE WHEN p < 0.75 THEN 'train' WHEN p < 0.85 THEN 'val' ELSE 'test' END AS split FROM (SELECT log_id, (CAST('0x' || left(md5(log_id || '|' || expected_category || '|42'), 8) AS BIGINT) % 10000) / 10000.0 AS p FROM logs)"))
+@book.query("stratified_split", on_logs("SELECT log_id, split FROM split", _SPLIT))
 def stratified_split(spark, sf):
     return rows.stratified_split(views.logs(spark, sf), "log_id", "expected_category").select("log_id", "split")
 
@@ -327,8 +332,9 @@ def standard_scale(spark, sf):
 
 @book.query("anomaly_train_stats", on_scored("SELECT round(avg(s), 6) AS mean, round(stddev_pop(s), 6) AS std, round(quantile_cont(s, 0.1), 6) AS p10 FROM (SELECT CAST(anomaly_score AS DOUBLE) AS s FROM scored WHERE expected_category IN ('routine', 'noise'))"))
 def anomaly_train_stats(spark, sf):
-    s = F.col("anomaly_score").cast("double")
-    return views.scored(spark, sf).filter(F.col("expected_category").isin("routine", "noise")).agg(SIX(F.avg(s)).alias("mean"), SIX(F.stddev_pop(s)).alias("std"), SIX(F.percentile(s, F.lit(0.1))).alias("p10"))
+    usual = views.scored(spark, sf).filter(F.col("expected_category").isin("routine", "noise")).select(F.col("anomaly_score").cast("double").alias("s"))
+    out = metrics.beside(usual.agg(F.avg("s").alias("mean"), F.stddev_pop("s").alias("std")), rows.quantiles(usual, "s", [0.1]).select(F.col("quantile").alias("p10")))
+    return out.select(*[SIX(F.col(c)).alias(c) for c in ("mean", "std", "p10")])
 
 
 _TERMS = "tokens AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM tokens GROUP BY ALL), n AS (SELECT count(*) AS n FROM documents), terms AS (SELECT term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY 1), kept AS (SELECT term, df FROM terms, n WHERE df >= 2 AND df <= n.n * 0.95 ORDER BY total DESC, term LIMIT 10000), scores AS (SELECT doc_id, term, tf.tf, df, (1 + ln(tf.tf)) * (ln((1 + n.n) / (1 + df)) + 1) AS score FROM tf JOIN kept USING (term), n)"
@@ -352,12 +358,15 @@ def topk_errors(spark, sf):
     return rows.top(wrong, 5, "log_id")
 
 
-@book.query("seeded_sample")
+_HASHED = "left(md5(log_id || '|42'), 15)"
+
+
+@book.query("seeded_sample", on_logs(f"SELECT log_id, message FROM logs ORDER BY {_HASHED}, log_id LIMIT 500"))
 def seeded_sample(spark, sf):
     return rows.seeded_sample(views.logs(spark, sf).select("log_id", "message"), "log_id", 500)
 
 
-@book.query("shuffle_rows")
+@book.query("shuffle_rows", on_logs("SELECT log_id, message FROM logs"))
 def shuffle_rows(spark, sf):
     return rows.shuffled(views.logs(spark, sf).select("log_id", "message"), "log_id")
 
