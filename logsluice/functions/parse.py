@@ -119,6 +119,19 @@ def parsed(logs: DataFrame, raw: str = "raw_message") -> DataFrame:
     return out.withColumn("parsed_message", message).drop("_line", "_attributes", "_ips", "_known")
 
 
+def metadata(raw: str = "raw_message") -> dict[str, Column]:
+    """Of parsed logs: the format, whether a time or an address was found, and severity, facility, vendor and product where the format has them."""
+    of = lambda k: F.when(F.col("format") == "json", F.get_json_object(raw, f"$.{k}"))
+    syslog = lambda k: F.coalesce(F.col(f"as_syslog_rfc5424.{k}"), F.col(f"as_syslog_rfc3164.{k}"))
+    found = F.coalesce(syslog("timestamp"), F.col("as_generic.timestamp"), of("timestamp")).isNotNull()
+    return {
+        "log_format": F.col("format"), "has_timestamp": found, "has_ip": F.coalesce(F.col("as_generic.source_ip"), of("source_ip"), of("ip_addresses")).isNotNull(),
+        "severity": F.coalesce(F.col("as_cef.cef_severity"), syslog("syslog_severity").cast("string"), of("severity")),
+        "facility": F.coalesce(syslog("facility").cast("string"), of("facility")),
+        "vendor": F.coalesce(F.col("as_leef.vendor"), F.col("as_cef.vendor"), of("vendor")), "product": F.coalesce(F.col("as_leef.product"), F.col("as_cef.product"), of("product")),
+    }
+
+
 def of_format(logs: DataFrame, name: str, *keep: str) -> DataFrame:
     """The lines of one format, as its columns."""
     return parsed(logs).filter(F.col("format") == name).select(*keep, f"as_{name}.*")

@@ -7,6 +7,7 @@ from functools import lru_cache
 
 from py4j.protocol import Py4JJavaError
 from pyspark import SparkContext
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +21,7 @@ def valid(pattern: str) -> bool:
     """Whether the engine that will run it takes the pattern: the JVM's."""
     try:
         SparkContext._active_spark_context._jvm.java.util.regex.Pattern.compile(pattern)
-    except Py4JJavaError:
+    except (Py4JJavaError, PySparkException):
         return False
     return True
 

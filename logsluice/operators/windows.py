@@ -13,14 +13,15 @@ from ..functions import values
 
 
 def metric_series(logs: DataFrame) -> DataFrame:
-    """(metric_name, ts, value) a minute: error_rate, eps, failed_login_rate, unique_ips_per_minute."""
+    """(metric_name, ts, value) a minute: error_rate, eps, failed_login_rate, processing_latency_ms (the mean), unique_ips_per_minute."""
     minute = logs.groupBy(F.date_trunc("minute", "event_ts").alias("ts")).agg(
         (F.count_if(F.col("expected_category").isin("critical", "suspicious")) / F.count("*")).alias("error_rate"),
         (F.count("*") / 60.0).alias("eps"),
         F.count_if(F.col("message").rlike("(?i)failed.*(login|auth)")).cast("double").alias("failed_login_rate"),
+        F.avg("latency_ms").alias("processing_latency_ms"),
         F.count_distinct("source_ip").cast("double").alias("unique_ips_per_minute"),
     )
-    return minute.unpivot("ts", ["error_rate", "eps", "failed_login_rate", "unique_ips_per_minute"], "metric_name", "value")
+    return minute.unpivot("ts", ["error_rate", "eps", "failed_login_rate", "processing_latency_ms", "unique_ips_per_minute"], "metric_name", "value")
 
 
 def spc(series: DataFrame, size: int = 100, sigma: float = 3.0, least: int = 30, warmup: int = values.SPC_WARMUP) -> DataFrame:

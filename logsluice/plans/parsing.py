@@ -64,17 +64,23 @@ def log_dir_source(spark, sf):
     return files.log_directory(spark, path).select("message", F.element_at(F.split("source_file", "\\."), -1).alias("kind"))
 
 
-@book.query("kafka_log_source")
+@book.query("kafka_log_source", on_logs("SELECT raw_message, 'logs' AS topic, CAST(log_id % 4 AS INTEGER) AS partition, log_id AS offset, CASE WHEN log_id % 3 = 0 THEN source END AS key FROM logs"))
 def kafka_log_source(spark, sf):
-    """The decoded source on files in Kafka's schema, as the connector may be absent."""
-    return kafka.raw_envelope(records(spark, sf))
+    """The decoded source as a stream over files in Kafka's schema, as the connector may be absent."""
+    from ..streaming import jobs
 
+    rows = records(spark, sf).withColumn("at", F.timestamp_millis("timestamp_ms"))
+    decoded = kafka.raw_envelope(jobs.replayed(rows, "at")).filter("raw_message IS NOT NULL")
+    return jobs.finished(decoded, "kafka-source").select("raw_message", "topic", "partition", "offset", "key")
 
-@book.query("kafka_classified_sink", on_logs("SELECT 'classified' AS topic, source AS key, log_id, category, round(confidence, 6) AS confidence FROM decisions", decided()))
+
+@book.query("kafka_classified_sink", on_logs("SELECT 'classified' AS topic, source AS key, log_id, category, round(confidence, 6) AS confidence, CASE WHEN rule IS NULL THEN 'schema=1' ELSE 'schema=1,rule=' || rule END AS headers FROM decisions", decided()))
 def kafka_classified_sink(spark, sf):
-    out = kafka.as_records(views.decisions(spark, sf).select("log_id", "message", "category", "confidence", "source"), "classified", "source")
+    rows = views.decisions(spark, sf).select("log_id", "message", "category", "confidence", "source", "rule")
+    out = kafka.as_records(rows, "classified", "source", {"schema": "1", "rule": F.col("rule")})
     body = F.from_json("value", "log_id long, category string, confidence double")
-    return out.select("topic", "key", body.alias("b")).select("topic", "key", "b.log_id", "b.category", F.round("b.confidence", 6).alias("confidence"))
+    headers = F.array_join(F.transform("headers", lambda h: F.concat(h["key"], F.lit("="), h["value"].cast("string"))), ",")
+    return out.select("topic", "key", body.alias("b"), headers.alias("headers")).select("topic", "key", "b.log_id", "b.category", F.round("b.confidence", 6).alias("confidence"), "headers")
 
 
 @book.query("cold_storage_sink", on_logs("SELECT year(event_ts) AS year, month(event_ts) AS month, day(event_ts) AS day, category, count(*) AS n, sum(log_id) AS ids FROM decisions GROUP BY ALL", decided()))
@@ -224,12 +230,29 @@ def log_template(spark, sf):
 _COUNT = lambda pattern, column="text": f"len(regexp_extract_all({column}, '{pattern}'))"
 
 
-@book.query("log_features", f"SELECT doc_id, md5(left(text, 512)) AS message, length(text) AS message_length, {_COUNT('[^ \\t\\n\\r\\f\\v]+')} AS word_count, {_COUNT(r'\\p{Nd}')} AS digit_count, {_COUNT('[^\\p{L}\\p{N} \\t\\n\\r\\f\\v]')} AS special_char_count, round({_COUNT(r'\\p{Lu}')} / greatest(length(text), 1), 6) AS uppercase_ratio, regexp_matches(text, '\\b(error|fail|exception)\\b', 'i') AS has_error, regexp_matches(text, '\\b(warn|warning|alert)\\b', 'i') AS has_warning, regexp_matches(text, '\\b(auth|login|password|credential)\\b', 'i') AS has_auth, regexp_matches(text, '\\b(connection|port|socket|tcp|udp)\\b', 'i') AS has_network FROM documents".replace("\\\\p", "\\p"))
-def log_features(spark, sf):
+@book.query("log_features_text", f"SELECT doc_id, md5(left(text, 512)) AS message, length(text) AS message_length, {_COUNT('[^ \\t\\n\\r\\f\\v]+')} AS word_count, {_COUNT(r'\\p{Nd}')} AS digit_count, {_COUNT('[^\\p{L}\\p{N} \\t\\n\\r\\f\\v]')} AS special_char_count, round({_COUNT(r'\\p{Lu}')} / greatest(length(text), 1), 6) AS uppercase_ratio, regexp_matches(text, '\\b(error|fail|exception)\\b', 'i') AS has_error, regexp_matches(text, '\\b(warn|warning|alert)\\b', 'i') AS has_warning, regexp_matches(text, '\\b(auth|login|password|credential)\\b', 'i') AS has_auth, regexp_matches(text, '\\b(connection|port|socket|tcp|udp)\\b', 'i') AS has_network FROM documents".replace("\\\\p", "\\p"))
+def log_features_text(spark, sf):
     out = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", *[c.alias(n) for n, c in text.log_features(F.col("text")).items()])
     return out.withColumns({"uppercase_ratio": F.round("uppercase_ratio", 6), "message": F.md5("message")})
 
 
+_BASE = f"length(text) AS message_length, {_COUNT('[^ \\t\\n\\r\\f\\v]+')} AS word_count, {_COUNT('[0-9]')} AS digit_count, {_COUNT('[^A-Za-z0-9 \\t\\n\\r\\f\\v]')} AS special_char_count, round({_COUNT('[A-Z]')} / greatest(length(text), 1), 6) AS uppercase_ratio"
+_HAS = ", ".join(f"regexp_matches(text, '\\b({terms})\\b', 'i') AS has_{name}" for name, terms in (("error", "error|fail|exception"), ("warning", "warn|warning|alert"), ("auth", "auth|login|password|credential"), ("network", "connection|port|socket|tcp|udp")))
+_META = r"""log_format, log_format IN ('syslog_rfc5424', 'syslog_rfc3164') OR log_format = 'generic' AND regexp_matches(raw_message, '\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}') AS has_timestamp,
+ log_format = 'generic' AND regexp_matches(raw_message, '\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b') AS has_ip,
+ CASE WHEN log_format = 'cef' THEN split_part(raw_message, '|', 7) WHEN log_format LIKE 'syslog%' THEN CAST(CAST(regexp_extract(raw_message, '^<(\d+)>', 1) AS INTEGER) % 8 AS VARCHAR) END AS severity,
+ CASE WHEN log_format LIKE 'syslog%' THEN CAST(CAST(regexp_extract(raw_message, '^<(\d+)>', 1) AS INTEGER) // 8 AS VARCHAR) END AS facility,
+ CASE WHEN log_format IN ('leef', 'cef') THEN split_part(raw_message, '|', 2) END AS vendor, CASE WHEN log_format IN ('leef', 'cef') THEN split_part(raw_message, '|', 3) END AS product"""
+
+
+@book.query("log_features", on_logs(f"SELECT log_id, left(text, 512) AS message, {_BASE}, {_HAS}, {_META} FROM texts", f"texts AS (SELECT *, {_FORMAT} AS log_format, CASE WHEN log_id % 6 = 5 THEN raw_message ELSE message END AS text FROM logs)"))
+def log_features(spark, sf):
+    """Features of the parsed message, with what its format told."""
+    rows = parse.parsed(views.logs(spark, sf))
+    out = rows.select("log_id", *[c.alias(n) for n, c in text.log_features(F.col("parsed_message")).items()], *[c.alias(n) for n, c in parse.metadata().items()])
+    return out.withColumn("uppercase_ratio", F.round("uppercase_ratio", 6))
+
+
 def _anomaly(last: str, terms: str) -> str:
     ratio = lambda p: f"round({_COUNT(p, 'message')} / greatest(length(message), 1), 6)"
     return rf"SELECT log_id, length(message) AS message_length, {_COUNT('[^ ]+', 'message')} AS word_count, {ratio('[0-9]')} AS digit_ratio, {ratio('[^A-Za-z0-9 ]')} AS special_char_ratio, {ratio('[A-Z]')} AS uppercase_ratio, CAST(regexp_matches(message, '\b({terms})\b', 'i') AS INTEGER) AS has_error_keyword, CAST(regexp_matches(message, '\b\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}\b') AS INTEGER) AS has_ip_address, {last} FROM logs"

@@ -14,8 +14,8 @@ from .book import Book, decided, on_logs
 
 book = Book()
 SIX = lambda c: F.round(c, 6)
-_SERIES = """minutes AS (SELECT date_trunc('minute', event_ts) AS ts, count(*) FILTER (expected_category IN ('critical', 'suspicious')) / count(*) AS error_rate, count(*) / 60.0 AS eps, CAST(count(*) FILTER (regexp_matches(message, 'failed.*(login|auth)', 'i')) AS DOUBLE) AS failed_login_rate, CAST(count(DISTINCT source_ip) AS DOUBLE) AS unique_ips_per_minute FROM logs GROUP BY 1),
-series AS (SELECT 'error_rate' AS metric_name, ts, error_rate AS value FROM minutes UNION ALL SELECT 'eps', ts, eps FROM minutes UNION ALL SELECT 'failed_login_rate', ts, failed_login_rate FROM minutes UNION ALL SELECT 'unique_ips_per_minute', ts, unique_ips_per_minute FROM minutes)"""
+_SERIES = """minutes AS (SELECT date_trunc('minute', event_ts) AS ts, count(*) FILTER (expected_category IN ('critical', 'suspicious')) / count(*) AS error_rate, count(*) / 60.0 AS eps, CAST(count(*) FILTER (regexp_matches(message, 'failed.*(login|auth)', 'i')) AS DOUBLE) AS failed_login_rate, CAST(count(DISTINCT source_ip) AS DOUBLE) AS unique_ips_per_minute, avg(latency_ms) AS processing_latency_ms FROM logs GROUP BY 1),
+series AS (SELECT 'error_rate' AS metric_name, ts, error_rate AS value FROM minutes UNION ALL SELECT 'eps', ts, eps FROM minutes UNION ALL SELECT 'failed_login_rate', ts, failed_login_rate FROM minutes UNION ALL SELECT 'processing_latency_ms', ts, processing_latency_ms FROM minutes UNION ALL SELECT 'unique_ips_per_minute', ts, unique_ips_per_minute FROM minutes)"""
 
 
 def _chart(size: int, sigma: float, least: int, of: str = "series") -> str:
@@ -41,7 +41,7 @@ def spc_rolling(spark, sf):
     return out.select("metric_name", F.unix_timestamp("ts").alias("at"), "value", "n", F.round("mean", 5).alias("mean"), F.round("std", 5).alias("std"), F.round("z", 4).alias("z"))
 
 
-@book.query("spc_presets", on_logs(" UNION ALL ".join(f"SELECT metric_name, count(*) AS n, count(*) FILTER (z > {s} + 1e-6) AS upper, round(avg(mean), 4) AS mean FROM ({_chart(n, s, m)}) WHERE metric_name = '{k}' GROUP BY 1" for k, n, s, m in values.SPC_PRESETS if k != "processing_latency_ms"), _SERIES))
+@book.query("spc_presets", on_logs(" UNION ALL ".join(f"SELECT metric_name, count(*) AS n, count(*) FILTER (z > {s} + 1e-6) AS upper, round(avg(mean), 4) AS mean FROM ({_chart(n, s, m)}) WHERE metric_name = '{k}' GROUP BY 1" for k, n, s, m in values.SPC_PRESETS), _SERIES))
 def spc_presets(spark, sf):
     out = windows.spc_presets(_series(spark, sf))
     limit = F.lit(3.0)
@@ -114,10 +114,18 @@ def eps_avg60(spark, sf):
     return s.select(F.unix_timestamp("ts").alias("at"), F.round(windows.trailing_mean("before", 60, "ts"), 4).alias("before"), F.round(windows.trailing_mean("after", 60, "ts"), 4).alias("after"))
 
 
-@book.query("cost_report", on_logs("SELECT round(b, 2) AS avg_eps_before, round(a, 2) AS avg_eps_after, round((b - a) * 100 / b, 2) AS reduction_percent, round(annual / 365, 2) AS daily, round(annual, 2) AS annual, CAST(CASE WHEN annual > 0 THEN floor(60000 / (annual / 365)) ELSE 0 END AS BIGINT) AS days_to_break_even FROM (SELECT *, CASE WHEN " + _TIER.format("a") + " <> 'standard' THEN 450000 - CAST(" + _COST.format(_TIER.format("a")) + " AS DOUBLE) ELSE (b - a) * 30 END AS annual FROM (SELECT avg(CAST(before AS DOUBLE)) AS b, avg(CAST(after AS DOUBLE)) AS a FROM (SELECT * FROM rates ORDER BY ts DESC LIMIT 60)))", decided(), _RATES))
+_REPORT = (
+    "recent AS (SELECT avg(CAST(before AS DOUBLE)) AS b, avg(CAST(after AS DOUBLE)) AS a FROM (SELECT * FROM rates ORDER BY ts DESC LIMIT 60))",
+    "yearly AS (SELECT *, " + _TIER.format("a") + " AS tier, CASE WHEN " + _TIER.format("a") + " <> 'standard' THEN 450000 - CAST(" + _COST.format(_TIER.format("a")) + " AS DOUBLE) ELSE (b - a) * 30 END AS annual FROM recent)",
+    "whole AS (SELECT date_diff('day', CAST(min(ts) AS DATE), CAST(max(ts) AS DATE)) AS days, sum(CAST(annual AS DOUBLE) / 8760) AS cumulative FROM saved)",
+    "known AS (SELECT *, CASE WHEN annual > 0 THEN CAST(floor(60000 / (annual / 365)) AS BIGINT) ELSE 0 END AS even FROM yearly, whole)",
+)
+
+
+@book.query("cost_report", on_logs("SELECT 'standard' AS current_tier, tier AS potential_tier, days AS days_running, round(b, 2) AS avg_eps_before, round(a, 2) AS avg_eps_after, round((b - a) * 100 / b, 2) AS reduction_percent, round((b - a) * 86400, 0) AS filtered_daily, round((b - a) * 30 * 86400, 0) AS filtered_monthly, round(annual / 365, 2) AS daily, round(annual / 12, 2) AS monthly, round(annual, 2) AS annual, even AS days_to_break_even, greatest(0, even - days) AS days_remaining, round((cumulative - 60000) / 60000 * 100, 2) AS roi_percent, round(cumulative - 60000, 2) AS net_savings FROM known", *_R, *_REPORT))
 def cost_report(spark, sf):
     s = views.eps_series(spark, sf).withColumns({c: F.col(c).cast("double") for c in ("before", "after")})
-    return cost.report(s).select("avg_eps_before", "avg_eps_after", "reduction_percent", "daily", "annual", "days_to_break_even")
+    return cost.report(s)
 
 
 @book.query("circuit_state_runs", on_logs("SELECT s AS \"at\", failed, failures, failed AND failures >= 5 AS open FROM (SELECT s, failed, sum(CASE WHEN failed THEN 1 ELSE 0 END) OVER (PARTITION BY run ORDER BY s) AS failures FROM (SELECT s, failed, sum(CASE WHEN failed THEN 0 ELSE 1 END) OVER (ORDER BY s) AS run FROM (SELECT CAST(floor(epoch(date_trunc('hour', event_ts))) AS BIGINT) AS s, count(*) FILTER (event_type = 'error') >= 2 AS failed FROM logs GROUP BY 1)))"))
@@ -271,13 +279,16 @@ def alert_rules(spark, sf):
 
 
 # streams
-@book.query("stream_triage", on_logs("SELECT destination, count(*) AS n FROM (SELECT category FROM checked) JOIN routes USING (category) GROUP BY 1", decided().replace("(message,", "(parsed,").replace("FROM logs)", "FROM (SELECT *, CASE WHEN log_id % 6 = 5 THEN raw_message ELSE message END AS parsed FROM logs))"), "checked AS (SELECT CASE WHEN user_id % 20 < 4 OR message LIKE '%credit_card%' THEN 'critical' WHEN category IN ('critical', 'suspicious', 'noise') OR confidence > 0.5 THEN category ELSE 'routine' END AS category FROM decisions)", "routes AS (SELECT * FROM (VALUES ('critical', 'qradar'), ('critical', 'cold_storage'), ('suspicious', 'qradar'), ('suspicious', 'cold_storage'), ('routine', 'cold_storage'), ('noise', 'summary'), ('noise', 'cold_storage')) r(category, destination))"))
+_TRIAGED = (decided().replace("(message,", "(parsed,").replace("FROM logs)", "FROM (SELECT *, CASE WHEN log_id % 6 = 5 THEN raw_message ELSE message END AS parsed FROM logs))"), "checked AS (SELECT CASE WHEN user_id % 20 < 4 OR message LIKE '%credit_card%' THEN 'critical' WHEN category IN ('critical', 'suspicious', 'noise') OR confidence > 0.5 THEN category ELSE 'routine' END AS category FROM decisions)", "routes AS (SELECT * FROM (VALUES ('critical', 'qradar'), ('critical', 'cold_storage'), ('suspicious', 'qradar'), ('suspicious', 'cold_storage'), ('routine', 'cold_storage'), ('noise', 'summary'), ('noise', 'cold_storage')) r(category, destination))")
+
+
+@book.query("stream_triage", on_logs("SELECT destination, count(*) AS n FROM (SELECT category FROM checked) JOIN routes USING (category) GROUP BY 1", *_TRIAGED))
 def stream_triage(spark, sf):
     stream = jobs.replayed(views.logs(spark, sf)).filter("log_id IS NOT NULL")
     return jobs.finished(jobs.triage(stream), "triage").groupBy("destination").agg(F.count("*").alias("n"))
 
 
-@book.query("stream_multi_sink")
+@book.query("stream_multi_sink", on_logs("SELECT destination, category, count(*) AS n FROM (SELECT category FROM checked) JOIN routes USING (category) GROUP BY ALL", *_TRIAGED))
 def stream_multi_sink(spark, sf):
     folder = scratch(spark, "sinks")
     routed = jobs.triage(jobs.replayed(views.logs(spark, sf)).filter("log_id IS NOT NULL"))
@@ -290,7 +301,7 @@ def stream_multi_sink(spark, sf):
     return out.groupBy("destination", "category").agg(F.count("*").alias("n"))
 
 
-@book.query("batch_callbacks")
+@book.query("batch_callbacks", on_logs("SELECT log_id, message FROM logs WHERE expected_category = 'critical'"))
 def batch_callbacks(spark, sf):
     """Every batch's misses go to a function that the caller gives; here it appends them to a table."""
     path = scratch(spark, "misses")
@@ -315,11 +326,16 @@ def stream_spc(spark, sf):
     return out.select("metric_name", F.unix_timestamp("ts").alias("at"), "value", "n", F.round("mean", 5).alias("mean"))
 
 
-@book.query("stream_correlate", on_logs(f"SELECT offense_id, log_id FROM decisions d JOIN offenses o ON d.source_ip = o.offense_ip AND {_IN}", decided(), _OFF))
+@book.query("stream_correlate", on_logs(f"SELECT offense_id, log_id, 'ip_match' AS strategy FROM decisions d JOIN offenses o ON d.source_ip = o.offense_ip AND {_IN} UNION ALL SELECT offense_id, log_id, 'source_match' FROM decisions d JOIN offenses o ON {_SRC} AND {_IN}", decided(), _OFF))
 def stream_correlate(spark, sf):
+    """Both strategies: addresses as a join of two streams, source names batch by batch against the decisions table."""
     d, o = _both(spark, sf)
-    out = jobs.correlated(jobs.replayed(d.select("log_id", "event_ts", "source_ip", "category"), files_a_batch=100), jobs.replayed(o, "start_time", 100))
-    return jobs.finished(out.select("offense_id", "log_id"), "correlate")
+    ip = jobs.correlated(jobs.replayed(d.select("log_id", "event_ts", "source_ip", "category"), files_a_batch=100), jobs.replayed(o, "start_time", 100))
+    ip = jobs.finished(ip.select("offense_id", "log_id"), "correlate").withColumn("strategy", F.lit("ip_match"))
+    path = scratch(spark, "by-source")
+    jobs.in_batches(jobs.replayed(o, "start_time").filter("offense_id IS NOT NULL"), "offenses", jobs.by_source_against(d, path))
+    source = spark.read.schema("offense_id long, log_id long").parquet(path).select("offense_id", "log_id", F.lit("source_match").alias("strategy"))
+    return ip.unionByName(source)
 
 
 @book.query("stream_pending_timeout", on_logs("SELECT CASE WHEN log_id % 3 = 0 THEN 'timeout' ELSE 'outcome' END AS state, count(*) AS n FROM decisions GROUP BY 1", decided()))

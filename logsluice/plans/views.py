@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import rules
 
 LOGS = """
-SELECT log_id, event_ts, user_id, source, source_ip, expected_category, event_type, message,
+SELECT log_id, event_ts, user_id, source, source_ip, expected_category, event_type, message, latency_ms,
   CASE log_id % 6
     WHEN 0 THEN 'LEEF:2.0|IBM|QRadar|7.5|' || upper(event_type) || '|src=' || source_ip || chr(9) || 'sev=7' || chr(9) || 'msg="' || message || '"'
     WHEN 1 THEN 'CEF:0|Security|IDS|1.0|' || cast(100 + log_id % 9 AS string) || '|' || message || '|' || cast(log_id % 11 AS string) || '|src=' || source_ip || ' dst=10.0.0.5'
@@ -18,7 +18,7 @@ SELECT log_id, event_ts, user_id, source, source_ip, expected_category, event_ty
     ELSE '2024-01-05 12:34:56 WARN ' || message || ' to 10.0.0.9'
   END AS raw_message
 FROM (
-  SELECT event_id AS log_id, ts AS event_ts, user_id, event_type,
+  SELECT event_id AS log_id, ts AS event_ts, user_id, event_type, value AS latency_ms,
     '10.' || cast(user_id % 200 AS string) || '.0.' || cast(event_id % 250 AS string) AS source_ip,
     CASE user_id % 20 WHEN 0 THEN 'pci_payment_gateway' WHEN 1 THEN 'ehr_records' WHEN 2 THEN 'financial_ledger' WHEN 3 THEN 'gdpr_portal'
       ELSE CASE user_id % 4 WHEN 0 THEN 'firewall-01' WHEN 1 THEN 'ids-sensor' WHEN 2 THEN 'app-server-01' ELSE 'load-balancer' END END AS source,

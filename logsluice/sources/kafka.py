@@ -46,12 +46,23 @@ def bad_envelopes(records: DataFrame) -> DataFrame:
     return records.filter(_bad(F.col("raw_message")))
 
 
-def as_records(logs: DataFrame, topic: str, key: str | None = None) -> DataFrame:
-    """(topic, key, value): each row as JSON."""
+def as_records(logs: DataFrame, topic: str, key: str | None = None, headers: dict[str, Column | str] | None = None) -> DataFrame:
+    """(topic, key, value, headers): each row as JSON. A header is a text or a column; one that is null is left out."""
     value = F.to_json(F.struct(*logs.columns))
-    return logs.select(F.lit(topic).alias("topic"), (F.col(key).cast("string") if key else F.lit(None).cast("string")).alias("key"), value.alias("value"))
+    pairs = [F.struct(F.lit(k).alias("key"), (v if isinstance(v, Column) else F.lit(v)).cast("string").cast("binary").alias("value")) for k, v in (headers or {}).items()]
+    kind = "array<struct<key:string,value:binary>>"
+    given = F.filter(F.array(*pairs).cast(kind), lambda h: h["value"].isNotNull()) if pairs else F.array().cast(kind)
+    return logs.select(F.lit(topic).alias("topic"), (F.col(key).cast("string") if key else F.lit(None).cast("string")).alias("key"), value.alias("value"), given.alias("headers"))
+
+
+def _sink(servers: str, options: dict[str, str]) -> dict[str, str]:
+    return {"kafka.bootstrap.servers": servers, "kafka.acks": "all", "kafka.compression.type": "gzip", "kafka.enable.idempotence": "true", "includeHeaders": "true"} | options
 
 
 def write(records: DataFrame, servers: str, **options: str) -> None:
-    known = {"kafka.bootstrap.servers": servers, "kafka.acks": "all", "kafka.compression.type": "gzip", "kafka.enable.idempotence": "true"}
-    records.write.format("kafka").options(**known | options).save()
+    records.write.format("kafka").options(**_sink(servers, options)).save()
+
+
+def write_stream(records: DataFrame, servers: str, checkpoint: str, **options: str):
+    """The records of a stream to their topics; the query, started."""
+    return records.writeStream.format("kafka").options(**_sink(servers, options)).option("checkpointLocation", checkpoint).start()

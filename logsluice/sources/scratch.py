@@ -11,9 +11,11 @@ _own: str | None = None
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the session's checkpoint folder; below one of our own where it names none."""
+    """A new folder below the session's checkpoint folder; on one machine below one of our own where it names none."""
     global _own
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         top = _own = _own or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{top.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"

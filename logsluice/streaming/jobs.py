@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import text, values
-from ..operators import ensemble
+from ..operators import correlate, ensemble
 from ..sources.scratch import folder as _place
 
 LATE, LATE_DECISIONS = "10 minutes", "24 hours"
@@ -110,6 +110,17 @@ def correlated(decisions: DataFrame, offenses: DataFrame, before: int = 60, afte
     return d.join(o, near)
 
 
+def by_source_against(decisions: DataFrame, folder: str) -> Callable[[DataFrame, int], None]:
+    """A batch function for a stream of offenses: pairs with decisions of a like source name (no equality, so no stream join), by batch,
+    so that a replayed batch replaces itself."""
+
+    def each(offenses: DataFrame, number: int) -> None:
+        found = correlate.by_source(decisions, offenses)
+        found.select("offense_id", "log_id").write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    return each
+
+
 def with_outcome(decisions: DataFrame, outcomes: DataFrame, hours: int = 24) -> DataFrame:
     """Decisions with the outcome that came within the hours, or none once that time has passed: a left outer interval join."""
     d = decisions.withWatermark("event_ts", LATE)

@@ -4,7 +4,7 @@ import datetime as dt
 
 import pytest
 from logsluice.functions import parse, text, values
-from logsluice.operators import cost, ensemble, leef, metrics, ml, registry, rows, rules, windows
+from logsluice.operators import correlate, cost, ensemble, leef, metrics, ml, registry, rows, rules, windows
 from logsluice.sources import files, kafka
 from pyspark.sql import functions as F
 
@@ -133,10 +133,12 @@ def test_sources(spark, tmp_path):
 def test_rows_and_models(spark):
     df = spark.range(3000).withColumns({"label": F.when(F.col("id") % 10 == 0, "critical").otherwise("noise"), "x": F.col("id") % 7})
     shares = {(r.label, r.split): r["count"] for r in rows.stratified_split(df, "id", "label").groupBy("label", "split").count().collect()}
-    assert 0.7 < shares["noise", "train"] / 2700 < 0.8 and 0.6 < shares["critical", "train"] / 300 < 0.9
+    assert shares == {("noise", "train"): 2025, ("noise", "val"): 270, ("noise", "test"): 405, ("critical", "train"): 225, ("critical", "val"): 30, ("critical", "test"): 45}
+    odd = rows.stratified_split(spark.createDataFrame([(1, "a"), (None, None), (2, None), (3, "b")], "id int, label string"), "id", "label")
+    assert odd.count() == 4 and odd.filter("split IS NULL").count() == 0 and rows.stratified_split(odd.drop("split").limit(0), "id", "label").count() == 0
     assert [r.id for r in rows.seeded_sample(df.repartition(5), "id", 20).collect()] == [r.id for r in rows.seeded_sample(df.repartition(2), "id", 20).collect()]
     points = df.select("id", (F.sin(F.col("id")) + F.when(F.col("id") == 5, 40.0).otherwise(0.0)).alias("a"), F.cos(F.col("id") * 3).alias("b"))
-    scored = ml.forest_scored(points, ml.isolation_forest(points, "id", ["a", "b"], trees=30), ["a", "b"])
+    scored = ml.forest_scored(points, ml.isolation_forest(points, "id", ["a", "b"]), ["a", "b"])
     assert scored.orderBy("anomaly_score").first().id == 5
     assert "rules" in registry.names()
     with pytest.raises(KeyError):
@@ -159,3 +161,99 @@ def test_forest_queries_grow_200_trees_and_cut_at_the_contamination(spark):
     found = timed.isolation_forest_score(spark, at).join(usual, "log_id").groupBy("category").count().collect()
     shares = {r["category"]: r["count"] / sum(x["count"] for x in found) for r in found}
     assert 0.02 < shares["suspicious"] <= 0.1
+
+
+def test_quantiles_against_numpy(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    data = [(g, float(x)) for g, n in (("a", 5000), ("b", 7), ("c", 1), ("d", 900)) for x in (rng.normal(size=n) if g != "d" else rng.integers(0, 3, n))]
+    df = spark.createDataFrame([*data, ("a", None), ("e", None)], "g string, x double").repartition(6)
+    shares = [0.0, 0.1, 0.5, 0.95, 0.99, 1.0]
+    for accuracy in (rows.ACCURACY, 500):  # small groups whole, and large ones by bounds
+        monkeypatch.setattr(rows, "ACCURACY", accuracy)
+        found = {(r.g, r.share): r.quantile for r in rows.quantiles(df, "x", shares, "g").collect()}
+        assert len(found) == 4 * len(shares)
+        for g in "abcd":
+            for s in shares:
+                assert abs(found[g, s] - np.quantile([x for k, x in data if k == g], s)) < 1e-9
+        whole = [r.quantile for r in rows.quantiles(df, "x", [0.3]).collect()]
+        assert abs(whole[0] - np.quantile([x for _, x in data], 0.3)) < 1e-9
+        assert rows.tail_fraction(spark.range(1000), "id").count() == 200
+    assert rows.quantiles(df.limit(0), "x", [0.5]).count() == 0
+
+
+def test_names_meet_by_substrings(spark):
+    a = ["fire_wall", "ids", "", "a", "gateway_of_pci", "ü"]
+    b = ["FIRE_WALL-01", "ids-sensor", "x", "pci", "AB", "ü-1", ""]
+    wanted = spark.createDataFrame([(x, x) for x in a], "log_source string, name string")
+    known = spark.createDataFrame([(x, x.lower()) for x in b], "source string, low string")
+    found = sorted((r.log_source, r.source) for r in correlate.containing(wanted, known).collect())
+    assert found == sorted((x, y) for x in a for y in b if x in y.lower() or y.lower() in x)
+
+
+def test_correlation_against_a_nested_loop(spark):
+    import random
+
+    rng, start = random.Random(2), dt.datetime(2024, 1, 1)
+    at = lambda: start + dt.timedelta(seconds=rng.randrange(40_000))
+    logs = [(k, at(), f"src-{rng.randrange(4)}", f"ip{rng.randrange(6)}", rng.choice(["routine", "noise", "critical"])) for k in range(300)]
+    hits = [(k, at(), rng.randrange(1, 11), [f"ip{rng.randrange(6)}", f"ip{rng.randrange(6)}"], ["SRC-1"]) for k in range(20)]
+    d = spark.createDataFrame(logs, "log_id int, event_ts timestamp, source string, source_ip string, category string")
+    o = spark.createDataFrame(hits, "offense_id int, start_time timestamp, severity int, source_ips array<string>, log_sources array<string>")
+    pairs = lambda df: sorted((r.offense_id, r.log_id) for r in df.collect())
+    near = lambda x, y, before=60, after=5: -before * 60 <= (x[1] - y[1]).total_seconds() <= after * 60
+    assert pairs(correlate.by_ip(d, o)) == sorted((y[0], x[0]) for x in logs for y in hits if x[3] in y[3] and near(x, y))
+    assert pairs(correlate.by_ip(d, o, 24 * 60, 0)) == sorted((y[0], x[0]) for x in logs for y in hits if x[3] in y[3] and near(x, y, 1440, 0))
+    assert pairs(correlate.by_source(d, o)) == sorted((y[0], x[0]) for x in logs for y in hits if x[2] == "src-1" and near(x, y))
+    assert pairs(correlate.by_time(d, o)) == sorted((y[0], x[0]) for x in logs for y in hits if y[2] >= 7 and x[4] != "critical" and near(x, y))
+
+
+def test_more_than_64_compliance_rules(spark):
+    many = [(f"rule_{k:03d}", f"frame_{k % 3}", k, [f"^s{k}-"], []) for k in range(150)]
+    logs = spark.createDataFrame([("s149-a", "x"), ("s63-b", None), ("s64-", "y"), ("none", "z")], "source string, message string")
+    out = {r.source: r.decision for r in rules.with_compliance(logs, F.col("source"), F.col("message"), many).collect()}
+    assert [out[k].matched_rules for k in ("s149-a", "s63-b", "s64-", "none")] == [["rule_149"], ["rule_063"], ["rule_064"], []]
+    assert out["s149-a"].retention_days == 149 and not out["none"].is_regulated
+
+
+def test_patterns_are_tried_by_the_engine_that_runs_them(spark):
+    assert rules.valid(r"\p{Lu}++x") and not rules.valid("(?P<name>x)") and not rules.valid("[")
+
+
+class StandIn:
+    """Records what a reader or writer was told; any call returns it."""
+
+    def __init__(self):
+        self.said = {}
+
+    def __getattr__(self, name):
+        def call(*args, **kwargs):
+            self.said.setdefault(name, []).append((args, kwargs))
+            return self
+
+        return call
+
+
+def test_kafka_options(spark):
+    reader, writer = StandIn(), StandIn()
+    fake = type("Session", (), {"readStream": reader})
+    kafka.log_source(fake, "broker:9092", "raw-logs", "earliest", 256, **{"kafka.security.protocol": "SSL"})
+    assert reader.said["format"] == [(("kafka",), {})] and "load" in reader.said
+    assert reader.said["options"][0][1] == {"kafka.bootstrap.servers": "broker:9092", "subscribe": "raw-logs", "startingOffsets": "earliest", "maxOffsetsPerTrigger": "256", "includeHeaders": "true", "failOnDataLoss": "false", "kafka.security.protocol": "SSL"}
+    kafka.write(type("Records", (), {"write": writer}), "broker:9092", **{"kafka.linger.ms": "5"})
+    assert writer.said["options"][0][1] == {"kafka.bootstrap.servers": "broker:9092", "kafka.acks": "all", "kafka.compression.type": "gzip", "kafka.enable.idempotence": "true", "includeHeaders": "true", "kafka.linger.ms": "5"} and "save" in writer.said
+    kafka.write_stream(type("Records", (), {"writeStream": writer}), "broker:9092", "/shared/state")
+    assert writer.said["option"] == [(("checkpointLocation", "/shared/state"), {})] and "start" in writer.said
+
+
+def test_kafka_records_and_their_headers_come_back(spark):
+    logs = spark.createDataFrame([(1, "a", "r1"), (2, None, None)], "log_id int, source string, rule string")
+    out = kafka.as_records(logs, "classified", "source", {"schema": "1", "rule": F.col("rule")})
+    assert [(r.topic, r.key, r.value, [(h.key, bytes(h.value)) for h in r.headers]) for r in out.collect()] == [
+        ("classified", "a", '{"log_id":1,"source":"a","rule":"r1"}', [("schema", b"1"), ("rule", b"r1")]),
+        ("classified", None, '{"log_id":2}', [("schema", b"1")]),
+    ]
+    back = kafka.raw_envelope(out.withColumns({"value": F.col("value").cast("binary"), "partition": F.lit(0), "offset": F.lit(5), "timestamp_ms": F.lit(0)}))
+    assert [r.headers for r in back.collect()] == [{"schema": "1", "rule": "r1"}, {"schema": "1"}]
+    assert kafka.as_records(logs, "t").first().headers == []
