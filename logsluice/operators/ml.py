@@ -46,11 +46,17 @@ def boosted_trees(rounds: int = 200, depth: int = 6, rate: float = 0.1, weight:
     return out.setWeightCol(weight) if weight else out
 
 
-def train(df: DataFrame, text: str, label: str, classifier: Estimator | None = None, **features) -> PipelineModel:
-    """A pipeline from text to prediction, with balanced class weights."""
+def train(df: DataFrame, text: str, label: str, classifier: Estimator | None = None, rows_a_task: int = 20_000, **features) -> PipelineModel:
+    """A pipeline from text to prediction, with balanced class weights. Rows without a known label or text do not count.
+
+    Trees are grown in many short passes over the rows, so these are dealt out to no more tasks than their number asks for.
+    """
     from . import rows
 
-    weighted = label_indexed(df, label).filter("label IS NOT NULL").join(F.broadcast(rows.class_weights(df, label).select(label, "weight")), label)  # a row for each class
+    known = label_indexed(df, label).filter(F.col("label").isNotNull() & (F.trim(text) != ""))
+    weighted = known.join(F.broadcast(rows.class_weights(known, label).select(label, "weight")), label)  # a row for each class
+    tasks = max(1, -(-known.count() // rows_a_task))
+    weighted = weighted.coalesce(tasks) if tasks < df.sparkSession.sparkContext.defaultParallelism else weighted
     return Pipeline(stages=[*text_features(text, **features), classifier or boosted_trees()]).fit(weighted)
 
 
@@ -73,11 +79,12 @@ def importances(model: PipelineModel, n: int = 50) -> list[tuple[str, float]]:
     return [(vocabulary[i], float(total[i])) for i in order if total[i] > 0]
 
 
-def cross_validated(df: DataFrame, key: str, text: str, label: str, classifier: Estimator, folds: int = 5, **features) -> DataFrame:
-    """(fold, n, accuracy); a row's fold is a hash of its key."""
+def cross_validated(df: DataFrame, key: str, text: str, label: str, classifier: Estimator | None = None, most: int = 5, **features) -> DataFrame:
+    """(fold, n, accuracy): at most so many folds, of ten rows at least; a row's fold is a hash of its key. One fold is tested on itself."""
+    folds = max(1, min(most, df.count() // 10))
     placed, out = df.withColumn("fold", F.pmod(F.xxhash64(key), F.lit(folds))), None
     for k in range(folds):
-        model = train(placed.filter(F.col("fold") != k).drop("fold"), text, label, classifier, **features)
+        model = train(placed.filter((F.col("fold") != k) | F.lit(folds == 1)).drop("fold"), text, label, classifier or boosted_trees(rounds=50), **features)
         right = model.transform(label_indexed(placed.filter(F.col("fold") == k), label)).filter("label IS NOT NULL")
         one = right.agg(F.lit(k).alias("fold"), F.count("*").alias("n"), F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"))
         out = one if out is None else out.unionByName(one)

@@ -11,6 +11,7 @@ from ..sources.scratch import folder as scratch
 from ..streaming import jobs
 from . import views
 from .book import Book, decided, on_logs
+from .triage import SPLIT
 
 book = Book()
 SIX = lambda c: F.round(c, 6)
@@ -353,16 +354,28 @@ def _features(spark, sf):
     return views.logs(spark, sf).select("log_id", "message", "expected_category", *[c.cast("double").alias(n) for n, c in feats.items()]), list(feats)
 
 
-def _trained(spark, sf):
-    logs = rows.stratified_split(views.logs(spark, sf).select("log_id", "message", "expected_category"), "log_id", "expected_category")
-    return logs, ml.train(logs.filter("split = 'train'"), "message", "expected_category", ml.boosted_trees(rounds=3, depth=3), grams=2, most=500)
+_models: dict[tuple[str, str], tuple] = {}
 
 
-@book.query("boosted_tree_train")
+def _trained(spark, sf):
+    """The logs with their split, and the model of its full size, trained once for a session and folder: 200 rounds of depth 6 at most, stopped by
+    the validation split, on the 10,000 most frequent terms of one to three words of the normalised message."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _models:
+        logs = views.logs(spark, sf).select("log_id", text.normalised(F.col("message"), text.NORMALISE_TRAIN).alias("message"), "expected_category")
+        logs = rows.stratified_split(logs, "log_id", "expected_category")
+        fitted = logs.filter("split <> 'test'").withColumn("is_val", F.col("split") == "val")
+        _models[key] = logs, ml.train(fitted, "message", "expected_category", ml.boosted_trees(validation="is_val"))
+    return _models[key]
+
+
+@book.query("boosted_tree_train", on_logs("SELECT split, count(*) AS n, true AS accuracy_from_95, true AS critical_recall_from_99 FROM split GROUP BY 1", SPLIT))
 def boosted_tree_train(spark, sf):
+    """By split: how many rows, and whether the model is as good as it has to be."""
     logs, model = _trained(spark, sf)
-    out = ml.scored(model, logs)
-    return out.groupBy("split").agg(F.count("*").alias("n"), F.avg((F.col("category") == F.col("expected_category")).cast("double")).alias("accuracy"))
+    right = F.col("category") == F.col("expected_category")
+    out = ml.scored(model, logs).groupBy("split").agg(F.count("*").alias("n"), F.avg(right.cast("double")).alias("a"), F.avg(F.when(F.col("expected_category") == "critical", right.cast("double"))).alias("r"))
+    return out.select("split", "n", (F.col("a") >= 0.95).alias("accuracy_from_95"), (F.col("r") >= 0.99).alias("critical_recall_from_99"))
 
 
 @book.query("boosted_tree_score")
@@ -377,25 +390,26 @@ def feature_importance_topk(spark, sf):
     return spark.createDataFrame(ml.importances(model, 50), "term string, importance double")
 
 
-@book.query("cross_validate")
+@book.query("cross_validate", on_logs("SELECT least(5, count(*) // 10) AS folds, count(*) AS n, true AS accuracy_from_90 FROM split WHERE split = 'test'", SPLIT))
 def cross_validate(spark, sf):
-    from pyspark.ml.classification import NaiveBayes
-
-    logs = views.logs(spark, sf).select("log_id", "message", "expected_category")
-    return ml.cross_validated(logs, "log_id", "message", "expected_category", NaiveBayes(labelCol="label", weightCol="weight"), grams=1, most=500)
+    """Boosted trees of 50 rounds on folds of the test split."""
+    logs, _ = _trained(spark, sf)
+    out = ml.cross_validated(logs.filter("split = 'test'").drop("split"), "log_id", "message", "expected_category")
+    return out.agg(F.count("*").alias("folds"), F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("accuracy")) / F.sum("n") >= 0.9).alias("accuracy_from_90"))
 
 
-@book.query("model_save_load")
+@book.query("model_save_load", on_logs("SELECT 'v1' AS name, count(*) AS n, count(*) AS equal FROM logs"))
 def model_save_load(spark, sf):
-    from pyspark.ml.classification import NaiveBayes
-
     path = scratch(spark, "models")
-    logs = views.logs(spark, sf).select("log_id", "message", "expected_category")
-    model = ml.train(logs, "message", "expected_category", NaiveBayes(labelCol="label", weightCol="weight"), grams=1, most=500)
-    ml.save(model, path, {"name": "v1", "categories": list(values.CATEGORIES)})
+    logs, model = _trained(spark, sf)
+    ml.save(model, path, {"name": "v1", "categories": list(values.CATEGORIES), "terms": len(next(s.vocabulary for s in model.stages if hasattr(s, "vocabulary")))})
     back, manifest = ml.load(spark, path)
-    out = back.transform(logs).select("log_id", F.col("prediction").alias("again")).join(model.transform(logs).select("log_id", "prediction"), "log_id")
-    return out.agg(F.lit(manifest["name"]).alias("name"), F.count("*").alias("n"), F.count_if(F.col("again") == F.col("prediction")).alias("equal"))
+    again = [F.col(f"p_{c}").alias(f"again_{c}") for c in ml.LABELS]
+    out = ml.scored(back, logs).select("log_id", *again).join(ml.scored(model, logs), "log_id")
+    same = F.lit(True)
+    for c in ml.LABELS:
+        same = same & (F.abs(F.col(f"again_{c}") - F.col(f"p_{c}")) < 1e-9)
+    return out.agg(F.lit(manifest["name"]).alias("name"), F.count("*").alias("n"), F.count_if(same).alias("equal"))
 
 
 def _forest(spark, sf):

@@ -297,15 +297,15 @@ def eps_reduction(spark, sf):
 
 # rows and sets
 #: Within each class, rows in the order of a hash: three quarters to train on, a tenth to stop by, the rest to test.
-_SPLIT = "split AS (SELECT log_id, expected_category, CASE WHEN k <= floor(0.75 * n + 1e-9) THEN 'train' WHEN k <= floor(0.85 * n + 1e-9) THEN 'val' ELSE 'test' END AS split FROM (SELECT log_id, expected_category, row_number() OVER (PARTITION BY expected_category ORDER BY left(md5(log_id || '|42'), 15)) AS k, count(*) OVER (PARTITION BY expected_category) AS n FROM logs))"
+SPLIT = "split AS (SELECT log_id, expected_category, CASE WHEN k <= floor(0.75 * n + 1e-9) THEN 'train' WHEN k <= floor(0.85 * n + 1e-9) THEN 'val' ELSE 'test' END AS split FROM (SELECT log_id, expected_category, row_number() OVER (PARTITION BY expected_category ORDER BY left(md5(log_id || '|42'), 15)) AS k, count(*) OVER (PARTITION BY expected_category) AS n FROM logs))"
 
 
-@book.query("dataset_stats", on_logs("SELECT split, expected_category, count(*) AS n FROM split GROUP BY CUBE (split, expected_category)", _SPLIT))
+@book.query("dataset_stats", on_logs("SELECT split, expected_category, count(*) AS n FROM split GROUP BY CUBE (split, expected_category)", SPLIT))
 def dataset_stats(spark, sf):
     return rows.stratified_split(views.logs(spark, sf), "log_id", "expected_category").cube("split", "expected_category").agg(F.count("*").alias("n"))
 
 
-@book.query("stratified_split", on_logs("SELECT log_id, split FROM split", _SPLIT))
+@book.query("stratified_split", on_logs("SELECT log_id, split FROM split", SPLIT))
 def stratified_split(spark, sf):
     return rows.stratified_split(views.logs(spark, sf), "log_id", "expected_category").select("log_id", "split")
 

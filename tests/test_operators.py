@@ -257,3 +257,21 @@ def test_kafka_records_and_their_headers_come_back(spark):
     back = kafka.raw_envelope(out.withColumns({"value": F.col("value").cast("binary"), "partition": F.lit(0), "offset": F.lit(5), "timestamp_ms": F.lit(0)}))
     assert [r.headers for r in back.collect()] == [{"schema": "1", "rule": "r1"}, {"schema": "1"}]
     assert kafka.as_records(logs, "t").first().headers == []
+
+
+def test_boosted_trees_have_their_full_size_and_stop_on_validation(spark):
+    from logsluice.plans import timed
+
+    at = "/root/testdata/sf0.001"
+    logs, model = timed._trained(spark, at)
+    assert timed._trained(spark, at)[1] is model
+    one = model.stages[-1]
+    trees = [m.getNumTrees for m in one.models]
+    assert len(trees) == 4 and all(20 < n < 200 for n in trees) and max(t.depth for m in one.models for t in m.trees) <= 6
+    params = one.models[0].extractParamMap()
+    assert {p.name: v for p, v in params.items() if p.name in ("maxDepth", "stepSize", "maxIter")} == {"maxDepth": 6, "stepSize": 0.1, "maxIter": 200}
+    scored = ml.scored(model, logs.filter("split = 'test'"))
+    sums = scored.agg(F.max(F.abs(sum(F.col(f"p_{c}") for c in ml.LABELS) - 1)), F.min("confidence"), F.avg((F.col("category") == F.col("expected_category")).cast("double"))).first()
+    assert sums[0] < 1e-9 and sums[1] > 0.25 and sums[2] >= 0.95
+    terms = timed.feature_importance_topk(spark, at).collect()
+    assert 0 < len(terms) <= 50 and [r.importance for r in terms] == sorted((r.importance for r in terms), reverse=True)
