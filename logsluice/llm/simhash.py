@@ -30,6 +30,8 @@ from .components import components
 
 BITS = 64
 SEED = 42
+#: Probe rows of a fingerprint on one partition, at most.
+MOST_PROBES = 3000
 
 
 def fingerprint(text: str | None, words: int = 4) -> int:
@@ -52,17 +54,19 @@ def fingerprint(text: str | None, words: int = 4) -> int:
     return int(np.packbits(2 * votes > len(rows), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 4, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Rows (key, bits): bits is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, words: int = 4, text: str = "text", key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (doc_id, keep, bits): the key, other numbers that are to stay, and the fingerprint as a signed long."""
+    names = ["doc_id", *keep]
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            bits = np.array([fingerprint(x, words) for x in texts_of(batch.column(1))], np.uint64).view(np.int64)
-            return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(bits)], ["doc_id", "bits"])
+            bits = np.array([fingerprint(x, words) for x in texts_of(batch.column(len(names)))], np.uint64).view(np.int64)
+            return pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(bits)], [*names, "bits"])
 
         return each
 
-    return map_rows(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), make, "doc_id long, bits long")
+    columns = [F.col(key).cast("long").alias("doc_id"), *[F.col(c).cast("long").alias(c) for c in keep], F.col(text).cast("string").alias("text")]
+    return map_rows(docs.select(*columns), make, ", ".join(f"{n} long" for n in names) + ", bits long")
 
 
 @dataclass(frozen=True)
@@ -113,7 +117,7 @@ def grouped_bits(n: int, both: np.ndarray, parts: int) -> list[list[int]]:
 
 
 def allocated(pairs: list[list[float]], probes: list[list[float]], total: int) -> tuple[float, tuple[int, ...]]:
-    """Thresholds of least cost that add up to total, by dynamic programming.
+    """Thresholds of least cost that add up to total, by dynamic programming; none if they cannot.
 
     pairs[i][t] and probes[i][t]: estimated candidate pairs and probe rows of partition i at threshold t; threshold -1 is free.
     """
@@ -126,10 +130,10 @@ def allocated(pairs: list[list[float]], probes: list[list[float]], total: int) -
                 if used + t not in step or x < step[used + t]:
                     step[used + t] = x
         best = step
-    return best[total]
+    return best.get(total, (float("inf"), ()))
 
 
-def plan(nodes: DataFrame, radius: int, choices: tuple[int, ...] = (3, 4, 5)) -> Plan:
+def plan(nodes: DataFrame, radius: int, choices: tuple[int, ...] = (1, 2, 3, 4, 5)) -> Plan:
     """Choose the number of partitions, their bits and thresholds from counts over all distinct fingerprints."""
     n, both = _bit_counts(nodes)
     groups = {m: grouped_bits(n, both, m) for m in {*choices, radius + 1} if m <= radius + 1}
@@ -149,12 +153,15 @@ def plan(nodes: DataFrame, radius: int, choices: tuple[int, ...] = (3, 4, 5)) ->
             for x in odds:  # elementary symmetric sums: how likelier it is that just t bits differ than none
                 sums[1:] = sums[1:] + x * sums[:-1]
             for t in range(1, min(3, radius) + 1):
+                if balls[-1] + comb(len(g), t) > MOST_PROBES:
+                    break
                 up.append(up[-1] + sums[t])
                 balls.append(balls[-1] + comb(len(g), t))
             pairs.append([same.get((m, k), 0.0) * x for x in up])
             probes.append([4.0 * n * x for x in balls])  # a probe row is shuffled and sorted: about four verifications
         cost, thresholds = allocated(pairs, probes, radius - m + 1)
-        found.append(Plan(tuple(masks[m]), thresholds, cost))
+        if thresholds:
+            found.append(Plan(tuple(masks[m]), thresholds, cost))
     return min(found, key=lambda x: x.cost)
 
 
@@ -192,14 +199,25 @@ def near_groups(docs: DataFrame, words: int = 4, radius: int = 4, text: str = "t
     groups = components(links(nodes, radius), "a", "b")
     least = nodes.join(groups, nodes.bits == groups.node, "left").select("bits", "least", F.coalesce("component", "bits").alias("component"))
     least = written(least, "grouped")
-    ids = least.groupBy("component").agg(F.min("least").alias("component_id"))
-    return marks.join(least.select("bits", "component").join(ids, "component").select("bits", "component_id"), "bits").select("doc_id", "bits", "component_id")
+    ids = written(least.groupBy("component").agg(F.min("least").alias("component_id")), "ids")
+    whose = written(least.select("bits", "component").join(ids, "component").select("bits", "component_id"), "whose")
+    return marks.join(whose, "bits").select("doc_id", "bits", "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = 5, radius: int = 4) -> DataFrame:
-    """docs without all but one row of each near-duplicate group; the smallest id stays (of equal ids, all rows)."""
-    keep = near_groups(docs, words, radius).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(keep, docs.doc_id.eqNullSafe(keep.doc_id), "left_semi")
+    """docs without all but one document of each near-duplicate group: the smallest id stays (null: the greatest).
+
+    Rows are told by id and text: of a group's unequal texts with the smallest id, the one with the least hash stays, and rows
+    that are equal in both stay together.
+    """
+    text = F.xxhash64(F.col("text").cast("string"))
+    marks = written(fingerprints(docs.select("doc_id", "text", text.alias("same")), words, keep=("same",)), "fingerprints")
+    nodes = written(marks.select("bits").distinct(), "distinct")
+    groups = components(links(nodes, radius), "a", "b")
+    part = written(nodes.join(groups, nodes.bits == groups.node, "left").select("bits", F.coalesce("component", "bits").alias("part")), "parts")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "same")
+    keep = written(marks.join(part, "bits").groupBy("part").agg(F.min(place).alias("p")).select(F.col("p.id").alias("_id"), F.col("p.same").alias("_same")), "kept")
+    return docs.join(keep, docs.doc_id.cast("long").eqNullSafe(keep["_id"]) & (F.xxhash64(docs.text.cast("string")) == keep["_same"]), "left_semi")
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
