@@ -7,6 +7,8 @@ place on the next level, so any id is read in constant time without decoding tho
 A file: b"DAC1"; counts of documents, ids and levels (u8 each); document ids (i8); their first positions (u8, one more
 than documents); then by level the number of values (u8), the chunks, the bitmap and its rank directory (u4). Little-endian.
 
+A reader of an open file reads an id's bytes, its directory entries and blocks, and nothing else.
+
 Documents are dealt out by ranges of doc_id, so each task writes its files in document order straight into the shared
 folder. Only files in the manifest count; the manifest is a table that Spark commits, so a lost task's files are ignored.
 """
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -49,65 +52,88 @@ def packed(doc_ids: np.ndarray, starts: np.ndarray, ids: np.ndarray) -> bytes:
 
 
 class Reader:
-    """Random access to the ids of one file."""
+    """Random access to the ids of one file: bytes, or an open file of which only what is asked for is read."""
 
-    def __init__(self, data: bytes) -> None:
-        if data[:4] != MAGIC:
+    def __init__(self, source: bytes | pa.NativeFile) -> None:
+        self._file = pa.BufferReader(source) if isinstance(source, bytes) else source
+        if self._take("S4", 1, 0)[0] != MAGIC:
             raise ValueError("not a file of directly addressable codes")
-        at = 4
-
-        def take(kind: str, n: int) -> np.ndarray:
-            nonlocal at
-            found = np.frombuffer(data, kind, n, at)
-            at += found.nbytes
-            return found
-
-        docs, self.n, levels = map(int, take("<u8", 3))
-        self.doc_ids, self.starts, self.levels = take("<i8", docs), take("<u8", docs + 1).astype(np.int64), []
+        self.docs, self.n, levels = map(int, self._take("<u8", 3, 4))
+        at = 28 + 16 * self.docs + 8
+        self.levels = []  # number of values, and where chunks, bits and ranks begin
         for _ in range(levels):
-            n = int(take("<u8", 1)[0])
+            n = int(self._take("<u8", 1, at)[0])
             blocks = -(-n // BLOCK)
-            self.levels.append((take("u1", n), take("u1", blocks * (BLOCK // 8)), take("<u4", blocks)))
+            self.levels.append((n, at + 8, at + 8 + n, at + 8 + n + blocks * (BLOCK // 8)))
+            at += 8 + n + blocks * (BLOCK // 8 + 4)
+
+    def _take(self, kind: str, n: int, at: int) -> np.ndarray:
+        size = np.dtype(kind).itemsize * n
+        return np.frombuffer(self._file.read_at(size, at), kind, n) if n else np.zeros(0, kind)
 
     def __len__(self) -> int:
         return self.n
 
-    @staticmethod
-    def _rank(bits: np.ndarray, ranks: np.ndarray, at: int) -> int:
-        """Ones before bit at."""
+    @cached_property
+    def doc_ids(self) -> np.ndarray:
+        return self._take("<i8", self.docs, 28)
+
+    @cached_property
+    def starts(self) -> np.ndarray:
+        return self._take("<u8", self.docs + 1, 28 + 8 * self.docs).astype(np.int64)
+
+    def _rank(self, level: int, at: int) -> int:
+        """Ones before bit at, from one entry of the directory and one block."""
+        n, _, bits, ranks = self.levels[level]
         block, left = divmod(at, BLOCK)
-        if block == len(ranks):
-            return int(ranks[-1]) + int(np.bitwise_count(bits[-(BLOCK // 8) :]).sum(dtype=np.int64)) if block else 0
-        inside = np.unpackbits(bits[block * (BLOCK // 8) : (block + 1) * (BLOCK // 8)], count=left, bitorder="little")
-        return int(ranks[block]) + int(inside.sum(dtype=np.int64))
+        if block * BLOCK >= n:  # behind a last block that is full
+            block, left = block - 1, BLOCK
+        if block < 0:
+            return 0
+        inside = np.unpackbits(self._take("u1", (left + 7) // 8, bits + block * (BLOCK // 8)), count=left, bitorder="little")
+        return int(self._take("<u4", 1, ranks + 4 * block)[0]) + int(inside.sum(dtype=np.int64))
 
     def __getitem__(self, i: int) -> int:
         if not 0 <= i < self.n:
             raise IndexError(i)
-        value, shift = 0, 0
-        for chunks, bits, ranks in self.levels:
-            value |= int(chunks[i]) << shift
-            if not bits[i >> 3] >> (i & 7) & 1:
+        value = 0
+        for level, (_, chunks, bits, _) in enumerate(self.levels):
+            value |= int(self._take("u1", 1, chunks + i)[0]) << 8 * level
+            if not self._take("u1", 1, bits + (i >> 3))[0] >> (i & 7) & 1:
                 break
-            i, shift = self._rank(bits, ranks, i), shift + 8
+            i = self._rank(level, i)
         return value
 
     def slice(self, a: int, b: int) -> np.ndarray:
         """Ids a up to b, reading no others."""
         value = np.zeros(max(0, b - a), np.uint32)
         where = np.arange(len(value))
-        for shift, (chunks, bits, ranks) in enumerate(self.levels):
+        for level, (_, chunks, bits, _) in enumerate(self.levels):
             if not len(where):
                 break
-            value[where] |= chunks[a:b].astype(np.uint32) << np.uint32(8 * shift)
-            more = np.unpackbits(bits[a >> 3 : (b + 7) >> 3], bitorder="little")[a & 7 : (a & 7) + b - a].astype(bool)
+            value[where] |= self._take("u1", b - a, chunks + a).astype(np.uint32) << np.uint32(8 * level)
+            more = np.unpackbits(self._take("u1", (b + 7 >> 3) - (a >> 3), bits + (a >> 3)), bitorder="little")[a & 7 : (a & 7) + b - a].astype(bool)
             where = where[more]
-            a = self._rank(bits, ranks, a)
+            a = self._rank(level, a)
             b = a + len(where)
         return value
 
     def document(self, k: int) -> np.ndarray:
-        return self.slice(int(self.starts[k]), int(self.starts[k + 1]))
+        a, b = self._take("<u8", 2, 28 + 8 * self.docs + 8 * k)
+        return self.slice(int(a), int(b))
+
+
+#: What other libraries call a store, by the name that Spark's paths give it.
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
+
+
+def file_system(path: str) -> tuple[pa.fs.FileSystem, str]:
+    """The file system of a path of Spark's and the path in it; an error names the schemes that tasks can write to themselves."""
+    scheme, sep, rest = path.partition("://")
+    try:
+        return pa.fs.FileSystem.from_uri(_SCHEMES.get(scheme, scheme) + sep + rest if sep else path)
+    except (pa.ArrowInvalid, OSError) as why:
+        raise ValueError(f"token files can lie in local or shared folders, s3, gs, abfs and hdfs, not in {path}: {why}") from why
 
 
 def write_files(docs: DataFrame, folder: str, path: str | None = None, end: int = END, file_ids: int = FILE_IDS) -> DataFrame:
@@ -122,7 +148,7 @@ def write_files(docs: DataFrame, folder: str, path: str | None = None, end: int
 
     def run(batches):
         encode = encoder(path, True)
-        fs, top = pa.fs.FileSystem.from_uri(where)
+        fs, top = file_system(where)
         fs.create_dir(top, recursive=True)
         keys, sizes, ids, part, seq = [], [], [], 0, 0
 
@@ -165,8 +191,8 @@ def read_files(manifest: DataFrame) -> DataFrame:
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = []
             for file, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                fs, name = pa.fs.FileSystem.from_uri(file)
-                with fs.open_input_stream(name) as f:
+                fs, name = file_system(file)
+                with fs.open_input_stream(name) as f:  # all of it, in one go
                     reader = Reader(f.read())
                 whole, starts = reader.slice(0, len(reader)).astype("<u4"), reader.starts.tolist()
                 for key, a, b in zip(reader.doc_ids.tolist(), starts, starts[1:]):

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from logsluice.llm import packing
 from logsluice.llm.tokens import BYTE_BPE, WORD_BPE, encoder, tokenizer, tokenizer_path
 
@@ -61,6 +62,35 @@ def test_every_id_once_and_little_padding(spark, documents, corpus, odd):
     assert packing.pack(documents([])).count() == 0
 
 
+class Counting:
+    """A file that counts the bytes read."""
+
+    def __init__(self, file):
+        self.file, self.read = file, 0
+
+    def read_at(self, size, at):
+        self.read += size
+        return self.file.read_at(size, at)
+
+
+def test_random_access_reads_next_to_nothing(tmp_path):
+    from logsluice.llm import dac
+
+    ids = np.random.default_rng(2).integers(0, 50_000, 300_000).astype(np.uint32)
+    path = tmp_path / "x.dac"
+    path.write_bytes(dac.packed(np.arange(300), np.arange(301) * 1000, ids))
+    with pa.OSFile(str(path)) as f:
+        file = Counting(f)
+        reader = dac.Reader(file)
+        head = file.read
+        assert reader[123_456] == ids[123_456] and reader.document(250).tolist() == ids[250_000:251_000].tolist()
+        assert head < 200 and file.read < 5000 and len(reader) == 300_000
+    fs, name = dac.file_system(f"file://{path}")
+    assert name == str(path) and dac.file_system(str(path))[1] == str(path)
+    with pytest.raises(ValueError, match="token files can lie"):
+        dac.file_system("viewfs://x/y")
+
+
 def test_byte_files_round_trip():
     from logsluice.llm import dac
 
@@ -71,6 +101,7 @@ def test_byte_files_round_trip():
         assert len(reader) == n and reader.slice(0, n).tolist() == ids.tolist()
         assert [reader[i] for i in range(0, n, 37)] == ids[::37].tolist()
         assert reader.document(0).tolist() == ids[: n // 3].tolist() and reader.document(1).tolist() == ids[n // 3 :].tolist()
+        assert [dac.Reader(Counting(reader._file))[i] for i in range(0, n, 997)] == ids[::997].tolist()
         for a, b in rng.integers(0, n + 1, (20, 2)):
             assert reader.slice(min(a, b), max(a, b)).tolist() == ids[min(a, b) : max(a, b)].tolist()
 
