@@ -105,7 +105,7 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end: in
     pieces any may come first. An empty table gives no rows; extra columns are ignored.
     """
     cut = written(pieces(docs, path, window, end, with_ids), "pieces")
-    groups = max(1, -(-docs.count() // group))
+    groups = max(1, -(-cut.filter("start = 0").count() // group))  # documents, from what is written
     dealt = cut.withColumn("grp", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("int"))  # of a written table: the same at every reading
 
     def fill(rows: pd.DataFrame) -> pd.DataFrame:
