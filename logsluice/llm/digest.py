@@ -3,6 +3,7 @@
 Every window of five bytes gives six byte triplets, hashed into 256 buckets. The digest is text: two hex digits for the
 logarithm of the length, two for how the bucket quartiles compare, and for every bucket two bits that tell in which
 quartile of the document's own bucket counts it lies. Equal texts have equal digests; a changed part moves few buckets.
+A text of fewer than five bytes has no window: all such texts have the digest of their length alone, and are alike but for that.
 """
 
 from __future__ import annotations

@@ -85,7 +85,10 @@ def trained(docs: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
-    """Fit on labelled rows whose crc32(doc_id as text) mod 4 is not 2. Null labels and ids do not count."""
+    """Fit on labelled rows whose crc32(doc_id as text) mod 4 is not 2. Null labels and ids do not count.
+
+    Labels that contradict each other for one id, and documents of one id, count each as a row; a text without words is left out.
+    """
     small_batches(docs.sparkSession)
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~_held_out()).select(F.col("doc_id").alias("id"), F.col("quality").cast("int").alias("label"))
     least = known.orderBy(F.xxhash64("id"), "id", "label").limit(sample)
@@ -112,19 +115,19 @@ def _held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
+def _scores(texts: list[str], table: np.ndarray, base: float) -> np.ndarray:
+    """The probability of label 1 of each text; that of the bias alone for a text without words."""
+    odds = [base + (table[found].mean(dtype=np.float64) if len(found) else 0.0) for found in map(features, texts)]
+    return 1 / (1 + np.exp(-np.clip(np.array(odds, float), -60, 60)))
+
+
 def scored(docs: DataFrame, weights: np.ndarray, bias: float, column: str = "score") -> DataFrame:
     """docs' (doc_id, score): the probability of label 1, for every row. Null and empty texts get that of the bias alone."""
     shared = docs.sparkSession.sparkContext.broadcast((weights, bias))  # half a megabyte, whatever the data
 
     def make():
-        table, base = shared.value
-
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            score = []
-            for text in texts_of(batch.column(1)):
-                found = features(text)
-                score.append(1 / (1 + np.exp(-float(np.clip(base + (table[found].mean(dtype=np.float64) if len(found) else 0.0), -60, 60)))))
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64())], ["doc_id", column])
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(texts_of(batch.column(1)), *shared.value))], ["doc_id", column])
 
         return each
 
@@ -138,21 +141,17 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the rows that the classifier rejects; every column stays. One pass: no join by id, so ids need not be unique."""
-    weights, bias = fit(docs, labels)
-    shared = docs.sparkSession.sparkContext.broadcast((weights, bias))
+    """docs without the rows that the classifier rejects; every column stays. One pass: no join by id, so ids need not be unique.
+
+    Null and empty texts have the score of the bias alone, so all of them stay or all go; repeated rows and null ids are rows like others.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
     at = docs.columns.index("text")
     small_batches(docs.sparkSession)
 
     def run(batches):
-        table, base = shared.value
         for batch in batches:
-            keep = []
-            for text in texts_of(batch.column(at)):
-                found = features(text)
-                odds = base + (table[found].mean(dtype=np.float64) if len(found) else 0.0)
-                keep.append(1 / (1 + np.exp(-float(np.clip(odds, -60, 60)))) >= threshold)
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            yield batch.filter(pa.array(_scores(texts_of(batch.column(at)), *shared.value) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
 

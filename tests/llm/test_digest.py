@@ -1,4 +1,5 @@
 import hashlib
+import math
 
 import numpy as np
 import pytest
@@ -47,3 +48,16 @@ def test_neighbours_against_plain(spark, documents, corpus, count):
         assert r.near_edited == digest.likeness(digest.digest(text), digest.digest(edited))
         assert r.near_next == digest.likeness(digest.digest(text), digest.digest(after))
     assert not found
+
+
+def test_digest_against_a_plain_one(corpus):
+    """Quartiles from a sorted list, codes and digits written out."""
+    for text in ["", "a", "abcd", "abcde", "x" * 300, *(t for _, t in corpus[:40])]:
+        data = np.frombuffer(text.encode(), np.uint8)
+        total = [int(x) for x in digest.counts(data)]
+        q1, q2, q3 = (sorted(total)[k] for k in (63, 127, 191))
+        length = min(255, round(8 * math.log(1 + len(data))))
+        codes = [0 if t <= q1 else 1 if t <= q2 else 2 if t <= q3 else 3 for t in total]
+        body = "".join(f"{64 * codes[k] + 16 * codes[k + 1] + 4 * codes[k + 2] + codes[k + 3]:02x}" for k in range(0, 256, 4))
+        assert digest.digest(text) == f"{length:02x}{min(15, 16 * q1 // (q3 + 1)):x}{min(15, 16 * q2 // (q3 + 1)):x}{body}"
+    assert digest.likeness(digest.digest("a"), digest.digest("b")) == 1.0 and digest.digest("a") == digest.digest("z") != digest.digest("abcdefgh")

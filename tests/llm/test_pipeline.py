@@ -4,6 +4,7 @@ import pandas as pd
 from logsluice.llm import decontaminate, quality, secrets
 from logsluice.llm.common import word_hashes
 from logsluice.llm.tokens import WORD_BPE, tokenizer, tokenizer_path
+from pyspark.sql import functions as F
 
 AT = "/root/testdata/sf0.01"
 
@@ -49,3 +50,21 @@ def test_stages_against_plain_versions(spark):
 def test_run_is_the_stages(spark):
     assert corpus_pipeline.run(spark, AT).columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality classifier", "SimHash near-dedup", "benchmark decontamination", "secret scans", "packing"]
+
+
+def test_run_over_nulls_repeats_clashing_columns_and_empty_tables(spark, tmp_path):
+    item = " ".join(f"t{i}" for i in range(20))
+    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, "good words in a text " * 9, "en", "s", 5), (3, "good words in a text " * 9, "en", "s", 5), (None, "no id but words enough for it", None, None, None)]
+    rows += [(4, f"before it {item} after it", "en", "s", 1), (5, 'the token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" is here', "en", "s", 1), (6, "very long " * 9000, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    clash = docs.withColumns({n: F.lit(None).cast("string") for n in ("mark", "same", "key", "h", "seed", "region", "score", "label", "_id", "_same", "grp", "spans")})
+    labels, bench = spark.createDataFrame([(3, 1, 0), (None, 0, 0), (5, None, None)], "doc_id long, quality int, toxic int"), spark.createDataFrame([(1, item), (None, None), (2, "")], "item_id long, text string")
+    for name, table in (("full", clash), ("none", clash.limit(0))):
+        at = str(tmp_path / name)
+        table.write.parquet(f"{at}/documents.parquet")
+        (labels if name == "full" else labels.limit(0)).write.parquet(f"{at}/labels.parquet")
+        (bench if name == "full" else bench.limit(0)).write.parquet(f"{at}/benchmark.parquet")
+        found = corpus_pipeline.run(spark, at).collect()
+        assert (not found) == (name == "none")
+    full = [r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path / "full")).collect() if r.start == 0]
+    assert sorted(full, key=str) == sorted([1, 3, 3, 5, 6, None], key=str)  # 2 is a copy of 1, 4 holds an item

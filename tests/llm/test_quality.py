@@ -1,5 +1,7 @@
+import math
 import zlib
 
+import numpy as np
 import pandas as pd
 import pytest
 from logsluice.llm import quality
@@ -45,3 +47,48 @@ def test_odd_rows_and_no_labels(spark, documents, odd):
     assert quality.quality(documents([]), one).count() == 0
     good = quality.keep_good(documents(odd), one, 0.4)
     assert good.columns == documents(odd).columns and good.count() == len(odd)
+
+
+def test_training_against_a_plain_one():
+    """Gradient descent written out for each number, with the same start and order."""
+    rng = np.random.default_rng(4)
+    docs = []
+    for k in range(12):
+        buckets = np.unique(rng.integers(0, 40, 6) + 40 * (k % 2))
+        docs.append((buckets, np.full(len(buckets), 1 / len(buckets), np.float32), k % 2))
+    dims, epochs, rate = 3, 4, 0.4
+    weights, bias = quality.trained(docs, epochs, rate, dims)
+    start = np.random.default_rng(0)
+    table = start.uniform(-1 / dims, 1 / dims, (quality.BUCKETS, dims)).astype(float)
+    layer, b, done = [[0.0, 0.0] for _ in range(dims)], [0.0, math.log(7 / 7)], 0
+    for _ in range(epochs):
+        for i in start.permutation(len(docs)):
+            own, share, label = docs[i]
+            now = rate * (1 - done / (epochs * len(docs)))
+            done += 1
+            vector = [sum(float(s) * table[k][d] for k, s in zip(own, share)) for d in range(dims)]
+            out = [sum(vector[d] * layer[d][c] for d in range(dims)) + b[c] for c in (0, 1)]
+            p = [math.exp(o) / sum(map(math.exp, out)) for o in out]
+            error = [p[c] - (c == label) for c in (0, 1)]
+            back = [sum(layer[d][c] * error[c] for c in (0, 1)) for d in range(dims)]
+            for d in range(dims):
+                for c in (0, 1):
+                    layer[d][c] -= now * vector[d] * error[c]
+                for k, s in zip(own, share):
+                    table[k][d] -= now * len(own) ** 0.5 * float(s) * back[d]
+            for c in (0, 1):
+                b[c] -= 0.1 * now * error[c]
+    for k in range(80):
+        assert abs(weights[k] - sum(table[k][d] * (layer[d][1] - layer[d][0]) for d in range(dims))) < 1e-4
+    assert abs(bias - (b[1] - b[0])) < 1e-4
+
+
+def test_scores_are_the_plain_average(spark, documents, odd):
+    weights = np.random.default_rng(1).normal(size=quality.BUCKETS).astype(np.float32)
+    found = quality.scored(documents(odd), weights, 0.3).collect()
+    plain = {}
+    for key, text in odd:
+        own = [float(weights[k]) for k in quality.features(text)]
+        plain.setdefault(key, []).append(1 / (1 + math.exp(-(0.3 + (sum(own) / len(own) if own else 0.0)))))
+    for r in found:
+        assert min(abs(r.score - x) for x in plain[r.doc_id]) < 1e-6
