@@ -42,7 +42,7 @@ def boosted_trees(rounds: int = 200, depth: int = 6, rate: float = 0.1, weight:
     one = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=rate, seed=42)
     if validation:
         one = one.setValidationIndicatorCol(validation)
-    out = OneVsRest(classifier=one, labelCol="label", featuresCol="features", parallelism=2)
+    out = OneVsRest(classifier=one, labelCol="label", featuresCol="features", parallelism=4)
     return out.setWeightCol(weight) if weight else out
 
 
