@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Patterns of addresses, ids and times.
 IP = r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b"
 UUID = r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
 DAY_TIME = r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}"
@@ -68,6 +69,10 @@ def mentions(text: Column, *terms: str) -> Column:
     return text.rlike(rf"(?i)\b({'|'.join(terms)})\b")
 
 
+# The words that each feature looks for.
+ERROR, WARNING, AUTH, NETWORK = ("error", "fail", "exception"), ("warn", "warning", "alert"), ("auth", "login", "password", "credential"), ("connection", "port", "socket", "tcp", "udp")
+
+
 def log_features(message: Column, most: int = 512) -> dict[str, Column]:
     return {
         "message": F.left(message, F.lit(most)),
@@ -76,16 +81,16 @@ def log_features(message: Column, most: int = 512) -> dict[str, Column]:
         "digit_count": digits(message),
         "special_char_count": specials(message),
         "uppercase_ratio": ratio(uppers(message), message),
-        "has_error": mentions(message, "error", "fail", "exception"),
-        "has_warning": mentions(message, "warn", "warning", "alert"),
-        "has_auth": mentions(message, "auth", "login", "password", "credential"),
-        "has_network": mentions(message, "connection", "port", "socket", "tcp", "udp"),
+        "has_error": mentions(message, *ERROR),
+        "has_warning": mentions(message, *WARNING),
+        "has_auth": mentions(message, *AUTH),
+        "has_network": mentions(message, *NETWORK),
     }
 
 
 def anomaly_features(text: Column, at: Column | None = None) -> dict[str, Column]:
     """Eight numbers. With a time, the last is its hour and critical counts as an error word; else it tells of paths."""
-    terms = ["error", "fail", "exception"] + ["critical"] * (at is not None)
+    terms = [*ERROR] + ["critical"] * (at is not None)
     last = {"hour_of_day": F.hour(at)} if at is not None else {"has_path": text.rlike(r"/[\p{L}\p{N}_]+/").cast("int")}
     return {
         "message_length": F.length(text),

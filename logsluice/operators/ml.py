@@ -163,23 +163,26 @@ def forest_scored(df: DataFrame, forest: DataFrame, columns: list[str], sample:
     trees = [np.array(r.nodes).reshape(-1, 5) for r in forest.orderBy("tree").collect()]  # trees * 2 * sample nodes
     if not trees:
         raise ValueError("The forest has no trees: it was grown on no rows.")
-    shared, usual = df.sparkSession.sparkContext.broadcast(trees), _depth_left(sample)
+    # All trees in one table; a leaf is its own child, so rows go down as many levels as the deepest tree has, all trees at once.
+    base = np.cumsum([0, *(len(t) for t in trees)])
+    nodes = np.concatenate(trees)
+    inner = nodes[:, 0] >= 0
+    own, shift = np.arange(len(nodes)), np.repeat(base[:-1], [len(t) for t in trees])
+    left, right = (np.where(inner, nodes[:, k].astype(int) + shift, own).astype(np.int32) for k in (2, 3))
+    levels = int(np.ceil(np.log2(max(sample, 2))))
+    table = base[:-1].astype(np.int32), np.maximum(nodes[:, 0], 0).astype(np.int32), nodes[:, 1], np.stack([right, left], 1), nodes[:, 4], levels
+    shared, usual = df.sparkSession.sparkContext.broadcast(table), _depth_left(sample)
 
     @F.pandas_udf("double")
     def score(*xs: pd.Series) -> pd.Series:
-        x = np.column_stack([np.asarray(v, float) for v in xs])
-        total = np.zeros(len(x))
-        for nodes in shared.value:
-            at = np.zeros(len(x), int)
-            while True:
-                f = nodes[at, 0].astype(int)
-                inner = f >= 0
-                if not inner.any():
-                    break
-                left = x[np.arange(len(x)), np.maximum(f, 0)] < nodes[at, 1]
-                at = np.where(inner, np.where(left, nodes[at, 2], nodes[at, 3]).astype(int), at)
-            total += nodes[at, 4]
-        return pd.Series(0.5 - 2.0 ** (-(total / len(shared.value)) / usual))
+        roots, feature, cut, child, depth, steps = shared.value
+        whole, out = np.column_stack([np.asarray(v, float) for v in xs]), []
+        for x in np.array_split(whole, max(1, len(whole) // 1000)):  # rows * trees numbers at once
+            at, rows = np.repeat(roots[None, :], len(x), 0), np.arange(len(x))[:, None]
+            for _ in range(steps):
+                at = child[at, (x[rows, feature[at]] < cut[at]).astype(np.int8)]
+            out.append(depth[at].mean(axis=1))
+        return pd.Series(0.5 - 2.0 ** (-np.concatenate(out) / usual))
 
     return df.withColumn("anomaly_score", score(*columns))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import kept_table
+
 
 #: percentile_approx looks at a table with ranks right to one in so many.
 ACCURACY = 200_000
@@ -94,7 +96,7 @@ def scaled(df: DataFrame, columns: list[str], normal: Column) -> DataFrame:
 def term_scores(docs: DataFrame, key: str, text: str, most: int = 10_000, least_docs: int = 2, most_share: float = 0.95) -> DataFrame:
     """(key, term, tf, df, score): words of two letters or more, in so many documents, the most frequent ones; log tf times smoothed idf."""
     tokens = docs.select(key, F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]{2,})"), F.lit(1))).alias("term"))
-    tf = tokens.groupBy(key, "term").agg(F.count("*").alias("tf"))
+    tf = kept_table(tokens.groupBy(key, "term").agg(F.count("*").alias("tf")), "term-counts")  # read twice: by term, and with the terms that stay
     total = docs.agg(F.count("*").alias("_n"))
     terms = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("all"))
     kept = terms.join(F.broadcast(total), (F.col("df") >= least_docs) & (F.col("df") <= F.col("_n") * most_share)).orderBy(F.desc("all"), "term").limit(most)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text, values
 from ..operators import correlate, cost, enrich, ensemble, metrics, ml, rows, rules, windows
 from ..sources.scratch import folder as scratch
+from ..sources.scratch import kept_table
 from ..streaming import jobs
 from . import views
 from .book import Book, decided, on_logs
@@ -146,12 +147,8 @@ _ALL = f"matches AS (SELECT o.offense_id, d.log_id, d.category, offense_type_nam
 
 def _both(spark, sf):
     """Decisions and offenses as stored tables: correlation reads each several times."""
-    out = []
-    for name, rows_ in (("decisions", views.decisions(spark, sf).select("log_id", "event_ts", "source", "source_ip", "category")), ("offenses", views.offenses(spark, sf))):
-        path = scratch(spark, name)
-        rows_.write.parquet(path)
-        out.append(spark.read.schema(rows_.schema).parquet(path))
-    return out
+    decisions = views.decisions(spark, sf).select("log_id", "event_ts", "source", "source_ip", "category")
+    return kept_table(decisions, "decisions"), kept_table(views.offenses(spark, sf), "offenses")
 
 
 @book.query("offense_scan", on_logs("SELECT offense_id, CAST(floor(epoch(start_time)) AS BIGINT) AS start_time, severity FROM offenses WHERE status = 'OPEN' AND start_time >= TIMESTAMP '2024-01-05' AND start_time < TIMESTAMP '2024-01-25' ORDER BY start_time, offense_id LIMIT 100", _OFF))
@@ -413,24 +410,24 @@ def model_save_load(spark, sf):
 
 
 def _forest(spark, sf):
-    """The logs with scaled features, those to train on, the features' names and a forest of 200 trees."""
+    """The logs with scaled features and whether they are trained on, the features' names and a forest of 200 trees."""
     df, columns = _features(spark, sf)
+    df = kept_table(df.drop("message"), "features")
     usual = F.col("expected_category").isin("routine", "noise")
     few = df.filter(usual).limit(101).count() <= 100
-    train = F.lit(True) if few else usual
-    df = ml.scaled(df, df.filter(train), columns)
-    return df, df.filter(train), columns, ml.isolation_forest(df.filter(train), "log_id", columns)
+    df = df.withColumn("usual", F.lit(True) if few else usual)
+    df = ml.scaled(df, df.filter("usual"), columns)
+    return df, columns, kept_table(ml.isolation_forest(df.filter("usual"), "log_id", columns), "forest")
 
 
 @book.query("isolation_forest_train")
 def isolation_forest_train(spark, sf):
-    _, _, _, forest = _forest(spark, sf)
-    return forest.select("tree", (F.size("nodes") / 5).cast("long").alias("nodes"))
+    return _forest(spark, sf)[-1].select("tree", (F.size("nodes") / 5).cast("long").alias("nodes"))
 
 
 @book.query("isolation_forest_score")
 def isolation_forest_score(spark, sf):
-    df, train, columns, forest = _forest(spark, sf)
-    cut = ml.contamination_cut(ml.forest_scored(train, forest, columns))
-    category, confidence = ml.anomaly_category(F.col("anomaly_score"), cut)
-    return ml.forest_scored(df, forest, columns).select("log_id", "anomaly_score", category.alias("category"), confidence.alias("confidence"))
+    df, columns, forest = _forest(spark, sf)
+    scored = kept_table(ml.forest_scored(df, forest, columns).select("log_id", "usual", "anomaly_score"), "scores")
+    category, confidence = ml.anomaly_category(F.col("anomaly_score"), ml.contamination_cut(scored.filter("usual")))
+    return scored.select("log_id", "anomaly_score", category.alias("category"), confidence.alias("confidence"))
