@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import kept_table
 
-
 #: percentile_approx looks at a table with ranks right to one in so many.
 ACCURACY = 200_000
 
@@ -30,7 +29,11 @@ def _ranked(df: DataFrame, value: str, shares: list[float], by: list[str]) -> Da
     few = F.col("n") <= ACCURACY
     bound = lambda c, end: F.when(few, F.col(end)).otherwise(F.col("_q")[cuts.index(c)])
     bounds = found.select(*by, "n", F.inline(F.array(*[F.struct(F.lit(s).alias("share"), bound(lo, "_a").alias("lo"), bound(hi, "_z").alias("hi")) for s, lo, hi in near])))
-    both = kept.select(*by, F.col(value).alias("value")).join(bounds, by) if by else kept.select(F.col(value).alias("value")).join(F.broadcast(bounds))  # a row for each share
+    if by:
+        both = kept.select(*by, F.col(value).alias("value")).join(bounds, by)
+    else:
+        known = [F.struct(*[F.lit(r[c]).cast(bounds.schema[c].dataType).alias(c) for c in bounds.columns]) for r in bounds.collect()]  # a row for each share
+        both = kept.select(F.col(value).alias("value"), F.inline(F.array(*known)))
     both = both.filter("value <= hi").withColumn("value", F.when(F.col("value") >= F.col("lo"), F.col("value")))  # those below the bound count as one
     counts = both.groupBy(*by, "share", "n", "value").agg(F.count("*").alias("k"))
     upto = F.sum("k").over(Window.partitionBy(*by, "share").orderBy(F.asc_nulls_first("value")))

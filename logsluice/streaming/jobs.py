@@ -85,7 +85,8 @@ def eps(logs: DataFrame, length: str = "60 seconds", every: str = "10 seconds",
 
 
 def spc(series: DataFrame, size: int = 60, sigma: float = 3.0, least: int = 30, warmup: int = values.SPC_WARMUP, late: str = LATE) -> DataFrame:
-    """operators.windows.spc on a stream: the state of a metric is its last values. Rows of one batch are taken in order of time."""
+    """operators.windows.spc on a stream: the state of a metric is its last values. Rows of one batch are taken in order of time; those
+    of a later batch count as later, whatever their time, so a source that reorders more than a batch should be sorted before."""
 
     def chart(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         kept = list(state.get[0]) if state.exists else []
