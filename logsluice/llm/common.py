@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import unicodedata
 import uuid
@@ -46,7 +47,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def small_batches(spark: SparkSession) -> None:
     """Smaller Arrow batches, for whole texts. The session keeps the setting: it bounds bytes, not rows, so narrow rows do not mind."""
-    now = int(str(spark.conf.get(_BATCH)).rstrip("b"))
+    said = re.fullmatch(r"(\d+)([kmgtp]?)b?", spark.conf.get(_BATCH).strip().lower())
+    now = int(said[1]) << 10 * " kmgtp".index(said[2] or " ") if said else 0
     if not 0 < now <= BATCH_BYTES:
         spark.conf.set(_BATCH, str(BATCH_BYTES))
 
