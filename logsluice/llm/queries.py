@@ -1,5 +1,6 @@
 """The registered queries of this subpackage, and DuckDB SQL where SQL can state them."""
 
+from .bpe import op12_bpe
 from .dac import op7_token_files
 from .decontaminate import op8_decontamination
 from .digest import op9_digest
@@ -22,5 +23,6 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_digest": op9_digest,
     "op10_packing": op10_packing,
+    "op12_bpe": op12_bpe,
 }
 ORACLES: dict[str, str] = {}
