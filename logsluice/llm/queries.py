@@ -6,6 +6,7 @@ from .decontaminate import op8_decontamination
 from .digest import op9_digest
 from .html import op2_html
 from .packing import op10_packing
+from .periodic import op11_runs
 from .quality import op1_quality
 from .rollup import op3_token_counts
 from .secrets import op4_secrets
@@ -23,6 +24,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_digest": op9_digest,
     "op10_packing": op10_packing,
+    "op11_runs": op11_runs,
     "op12_bpe": op12_bpe,
 }
 ORACLES: dict[str, str] = {}
