@@ -12,6 +12,7 @@ from .rollup import op3_token_counts
 from .secrets import op4_secrets
 from .sentences import op5_sentences
 from .simhash import op6_simhash
+from .trie import op13_trie
 
 QUERIES = {
     "op1_quality": op1_quality,
@@ -26,5 +27,6 @@ QUERIES = {
     "op10_packing": op10_packing,
     "op11_runs": op11_runs,
     "op12_bpe": op12_bpe,
+    "op13_trie": op13_trie,
 }
 ORACLES: dict[str, str] = {}
