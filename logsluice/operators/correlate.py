@@ -1,7 +1,7 @@
 """Correlation of decisions with SIEM offenses, to find what triage missed.
 
 Three strategies, each a table (offense_id, log_id), and each an equi-join on time buckets besides its own key: an equal address,
-a source name that contains the other (distinct names meet by their substrings first), or the time alone (salted). The first
+a source name that contains the other (distinct names meet first, see contain), or the time alone (salted). The first
 strategy that looks at a log counts for an offense, even if its time or score then fails.
 
 A hot address or source is a skewed join key in its bucket: adaptive execution splits it, since both sides are plain joins.
@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import contain
+
 BEFORE, AFTER = 60, 5  # minutes
 WEIGHTS = {"ip_match": 0.4, "source_match": 0.3, "time_window": 0.0}
 TIME_WEIGHT, LEAST = 0.3, 0.6
@@ -42,18 +44,10 @@ def by_ip(decisions: DataFrame, offenses: DataFrame, before: int = BEFORE, after
     return addresses.join(decisions, ["source_ip", "bucket"]).filter(in_window(before, after)).drop("bucket")
 
 
-def _substrings(names: DataFrame, name: str, to: str) -> DataFrame:
-    """names with a row for each distinct substring, the empty one included, of a name; in the number of distinct names, not of logs."""
-    every = f"flatten(transform(sequence(1, length({name})), i -> transform(sequence(1, length({name}) - i + 1), k -> substring({name}, i, k))))"
-    some = F.expr(f"CASE WHEN length({name}) > 0 THEN array_distinct({every}) ELSE array() END")
-    return names.withColumn(to, F.explode(F.concat(F.array(F.lit("")), some)))
-
-
 def containing(wanted: DataFrame, known: DataFrame) -> DataFrame:
     """Rows (log_source, source): names of wanted (log_source, name) and known (source, low) of which one contains the other."""
-    inner = _substrings(wanted, "name", "part").join(known.withColumnRenamed("low", "part"), "part")
-    outer = _substrings(known, "low", "part").join(wanted.withColumnRenamed("name", "part"), "part")
-    return inner.select("log_source", "source").unionByName(outer.select("log_source", "source")).distinct()
+    pairs = contain.containing(wanted.select("name"), known.select("low")).toDF("name", "low")
+    return pairs.join(wanted, "name").join(known, "low").select("log_source", "source").distinct()
 
 
 def by_source(decisions: DataFrame, offenses: DataFrame) -> DataFrame:

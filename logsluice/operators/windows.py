@@ -1,7 +1,7 @@
 """Rolling frames: control charts, event rates, cost trends, runs of failures.
 
 A metric's series is one window partition, so series are aggregated to minutes first: a year is half a million rows,
-whatever the number of logs.
+whatever the number of logs. What runs over all rows in order (running sums, runs of failures) goes range by range.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import values
+from ..sources.scratch import kept_table
 
 
 def metric_series(logs: DataFrame) -> DataFrame:
@@ -63,13 +64,55 @@ def trailing_mean(value: str, rows: int, order: str, *keys: str) -> Column:
     return F.avg(value).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(-(rows - 1), 0))
 
 
-def running_sum(value: Column, order: str, *keys: str) -> Column:
-    return F.sum(value).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+def ranged(df: DataFrame, *order: str) -> DataFrame:
+    """df as a stored table whose ranges of the order columns have rising numbers, part; rows of equal order share a range."""
+    return kept_table(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranges")
+
+
+def with_carried(ranges: DataFrame, carried: list[tuple]) -> DataFrame:
+    """ranges with the columns (part, name ...) of one row a range, told by the driver: as many rows as there are ranges."""
+    names, rows = carried[0], carried[1:]
+    return ranges.join(F.broadcast(ranges.sparkSession.createDataFrame(rows, names)), "part")
+
+
+def with_running_sum(df: DataFrame, value: Column, order: str, to: str) -> DataFrame:
+    """df with the sum of value over all rows up to this one, as of `order`, a column without ties (or with equal rows at one).
+
+    A range's sum is all that the next ranges need of it, so no task sees more than one range.
+    """
+    ranges = ranged(df.withColumn("_value", value), order)
+    sums, so_far = [], None
+    for r in sorted(ranges.groupBy("part").agg(F.sum("_value").alias("s")).collect(), key=lambda r: r.part):
+        sums.append((r.part, so_far))
+        if r.s is not None:
+            so_far = r.s if so_far is None else so_far + r.s
+    if not sums:
+        return ranges.withColumn(to, F.col("_value")).drop("part", "_value")
+    kind = ranges.select(F.sum("_value")).schema[0].dataType.simpleString()
+    within = Window.partitionBy("part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    out = with_carried(ranges, [f"part int, _before {kind}", *sums])
+    return out.withColumn(to, F.coalesce("_before", F.lit(0)) + F.coalesce(F.sum("_value").over(within), F.lit(0))).drop("part", "_before", "_value")
 
 
 def failure_runs(batches: DataFrame, order: str, failed: str, least: int = 5) -> DataFrame:
-    """Runs of consecutive failures; from the least-th on, the run is open."""
-    ordered = Window.orderBy(order)  # batches, not logs
-    runs = batches.withColumn("run", F.sum(F.when(F.col(failed), 0).otherwise(1)).over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
-    place = F.sum(F.col(failed).cast("int")).over(Window.partitionBy("run").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return runs.withColumn("failures", place).withColumn("open", F.col(failed) & (F.col("failures") >= least)).drop("run")
+    """Runs of consecutive failures; from the least-th on, the run is open. A null counts as no failure.
+
+    The length of a run at a row is its place less that of the last success. Of a range, others need the number of rows and
+    the place of its last success; so a run, however long, is spread over as many tasks as it has ranges.
+    """
+    ok = ~F.coalesce(F.col(failed), F.lit(False))
+    ranges = ranged(batches, order)
+    order_in = Window.partitionBy("part").orderBy(order)
+    placed = ranges.withColumn("_n", F.row_number().over(order_in))
+    said = placed.groupBy("part").agg(F.max("_n").alias("n"), F.max(F.when(ok, F.col("_n"))).alias("last"))
+    carried, before, last = [], 0, 0
+    for r in sorted(said.collect(), key=lambda r: r.part):
+        carried.append((r.part, before - last))
+        last = before + r.last if r.last is not None else last
+        before += r.n
+    if not carried:
+        return ranges.drop("part").withColumns({"failures": F.lit(0).cast("long"), "open": F.lit(False)})
+    out = with_carried(placed, ["part int, _since long", *carried])  # failures right before the range
+    own = F.max(F.when(ok, F.col("_n"))).over(order_in.rowsBetween(Window.unboundedPreceding, 0))
+    failures = F.when(own.isNull(), F.col("_since") + F.col("_n")).otherwise(F.col("_n") - own)
+    return out.withColumn("failures", failures.cast("long")).withColumn("open", ~ok & (F.col("failures") >= least)).drop("part", "_n", "_since")

@@ -107,7 +107,8 @@ def cost_trend(spark, sf):
 @book.query("cumulative_savings", on_logs("SELECT CAST(floor(epoch(ts)) AS BIGINT) AS at, round(sum(CAST(annual AS DOUBLE) / 8760 / 3600) OVER (ORDER BY ts), 4) AS total FROM saved", *_R))
 def cumulative_savings(spark, sf):
     hourly = cost.savings(F.col("before").cast("double"), F.col("after").cast("double"))["savings_hourly"] / 3600
-    return views.eps_series(spark, sf).withColumn("part", hourly).select(F.unix_timestamp("ts").alias("at"), F.round(windows.running_sum(F.col("part"), "ts"), 4).alias("total"))
+    out = windows.with_running_sum(views.eps_series(spark, sf), hourly, "ts", "total")
+    return out.select(F.unix_timestamp("ts").alias("at"), F.round("total", 4).alias("total"))
 
 
 @book.query("eps_avg60", on_logs("SELECT CAST(floor(epoch(ts)) AS BIGINT) AS at, round(avg(CAST(before AS DOUBLE)) OVER w, 4) AS before, round(avg(CAST(after AS DOUBLE)) OVER w, 4) AS after FROM rates WINDOW w AS (ORDER BY ts ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)", decided(), _RATES))
