@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,22 +99,32 @@ def routes(logs: DataFrame, category: str = "category", table: dict | None = Non
     return logs.withColumn("_route", case.otherwise(entry(other))).withColumn("destination", F.explode_outer("_route.destinations")).withColumns({"method": F.col("_route.method"), "batch_size": F.col("_route.batch_size")}).drop("_route")
 
 
-def triage(logs: DataFrame, with_models: bool = True) -> DataFrame:
+def triage(logs: DataFrame, with_models: bool = True, models: dict[str, Callable[..., DataFrame]] | None = None) -> DataFrame:
     """parse, compliance, rules and model scores, combination, routing: one projection and one explode, no shuffle.
 
-    logs has log_id, raw_message, source and, with_models, text_* and anomaly_* columns (see plans.views.scored).
+    logs has log_id, raw_message and source. models (see scoring.models_at) are applied to the parsed message and event_ts; a
+    kind without a model counts as routine at 0.5. With none given, with_models expects text_* and anomaly_* columns
+    (see plans.views.scored), else rules decide alone. Filters on logs belong before it: none is pushed through.
     """
     message = F.col("parsed_message")
     out = rules.with_compliance(parse.parsed(logs), F.col("source"), message)
     out = rules.with_rule(out, message, names=("_category", "_rule_name", "_confidence"))
     rule = (F.col("_category"), F.col("_confidence"))
-    models = {"rule_based": spread(*rule)}
-    if with_models:
-        models |= {"text_model": {c: F.col(f"text_p_{c}") for c in CATEGORIES}, "anomaly": spread(F.col("anomaly_category"), F.col("anomaly_confidence"))}
-    out = with_weighted(out, models, rule)
+    scores = {"rule_based": spread(*rule)}
+    if models is not None:
+        for model in models.values():
+            out = model(out, "parsed_message", "event_ts")
+        scores |= {kind: spread(*or_default(F.lit(None).cast("string"), F.lit(None).cast("double"))) for kind in ("text_model", "anomaly") if kind not in models}
+    if models is None and with_models or models and "text_model" in models:
+        scores["text_model"] = {c: F.col(f"text_p_{c}") for c in CATEGORIES}
+    if models is None and with_models or models and "anomaly" in models:
+        scores["anomaly"] = spread(F.col("anomaly_category"), F.col("anomaly_confidence"))
+    out = with_weighted(out, scores, rule)
     regulated = F.col("decision.is_regulated")
+    # Always true, but unknown to the optimizer: a filter on the decision stays above it and is not written out in terms of the raw line.
+    here = F.spark_partition_id() >= 0
     out = out.withColumns({
-        "category": F.when(regulated, "critical").otherwise(F.col("category")),
+        "category": F.when(here & regulated, "critical").otherwise(F.col("category")),
         "confidence": F.when(regulated, 1.0).otherwise(F.col("confidence")),
         "model": F.when(regulated, "compliance_bypass").otherwise("ensemble"),
         "retention_days": F.col("decision.retention_days"),

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import json
+import time
+import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, OneVsRest
 from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, SQLTransformer
@@ -91,17 +95,40 @@ def cross_validated(df: DataFrame, key: str, text: str, label: str, classifier:
     return out
 
 
-def save(model: PipelineModel, path: str, results: dict) -> None:
-    """The model and a manifest below path/name; path/latest names the last."""
-    spark = SparkSession.active()
-    model.write().overwrite().save(f"{path}/{results['name']}/model")
-    spark.createDataFrame([(json.dumps(results),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{results['name']}/manifest")
-    spark.createDataFrame([(results["name"],)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/latest")
+class NothingPublished(LookupError):
+    """No model has been published at a path."""
 
 
-def load(spark, path: str) -> tuple[PipelineModel, dict]:
-    name = spark.read.text(f"{path}/latest").first().value
-    return PipelineModel.load(f"{path}/{name}/model"), json.loads(spark.read.text(f"{path}/{name}/manifest").first().value)
+def publish(spark: SparkSession, path: str, said: dict, write: Callable[[str], object]) -> str:
+    """Have a model written to a new folder below path, then add a row that tells of it. What was published before stays as it is, so
+    a reader finds either the last model or this one, whole, whatever fails."""
+    folder = f"{path}/{said['name']}-{uuid.uuid4().hex}"
+    write(folder)
+    row = spark.createDataFrame([(time.time_ns(), folder, json.dumps(said))], "at long, folder string, said string")
+    row.coalesce(1).write.mode("append").parquet(f"{path}/published")
+    return folder
+
+
+def published(spark: SparkSession, path: str) -> tuple[str, dict]:
+    """Folder and description of the last model that was published at path."""
+    try:
+        last = spark.read.schema("at long, folder string, said string").parquet(f"{path}/published").orderBy(F.desc("at")).first()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        last = None
+    if last is None:
+        raise NothingPublished(path)
+    return last.folder, json.loads(last.said)
+
+
+def save(model: PipelineModel, path: str, results: dict) -> str:
+    return publish(SparkSession.active(), path, results, lambda folder: model.write().save(f"{folder}/model"))
+
+
+def load(spark: SparkSession, path: str) -> tuple[PipelineModel, dict]:
+    folder, said = published(spark, path)
+    return PipelineModel.load(f"{folder}/model"), said
 
 
 def _depth_left(n: float) -> float:

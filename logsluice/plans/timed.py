@@ -6,13 +6,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text, values
-from ..operators import correlate, cost, enrich, ensemble, metrics, ml, rows, rules, windows
+from ..operators import correlate, cost, enrich, ensemble, metrics, ml, rows, rules, scoring, windows
 from ..sources.scratch import folder as scratch
 from ..sources.scratch import kept_table
 from ..streaming import jobs
 from . import views
 from .book import Book, decided, on_logs
-from .triage import SPLIT
+from .triage import CHECKED, SPLIT
 
 book = Book()
 SIX = lambda c: F.round(c, 6)
@@ -352,19 +352,68 @@ def _features(spark, sf):
     return views.logs(spark, sf).select("log_id", "message", "expected_category", *[c.cast("double").alias(n) for n, c in feats.items()]), list(feats)
 
 
-_models: dict[tuple[str, str], tuple] = {}
+_models: dict[tuple, tuple] = {}
+
+
+def _once(spark, sf, kind, make):
+    """What make() gives, once for a session and for the events files as they are."""
+    files = spark.read.parquet(f"{sf}/events.parquet").select("_metadata.file_path", "_metadata.file_modification_time").distinct().collect()  # a row a file
+    key = (spark.sparkContext.applicationId, sf, kind, frozenset(map(tuple, files)))
+    if key not in _models:
+        _models[key] = make()
+    return _models[key]
 
 
 def _trained(spark, sf):
     """The logs with their split, and the model of its full size, trained once for a session and folder: 200 rounds of depth 6 at most, stopped by
     the validation split, on the 10,000 most frequent terms of one to three words of the normalised message."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _models:
+
+    def make():
         logs = views.logs(spark, sf).select("log_id", text.normalised(F.col("message"), text.NORMALISE_TRAIN).alias("message"), "expected_category")
         logs = rows.stratified_split(logs, "log_id", "expected_category")
         fitted = logs.filter("split <> 'test'").withColumn("is_val", F.col("split") == "val")
-        _models[key] = logs, ml.train(fitted, "message", "expected_category", ml.boosted_trees(validation="is_val"))
-    return _models[key]
+        return logs, ml.train(fitted, "message", "expected_category", ml.boosted_trees(validation="is_val"))
+
+    return _once(spark, sf, "text", make)
+
+
+def _published(spark, sf):
+    """Where the two models fitted on these logs have been published."""
+
+    def make():
+        paths = {kind: scratch(spark, f"models-{kind}") for kind in scoring.KINDS}
+        scoring.TextModel(_trained(spark, sf)[1]).save(spark, paths["text_model"], "v1")
+        scoring.fit_anomaly(views.logs(spark, sf), F.col("expected_category").isin("routine", "noise")).save(spark, paths["anomaly"], "v1")
+        return paths
+
+    return _once(spark, sf, "published", make)
+
+
+_PARSED = (decided().replace("'message'", "parsed").replace("(message,", "(parsed,").replace("FROM logs)", "FROM (SELECT *, CASE WHEN log_id % 6 = 5 THEN raw_message ELSE message END AS parsed FROM logs))"), CHECKED)
+
+
+@book.query("triage_by_models", on_logs("SELECT split, count(*) AS n, count(*) FILTER (len(rules) > 0) AS regulated, true AS accuracy_from_95, true AS critical_recall_from_99 FROM checked c JOIN split USING (log_id) GROUP BY 1", *_PARSED, SPLIT))
+def triage_by_models(spark, sf):
+    """The whole triage with rules, the loaded text model and the loaded forest, no score from a label: by split how many logs, how many of
+    them are regulated, and whether the decisions on all others are as good as they have to be."""
+    out = ensemble.triage(views.logs(spark, sf), models=scoring.models_at(spark, _published(spark, sf)))
+    known = _trained(spark, sf)[0].select("log_id", "expected_category", "split")
+    judged = out.filter("destination = 'cold_storage'").join(known, "log_id")  # every log goes there
+    free, right = F.col("model") == "ensemble", F.col("category") == F.col("expected_category")
+    share = judged.groupBy("split").agg(F.count("*").alias("n"), F.count_if(~free).alias("regulated"), F.avg(F.when(free, right.cast("double"))).alias("a"), F.avg(F.when(free & (F.col("expected_category") == "critical"), right.cast("double"))).alias("r"))
+    return share.select("split", "n", "regulated", (F.col("a") >= 0.95).alias("accuracy_from_95"), (F.col("r") >= 0.99).alias("critical_recall_from_99"))
+
+
+@book.query("classifiers_by_name", on_logs("SELECT classifier, count(*) AS n, true AS confident, true AS known FROM logs, (VALUES ('rules'), ('text_model'), ('anomaly')) t(classifier) GROUP BY 1"))
+def classifiers_by_name(spark, sf):
+    """Classifiers picked by configuration, trained ones loaded from their folders: how many logs, and whether each has a known category
+    with a confidence between 0 and 1."""
+    paths, logs, out = _published(spark, sf), views.logs(spark, sf), None
+    for kind in ("rules", *scoring.KINDS):
+        said = scoring.create({"type": kind, "path": paths.get(kind)})(logs)
+        one = said.agg(F.lit(kind).alias("classifier"), F.count("*").alias("n"), F.every(F.col("confidence").between(0, 1)).alias("confident"), F.every(F.col("category").isin(*values.CATEGORIES)).alias("known"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @book.query("boosted_tree_train", on_logs("SELECT split, count(*) AS n, true AS accuracy_from_95, true AS critical_recall_from_99 FROM split GROUP BY 1", SPLIT))

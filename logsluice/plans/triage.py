@@ -142,11 +142,12 @@ def route_explode(spark, sf):
     return ensemble.routes(views.decisions(spark, sf).select("log_id", "category")).select("log_id", "category", "method", "destination", "batch_size")
 
 
-_TRIAGE_CHECK = _CHECK.replace("FROM logs)", "FROM decisions)").replace("message", "parsed")
+#: Compliance on the parsed text of decided logs.
+CHECKED = _CHECK.replace("FROM logs)", "FROM decisions)").replace("message", "parsed")
 _END = "ended AS (SELECT m.log_id, CASE m.log_id % 6 WHEN 0 THEN 'leef' WHEN 1 THEN 'cef' WHEN 2 THEN 'syslog_rfc5424' WHEN 3 THEN 'syslog_rfc3164' WHEN 4 THEN 'json' ELSE 'generic' END AS format, source, parsed AS parsed_message, " + f"CASE WHEN len(rules) > 0 THEN 'critical' WHEN m.category = 'critical' AND confidence > 0.85 THEN 'critical' ELSE {_PICK} END AS category, round(CASE WHEN len(rules) > 0 THEN 1.0 WHEN m.category = 'critical' AND confidence > 0.85 THEN confidence ELSE {_TOP} END + 1e-9, 6) AS confidence, CASE WHEN len(rules) > 0 THEN 'compliance_bypass' ELSE 'ensemble' END AS model, days AS retention_days FROM mix m)"
 
 
-@book.query("end_to_end_triage", on_scored("SELECT ended.*, destination, method FROM ended JOIN routes USING (category)", _RULED.replace("'message'", "parsed").replace("(message,", "(parsed,").replace("FROM scored)", "FROM (SELECT *, CASE WHEN log_id % 6 = 5 THEN raw_message ELSE message END AS parsed FROM scored))"), _TRIAGE_CHECK, _MIX.replace("FROM decisions)", "FROM checked)"), _ROUTES, _END))
+@book.query("end_to_end_triage", on_scored("SELECT ended.*, destination, method FROM ended JOIN routes USING (category)", _RULED.replace("'message'", "parsed").replace("(message,", "(parsed,").replace("FROM scored)", "FROM (SELECT *, CASE WHEN log_id % 6 = 5 THEN raw_message ELSE message END AS parsed FROM scored))"), CHECKED, _MIX.replace("FROM decisions)", "FROM checked)"), _ROUTES, _END))
 def end_to_end_triage(spark, sf):
     return ensemble.triage(views.scored(spark, sf)).withColumn("confidence", SIX(F.col("confidence") + 1e-9))
 
