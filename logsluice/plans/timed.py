@@ -9,7 +9,7 @@ from ..functions import text, values
 from ..operators import correlate, cost, enrich, ensemble, metrics, ml, rows, rules, scoring, windows
 from ..sources.scratch import folder as scratch
 from ..sources.scratch import kept_table
-from ..streaming import jobs
+from ..streaming import jobs, stateful
 from . import views
 from .book import Book, decided, on_logs
 from .triage import CHECKED, SPLIT
@@ -287,17 +287,26 @@ def stream_triage(spark, sf):
     return jobs.finished(jobs.triage(stream), "triage").groupBy("destination").agg(F.count("*").alias("n"))
 
 
-@book.query("stream_multi_sink", on_logs("SELECT destination, category, count(*) AS n FROM (SELECT category FROM checked) JOIN routes USING (category) GROUP BY ALL", *_TRIAGED))
+_LANES = 4
+
+
+@book.query("stream_multi_sink", on_logs(f"SELECT destination, category, sum(n) AS n, sum(CASE WHEN size = 1 THEN n ELSE ceil(n / size) END) AS batches, sum(CASE WHEN size = 1 THEN n ELSE n // size END) AS full_batches FROM (SELECT destination, category, CASE category WHEN 'critical' THEN 1 WHEN 'suspicious' THEN 100 WHEN 'routine' THEN 500 ELSE 1000 END AS size, log_id % {_LANES} AS lane, count(*) AS n FROM checked JOIN routes USING (category) GROUP BY ALL) GROUP BY 1, 2", _TRIAGED[0], _TRIAGED[1].replace("AS (SELECT CASE", "AS (SELECT log_id, CASE"), _TRIAGED[2]))
 def stream_multi_sink(spark, sf):
+    """Batches of 1, 100, 500 and 1,000 rows by category for each destination, the last of each queue when the stream ends."""
     folder = scratch(spark, "sinks")
-    routed = jobs.triage(jobs.replayed(views.logs(spark, sf)).filter("log_id IS NOT NULL"))
-    jobs.in_batches(routed, "multi", jobs.to_destinations(routed, folder))
+    stream = jobs.replayed(views.logs(spark, sf))
+    routed = jobs.triage(stream.filter("log_id IS NOT NULL"))
+    sent = stateful.batched(routed, F.pmod("log_id", F.lit(_LANES)), _LANES, stream.filter("log_id IS NULL"), seconds=None)
+    jobs.in_batches(sent, "multi", jobs.to_destinations(sent, folder))
     names = sorted({d for _, ds, _ in values.ROUTES.values() for d in ds})
-    parts = [spark.read.schema(routed.schema).parquet(f"{folder}/{n}") for n in names]
+    parts = [spark.read.schema(sent.schema).parquet(f"{folder}/{n}") for n in names]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.groupBy("destination", "category").agg(F.count("*").alias("n"))
+    size = F.get(F.map_values(F.map_filter(F.create_map(*[x for c, r in values.ROUTES.items() for x in (F.lit(c), F.lit(r[2]))]), lambda k, v: k == F.col("category"))), F.lit(0))
+    each = out.groupBy("destination", "category", "lane", "batch_number", "batch_rows").agg(F.count("*").alias("n"))
+    count = F.when(F.col("lane").isNull(), F.col("n")).otherwise(F.col("n") / F.col("batch_rows")).cast("long")  # one, unless a batch was torn or sent twice
+    return each.groupBy("destination", "category").agg(F.sum("n").alias("n"), F.sum(count).alias("batches"), F.sum(F.when(F.col("batch_rows") == size, count).otherwise(0)).alias("full_batches"))
 
 
 @book.query("batch_callbacks", on_logs("SELECT log_id, message FROM logs WHERE expected_category = 'critical'"))
@@ -318,11 +327,12 @@ def stream_eps(spark, sf):
     return jobs.finished(jobs.eps(jobs.replayed(views.logs(spark, sf))), "eps").select(F.unix_timestamp("start").alias("start"), "source", "n", SIX(F.col("eps")).alias("eps"))
 
 
-@book.query("stream_spc", on_logs(f"SELECT metric_name, CAST(floor(epoch(ts)) AS BIGINT) AS at, value, n, round(mean, 5) AS mean FROM ({_chart(60, 3, 30)})", _HOURLY))
+@book.query("stream_spc", on_logs(f"SELECT metric_name, CAST(floor(epoch(ts)) AS BIGINT) AS at, value, n, round(mean, 5) AS mean, round(std, 5) AS std, round(z, 4) AS z FROM ({_chart(60, 3, 30)})", _HOURLY))
 def stream_spc(spark, sf):
-    series = _hourly(spark, sf).coalesce(1).sortWithinPartitions("ts")
-    out = jobs.finished(jobs.spc(jobs.replayed(series, "ts", 100)), "spc")
-    return out.select("metric_name", F.unix_timestamp("ts").alias("at"), "value", "n", F.round("mean", 5).alias("mean"))
+    """Files by hashed hours, so that hours come in no order at all; the watermark spans them."""
+    series = _hourly(spark, sf).repartition(6, F.xxhash64("ts"))
+    out = jobs.finished(stateful.spc(jobs.replayed(series, "ts", 1), late="60 days"), "spc")
+    return out.select("metric_name", F.unix_timestamp("ts").alias("at"), "value", "n", F.round("mean", 5).alias("mean"), F.round("std", 5).alias("std"), F.round("z", 4).alias("z"))
 
 
 @book.query("stream_correlate", on_logs(f"SELECT offense_id, log_id, 'ip_match' AS strategy FROM decisions d JOIN offenses o ON d.source_ip = o.offense_ip AND {_IN} UNION ALL SELECT offense_id, log_id, 'source_match' FROM decisions d JOIN offenses o ON {_SRC} AND {_IN}", decided(), _OFF))
@@ -337,13 +347,14 @@ def stream_correlate(spark, sf):
     return ip.unionByName(source)
 
 
-@book.query("stream_pending_timeout", on_logs("SELECT CASE WHEN log_id % 3 = 0 THEN 'timeout' ELSE 'outcome' END AS state, count(*) AS n FROM decisions GROUP BY 1", decided()))
+@book.query("stream_pending_timeout", on_logs("SELECT log_id, CASE WHEN log_id % 3 = 0 OR log_id % 5 = 0 THEN 'timeout' ELSE 'outcome' END AS state, CAST(floor(epoch(event_ts)) AS BIGINT) + CASE WHEN log_id % 3 = 0 OR log_id % 5 = 0 THEN 86400 ELSE 3600 END AS ended_at FROM decisions", decided()))
 def stream_pending_timeout(spark, sf):
+    """Outcomes come an hour after the decision, for every fifth log an hour too late, for every third never."""
     d = views.decisions(spark, sf).select("log_id", "event_ts", "category")
-    outcomes = d.filter("log_id % 3 <> 0").select("log_id", (F.col("event_ts") + F.expr("INTERVAL 1 HOUR")).alias("outcome_ts"))
-    out = jobs.with_outcome(jobs.replayed(d, files_a_batch=100, key="log_id"), jobs.replayed(outcomes, "outcome_ts", 100, "log_id"))
-    done = jobs.finished(out.select("log_id", F.when(F.col("outcome_ts").isNull(), "timeout").otherwise("outcome").alias("state")), "pending")
-    return done.filter("log_id >= 0").groupBy("state").agg(F.count("*").alias("n"))
+    hours = F.when(F.col("log_id") % 5 == 0, F.expr("INTERVAL 25 HOURS")).otherwise(F.expr("INTERVAL 1 HOUR"))
+    outcomes = d.filter("log_id % 3 <> 0").select("log_id", (F.col("event_ts") + hours).alias("outcome_ts"))
+    out = stateful.pending(jobs.replayed(d, files_a_batch=2, key="log_id"), jobs.replayed(outcomes, "outcome_ts", 2, "log_id"), late="60 days", shares=8)
+    return jobs.finished(out, "pending").filter("log_id >= 0").select("log_id", "state", F.unix_timestamp("ended_at").alias("ended_at"))
 
 
 # models

@@ -1,23 +1,21 @@
 """Structured Streaming: the same operators on streams, with watermarks, state and sinks.
 
 Metrics are late by ten minutes at most, decisions by a day. Stateless steps are the batch functions themselves; state is
-bounded by watermarks or by the operator's own window.
+bounded by watermarks or by the operator's own window. Operators with state of their own are in stateful.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import text, values
 from ..operators import correlate, ensemble
 from ..sources.scratch import folder as _place
+from .stateful import state_store
 
 LATE, LATE_DECISIONS = "10 minutes", "24 hours"
 
@@ -40,15 +38,17 @@ def finished(stream: DataFrame, name: str) -> DataFrame:
     """Run a stream over all that is there, into files, and read those."""
     spark = stream.sparkSession
     path = _place(spark, name)
-    query = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    with state_store(spark):
+        query = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
-def in_batches(stream: DataFrame, name: str, each: Callable[[DataFrame, int], None]) -> StreamingQuery:
-    """Hand every micro-batch to a function (a callback, several sinks); progress is kept once it returns."""
-    state = f"{_place(stream.sparkSession, name)}/state"
-    query = stream.writeStream.option("checkpointLocation", state).foreachBatch(each).trigger(availableNow=True).start()
+def in_batches(stream: DataFrame, name: str, each: Callable[[DataFrame, int], None], state: str | None = None) -> StreamingQuery:
+    """Hand every micro-batch to a function (a callback, several sinks); progress is kept, in the folder state, once it returns."""
+    state = state or f"{_place(stream.sparkSession, name)}/state"
+    with state_store(stream.sparkSession):
+        query = stream.writeStream.option("checkpointLocation", state).foreachBatch(each).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
 
@@ -84,25 +84,6 @@ def eps(logs: DataFrame, length: str = "60 seconds", every: str = "10 seconds",
     return out.select(F.col("window.start").alias("start"), "source", "n", (F.col("n") / 60.0).alias("eps"))
 
 
-def spc(series: DataFrame, size: int = 60, sigma: float = 3.0, least: int = 30, warmup: int = values.SPC_WARMUP, late: str = LATE) -> DataFrame:
-    """operators.windows.spc on a stream: the state of a metric is its last values. Rows of one batch are taken in order of time; those
-    of a later batch count as later, whatever their time, so a source that reorders more than a batch should be sorted before."""
-
-    def chart(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values("ts")
-        out = []
-        for ts, value in zip(rows["ts"], rows["value"]):
-            kept = [*kept, float(value)][-size:]
-            n, mean, std = len(kept), float(np.mean(kept)), float(np.std(kept)) or 1e-10
-            z = (value - mean) / std if n >= max(least, warmup) else 0.0
-            out.append((key[0], ts, value, n, mean if n >= warmup else None, std if n >= warmup else None, z, abs(z) > sigma))
-        state.update((kept,))
-        yield pd.DataFrame(out, columns=["metric_name", "ts", "value", "n", "mean", "std", "z", "is_anomaly"])
-
-    return series.filter("metric_name IS NOT NULL").groupBy("metric_name").applyInPandasWithState(chart, "metric_name string, ts timestamp, value double, n long, mean double, std double, z double, is_anomaly boolean", "kept array<double>", "append", GroupStateTimeout.NoTimeout)
-
-
 def correlated(decisions: DataFrame, offenses: DataFrame, before: int = 60, after: int = 5) -> DataFrame:
     """Decisions and offenses of one address within the window: an interval join of two streams, state bounded by watermarks."""
     d = decisions.withWatermark("event_ts", LATE_DECISIONS)
