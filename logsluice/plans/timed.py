@@ -6,10 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text, values
-from ..operators import correlate, cost, enrich, ensemble, metrics, ml, rows, rules, scoring, windows
+from ..operators import correlate, cost, enrich, ensemble, metrics, ml, rollups, rows, rules, scoring, windows
 from ..sources.scratch import folder as scratch
 from ..sources.scratch import kept_table
-from ..streaming import jobs, stateful
+from ..streaming import jobs, ruled, stateful
 from . import views
 from .book import Book, decided, on_logs
 from .triage import CHECKED, SPLIT
@@ -71,6 +71,38 @@ def eps_window(spark, sf):
     return counts.select("source", "at", SIX(windows.trailing_rate(counts, "at", "n", 60, "source")).alias("eps"))
 
 
+# rollups
+@book.query("latency_rollup", "SELECT CAST(floor(epoch(date_trunc('day', CAST(ts AS TIMESTAMP)))) AS BIGINT) AS day, event_type, count(*) AS n, round(min(value), 6) AS least, round(max(value), 6) AS most, round(avg(value), 6) AS mean, true AS p50_close, true AS p95_close, true AS p99_close FROM events GROUP BY ALL")
+def latency_rollup(spark, sf):
+    """Percentiles of days from the stored sketches of minutes alone; against the logs, how far off their ranks are."""
+    logs = views.logs(spark, sf)
+    stored = kept_table(rollups.minutes(logs, "event_ts", "event_type", value="latency_ms"), "minutes")
+    days = rollups.united(stored, F.date_trunc("day", "minute"), "event_type")
+    shares = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    told = kept_table(days.select(F.to_date("minute").alias("day"), "event_type", "n", "n_values", "least", "most", "total", *[rollups.quantile(s).alias(p) for p, s in shares.items()]), "days")
+    both = logs.select(F.to_date("event_ts").alias("day"), "event_type", "latency_ms").join(told, ["day", "event_type"])
+    keys = ["day", "event_type", "n", "n_values", "least", "most", "total"]
+    # A value's own copies span ranks, any of which would be right; a single value may be one rank off.
+    below = [F.count_if(F.col("latency_ms") < F.col(p)).alias(f"_b_{p}") for p in shares] + [F.count_if(F.col("latency_ms") <= F.col(p)).alias(f"_u_{p}") for p in shares]
+    ranks = both.groupBy(*keys).agg(*below)
+    close = [((F.col(f"_b_{p}") - 1 <= (s + rollups.RANK_ERROR) * F.col("n_values")) & (F.col(f"_u_{p}") + 1 >= (s - rollups.RANK_ERROR) * F.col("n_values"))).alias(f"{p}_close") for p, s in shares.items()]
+    return ranks.select(F.unix_date("day").cast("long").alias("_d"), "*").select((F.col("_d") * 86400).alias("day"), "event_type", "n", *[SIX(F.col(c)).alias(c) for c in ("least", "most")], SIX(F.col("total") / F.col("n_values")).alias("mean"), *close)
+
+
+@book.query("unique_ips_rollup", on_logs("SELECT CAST(floor(epoch(date_trunc('hour', event_ts))) AS BIGINT) AS hour, count(*) AS n, count(DISTINCT source_ip) AS addresses, true AS close FROM logs GROUP BY 1 UNION ALL SELECT NULL, count(*), count(DISTINCT source_ip), true FROM logs"))
+def unique_ips_rollup(spark, sf):
+    """Distinct addresses by hour, and over all, from the stored sketches of minutes; beside the exact count."""
+    logs = views.logs(spark, sf)
+    stored = kept_table(rollups.minutes(logs, "event_ts", distinct="source_ip"), "minutes")
+    hours = rollups.united(stored, F.date_trunc("hour", "minute")).withColumn("hour", F.unix_timestamp("minute"))
+    every = rollups.united(stored, None).withColumn("hour", F.lit(None).cast("long"))
+    told = hours.select("hour", "n", rollups.distinct_count().alias("about")).unionByName(every.select("hour", "n", rollups.distinct_count().alias("about")))
+    hour = F.unix_timestamp(F.date_trunc("hour", "event_ts")).alias("hour")
+    exact = logs.select("source_ip", hour).groupingSets([["hour"], []], "hour").agg(F.count_distinct("source_ip").alias("addresses"))
+    joined = told.join(exact.withColumnRenamed("hour", "_hour"), F.col("hour").eqNullSafe(F.col("_hour")))
+    return joined.select("hour", "n", "addresses", (F.abs(F.col("about") - F.col("addresses")) <= F.col("addresses") * rollups.DISTINCT_ERROR + 0.5).alias("close"))
+
+
 # cost
 _RATES = "rates AS (SELECT date_trunc('hour', event_ts) AS ts, count(*) * 1000.0 AS before, count(*) FILTER (category IN ('critical', 'suspicious')) * 1000.0 AS after FROM decisions GROUP BY 1)"
 _TIER = "CASE WHEN floor({0}) <= 5000 THEN 'basic' WHEN floor({0}) <= 15000 THEN 'standard' WHEN floor({0}) <= 50000 THEN 'enterprise' ELSE 'premium' END"
@@ -357,6 +389,22 @@ def stream_pending_timeout(spark, sf):
     return jobs.finished(out, "pending").filter("log_id >= 0").select("log_id", "state", F.unix_timestamp("ended_at").alias("ended_at"))
 
 
+_ADDED = [("traffic", "internal", 30, [], ["traffic"])], [("balancers", "internal", 90, ["^load-"], []), ("traffic", "internal", 60, [], ["outbound traffic"])]
+
+
+@book.query("stream_custom_rules", on_logs("SELECT log_id, version, names, CASE WHEN names LIKE '%balancers%' THEN 90 WHEN names = '' THEN 0 WHEN version = 1 THEN 30 ELSE 60 END AS retention_days FROM (SELECT log_id, version, CASE WHEN version = 1 THEN CASE WHEN t THEN 'traffic' ELSE '' END ELSE concat_ws(',', CASE WHEN b THEN 'balancers' END, CASE WHEN t THEN 'traffic' END) END AS names FROM (SELECT log_id, 1 + log_id % 2 AS version, message ILIKE '%traffic%' AS t, source LIKE 'load-%' AS b FROM logs))"))
+def stream_custom_rules(spark, sf):
+    """Rules are added while the stream stands between two batches: the first batch keeps version 1, the second has version 2."""
+    path, logs = scratch(spark, "ruled"), views.logs(spark, sf).select("log_id", "source", "message")
+    stream = spark.readStream.schema(logs.schema).option("maxFilesPerTrigger", 100_000)
+    for k, new in enumerate(_ADDED):
+        ruled.add_rules(spark, f"{path}/rules", new)
+        logs.filter(F.col("log_id") % 2 == k).write.mode("append").parquet(f"{path}/in")
+        jobs.in_batches(stream.parquet(f"{path}/in"), "ruled", ruled.checked(f"{path}/rules", f"{path}/out", f"{path}/pins"), f"{path}/state")
+    out = spark.read.parquet(f"{path}/out")
+    return out.select("log_id", F.col("rules_version").alias("version"), F.array_join("decision.matched_rules", ",").alias("names"), "decision.retention_days")
+
+
 # models
 def _features(spark, sf):
     feats = text.anomaly_features(F.col("message"), F.col("event_ts"))

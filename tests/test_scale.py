@@ -3,8 +3,10 @@
 import random
 import time
 
+import numpy as np
+import pandas as pd
 import pytest
-from logsluice.operators import contain, correlate, windows
+from logsluice.operators import contain, correlate, rollups, windows
 from pyspark.sql import functions as F
 
 
@@ -78,3 +80,25 @@ def test_running_sums_over_many_ranges(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert windows.with_running_sum(df.limit(0), F.col("n"), "at", "total").count() == 0
+
+
+def test_sketches_of_minutes_answer_for_any_span(spark):
+    rng = np.random.default_rng(5)
+    values, address = rng.gamma(2.0, 30.0, 60_000), rng.integers(0, 20_000, 60_000)
+    k = np.arange(60_000)
+    frame = pd.DataFrame({"at": k % 7200, "kind": k % 2, "x": values, "ip": address})
+    rows = spark.createDataFrame(frame).withColumn("at", F.timestamp_seconds("at"))
+    kept = rollups.minutes(rows, "at", "kind", value="x", distinct="ip")
+    assert kept.count() == 240
+    hours = rollups.united(kept, F.date_trunc("hour", "minute"), "kind")
+    told = rollups.united(hours, None).select("n", "least", "most", rollups.distinct_count().alias("ips"), *[rollups.quantile(s).alias(f"q{k}") for k, s in enumerate((0.01, 0.5, 0.9, 0.99))], *[rollups.at_most(b).alias(f"h{b}") for b in (0, 50, 100, 9999)]).first()
+    assert told.n == 60_000 and (told.least, told.most) == (values.min(), values.max())
+    for k, s in enumerate((0.01, 0.5, 0.9, 0.99)):
+        assert abs((values <= told[f"q{k}"]).mean() - s) <= rollups.RANK_ERROR
+    assert abs(told.ips - len(set(address.tolist()))) <= rollups.DISTINCT_ERROR * 20_000
+    assert told.h0 == 0 and told.h9999 == 60_000 and all(abs(told[f"h{b}"] / 60_000 - (values <= b).mean()) <= rollups.RANK_ERROR for b in (50, 100))
+    # nulls, a group without values, an empty table
+    odd = spark.createDataFrame([(None, 1, None, None), (None, 1, 3.0, "a"), (None, 2, None, None)], "at timestamp, kind int, x double, ip string")
+    found = {r.kind: (r.n, r.q, r.h, r.ips) for r in rollups.united(rollups.minutes(odd, "at", "kind", value="x", distinct="ip"), None, "kind").select("kind", "n", rollups.quantile(0.5).alias("q"), rollups.at_most(5).alias("h"), rollups.distinct_count().alias("ips")).collect()}
+    assert found == {1: (2, 3.0, 1, 1), 2: (1, None, 0, 0)}
+    assert rollups.minutes(odd.limit(0), "at", value="x").count() == 0

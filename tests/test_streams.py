@@ -6,7 +6,7 @@ import time
 
 import pytest
 from logsluice.operators import windows
-from logsluice.streaming import jobs, stateful
+from logsluice.streaming import jobs, ruled, stateful
 from pyspark.sql import functions as F
 
 START = dt.datetime(2024, 1, 1)
@@ -136,3 +136,20 @@ def test_the_sessions_state_store_is_left_as_it_was(spark, before):
         assert spark.conf.get(key).endswith("RocksDBStateStoreProvider")
     assert spark.conf.get(key, None) == (before or default)
     spark.conf.unset(key)
+
+
+def test_rules_added_between_batches_count_from_then_on(spark, tmp_path):
+    schema, path = "log_id long, source string, message string", str(tmp_path)
+    each = ruled.checked(f"{path}/rules", f"{path}/out", f"{path}/pins")
+    batch = spark.createDataFrame([(1, "a-1", "x"), (2, None, None)], schema)
+    each(batch, 0)  # no rules at all yet
+    assert ruled.add_rules(spark, f"{path}/rules", [("one", "f", 5, ["^a-"], [])]) == 1
+    each(batch, 1)
+    assert ruled.add_rules(spark, f"{path}/rules", [("two", "g", 9, ["("], ["x"]), ("one", "f", 7, ["^b-"], None)]) == 2
+    each(batch, 2)
+    each(batch, 1)  # again, as after a failure
+    each(batch, 0)
+    told = {(r.batch, r.log_id): (r.rules_version, r.decision.matched_rules, r.decision.retention_days) for r in spark.read.parquet(f"{path}/out").collect()}
+    assert told == {(0, 1): (0, [], 0), (0, 2): (0, [], 0), (1, 1): (1, ["one"], 5), (1, 2): (1, [], 0), (2, 1): (2, ["two"], 9), (2, 2): (2, [], 0)}
+    assert ruled.rules_at(spark, f"{path}/rules", 1) == (1, [("one", "f", 5, ["^a-"], [])])
+    assert [r[0] for r in ruled.rules_at(spark, f"{path}/rules")[1]] == ["one", "two"]
