@@ -34,8 +34,8 @@ from .common import map_rows, texts_of, written
 LEAST_PAGES, LEAST_SHARE, LEAST_TOKENS = 3, 0.2, 2
 #: Elements in more than so many others count as their parents.
 DEEPEST = 200
-#: A slot with this share of the fullest slot's text is part of the article.
-SLOT_SHARE = 0.05
+#: What forms and notices hold is the text if it is so many times as long as all else that the template leaves.
+OUTWEIGHS = 2
 #: Templates are broadcast up to so many text tokens and hosts, else joined.
 BROADCAST_ROWS = 50_000
 
@@ -56,50 +56,79 @@ _PARTS = frozenset("svg select button object math audio video canvas".split())
 _MARKED = frozenset("a label small span".split())
 _ENDING = re.compile(rf"<(/?)({'|'.join(sorted(_RAW | _PARTS | _MARKED))})(?=[\s/>])[^<>]*+>?", re.IGNORECASE)
 _LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote figcaption caption".split())
-_AWAY = frozenset("nav footer aside form dialog head menu fieldset".split())
-_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
+_AWAY = frozenset("nav footer aside head menu".split())
+_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar".split())
+#: Parts that may also be around a whole page or its article.
+_SOFT, _SOFT_ROLES = frozenset("form dialog fieldset".split()), frozenset("form alert alertdialog dialog".split())
+_SOFT_NAMES = frozenset("form notice notices notification alert widget modal overlay popup paywall".split())
+#: Names of readers' comments; and one that an article's own section may have, so that it counts where it repeats.
+_COMMENTS, _TWOFOLD = frozenset("comment comments commentlist reply replies respond disqus".split()), frozenset(["discussion"])
 _NAMES = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead topbar toolbar comment comments commentlist reply replies respond disqus discussion cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended widget pagination pager form search skip paywall disclaimer".split())
 #: Words that may stand beside those in a name, as in share-link; any other makes it another name, as in has-sidebar.
 _BESIDE = frozenset("inline link links box bar list block item items button buttons site page top".split())
 
 
+#: How far a block is from the text: it may be; only if nothing better is left; only if nothing at all is; never.
+_TEXT, _MAYBE, _LAST, _NEVER = range(4)
+
+
 class _Element:
     """An open or closed element: its name, path, and what speaks for leaving it out."""
 
-    __slots__ = ("name", "path", "parent", "inside", "away", "named", "holds", "mark")
+    __slots__ = ("name", "path", "parent", "inside", "away", "named", "holds", "mark", "closed", "comment", "answers")
 
-    def __init__(self, name: str, path: str, parent: _Element | None, away: bool = False, named: bool = False, mark: int = 0) -> None:
-        self.name, self.path, self.parent, self.away, self.named, self.mark, self.holds = name, path, parent, away, named, mark, False
-        self.inside = parent is not None and (parent.inside or parent.name in ("article", "main"))
+    def __init__(self, name: str, path: str, parent: _Element | None) -> None:
+        self.name, self.path, self.parent = name, path, parent
+        self.away = self.named = _TEXT
+        self.mark, self.holds, self.closed, self.comment, self.answers = 0, False, False, False, False
+        self.inside = parent is not None and (parent.inside or parent.name in ("article", "main") and not parent.comment)
 
-    def left_out(self) -> tuple[bool, tuple[int, ...]]:
-        """Whether it is no part of an article at all events; and the marks that leave it out if they repeat on the host."""
-        x, marks = self, []
+    def level(self) -> tuple[int, tuple[int, ...]]:
+        """How far it is from the text; and the marks that leave it out if they repeat on the host."""
+        x, marks, level = self, [], _TEXT
         while x is not None:
-            if x.away or x.named and not x.inside and not x.holds:
-                return True, ()
-            if x.named and x.inside:
+            if x.away and not (x.holds and (x.away == _MAYBE or not x.closed)):
+                level = max(level, x.away if x.closed else min(x.away, _MAYBE))
+            if x.comment:
+                level = max(level, _LAST)
+            if x.mark:
                 marks.append(x.mark)
+            elif x.named and not x.holds:
+                level = max(level, min(x.named, _LAST) if x.answers else x.named)
             x = x.parent
-        return False, tuple(marks)
+        return level, tuple(marks)
 
 
-def _named(said: list[tuple[str, str]], more: tuple[str, ...] = ()) -> bool:
-    """Whether a whole class name or id says that the element is no part of an article."""
+def _named(said: list[tuple[str, str]], more: tuple[str, ...] = ()) -> frozenset[str]:
+    """The words of whole class names and ids that say that the element is no part of an article."""
+    found: set[str] = set()
     for _, value in (x for x in said if x[0] != "role"):
         for whole in value.split():
             words = [w.lower() for w in _WORD.findall(whole)]
             if any(w in _NAMES or w in more for w in words) and all(w in _NAMES or w in more or w in _BESIDE for w in words):
-                return True
-    return False
+                found.update(w for w in words if w not in _BESIDE)
+    return frozenset(found)
+
+
+def _answer(said: list[tuple[str, str]]) -> bool:
+    """Whether a name begins as those of single comments do (comment-body, but not comments-open)."""
+    return any((w := _WORD.match(whole)) and w[0].lower() in ("comment", "reply") for k, v in said if k != "role" for whole in v.split())
 
 
 def blocks(html: str) -> tuple[list[tuple[str, str, tuple[int, ...], int]], list[tuple[str, int]], dict[int, int]]:
-    """The page's text blocks in order, (path, text, marks, place), its block-level tags, (path, place), and its marks' places.
+    """Of all_blocks those that may be text."""
+    found, tags, marks = all_blocks(html)
+    return [x[:4] for x in found if x[4] == _TEXT], tags, marks
+
+
+def all_blocks(html: str) -> tuple[list[tuple[str, str, tuple[int, ...], int, int]], list[tuple[str, int]], dict[int, int]]:
+    """The page's text blocks in order, (path, text, marks, place, level), its block-level tags, (path, place), and its marks' places.
 
     Left out are blocks inside elements that are no part of an article. A name alone never drops body, main, article or what
-    holds one of them. Inside an article it makes a mark: such a block is to go only if one of its marks repeats on the host.
-    Character references are decoded, white space is one space.
+    holds one of them (readers' comments are no articles, whatever their element). Inside an article it makes a mark: such
+    a block is to go only if one of its marks repeats on the host. A form around an article does not count, nor does a part
+    without an end; forms and notices elsewhere are at a level of their own. A line break ends a block. Character
+    references are decoded, white space is one space.
     """
     out: list[tuple[_Element, str, int]] = []
     tags: list[tuple[str, int]] = []
@@ -151,6 +180,7 @@ def blocks(html: str) -> tuple[list[tuple[str, str, tuple[int, ...], int]], list
                 continue
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].name == name:
+                    stack[k].closed = True
                     below.clear()
                     deep.clear()
                     del stack[k:]
@@ -168,7 +198,8 @@ def blocks(html: str) -> tuple[list[tuple[str, str, tuple[int, ...], int]], list
         said = [(k.lower(), a or b or c) for k, a, b, c in _ATTRIBUTE.findall(m[2])] if m[2] else []
         if name in _INLINE and not said:
             continue
-        away = name in _AWAY or any(k == "role" and v.lower() in _ROLES for k, v in said)
+        roles = {v.lower() for k, v in said if k == "role"}
+        away = _NEVER if name in _AWAY or roles & _ROLES else _MAYBE if name in _SOFT or roles & _SOFT_ROLES else _TEXT
         if name in _INLINE:
             if (away or _named(said)) and name in _MARKED:  # marked inline parts are left out to their end
                 at = end_of(name, at) or at
@@ -192,12 +223,16 @@ def blocks(html: str) -> tuple[list[tuple[str, str, tuple[int, ...], int]], list
         path = stack[-1].path + "/" + name + "".join(sorted("." + _SPACE.sub(".", v.strip()) for k, v in said if k == "class"))
         own = _Element(name, path, stack[-1])
         whole_part = name in ("html", "body", "main", "article")
-        own.away = away or name == "header" and not own.inside
-        own.named = not whole_part and _named(said, () if own.inside else ("header",))
-        if own.named and own.inside:
+        own.away = _NEVER if name == "header" and not own.inside else away
+        words = frozenset() if whole_part else _named(said, () if own.inside else ("header",))
+        own.named = _TEXT if not words else _MAYBE if words <= _SOFT_NAMES else _NEVER
+        if words and (own.inside or words <= _TWOFOLD):
             own.mark = _hash("mark", path, *sorted(v for k, v in said if k in ("class", "id")))
             marks.setdefault(own.mark, len(out) + len(tags))
-        if whole_part:
+        own.answers = bool(words & _COMMENTS)
+        if name == "article":
+            own.comment = bool(_named(said) & _COMMENTS) or _answer(said) or any(x.answers or x.comment for x in stack)
+        if whole_part and not own.comment:
             for x in stack:
                 x.holds = True
         stack.append(own)
@@ -206,8 +241,8 @@ def blocks(html: str) -> tuple[list[tuple[str, str, tuple[int, ...], int]], list
     known: dict[_Element, tuple[bool, tuple[int, ...]]] = {}
     for own, _, _ in out:
         if own not in known:
-            known[own] = own.left_out()
-    return [(own.path, joined, known[own][1], place) for own, joined, place in out if not known[own][0]], tags, marks
+            known[own] = own.level()
+    return [(own.path, joined, known[own][1], place, known[own][0]) for own, joined, place in out if known[own][0] < _NEVER], tags, marks
 
 
 def _hash(*parts: str) -> int:
@@ -229,11 +264,13 @@ def occurrences(pages: DataFrame) -> DataFrame:
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = []
             for host, page, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch.column(2))):
-                found, tags, marks = blocks(html)
+                found, tags, marks = all_blocks(html)
                 own: dict[int, list] = {}
                 for path, place in tags:
                     own.setdefault(_hash("tag", path), [host, page, 0, path, 0, 0, place])[4] += 1
-                for path, text, _, place in found:
+                for path, text, _, place, level in found:
+                    if level == _LAST:
+                        continue
                     x = own.setdefault(_hash(path, text), [host, page, 1, path, 0, 0, place])
                     x[4] += 1
                     x[5] += len(text)
@@ -268,7 +305,7 @@ def class_tokens(found: DataFrame, tokens: DataFrame, counts: DataFrame) -> Data
     """
     by = ["host", "vector", "pages", "most"]
     sized = lambda df: df.groupBy(*by).agg(F.count("*").alias("size"), F.max(F.expr(f"kind = 0 OR NOT {_in_article('path')}")).alias("outside")).filter(f"size >= {LEAST_TOKENS} AND outside").select(*by)
-    wide = tokens.filter(f"kind < 2 AND pages >= {LEAST_PAGES}").join(counts, "host").filter(f"pages >= {LEAST_SHARE} * all_pages").select(*by, "token", "kind", "path", "place")
+    wide = tokens.filter("kind < 2 AND pages > 1").join(counts, "host").filter(f"pages >= {LEAST_SHARE} * all_pages AND pages >= least({LEAST_PAGES}, all_pages)").select(*by, "token", "kind", "path", "place")
     near = written(wide.join(sized(wide), by), "candidates")
     few = near.count() <= BROADCAST_ROWS
     small = lambda df: F.broadcast(df) if few else df
@@ -286,14 +323,8 @@ def class_tokens(found: DataFrame, tokens: DataFrame, counts: DataFrame) -> Data
     return straight.join(nested, by).withColumnRenamed("place", "rank")
 
 
-def _container_of(path: str):
-    """The path without its last element if that is a leaf."""
-    last = F.element_at(F.split(F.element_at(F.split(path, "/"), -1), r"\."), 1)
-    return F.when(last.isin(*sorted(_LEAF)), F.regexp_replace(path, "/[^/]*$", "")).otherwise(F.col(path))
-
-
 def templates(pages: DataFrame) -> DataFrame:
-    """Rows (host, fixed, main, marks): the classes' text blocks (token, class, mean place, whether it recurs), the path around the article's slots, the marks that repeat."""
+    """Rows (host, fixed, marks): the classes' text blocks (token, class, mean place, whether it recurs), and the marks that repeat."""
     found = written(occurrences(pages), "occurrences")
     tokens = found.groupBy("host", "kind", "token", "path").agg(
         F.count("*").alias("pages"), F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.max("n").alias("most"), F.sum("chars").alias("chars"), F.avg("place").alias("place")
@@ -302,13 +333,8 @@ def templates(pages: DataFrame) -> DataFrame:
     counts = tokens.filter("kind = 2").select("host", F.col("pages").alias("all_pages"))
     held = written(class_tokens(found, tokens, counts).filter("kind = 1"), "classes")
     fixed = held.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("token", F.xxhash64("vector", "most").alias("class"), "rank", (F.col("most") > 1).alias("many")))).alias("fixed"))  # five times the text of a page's template at most
-    slots = tokens.filter("kind = 1").join(held.select("host", "token"), ["host", "token"], "left_anti")
-    # All slots of the article: what encloses every slot with a fair share of the text of the fullest.
-    sizes = slots.groupBy("host", _container_of("path").alias("path")).agg(F.sum("chars").alias("chars"))
-    fullest = sizes.groupBy("host").agg(F.max("chars").alias("most"))
-    mains = sizes.join(fullest, "host").filter(f"chars >= {SLOT_SHARE} * most").groupBy("host").agg(F.min("path").alias("low"), F.max("path").alias("high")).select("host", F.expr(f"element_at({_around('low', 'high')}, -1)").alias("main"))
-    marks = tokens.filter(f"kind = 3 AND pages >= {LEAST_PAGES}").join(counts, "host").filter(f"pages >= {LEAST_SHARE} * all_pages").groupBy("host").agg(F.collect_list("token").alias("marks"))  # each on a share of the pages
-    return counts.select("host").join(fixed, "host", "left").join(mains, "host", "left").join(marks, "host", "left").select("host", "fixed", "main", "marks")
+    marks = tokens.filter("kind = 3 AND pages > 1").join(counts, "host").filter(f"pages >= {LEAST_SHARE} * all_pages AND pages >= least({LEAST_PAGES}, all_pages)").groupBy("host").agg(F.collect_list("token").alias("marks"))  # each on a share of the pages
+    return counts.select("host").join(fixed, "host", "left").join(marks, "host", "left").select("host", "fixed", "marks")
 
 
 def slots_of(found: list[tuple[str, str]], fixed: list[dict]) -> list[tuple[str, str]]:
@@ -323,15 +349,22 @@ def slots_of(found: list[tuple[str, str]], fixed: list[dict]) -> list[tuple[str,
     return left
 
 
-def main_text(html: str, fixed: list[dict], main: str | None, marks: list[int] = ()) -> str:
+def main_text(html: str, fixed: list[dict], main: None = None, marks: list[int] = ()) -> str:
     """The text of a page's article: the slots of its host's template, then those that element and class names leave."""
     gone = set(marks)
-    found = [(path, text) for path, text, own, _ in blocks(html)[0] if gone.isdisjoint(own)]
-    left = slots_of(found, fixed) or found  # a host whose pages are all the same has no template to tell from the text
+    every = [(path, text, level) for path, text, own, _, level in all_blocks(html)[0] if gone.isdisjoint(own)]
+    upto = lambda most: [(path, text) for path, text, level in every if level <= most]
+    found = upto(_TEXT)
+    left = slots_of(found, fixed)
     inside = [x for x in left if _article(x[0])] or ([x for x in found if _article(x[0])] if fixed else [])
-    if not inside and main is not None:
-        inside = [x for x in left if x[0] == main or x[0].startswith(main + "/")]
-    return "\n".join(text for _, text in inside or left)  # a page unlike its host's others: all its slots
+    if not inside:
+        more = slots_of(upto(_MAYBE), fixed)
+        long = lambda xs: sum(len(text) for _, text in xs)
+        if long(more) > (1 + OUTWEIGHS) * long(left):
+            left = more
+    # A host whose pages are all the same has no template to tell from the text; a page of comments alone has nothing else.
+    return "\n".join(text for _, text in inside or left or found or upto(_MAYBE) or upto(_LAST))
+
 
 def extracted(pages: DataFrame) -> DataFrame:
     """Rows (page_id, url, text, n_chars) for every row of pages.
@@ -347,12 +380,12 @@ def extracted(pages: DataFrame) -> DataFrame:
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            text = [main_text(h, f or [], m, r or ()) for h, f, m, r in zip(texts_of(batch.column(2)), *(batch.column(k).to_pylist() for k in (3, 4, 5)))]
+            text = [main_text(h, f or [], None, r or ()) for h, f, r in zip(texts_of(batch.column(2)), *(batch.column(k).to_pylist() for k in (3, 4)))]
             return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array(np.array([len(t) for t in text], np.int64))], ["page_id", "url", "text", "n_chars"])
 
         return each
 
-    return map_rows(both.select("page", "url", "html", "fixed", "main", "marks"), make, "page_id long, url string, text string, n_chars long")
+    return map_rows(both.select("page", "url", "html", "fixed", "marks"), make, "page_id long, url string, text string, n_chars long")
 
 
 def op2_html(spark, sf_dir: str) -> DataFrame:

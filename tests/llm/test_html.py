@@ -133,6 +133,64 @@ def test_rows_with_equal_page_id_are_pages(spark):
     assert sorted(r.text for r in html.extracted(spark.createDataFrame(rows, PAGES)).collect()) == [f"Own {k} text" for k in range(4)]
 
 
+MENU = "<div class='head'><p>Site</p></div><ul class='list'><li>Home</li><li>About us</li></ul>"
+LOW = "<div class='low'><p>Imprint</p><p>Our address</p></div>"
+
+
+def own(k):
+    return f"<p>Own text {k} of the page, with some words to read.</p><p>And more {k} of it, as long as an article is.</p>"
+
+
+def wrapped(kind, k):
+    """A page whose text stands in, or behind, something that is usually no text."""
+    body, article = f"<div class='text'>{own(k)}</div>", f"<article>{own(k)}</article>"
+    return {
+        "form": f"<form action='x'>{MENU}{body}{LOW}</form>",
+        "form, article": f"<form action='x'>{MENU}{article}{LOW}</form>",
+        "form, main": f"<form action='x'>{MENU}<main>{own(k)}</main>{LOW}</form>",
+        "open nav": f"<nav><ul><li>Home</li><li>About us</li></ul>{body}{LOW}",
+        "open nav, article": f"<nav><ul><li>Home</li><li>About us</li></ul>{article}{LOW}",
+        "open aside, article": f"<aside><p>Aside</p>{article}{LOW}",
+        "open header, article": f"<header><p>Site</p>{article}{LOW}",
+        "fieldset": f"{MENU}<fieldset>{own(k)}</fieldset>{LOW}",
+        "notice": f"{MENU}<div class='notice'>{own(k)}</div>{LOW}",
+        "heading": f"{MENU}<div class='title'><h1>H{k}</h1></div><div class='text'>{own(k)}{own(k + 70)}</div>{LOW}",
+        "comments": f"{MENU}{body}<div id='comments'><article class='comment-body'><p>Reader {k} says so and so.</p></article></div>{LOW}",
+        "comments, article": f"{MENU}<article>{own(k)}<article class='comment'><p>Reader {k} says.</p></article></article>{LOW}",
+        "discussion": f"{MENU}<div class='text'>{own(k)}" + (f"<section id='discussion'><p>D text {k}.</p></section>" if k == 1 else "") + f"</div>{LOW}",
+    }[kind]
+
+
+KINDS = ["form", "form, article", "form, main", "open nav", "open nav, article", "open aside, article", "open header, article", "fieldset", "notice", "heading", "comments", "comments, article", "discussion"]
+
+
+def test_no_page_is_lost_to_its_elements_or_names(spark):
+    """On hosts of six and of two pages the whole article and nothing else; on hosts of one page all of it."""
+    rows, expected = [], {}
+    for at, kind in enumerate(KINDS):
+        for size in (6, 2, 1):
+            for k in range(size):
+                key = at * 100 + size * 10 + k
+                rows.append((key, f"http://h{at}-{size}.example/{k}", page(wrapped(kind, k), k)))
+                texts = re.findall("<p>([^<]*)</p>", own(k) + (own(k + 70) if kind == "heading" else ""))
+                more = [f"H{k}"] if kind == "heading" else []
+                expected[key] = more + texts + ([f"D text {k}."] if kind == "discussion" and k == 1 else []), size, kind
+    found = {r.page_id: r.text.split("\n") for r in html.extracted(spark.createDataFrame(rows, PAGES).repartition(5)).collect()}
+    for key, (texts, size, kind) in expected.items():
+        if size > 1 or "article" in kind or "main" in kind:
+            assert found[key] == texts, (kind, size)
+        else:
+            assert [x for x in found[key] if x in texts] == texts and not any("Reader" in x for x in found[key]), kind
+
+
+def test_closed_parts_stay_away():
+    cards = "<aside><article><p>Other story</p></article></aside>"
+    assert html.main_text(page(f"<div><p>Own story here.</p></div>{cards}"), []) == "Own story here."
+    assert html.main_text(page("<div><p>Own story here, long enough.</p></div><form><p>Your name</p></form>"), []) == "Own story here, long enough."
+    assert html.main_text(page("<div><p>Short.</p></div><div id='comments'><p>" + "A very long comment. " * 50 + "</p></div>"), []) == "Short."
+    assert html.main_text("<div id='comments'><article class='comment'><p>Only this</p></article></div>", []) == "Only this"
+
+
 def deduced(pages):
     """The text of each page of one host by plain deduction: classes of equal vectors, checked for support, order and nesting; then the slots."""
     parts = [html.blocks(h) for h in pages]
