@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import time
 import uuid
 from collections.abc import Callable
@@ -136,13 +137,13 @@ def _depth_left(n: float) -> float:
     return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
 
 
-def _tree(x: np.ndarray, rng: np.random.Generator, limit: int) -> list:
-    """Rows (feature, cut, left, right, path length left at a leaf), the root first."""
+def _tree(x: np.ndarray, copies: np.ndarray, rng: np.random.Generator, limit: int) -> list:
+    """Rows (feature, cut, left, right, path length left at a leaf), the root first. Each point stands for so many copies."""
     nodes: list[list[float]] = []
 
-    def grow(rows: np.ndarray, depth: int) -> int:
-        at = len(nodes)
-        nodes.append([-1.0, 0.0, 0.0, 0.0, depth + _depth_left(len(rows))])
+    def grow(own: np.ndarray, depth: int) -> int:
+        at, rows = len(nodes), x[own]
+        nodes.append([-1.0, 0.0, 0.0, 0.0, depth + _depth_left(float(copies[own].sum()))])
         spread = np.flatnonzero(rows.max(axis=0) > rows.min(axis=0)) if len(rows) > 1 else []
         if depth < limit and len(spread):
             f = int(rng.choice(spread))
@@ -150,39 +151,51 @@ def _tree(x: np.ndarray, rng: np.random.Generator, limit: int) -> list:
             left = rows[:, f] < cut
             if left.any() and not left.all():
                 nodes[at][:2] = [f, cut]
-                nodes[at][2] = grow(rows[left], depth + 1)
-                nodes[at][3] = grow(rows[~left], depth + 1)
+                nodes[at][2] = grow(own[left], depth + 1)
+                nodes[at][3] = grow(own[~left], depth + 1)
         return at
 
-    grow(x, 0)
+    grow(np.arange(len(x)), 0)
     return nodes
 
 
-def draw_limit(n: int, sample: int) -> int:
-    """The share sample / n of all signed 64-bit hashes lies below this."""
-    return sample * (1 << 64) // n - (1 << 63)
+def draw_shares(n: int, sample: int, trees: int) -> list[float]:
+    """The chances that a row of n is drawn by 1 tree or more, 2 or more, and so on, if each takes it with chance sample / n."""
+    p = sample / n
+    one = lambda k: math.exp(math.lgamma(trees + 1) - math.lgamma(k + 1) - math.lgamma(trees - k + 1) + k * math.log(p) + (trees - k) * math.log1p(-p))
+    tails, so_far = [], 0.0
+    for k in range(trees, 0, -1):
+        so_far += one(k)
+        tails.append(so_far)
+    return [t for t in reversed(tails) if t > 2.0**-60]
 
 
 def isolation_forest(df: DataFrame, key: str, columns: list[str], trees: int = 200, sample: int = 256) -> DataFrame:
     """Rows (tree, nodes): each tree grows on its own hashed sample of about sample rows, in one task of its own.
 
-    A row's trees follow from a hash of its key and its number, so a sample is a filter, rows of one key are drawn one by one,
-    and no tree sees more than twice its sample size.
+    One hash of a row's key and values tells how many trees take it, and for the few rows that any takes, which: so the forest is
+    the same under any partitioning. Rows that are equal throughout are drawn together and are one point of so many copies,
+    counted before the shuffle; a tree sees no more points than different rows were drawn.
     """
     n, every = df.count(), F.sequence(F.lit(0), F.lit(trees - 1))
-    drawn = df.select(key, *columns)
+    drawn = df.select(key, *columns, F.xxhash64(F.lit(42), key, *columns).alias("_h"))
     if n <= sample:
-        drawn = drawn.withColumn("tree", F.explode(every))
+        drawn = drawn.withColumn("_k", F.lit(trees))
     else:
-        drawn = drawn.withColumn("_row", F.monotonically_increasing_id())
-        drawn = drawn.select(key, *columns, F.explode(F.filter(every, lambda t: F.xxhash64(F.col(key), F.col("_row"), t) < F.lit(draw_limit(n, sample)))).alias("tree"))
+        u = F.shiftrightunsigned("_h", 11).cast("double") * 2.0**-53
+        shares = draw_shares(n, sample, trees)
+        drawn = drawn.withColumn("_u", u).filter(F.col("_u") < shares[0])
+        drawn = drawn.withColumn("_k", F.size(F.filter(F.array(*map(F.lit, shares)), lambda s: F.col("_u") < s))).drop("_u")
+    points = drawn.groupBy(key, *columns, "_h", "_k").agg(F.count("*").alias("copies"))
+    order = F.array_sort(F.transform(every, lambda t: F.struct(F.xxhash64(F.col("_h"), t).alias("o"), t.alias("t"))))
+    points = points.select(key, *columns, "copies", F.explode(F.transform(F.slice(order, F.lit(1), F.col("_k")), lambda x: x["t"])).alias("tree"))
 
     def grow(key_: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(key).head(2 * sample)
-        nodes = _tree(rows[columns].to_numpy(float), np.random.default_rng(42 + int(key_[0])), int(np.ceil(np.log2(max(sample, 2)))))
+        rows = rows.sort_values([key, *columns])
+        nodes = _tree(rows[columns].to_numpy(float), rows["copies"].to_numpy(float), np.random.default_rng(42 + int(key_[0])), int(np.ceil(np.log2(max(sample, 2)))))
         return pd.DataFrame({"tree": [int(key_[0])], "nodes": [[v for r in nodes for v in r]]})
 
-    return drawn.groupBy("tree").applyInPandas(grow, "tree int, nodes array<double>")
+    return points.groupBy("tree").applyInPandas(grow, "tree int, nodes array<double>")
 
 
 def forest_scored(df: DataFrame, forest: DataFrame, columns: list[str], sample: int = 256) -> DataFrame:
@@ -221,8 +234,10 @@ def scaled(df: DataFrame, train: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def contamination_cut(scores: DataFrame, contamination: float = 0.1) -> float:
-    """The score below which that share of the training rows lies."""
-    return scores.agg(F.percentile_approx("anomaly_score", contamination, 10_000)).first()[0]
+    """The score below which that share of the training rows lies, exactly."""
+    from . import rows
+
+    return rows.quantiles(scores, "anomaly_score", [contamination]).first()["quantile"]
 
 
 def anomaly_category(score: Column, cut: Column | float) -> tuple[Column, Column]:

@@ -71,7 +71,6 @@ class AnomalyModel:
 def fit_anomaly(logs: DataFrame, usual, key: str = "log_id", message: str = "message", at: str = "event_ts", trees: int = 200, contamination: float = 0.1) -> AnomalyModel:
     """Scaling, forest and cut from the usual logs (all, if 100 or fewer are)."""
     from ..sources.scratch import kept_table
-    from . import rows
 
     features = text.anomaly_features(F.col(message), F.col(at))
     own = kept_table(logs.select(key, F.coalesce(usual, F.lit(False)).alias("usual"), *[c.cast("double").alias(n) for n, c in features.items()]), "features")
@@ -81,7 +80,7 @@ def fit_anomaly(logs: DataFrame, usual, key: str = "log_id", message: str = "mes
     scaled = train.select(key, *[((F.col(c) - F.lit(mean[c])) / F.lit(deviation[c] or 1.0)).alias(c) for c in features])
     forest = kept_table(ml.isolation_forest(scaled, key, list(features), trees), "forest")
     scores = kept_table(ml.forest_scored(scaled, forest, list(features)).select("anomaly_score"), "scores")
-    return AnomalyModel(forest, mean, deviation, rows.quantiles(scores, "anomaly_score", [contamination]).first()["quantile"])
+    return AnomalyModel(forest, mean, deviation, ml.contamination_cut(scores, contamination))
 
 
 Model = Callable[..., DataFrame]

@@ -519,19 +519,26 @@ def model_save_load(spark, sf):
 
 
 def _forest(spark, sf):
-    """The logs with scaled features and whether they are trained on, the features' names and a forest of 200 trees."""
-    df, columns = _features(spark, sf)
-    df = kept_table(df.drop("message"), "features")
-    usual = F.col("expected_category").isin("routine", "noise")
-    few = df.filter(usual).limit(101).count() <= 100
-    df = df.withColumn("usual", F.lit(True) if few else usual)
-    df = ml.scaled(df, df.filter("usual"), columns)
-    return df, columns, kept_table(ml.isolation_forest(df.filter("usual"), "log_id", columns), "forest")
+    """The logs with scaled features and whether they are trained on, the features' names and a forest of 200 trees, grown once a session."""
 
+    def make():
+        df, columns = _features(spark, sf)
+        df = kept_table(df.drop("message"), "features")
+        usual = F.col("expected_category").isin("routine", "noise")
+        few = df.filter(usual).limit(101).count() <= 100
+        df = df.withColumn("usual", F.lit(True) if few else usual)
+        df = ml.scaled(df, df.filter("usual"), columns)
+        return df, columns, kept_table(ml.isolation_forest(df.filter("usual"), "log_id", columns), "forest")
+
+    return _once(spark, sf, "forest", make)
 
-@book.query("isolation_forest_train")
+
+@book.query("isolation_forest_train", on_logs("SELECT unnest(range(200)) AS tree, true AS whole FROM (SELECT count(*) FROM logs WHERE expected_category IN ('routine', 'noise') HAVING count(*) > 0)"))
 def isolation_forest_train(spark, sf):
-    return _forest(spark, sf)[-1].select("tree", (F.size("nodes") / 5).cast("long").alias("nodes"))
+    """The trees, and whether each has cuts, and one leaf more than these."""
+    features = F.transform(F.sequence(F.lit(0), (F.size("nodes") / 5 - 1).cast("int")), lambda k: F.get("nodes", 5 * k))
+    inner = F.size(F.filter(features, lambda x: x >= 0))
+    return _forest(spark, sf)[-1].select(F.col("tree").cast("long").alias("tree"), ((F.size("nodes") == 5 * (2 * inner + 1)) & (inner > 0)).alias("whole"))
 
 
 @book.query("isolation_forest_score")
@@ -540,3 +547,4 @@ def isolation_forest_score(spark, sf):
     scored = kept_table(ml.forest_scored(df, forest, columns).select("log_id", "usual", "anomaly_score"), "scores")
     category, confidence = ml.anomaly_category(F.col("anomaly_score"), ml.contamination_cut(scored.filter("usual")))
     return scored.select("log_id", "anomaly_score", category.alias("category"), confidence.alias("confidence"))
+

@@ -146,12 +146,27 @@ def test_rows_and_models(spark):
 
 
 def test_forest_draws_rows_of_one_key_and_of_very_large_tables(spark):
-    for n in (1_000, 300_000_000, 10**12):
-        assert abs((ml.draw_limit(n, 256) + 2**63) / 2**64 * n / 256 - 1) < 1e-6
+    for n in (1_000, 300_000_000, 10**12):  # the mean number of trees that draw a row
+        assert abs(sum(ml.draw_shares(n, 256, 200)) * n / (256 * 200) - 1) < 1e-6
     same = spark.range(5_000).selectExpr("1L AS id", "cast(id AS double) AS a")
     assert ml.isolation_forest(same, "id", ["a"], trees=30).count() == 30
 
 
+def test_forest_is_the_same_under_any_partitioning(spark):
+    import numpy as np
+
+    df = spark.range(4_000).selectExpr("id", "cast(pmod(hash(id), 1000) AS double) AS a", "cast(pmod(hash(id, 1), 50) AS double) AS b")
+    told = lambda n: sorted((r.tree, r.nodes) for r in ml.isolation_forest(df.repartition(n), "id", ["a", "b"], trees=25).collect())
+    assert told(1) == told(16)
+    # equal rows, a third of all, are one point of many copies
+    same = spark.range(3_000).selectExpr("CASE WHEN id % 3 = 0 THEN -1 ELSE id END AS id", "CASE WHEN id % 3 = 0 THEN 0D ELSE 1D + id END AS a")
+    trees = ml.isolation_forest(same, "id", ["a"], trees=400, sample=100).collect()
+    assert len(trees) == 400 and max(len(r.nodes) // 5 for r in trees) < 2 * 200
+    heavy = [max(np.array(r.nodes).reshape(-1, 5)[:, 4]) for r in trees]
+    assert 0 < sum(x > 13.5 for x in heavy) < 60  # a thousand copies came to some trees
+    assert ml.isolation_forest(same.limit(0), "id", ["a"]).count() == 0
+
+
 def test_forest_queries_grow_200_trees_and_cut_at_the_contamination(spark):
     from logsluice.plans import timed, views
 
