@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from ..functions import text, values
 from ..operators import correlate, cost, enrich, ensemble, metrics, ml, rollups, rows, rules, scoring, windows
 from ..sources.scratch import folder as scratch
 from ..sources.scratch import kept_table
-from ..streaming import jobs, ruled, stateful
+from ..streaming import jobs, retained, ruled, stateful
 from . import views
 from .book import Book, decided, on_logs
 from .triage import CHECKED, SPLIT
@@ -369,16 +371,31 @@ def stream_spc(spark, sf):
 
 @book.query("stream_correlate", on_logs(f"SELECT offense_id, log_id, 'ip_match' AS strategy FROM decisions d JOIN offenses o ON d.source_ip = o.offense_ip AND {_IN} UNION ALL SELECT offense_id, log_id, 'source_match' FROM decisions d JOIN offenses o ON {_SRC} AND {_IN}", decided(), _OFF))
 def stream_correlate(spark, sf):
-    """Both strategies: addresses as a join of two streams, source names batch by batch against the decisions table."""
+    """Both strategies: addresses as a join of two streams, source names batch by batch against the kept decisions of the hours around."""
     d, o = _both(spark, sf)
     ip = jobs.correlated(jobs.replayed(d.select("log_id", "event_ts", "source_ip", "category"), files_a_batch=100), jobs.replayed(o, "start_time", 100))
     ip = jobs.finished(ip.select("offense_id", "log_id"), "correlate").withColumn("strategy", F.lit("ip_match"))
     path = scratch(spark, "by-source")
-    jobs.in_batches(jobs.replayed(o, "start_time").filter("offense_id IS NOT NULL"), "offenses", jobs.by_source_against(d, path))
-    source = spark.read.schema("offense_id long, log_id long").parquet(path).select("offense_id", "log_id", F.lit("source_match").alias("strategy"))
+    jobs.in_batches(jobs.replayed(d).filter("log_id IS NOT NULL"), "decisions", retained.keep(f"{path}/kept"))
+    jobs.in_batches(jobs.replayed(o, "start_time").filter("offense_id IS NOT NULL"), "offenses", retained.by_source(f"{path}/kept", d.schema, f"{path}/out"))
+    source = spark.read.schema("offense_id long, log_id long").parquet(f"{path}/out").select("offense_id", "log_id", F.lit("source_match").alias("strategy"))
     return ip.unionByName(source)
 
 
+_NOW = "2024-01-20 12:30:00"
+
+
+@book.query("stream_correlate_recent", on_logs(f"SELECT offense_id, log_id FROM decisions d JOIN offenses o ON {_SRC} AND {_IN} WHERE status = 'OPEN' AND o.start_time > TIMESTAMP '{_NOW}' - INTERVAL 24 HOURS AND o.start_time <= TIMESTAMP '{_NOW}' AND d.event_ts >= date_trunc('hour', TIMESTAMP '{_NOW}') - INTERVAL 24 HOURS", decided(), _OFF))
+def stream_correlate_recent(spark, sf):
+    """One run at a time of the replay: a day of decisions is kept, open offenses of the day before are looked up."""
+    d, o = _both(spark, sf)
+    path, now = scratch(spark, "recent"), dt.datetime.fromisoformat(_NOW)
+    jobs.in_batches(jobs.replayed(d).filter("log_id IS NOT NULL"), "decisions", retained.keep(f"{path}/kept"))
+    retained.drop_old(spark, f"{path}/kept", now)
+    jobs.in_batches(jobs.replayed(o, "start_time", 100).filter("offense_id IS NOT NULL"), "offenses", retained.by_source(f"{path}/kept", d.schema, f"{path}/out", lambda: now, 24))
+    return spark.read.schema("offense_id long, log_id long").parquet(f"{path}/out").select("offense_id", "log_id")
+
+
 @book.query("stream_pending_timeout", on_logs("SELECT log_id, CASE WHEN log_id % 3 = 0 OR log_id % 5 = 0 THEN 'timeout' ELSE 'outcome' END AS state, CAST(floor(epoch(event_ts)) AS BIGINT) + CASE WHEN log_id % 3 = 0 OR log_id % 5 = 0 THEN 86400 ELSE 3600 END AS ended_at FROM decisions", decided()))
 def stream_pending_timeout(spark, sf):
     """Outcomes come an hour after the decision, for every fifth log an hour too late, for every third never."""

@@ -6,7 +6,7 @@ import time
 
 import pytest
 from logsluice.operators import windows
-from logsluice.streaming import jobs, ruled, stateful
+from logsluice.streaming import jobs, retained, ruled, stateful
 from pyspark.sql import functions as F
 
 START = dt.datetime(2024, 1, 1)
@@ -153,3 +153,28 @@ def test_rules_added_between_batches_count_from_then_on(spark, tmp_path):
     assert told == {(0, 1): (0, [], 0), (0, 2): (0, [], 0), (1, 1): (1, ["one"], 5), (1, 2): (1, [], 0), (2, 1): (2, ["two"], 9), (2, 2): (2, [], 0)}
     assert ruled.rules_at(spark, f"{path}/rules", 1) == (1, [("one", "f", 5, ["^a-"], [])])
     assert [r[0] for r in ruled.rules_at(spark, f"{path}/rules")[1]] == ["one", "two"]
+
+
+def test_kept_decisions_are_read_by_hour(spark, tmp_path):
+    at = lambda hours: START + dt.timedelta(hours=hours)
+    schema, folder = "log_id long, event_ts timestamp, source string, category string", f"{tmp_path}/kept"
+    batch = lambda ks: spark.createDataFrame([(k, at(k / 2), "Web-1" if k % 2 else "db", "noise") for k in ks] + [(999, None, "web-1", "noise")], schema)
+    each = retained.keep(folder)
+    each(batch(range(40)), 0)
+    each(batch(range(40, 100)), 1)
+    each(batch(range(40)), 0)  # again, as after a failure
+    offenses = spark.createDataFrame([(1, at(10.2), 8, "OPEN", ["WEB 1", "web"]), (2, at(30), 8, "CLOSED", ["db"]), (3, None, 8, "OPEN", ["db"]), (4, at(47.4), 8, "OPEN", ["db-x", None])], "offense_id long, start_time timestamp, severity int, status string, log_sources array<string>")
+    found = retained.near(spark, folder, batch([]).schema, offenses)
+    assert "hour#" in plan(found).split("PartitionFilters: [")[1].split("]")[0]
+    assert sorted({r.log_id for r in found.collect()}) == [18, 19, 20, 21, 58, 59, 60, 61, 92, 93, 94, 95]
+    retained.by_source(folder, batch([]).schema, f"{tmp_path}/out")(offenses, 0)
+    pairs = lambda path: sorted((r.offense_id, r.log_id) for r in spark.read.parquet(path).collect())
+    assert pairs(f"{tmp_path}/out") == [(1, 19), (2, 58), (2, 60), (4, 94)]
+    retained.by_source(folder, batch([]).schema, f"{tmp_path}/recent", lambda: at(48), 24)(offenses, 0)
+    assert pairs(f"{tmp_path}/recent") == [(4, 94)]
+    assert retained.drop_old(spark, folder, at(48)) == 24
+    assert spark.read.parquet(folder).agg(F.min("event_ts")).first()[0] == at(24)
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
