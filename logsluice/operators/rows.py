@@ -105,3 +105,42 @@ def term_scores(docs: DataFrame, key: str, text: str, most: int = 10_000, least_
     kept = terms.join(F.broadcast(total), (F.col("df") >= least_docs) & (F.col("df") <= F.col("_n") * most_share)).orderBy(F.desc("all"), "term").limit(most)
     idf = F.log((1 + F.col("_n")) / (1 + F.col("df"))) + 1
     return tf.join(F.broadcast(kept), "term").select(key, "term", "tf", "df", ((1 + F.log("tf")) * idf).alias("score"))  # most rows are broadcast at most
+
+
+#: Words or pairs up to which those that longer terms may hold are broadcast.
+FEW = 200_000
+
+
+def gram_scores(docs: DataFrame, key: str, text: str, grams: int = 3, most: int = 10_000, least_docs: int = 2, most_share: float = 0.95) -> DataFrame:
+    """term_scores on terms of 1 to so many words: (key, term, tf, df, score), of the most frequent terms of any length.
+
+    Longer terms are not all counted: a term among the most frequent ones has no part that is rarer, so pairs are formed of words alone
+    that are as frequent as the last of the most frequent words, triples of pairs likewise, and so on. The parts are looked
+    up before the shuffle, which so holds what may count; the result is exact.
+    """
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]{2,})"), F.lit(1))
+    whole = kept_table(docs.select(key, words.alias("_w")).filter(F.size("_w") > 0), "words")
+    n, counted, found = docs.count(), [], None
+    for size in range(1, grams + 1):
+        place = F.sequence(F.lit(1), F.size("_w") - (size - 1))
+        part = lambda at, k: F.array_join(F.slice("_w", at, k), " ")
+        long = whole.filter(F.size("_w") >= size)
+        if size == 1:
+            terms = long.select(key, F.explode("_w").alias("term"))
+        else:  # both parts that are one word shorter
+            terms = long.select(key, F.inline(F.transform(place, lambda at: F.struct(part(at, F.lit(size)).alias("term"), part(at, F.lit(size - 1)).alias("_a"), part(at + 1, F.lit(size - 1)).alias("_b")))))
+            parts = F.broadcast(often) if often.count() <= FEW else often
+            for side in ("_a", "_b"):
+                terms = terms.join(parts.withColumnRenamed("term", side), side, "left_semi")
+        tf = kept_table(terms.groupBy(key, "term").agg(F.count("*").alias("tf")), "term-counts")
+        totals = kept_table(tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("all")), "terms")
+        counted.append(tf)
+        valid = totals.filter((F.col("df") >= least_docs) & (F.col("df") <= n * most_share))
+        found = kept_table((valid if found is None else found.unionByName(valid)).orderBy(F.desc("all"), "term").limit(most), "vocabulary")
+        last = found.agg(F.count("*").alias("n"), F.min("all").alias("least")).first()
+        often = kept_table(totals.filter(F.col("all") >= (last["least"] if last["n"] >= most else 1)).select("term"), "often")
+    idf = F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1
+    tf = counted[0]
+    for more in counted[1:]:
+        tf = tf.unionByName(more)
+    return tf.join(F.broadcast(found), "term").select(key, "term", "tf", "df", ((1 + F.log("tf")) * idf).alias("score"))  # most rows are broadcast at most

@@ -353,6 +353,16 @@ def topk_terms(spark, sf):
     return rows.top(out.groupBy("term").agg(F.round(F.sum("score"), 3).alias("score")), 50, F.desc("score"), F.col("term"))
 
 
+_GRAMS = "words AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}') AS w FROM documents), tokens AS (SELECT doc_id, unnest(w) AS term FROM words UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM words UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM words), " + _TERMS[_TERMS.index("tf AS ("):]
+
+
+@book.query("tfidf_grams", f"WITH {_GRAMS} SELECT doc_id, count(*) AS terms, count(*) FILTER (contains(term, ' ')) AS longer, round(sum(score), 3) AS total, round(max(score), 5) AS most FROM scores GROUP BY 1")
+def tfidf_grams(spark, sf):
+    """Terms of one to three words, the 10,000 most frequent ones."""
+    out = rows.gram_scores(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id", "text")
+    return out.groupBy("doc_id").agg(F.count("*").alias("terms"), F.count_if(F.contains("term", F.lit(" "))).alias("longer"), F.round(F.sum("score"), 3).alias("total"), F.round(F.max("score"), 5).alias("most"))
+
+
 @book.query("topk_errors", on_logs("SELECT log_id, expected_category, category, confidence, left(message, 100) AS message FROM decisions WHERE expected_category <> category ORDER BY log_id LIMIT 5", decided()))
 def topk_errors(spark, sf):
     wrong = views.decisions(spark, sf).filter("expected_category <> category").select("log_id", "expected_category", "category", "confidence", F.left("message", F.lit(100)).alias("message"))

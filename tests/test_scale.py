@@ -6,7 +6,7 @@ import time
 import numpy as np
 import pandas as pd
 import pytest
-from logsluice.operators import contain, correlate, rollups, windows
+from logsluice.operators import contain, correlate, rollups, rows, windows
 from pyspark.sql import functions as F
 
 
@@ -102,3 +102,23 @@ def test_sketches_of_minutes_answer_for_any_span(spark):
     found = {r.kind: (r.n, r.q, r.h, r.ips) for r in rollups.united(rollups.minutes(odd, "at", "kind", value="x", distinct="ip"), None, "kind").select("kind", "n", rollups.quantile(0.5).alias("q"), rollups.at_most(5).alias("h"), rollups.distinct_count().alias("ips")).collect()}
     assert found == {1: (2, 3.0, 1, 1), 2: (1, None, 0, 0)}
     assert rollups.minutes(odd.limit(0), "at", value="x").count() == 0
+
+
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_terms_of_three_words_equal_a_full_count(spark, monkeypatch, few):
+    from collections import Counter
+
+    monkeypatch.setattr(rows, "FEW", few)
+    rng = random.Random(7)
+    words = [f"w{k}" for k in range(12)] + ["the"]
+    texts = [(k, " ".join(rng.choices(words, [*range(1, 13), 30], k=rng.randrange(40)))) for k in range(60)] + [(60, None), (61, "x"), (62, "once only")]
+    grams = {k: Counter(" ".join(w[i : i + n]) for w in [[x for x in (t or "").split() if len(x) > 1]] for n in (1, 2, 3) for i in range(len(w) - n + 1)) for k, t in texts}
+    total, df = Counter(), Counter()
+    for c in grams.values():
+        total.update(c)
+        df.update(c.keys())
+    for most in (5, 40, 10_000):
+        kept = sorted((t for t in df if 2 <= df[t] <= 0.95 * len(texts)), key=lambda t: (-total[t], t))[:most]
+        found = rows.gram_scores(spark.createDataFrame(texts, "doc_id int, text string"), "doc_id", "text", most=most)
+        got = {(r.doc_id, r.term): (r.tf, r.df, round(r.score, 9)) for r in found.collect()}
+        assert got == {(k, t): (c[t], df[t], round((1 + np.log(c[t])) * (np.log((1 + len(texts)) / (1 + df[t])) + 1), 9)) for k, c in grams.items() for t in kept if t in c}
