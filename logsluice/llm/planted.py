@@ -47,6 +47,9 @@ SECRETS: dict[str, Callable[[random.Random], tuple[str, str, str]]] = {
     "passphrase": lambda r: (r.choice(["passphrase: ", 'passphrase = "', "the passphrase is "]), "-".join(r.choices(_PLAIN, k=r.randint(4, 6))), r.choice(["", '"', "."])),
 }
 
+#: Kinds that are told by themselves, so that they can stand side by side with nothing but a sign between them.
+LISTED = ("bearer", "prefixed", "chat", "cloud", "capital hex", "random")
+
 #: Things that are no secrets, by example.
 HARMLESS: list[Callable[[random.Random], str]] = [
     lambda r: f"{r.choice(['call', 'tel:', 'order', 'card', 'no.'])} {_some(r, DIGITS, 3)}-{_some(r, DIGITS, 3, 4)}-{_some(r, DIGITS, 4)}",
@@ -73,11 +76,17 @@ HARMLESS: list[Callable[[random.Random], str]] = [
 ]
 
 
-def planted(text: str, rng: random.Random, kinds: list[str], harmless: int = 2) -> tuple[str, list[tuple[int, int, str]], list[tuple[int, int]]]:
-    """The text with a secret of each kind, and so many harmless things, set in at random gaps between words; the secrets' spans, and those of all that was set in."""
+def planted(text: str, rng: random.Random, kinds: list[str], harmless: int = 2, listed: tuple[str, ...] | list[str] = ()) -> tuple[str, list[tuple[int, int, str]], list[tuple[int, int]]]:
+    """The text with a secret of each kind, and so many harmless things, set in at random gaps between words, and the listed kinds side by side; the secrets' spans, and those of all that was set in."""
     gaps = [0, *(k + 1 for k, c in enumerate(text) if c in " \n"), len(text)]
     wanted = [SECRETS[k](rng) for k in kinds] + [(HARMLESS[rng.randrange(len(HARMLESS))](rng), "", "") for _ in range(harmless)]
-    places = sorted(zip((rng.choice(gaps) for _ in wanted), range(len(wanted))))
+    places = [(rng.choice(gaps), k) for k in range(len(wanted))]
+    if listed:
+        at, sign = rng.choice(gaps), rng.choice(["", ",", "\n"])
+        places += [(at, len(wanted) + k) for k in range(len(listed))]
+        wanted += [("", SECRETS[k](rng)[1], sign) for k in listed]
+    places.sort()
+    named = [*kinds, *[""] * harmless, *listed]
     out, spans, regions, last, size = [], [], [], 0, 0
     for at, k in places:
         before, secret, after = wanted[k]
@@ -85,7 +94,7 @@ def planted(text: str, rng: random.Random, kinds: list[str], harmless: int = 2)
         out += [lead, before, secret, after + " "]
         start = size + len(lead) + len(before)
         if secret:
-            spans.append((start, start + len(secret), kinds[k]))
+            spans.append((start, start + len(secret), named[k]))
         regions.append((size + len(lead), start + len(secret) + len(after)))
         size = start + len(secret) + len(after) + 1
         last = at

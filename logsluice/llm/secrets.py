@@ -4,12 +4,13 @@ Tokens are runs without white space, quotes and separating punctuation. Each is
 O. A token's features are categories: its shape (length, kinds of characters, how often digits and letters or small letters and
 capitals take turns, vowels, a known beginning), what stands right before and after it, the shapes of its neighbours, where the
 nearest telling word is among the three tokens before and the two after it, and its file (how much of the text is digits and
-signs, whether telling words occur at all). What speaks for a secret (B or I) against O is the sum of one weight for each
-feature; states follow each other by a transition table in which I never follows O.
+signs, whether telling words occur at all). What speaks for B against O, and for I against O, is the sum of a weight of its own
+for each feature; states follow each other by a transition table in which I never follows O. So two secrets side by side
+are two spans where the second looks like a beginning.
 
 There are no labels for secrets. The field is fitted to a bounded sample of texts (SAMPLE with a telling word, SAMPLE without, the
 least by a hash of the text), in which the base patterns' finds are tagged, and secrets of other kinds (llm/planted.py) are set at
-random places, as are numbers, names and phrases that look like secrets and are none. In half of the base finds the telling
+random places or side by side in lists, as are numbers, names and phrases that look like secrets and are none. In half of the base finds the telling
 word is replaced by another, so that the shape of what follows has to do. So the field goes on to secrets that the patterns miss.
 
 Decoding is Viterbi's and exact, and cheap: where no stretch of tokens around one could gain anything over O, it is O, and only
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_rows, small_batches, texts_of, written
-from .planted import SECRETS, planted
+from .planted import LISTED, SECRETS, planted
 
 KINDS = ("assign", "access", "hex", "crf")
 SAMPLE = 1500
@@ -150,21 +151,21 @@ _CLOSED = -1e9  # the score of what may not be
 
 
 class Field:
-    """weights: for each feature, a weight of each value for a secret (B and I alike) against O; links: 3 x 3, from a state to the next; first: 3."""
+    """weights: for each feature, values x 2, the weights of each value for B and for I against O; links: 3 x 3, from a state to the next; first: 3."""
 
     def __init__(self, weights: list[np.ndarray], links: np.ndarray, first: np.ndarray) -> None:
         self.weights, self.links, self.first = weights, links, first
-        # A stretch of states other than O between two O gains no more over O than its scores, inner for each token, and outer once.
-        enter = max(float(links[O, B] - links[O, O]), float(first[:2].max() - first[O]))
-        self.inner = float(links[:2, :2].max() - links[O, O])
-        self.outer = enter + max(float((links[:2, O] - links[O, O]).max()), 0.0) - self.inner
+        # A stretch of states other than O between two O gains no more over O than the greater of score + inner (of B, of I) for each token, and outer once.
+        enter = max(float(links[O, B] - links[O, O]), float(first[B] - first[O]))  # I never begins one
+        self.inner = links[:2, :2].max(axis=0) - links[O, O]
+        self.outer = enter + max(float((links[:2, O] - links[O, O]).max()), 0.0) - float(self.inner[B])
 
     def scores(self, found: np.ndarray) -> np.ndarray:
-        """How much speaks for a secret, by token."""
+        """How much speaks for B and for I, by token."""
         return sum(w[found[:, k]] for k, w in enumerate(self.weights))
 
     def viterbi(self, scores: np.ndarray, first: np.ndarray, last: np.ndarray | None = None) -> list[int]:
-        own = np.outer(scores, [1, 1, 0])
+        own = np.column_stack([scores, np.zeros(len(scores))])
         best, back = first + own[0], []
         for s in own[1:]:
             step = best[:, None] + self.links
@@ -182,7 +183,7 @@ class Field:
         tags = np.full(len(found), O)
         scores = self.scores(found)
         # The most that any stretch with a token in it can gain: sums up to it and from it on, less the least sum before or after.
-        sums = np.concatenate([[0.0], np.cumsum(scores + self.inner)])
+        sums = np.concatenate([[0.0], np.cumsum((scores + self.inner).max(axis=1))])
         most = np.maximum.accumulate(sums[:0:-1])[::-1] - np.minimum.accumulate(sums[:-1])
         open_ = np.flatnonzero(most + self.outer >= -1e-6)
         for run in np.split(open_, np.flatnonzero(np.diff(open_) > 1) + 1) if len(open_) else []:
@@ -214,14 +215,14 @@ def windows_of(sequences: list[tuple[np.ndarray, np.ndarray]], width: int, most:
             continue
         odd = (tags != O) | (found[:, 13] >= 4) | (found[:, 8] > 0)
         odd[1:] |= tags[:-1] != O
-        for i in np.unique(np.append(np.flatnonzero(odd) // (width // 2), 0)) * (width // 2):
+        at = np.unique(np.append(np.flatnonzero(odd) // (width // 2), 0)) * (width // 2)
+        begins = np.maximum.accumulate(np.where(tags == I, 0, np.arange(len(tags))))
+        for i in np.unique(begins[at]):  # a window that would begin inside a secret begins with it
             w = np.full((width, len(SIZES) + 1), -1, np.int64)
             part = np.column_stack([found, tags])[i : i + width]
             if (part[:, -1] == UNKNOWN).any():
                 continue
             w[: len(part)] = part
-            if w[0, -1] == I:  # a window that begins inside a secret
-                w[0, -1] = B
             into = parts[int((part[:, -1] == O).all())]
             key = w.tobytes()
             if key in into or len(into) < most // 2:
@@ -233,7 +234,8 @@ def likelihood(params: list[np.ndarray], x: np.ndarray, y: np.ndarray, live: np.
     """The windows' log likelihood under weights, links and first (params, in this order), and its gradients, by forward-backward."""
     *weights, links, first = params
     width, eye = x.shape[1], np.eye(3)
-    s = (sum(w[x[:, :, k]] for k, w in enumerate(weights)) * live)[:, :, None] * np.array([1, 1, 0])
+    s = np.zeros((*x.shape[:2], 3))
+    s[:, :, :2] = sum(w[x[:, :, k]] for k, w in enumerate(weights)) * live[:, :, None]
     logsum = lambda v, axis: np.log(np.exp(v - v.max(axis=axis, keepdims=True)).sum(axis=axis)) + v.max(axis=axis)
     ahead, behind = [first + s[:, 0]], [np.zeros((len(x), 3))]
     for t in range(1, width):
@@ -244,8 +246,7 @@ def likelihood(params: list[np.ndarray], x: np.ndarray, y: np.ndarray, live: np.
     whole = logsum(ahead[-1], 1)
     each = np.stack([np.exp(a + b - whole[:, None]) for a, b in zip(ahead, behind)], 1)
     gap = np.where(live[:, :, None], eye[y] - each, 0) * times[:, None, None]
-    speaks = gap[:, :, B] + gap[:, :, I]
-    grads = [np.bincount(x[:, :, k].ravel(), speaks.ravel(), len(w)) for k, w in enumerate(weights)]
+    grads = [np.column_stack([np.bincount(x[:, :, k].ravel(), gap[:, :, state].ravel(), len(w)) for state in (B, I)]) for k, w in enumerate(weights)]
     g, score = np.zeros((3, 3)), first[y[:, 0]] + np.take_along_axis(s[:, 0], y[:, :1], 1)[:, 0]
     for t in range(1, width):
         pair = np.exp(ahead[t - 1][:, :, None] + links + (s[:, t] + behind[t])[:, None, :] - whole[:, None, None])
@@ -264,7 +265,7 @@ def arranged(windows: dict[bytes, int], width: int) -> tuple[np.ndarray, np.ndar
 def fitted(sequences: list[tuple[np.ndarray, np.ndarray]], steps: int = 100, rate: float = 0.4, decay: float = 2e-5, width: int = 16, most: int = WINDOWS) -> Field:
     """Maximum likelihood by Adam on forward-backward expectations, over windows of width tokens around anything but plain words."""
     windows = windows_of(sequences, width, most)
-    weights, links, first = [np.full(n, -0.5) for n in SIZES], np.zeros((3, 3)), np.zeros(3)  # a value never seen speaks for O
+    weights, links, first = [np.full((n, 2), -0.5) for n in SIZES], np.zeros((3, 3)), np.zeros(3)  # a value never seen speaks for O
     links[O, I] = first[I] = _CLOSED
     if windows:
         data = arranged(windows, width)
@@ -296,12 +297,14 @@ def tagged(text: str, spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndar
 
 
 def example(text: str, rng: random.Random, kinds: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """A text to fit on: up to two planted secrets of these kinds, harmless things beside them, and what the base patterns find, half of it untold.
+    """A text to fit on: up to two planted secrets of these kinds, or a list of some side by side, harmless things beside them, and what the base patterns find, half of it untold.
 
     What else in the text itself looks like a secret may be one: long tokens of letters and digits, and told tokens with digits,
     have no known tag.
     """
-    text, secrets_, regions = planted(text, rng, rng.sample(kinds, min(len(kinds), rng.choice((0, 1, 1, 2)))), rng.randrange(4))
+    bare = [k for k in kinds if k in LISTED]
+    listed = rng.choices(bare, k=rng.randint(2, 4)) if bare and rng.random() < 0.2 else []
+    text, secrets_, regions = planted(text, rng, rng.sample(kinds, min(len(kinds), rng.choice((0, 1, 1, 2)))), rng.randrange(4), listed)
     spans = [(a, b) for a, b, _ in secrets_]
     for a, b, kind in base_spans(text):
         if kind == "assign":
@@ -345,9 +348,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Field:
     if found is None:
         return fitted([])
     flat = np.array(found.flat)
-    ends = np.cumsum([*SIZES, 9, 3])
+    ends = np.cumsum([*(2 * n for n in SIZES), 9, 3])
     *weights, links, first = np.split(flat, ends[:-1])
-    return Field(weights, links.reshape(3, 3), first)
+    return Field([w.reshape(-1, 2) for w in weights], links.reshape(3, 3), first)
 
 
 def all_spans(text: str, field: Field) -> list[tuple[int, int, str]]:
@@ -362,7 +365,7 @@ def secrets(docs: DataFrame) -> DataFrame:
 
     Null texts count as empty and have no spans; null ids and repeated rows stay. Extra columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs))  # about a hundred numbers
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs))  # some two hundred numbers
 
     def make():
         field = shared.value
@@ -383,7 +386,11 @@ def secrets(docs: DataFrame) -> DataFrame:
 
 
 def masked(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
-    """docs with every span of a secret in text replaced, and n_chars counted anew where there is such a column."""
+    """docs with every span of a secret in text replaced, and n_chars counted anew where there is such a column.
+
+    Null and empty texts stay as they are. Spans that overlap are replaced as one, adjacent ones each on its own. Null ids and
+    repeated rows stay, each masked alike; extra columns are kept as they are. An empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs))
     at, schema = docs.columns.index("text"), docs.schema
 
