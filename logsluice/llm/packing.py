@@ -2,7 +2,8 @@
 
 1. One Arrow pass turns each document into pieces: full windows while more than a window is left, then the rest. A piece
    row has its place, length and checksum (and its ids, if asked for), and is written to the shared folder.
-2. Pieces are dealt to groups of a bounded expected size by a hash that spreads even equal rows.
+2. A full window is a sequence of its own. The rests, one at most for a document and each shorter than a window, are dealt to
+   groups of a bounded expected size by a hash that spreads even equal rows: however long documents are, a group is bounded.
 3. Each group is packed on its own: longest piece first, each into the open window with the least room that still holds
    it, which a segment tree over the remaining capacities finds in a logarithm of the window. A group leaves about one
    window partly empty.
@@ -23,7 +24,7 @@ from .tokens import WORD_BPE, encoder, tokenizer_path
 
 WINDOW = 2048
 END = 1
-#: Documents to a group, on average.
+#: Rests of documents to a group, on average.
 GROUP = 8192
 
 
@@ -105,8 +106,11 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end: in
     pieces any may come first. An empty table gives no rows; extra columns are ignored.
     """
     cut = written(pieces(docs, path, window, end, with_ids), "pieces")
-    groups = max(1, -(-cut.filter("start = 0").count() // group))  # documents, from what is written
-    dealt = cut.withColumn("grp", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("int"))  # of a written table: the same at every reading
+    at = F.monotonically_increasing_id()  # of a written table: the same at every reading
+    full = cut.withColumn("sequence_id", at + F.lit(1 << 62)).withColumn("offset", F.lit(0).cast("long")).filter(F.col("length") == window)
+    rests = cut.withColumn("at", at).filter(F.col("length") < window)
+    groups = max(1, -(-cut.filter(F.col("length") < window).count() // group))
+    dealt = rests.withColumn("grp", F.pmod(F.xxhash64("at"), F.lit(groups)).cast("int")).drop("at")
 
     def fill(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], kind="stable")
@@ -114,7 +118,7 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end: in
         return rows.assign(sequence_id=rows.grp.astype("int64") * (1 << 32) + sequence, offset=offset)
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in dealt.schema) + ", sequence_id long, offset long"
-    return dealt.groupBy("grp").applyInPandas(fill, fields).drop("grp")
+    return full.unionByName(dealt.groupBy("grp").applyInPandas(fill, fields).drop("grp"))
 
 
 def op10_packing(spark, sf_dir: str) -> DataFrame:

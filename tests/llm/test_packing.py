@@ -62,6 +62,19 @@ def test_every_id_once_and_little_padding(spark, documents, corpus, odd):
     assert packing.pack(documents([])).count() == 0
 
 
+def test_long_documents_do_not_fill_groups(spark, documents):
+    rows = [(k, "word " * (30 if k % 9 else 9000)) for k in range(60)] + [(100, " ".join(["word"] * 2047)), (101, " ".join(["word"] * 2047))]
+    found = packing.pack(documents(rows), group=10).toPandas()
+    full = found[found.length == 2048]
+    assert len(full) >= 7 * 4 and (full.offset == 0).all()
+    by = found.groupby("sequence_id").length.agg(["sum", "size"])
+    assert (by.loc[full.sequence_id, "size"] == 1).all() and full.sequence_id.is_unique and by["sum"].max() <= 2048
+    rest = found[found.length < 2048]
+    assert rest.groupby(rest.sequence_id // (1 << 32)).size().max() < 25 and not set(rest.sequence_id) & set(full.sequence_id)
+    for key, g in found.sort_values("start").groupby("doc_id"):
+        assert g.start.tolist() == [0, *g.length.cumsum().tolist()[:-1]] and g.length.sum() == g.doc_tokens.iloc[0]
+
+
 class Counting:
     """A file that counts the bytes read."""
 
