@@ -2,7 +2,7 @@
 
 Tokens are runs without white space, quotes and separating punctuation. Each is tagged B (a secret begins), I (inside) or
 O. A token's features are categories: its shape (length, kinds of characters, how often digits and letters or small letters and
-capitals take turns, vowels, a known beginning), what stands right before and after it, the shapes of its neighbours, where the
+capitals take turns, vowels, hexadecimal digits alone), what stands right before and after it, the shapes of its neighbours, where the
 nearest telling word is among the three tokens before and the two after it, and its file (how much of the text is digits and
 signs, whether telling words occur at all). What speaks for B against O, and for I against O, is the sum of a weight of its own
 for each feature; states follow each other by a transition table in which I never follows O. So two secrets side by side
@@ -40,9 +40,6 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 TELLING = ("passw", "secret", "token", "apikey", "api_key", "api key", "credential", "private key", "bearer", "pwd", "passphrase", "passcode", "auth_key", "access_key", "access key", "client key", "authorization")
 _TELLS = re.compile("|".join(TELLING))
-# Fixed beginnings of published formats of keys.
-BEGINNINGS = ("ghp_", "gho_", "github_pat_", "xoxb-", "xoxp-", "sk-", "sk_live_", "rk_live_", "eyJ", "AIza", "ya29.", "glpat-", "npm_", "SG.", "MII")
-_BEGINS = re.compile("|".join(map(re.escape, BEGINNINGS)))
 #: Windows of tokens that the field is fitted on, at most.
 WINDOWS = 6000
 
@@ -77,16 +74,18 @@ _HEX = _table("0123456789abcdef")
 _PARTS = _table("".join(map(chr, range(33))) + "\"'`,;:(){}[]<>|!#$%&*?=@\x7f\x85\xa0")
 _QUOTE, _ASSIGN, _LINE = _table("\"'`"), _table("=:"), _table("\n\r")
 _DIGIT, _UPPER, _LOWER = _table("0123456789"), _table("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), _table("abcdefghijklmnopqrstuvwxyz")
-#: By character, in 32-bit lanes: digits and capitals; small letters and signs; vowels. Others (over 255) count as none.
+#: By character, in 32-bit lanes: digits and capitals; small letters and signs; vowels and the letters A to F. Others (over 255) count as none.
 _LANES = np.zeros((3, 256), np.uint64)
 _LANES[0, _DIGIT] = 1
 _LANES[0, _UPPER] = 1 << 32
 _LANES[1, _LOWER] = 1
 _LANES[1, _table("+/_-.~^")] = 1 << 32
 _LANES[2, _table("aeiouyAEIOUY")] = 1
+_LANES[2, _table("bcdfBCDF")] = 1 << 32
+_LANES[2, _table("aeAE")] |= np.uint64(1 << 32)
 _HALF, _MASK = np.uint64(32), np.uint64((1 << 32) - 1)
 
-#: Values of each feature: length, kinds of characters, turns of digits, turns of case, vowels, beginning, before, after, telling
+#: Values of each feature: length, kinds of characters, turns of digits, turns of case, vowels, hexadecimal, before, after, telling
 #: word before, telling word after, class of the token before, of the one after, file, own class with what tells of it.
 SIZES = (9, 32, 5, 4, 4, 2, 5, 5, 4, 2, 6, 6, 4, 24)
 
@@ -103,7 +102,7 @@ def tokens(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return starts, ends, np.zeros((0, len(SIZES)), np.int64)
     lanes = [np.add.reduceat(_LANES[k][low], starts) for k in range(3)]
     size = ends - starts
-    digits, capitals, small, signs, vowels = (x.astype(np.int64) for x in (lanes[0] & _MASK, lanes[0] >> _HALF, lanes[1] & _MASK, lanes[1] >> _HALF, lanes[2]))
+    digits, capitals, small, signs, vowels, to_f = (x.astype(np.int64) for lane in lanes for x in (lane & _MASK, lane >> _HALF))
     letters = capitals + small
     turn = np.zeros(len(points), np.uint64)
     digit = _DIGIT[low]
@@ -119,6 +118,7 @@ def tokens(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     found[:, 2] = np.digitize(turns, [1, 2, 4, 7])
     found[:, 3] = np.minimum(swings, 3)
     found[:, 4] = np.where(letters == 0, 0, 1 + np.digitize(vowels / np.maximum(letters, 1), [0.16, 0.3]))
+    found[:, 5] = (digits > 0) & (to_f > 0) & (digits + to_f == size)
     padded = np.concatenate([[10] * 3, low, [10]]).astype(np.uint8)
     one, two, three = (padded[starts + k] for k in (2, 1, 0))
     quoted = _QUOTE[one] | _QUOTE[two] & (one == 32)
@@ -138,9 +138,6 @@ def tokens(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         telling[3 + np.searchsorted(starts, at, side="right") - 1] = True
         found[:, 8] = np.select([telling[2 : n + 2], telling[1 : n + 1], telling[:n]], [1, 2, 3], 0)
         found[:, 9] = telling[4 : n + 4] | telling[5 : n + 5]
-    if any(w in text for w in BEGINNINGS):
-        at = np.array([m.start() for m in _BEGINS.finditer(text)])
-        found[np.isin(starts, at), 5] = 1
     odd = (digits.sum() + signs.sum()) * 20 > size.sum()
     found[:, 12] = int(odd) + 2 * tells
     found[:, 13] = 4 * own + 2 * (found[:, 8] > 0) + (assigned | quoted)
@@ -262,7 +259,7 @@ def arranged(windows: dict[bytes, int], width: int) -> tuple[np.ndarray, np.ndar
     return np.maximum(data[:, :, :-1], 0), np.maximum(data[:, :, -1], 0), data[:, :, 0] >= 0, np.array([*windows.values()], float)
 
 
-def fitted(sequences: list[tuple[np.ndarray, np.ndarray]], steps: int = 100, rate: float = 0.4, decay: float = 2e-5, width: int = 16, most: int = WINDOWS) -> Field:
+def fitted(sequences: list[tuple[np.ndarray, np.ndarray]], steps: int = 200, rate: float = 0.4, decay: float = 2e-5, width: int = 16, most: int = WINDOWS) -> Field:
     """Maximum likelihood by Adam on forward-backward expectations, over windows of width tokens around anything but plain words."""
     windows = windows_of(sequences, width, most)
     weights, links, first = [np.full((n, 2), -0.5) for n in SIZES], np.zeros((3, 3)), np.zeros(3)  # a value never seen speaks for O
