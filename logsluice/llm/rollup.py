@@ -7,7 +7,11 @@ so that a few rows are all that is kept of it. Totals are the sum over the commi
 Below the folder, each attempt of a commit writes its sums to a folder of its own and is published by one marker row, written
 after them in a single file, that names batch, attempt and a digest of the sums. A batch counts once, however many markers it has:
 the least attempt of the first digest. So a crash between the two leaves no trace in the totals, a retry or replay adds nothing,
-and a new Rollup on the folder goes on where the last one stopped. A known batch id with other sums is refused.
+and a new Rollup on the folder goes on where the last one stopped. A known batch id with other rows is refused.
+
+A fold sums what is committed into one attempt of its own, lists the batches that it holds, and is published by a marker row without a
+batch. Totals read one fold, the one with most batches, and the batches that it does not list: so folds that race, or of which a crash
+left half, change no total, and reading costs the batches since the last fold and not all that ever were.
 """
 
 from __future__ import annotations
@@ -26,6 +30,8 @@ from .tokens import BYTE_BPE, encoder, tokenizer_path
 BPE, WORDS = "byte_bpe_50k@1", "words@1"
 _GROUP = [("source", T.StringType()), ("lang", T.StringType()), ("tokenizer", T.StringType())]
 _DELTA = T.StructType([T.StructField(n, t) for n, t in (*_GROUP, ("n_docs", T.LongType()), ("n_tokens", T.LongType()))])
+#: What an attempt keeps: its sums, and sums of two hashes of the rows behind them.
+_KEPT = T.StructType([*_DELTA.fields, *[T.StructField(f"h{k}", T.DecimalType(38, 0)) for k in (0, 1)]])
 _MARK = "batch string, attempt string, digest string"
 
 
@@ -60,21 +66,21 @@ class Rollup:
         return self.spark.read.schema(_MARK).parquet(f"{self.folder}/markers")
 
     def digest_of(self, batch: str) -> str | None:
-        """The digest of a committed batch's sums; None for a batch that is not committed."""
+        """The digest of a committed batch's rows; None for a batch that is not committed."""
         return self._markers().filter(F.col("batch") == str(batch)).agg(F.min("digest")).first()[0]
 
     def prepared(self, rows: DataFrame, sign: Column | int, attempt: str) -> str:
-        """Write the sums of signed ledger rows under an attempt, which does not count yet; their digest."""
+        """Write the sums of signed ledger rows under an attempt, which does not count yet; the digest of the rows, in any order."""
         signed = rows.withColumn("sign", F.lit(sign) if isinstance(sign, int) else sign)
-        counts = signed.select("source", "lang", "sign", F.inline(F.array(*[F.struct(F.lit(v).alias("tokenizer"), F.col(c).alias("n")) for v, c in ((BPE, "bpe"), (WORDS, "words"))])))
-        sums = counts.groupBy("source", "lang", "tokenizer").agg(F.sum("sign").cast("long").alias("n_docs"), F.sum(F.col("sign") * F.col("n")).cast("long").alias("n_tokens"))
+        counts = signed.select("doc_id", "source", "lang", "same", "sign", F.inline(F.array(*[F.struct(F.lit(v).alias("tokenizer"), F.col(c).alias("n")) for v, c in ((BPE, "bpe"), (WORDS, "words"))])))
+        hashes = [F.sum(F.xxhash64(F.lit(k), *counts.columns).cast("decimal(20,0)")).cast("decimal(38,0)").alias(f"h{k}") for k in (0, 1)]
+        sums = counts.groupBy("source", "lang", "tokenizer").agg(F.sum("sign").cast("long").alias("n_docs"), F.sum(F.col("sign") * F.col("n")).cast("long").alias("n_tokens"), *hashes)
         sums.write.parquet(f"{self.folder}/sums/attempt={attempt}")
-        kept = self.spark.read.schema(_DELTA).parquet(f"{self.folder}/sums/attempt={attempt}").filter("n_docs <> 0 OR n_tokens <> 0")
-        found = kept.agg(F.count("*").alias("n"), *[F.sum(F.xxhash64(F.lit(k), *_DELTA.names).cast("decimal(38,0)")).alias(f"h{k}") for k in (0, 1)]).first()
+        found = self.spark.read.schema(_KEPT).parquet(f"{self.folder}/sums/attempt={attempt}").agg(F.count("*").alias("n"), F.sum("h0").alias("h0"), F.sum("h1").alias("h1")).first()
         return f"{found.n}:{found.h0 or 0}:{found.h1 or 0}"
 
     def commit(self, batch: str, rows: DataFrame, sign: Column | int = 1) -> bool:
-        """Add signed ledger rows under this batch id; False, and nothing added, if the batch is committed with these sums already.
+        """Add signed ledger rows under this batch id; False, and nothing added, if the batch is committed with these rows already.
 
         A batch that is committed with other sums is refused: a change is a batch of its own, with the old rows out and the new ones in.
         """
@@ -86,19 +92,50 @@ class Rollup:
             self.spark.createDataFrame([(str(batch), attempt, digest)], _MARK).coalesce(1).write.mode("append").parquet(f"{self.folder}/markers")
         return before is None
 
-    def batches(self) -> DataFrame:
+    def batches(self, marks: DataFrame | None = None) -> DataFrame:
         """Rows (batch, attempt) of what counts: one attempt for each committed batch."""
         first = F.row_number().over(Window.partitionBy("batch").orderBy("digest", "attempt"))  # a batch has as many markers as sessions raced for it
-        return self._markers().withColumn("_k", first).filter("_k = 1").select("batch", "attempt")
-
-    def totals(self) -> DataFrame:
-        """(source, lang, tokenizer, n_docs, n_tokens); groups whose documents have all gone are left out."""
-        some = self.batches().select("attempt")
+        marks = self._markers() if marks is None else marks
+        return marks.filter("batch IS NOT NULL").withColumn("_k", first).filter("_k = 1").select("batch", "attempt")
+
+    def _fold(self, marks: DataFrame) -> str | None:
+        """The attempt of the published fold with most batches."""
+        return marks.filter("batch IS NULL").agg(F.max(F.struct(F.col("digest").cast("long").alias("n"), "attempt"))["attempt"]).first()[0]
+
+    def folded(self, marks: DataFrame | None = None) -> DataFrame:
+        """Rows (batch, attempt) of the batches in the fold that totals read; nothing reads these attempts' sums again, so they may be removed."""
+        fold = self._fold(self._markers() if marks is None else marks)
+        if fold is None:
+            return self.spark.createDataFrame([], "batch string, attempt string")
+        return self.spark.read.schema("batch string, attempt string").parquet(f"{self.folder}/folds/{fold}")
+
+    def _summed(self, marks: DataFrame) -> DataFrame:
+        """The totals of the batches that marks, one reading of the markers, name."""
+        some, fold = self.batches(marks), self._fold(marks)
+        if fold is not None:
+            own = self.spark.createDataFrame([(fold,)], "attempt string")
+            some = some.join(self.folded(marks).select("batch"), "batch", "left_anti").select("attempt").unionByName(own)
         if some.isEmpty():
             return self.spark.createDataFrame([], _DELTA)
-        deltas = self.spark.read.schema(T.StructType([*_DELTA.fields, T.StructField("attempt", T.StringType())])).parquet(f"{self.folder}/sums").join(some, "attempt", "left_semi")
+        deltas = self.spark.read.schema(T.StructType([*_DELTA.fields, T.StructField("attempt", T.StringType())])).parquet(f"{self.folder}/sums")
+        deltas = deltas.join(some.select("attempt"), "attempt", "left_semi")
         return deltas.groupBy("source", "lang", "tokenizer").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).filter("n_docs <> 0 OR n_tokens <> 0")
 
+    def totals(self) -> DataFrame:
+        """(source, lang, tokenizer, n_docs, n_tokens); groups whose documents have all gone are left out. A null source or lang is a group of its own."""
+        return self._summed(self._markers())
+
+    def fold(self) -> int:
+        """Sum all that is committed into one attempt; the number of batches in it. Totals stay as they are, and a batch in a fold stays known."""
+        marks = self._markers()  # the files of this moment: what is listed is what is summed
+        attempt = uuid.uuid4().hex
+        self._summed(marks).write.parquet(f"{self.folder}/sums/attempt={attempt}")
+        self.batches(marks).write.parquet(f"{self.folder}/folds/{attempt}")
+        n = self.spark.read.parquet(f"{self.folder}/folds/{attempt}").count()
+        if n:
+            self.spark.createDataFrame([(None, attempt, str(n))], _MARK).coalesce(1).write.mode("append").parquet(f"{self.folder}/markers")
+        return n
+
 
 def copies(rows: DataFrame) -> DataFrame:
     """The ledger rows of texts that a smaller doc_id has too (a null id is the greatest; rows of one id stay together).
@@ -116,16 +153,17 @@ def revised(docs: DataFrame, text: Column) -> DataFrame:
 
 
 def op3_token_counts(spark, sf_dir: str) -> DataFrame:
-    """All documents come in with one batch; the exact copies go with another, which is replayed; of what is left, texts with repeated
-    lines are revised to keep the first of each. The totals are those of a Rollup that is opened anew."""
+    """All documents come in with one batch; the exact copies go with another, which is replayed after a fold of both; of what is left,
+    texts with repeated lines are revised to keep the first of each. The totals are those of a Rollup that is opened anew."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", "text")
     rows = written(ledger(docs), "ledger")
     folder = new_path(spark, "token-counts")
     sums = Rollup(spark, folder)
     sums.commit("load", rows)
     gone = written(copies(rows), "copies")
-    for _ in range(2):
-        sums.commit("copies", gone, -1)
+    sums.commit("copies", gone, -1)
+    sums.fold()
+    sums.commit("copies", gone, -1)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     fewer = F.array_join(F.array_distinct(F.split(text, "\n")), "\n")
     away = gone.select(F.col("doc_id").alias("_id"), F.col("same").alias("_same")).distinct()

@@ -68,6 +68,48 @@ def test_a_failed_commit_leaves_nothing(spark, tmp_path):
     assert sums.commit("3", rows.limit(0)) and totals(sums) == before
 
 
+def test_folds_change_no_total_and_are_what_is_read(spark, tmp_path):
+    import shutil
+
+    folder = tmp_path / "sums"
+    sums = rollup.Rollup(spark, str(folder))
+    assert sums.fold() == 0 and totals(sums) == {} and sums.folded().count() == 0
+    rows = [(k, f"text of {k}", "en" if k % 2 else None, "s" if k % 3 else None) for k in range(12)]
+    table = lambda rows: rollup.ledger(spark.createDataFrame(rows, SCHEMA))
+    for k in range(3):
+        sums.commit(str(k), table(rows[4 * k : 4 * k + 4]))
+    expected = counted(rows)
+    assert sums.fold() == 3 and totals(sums) == expected
+    for r in sums.folded().collect():  # nothing reads them again
+        shutil.rmtree(folder / "sums" / f"attempt={r.attempt}")
+    assert totals(rollup.Rollup(spark, str(folder))) == expected
+    assert not sums.commit("1", table(rows[4:8])) and totals(sums) == expected  # a batch in a fold is still known
+    # a marker that lost a race for a batch of the fold comes late, with an attempt before all others
+    digest = sums.prepared(table(rows[:4]), 1, "0-late")
+    spark.createDataFrame([("0", "0-late", digest)], rollup._MARK).write.mode("append").parquet(str(folder / "markers"))
+    assert totals(sums) == expected
+    sums.commit("gone", table(rows[:2]), -1)
+    expected.update(counted(rows[:2], -1))
+    expected = Counter({k: v for k, v in expected.items() if v})
+    assert totals(sums) == expected
+    # two sessions fold at once: either may be read
+    assert rollup.Rollup(spark, str(folder)).fold() == 4 and sums.fold() == 4
+    assert totals(sums) == expected and sums.folded().count() == 4
+    # a fold that crashed before its marker is nothing
+    spark.createDataFrame([("s", "en", rollup.WORDS, 99, 99)], rollup._DELTA).write.parquet(str(folder / "sums" / "attempt=crashed"))
+    assert totals(sums) == expected
+
+
+def test_other_rows_with_equal_sums_are_refused(spark, tmp_path):
+    sums = rollup.Rollup(spark, str(tmp_path / "sums"))
+    table = lambda rows: rollup.ledger(spark.createDataFrame(rows, SCHEMA))
+    assert sums.commit("1", table([(1, "one two", "en", "s")]))
+    for rows in ([(2, "one two", "en", "s")], [(1, "two one", "en", "s")]):
+        with pytest.raises(ValueError, match="other rows"):
+            sums.commit("1", table(rows))
+    assert totals(sums) == counted([(1, "one two", "en", "s")])
+
+
 def test_copies_of_a_common_text(spark):
     docs = spark.createDataFrame([(k, "same text" if k % 3 else f"own {k}", "en", "s") for k in range(90)] + [(None, "same text", "en", "s"), (1, "same text", "de", "s")], SCHEMA)
     gone = rollup.copies(rollup.ledger(docs)).collect()
