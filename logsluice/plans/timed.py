@@ -365,7 +365,7 @@ def stream_eps(spark, sf):
 def stream_spc(spark, sf):
     """Files by hashed hours, so that hours come in no order at all; the watermark spans them."""
     series = _hourly(spark, sf).repartition(6, F.xxhash64("ts"))
-    out = jobs.finished(stateful.spc(jobs.replayed(series, "ts", 1), late="60 days"), "spc")
+    out = jobs.finished(stateful.spc(jobs.replayed(series, "ts", 1, ordered=False), late="60 days"), "spc")
     return out.select("metric_name", F.unix_timestamp("ts").alias("at"), "value", "n", F.round("mean", 5).alias("mean"), F.round("std", 5).alias("std"), F.round("z", 4).alias("z"))
 
 

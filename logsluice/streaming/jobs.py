@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -18,20 +18,44 @@ from ..sources.scratch import folder as _place
 from .stateful import state_store
 
 LATE, LATE_DECISIONS = "10 minutes", "24 hours"
+#: Files of a replay for each core.
+RANGES = 4
 
 
-def replayed(rows: DataFrame, at: str = "event_ts", files_a_batch: int = 4, key: str | None = None) -> DataFrame:
+def replayed(rows: DataFrame, at: str = "event_ts", files_a_batch: int | None = None, key: str | None = None, ordered: bool = True) -> DataFrame:
     """A table as a stream from files, closed by a row of the far future that lets every window end.
 
-    All else in that row is null, but for a key of -1: a join key must not be null, or the row is filtered out before the
+    Files hold ranges of event time and come in its order, as the rows did: dealt out at random, all but those of the first
+    batches would be too late for the watermark and be dropped. With ordered False they stay as the table has them, for streams whose
+    watermark spans it. A batch has a file for each core, unless told otherwise.
+
+    All else in the closing row is null, but for a key of -1: a join key must not be null, or the row is filtered out before the
     watermark sees it.
     """
-    path = _place(rows.sparkSession, "replay")
-    closing = rows.sparkSession.range(1).select(F.lit("2100-01-01").cast("timestamp").alias(at))
-    rows.withColumn(at, F.col(at).cast("timestamp")).write.parquet(f"{path}/0")
-    closing.select(*[F.col(c) if c == at else F.lit(-1 if c == key else None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns]).write.mode("append").parquet(f"{path}/0")
-    schema = rows.sparkSession.read.parquet(f"{path}/0").schema
-    return rows.sparkSession.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(f"{path}/0")
+    spark = rows.sparkSession
+    path, cores = f"{_place(spark, 'replay')}/0", spark.sparkContext.defaultParallelism
+    closing = spark.range(1).select(F.lit("2100-01-01").cast("timestamp").alias(at))
+    rows = rows.withColumn(at, F.col(at).cast("timestamp"))
+    # The hash parts rows of one time; a file still has none that are younger than the next one's.
+    (rows.repartitionByRange(RANGES * cores, at, F.xxhash64(*rows.columns)) if ordered else rows).write.parquet(path)
+    if ordered:
+        _in_order(spark, path)
+    closing.select(*[F.col(c) if c == at else F.lit(-1 if c == key else None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns]).write.mode("append").parquet(path)
+    schema = spark.read.parquet(path).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch or cores).parquet(path)
+
+
+def _in_order(spark: SparkSession, path: str) -> None:
+    """Files of a folder by the number of their task: a stream takes files by their time, which is set so, before now."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = lambda: sorted((s for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-")), key=lambda s: int(s.getPath().getName().split("-")[1]))
+    first = min((s.getModificationTime() for s in parts()), default=0) - 1000 * (len(parts()) + 1)
+    for k, s in enumerate(parts()):
+        fs.setTimes(s.getPath(), first + 1000 * k, -1)
+    times = [s.getModificationTime() for s in parts()]
+    if any(a >= b for a, b in zip(times, times[1:])):
+        raise OSError(f"{path}: this store keeps no times that are set, so files of a replay would come in no order")
 
 
 def finished(stream: DataFrame, name: str) -> DataFrame:

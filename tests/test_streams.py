@@ -155,6 +155,17 @@ def test_rules_added_between_batches_count_from_then_on(spark, tmp_path):
     assert [r[0] for r in ruled.rules_at(spark, f"{path}/rules")[1]] == ["one", "two"]
 
 
+def test_a_replay_of_many_files_loses_no_late_row(spark):
+    """Rows of all times in each of 30 files: a replay brings them in order, whatever the files and cores."""
+    rows = spark.range(3000).select(F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id") * 600).alias("event_ts"), F.lit("a").alias("source"), F.lit("noise").alias("expected_category"), F.lit("x").alias("message"))
+    rows = rows.unionByName(rows.limit(1).withColumn("event_ts", F.lit(None).cast("timestamp"))).repartition(30, "event_ts")
+    assert jobs.finished(jobs.eps(jobs.replayed(rows, files_a_batch=8)), "eps").agg(F.sum("n")).first()[0] == 6 * 3000
+    assert jobs.finished(jobs.noise_summary(jobs.replayed(rows, files_a_batch=8)), "noise").agg(F.sum("n")).first()[0] == 3000
+    same = rows.withColumn("event_ts", F.lit("2024-01-01").cast("timestamp")).withColumn("k", F.monotonically_increasing_id())
+    assert jobs.finished(jobs.eps(jobs.replayed(same, files_a_batch=8)), "eps").agg(F.max("n")).first()[0] == 3001
+    assert jobs.finished(jobs.eps(jobs.replayed(rows.limit(0))), "eps").count() == 0
+
+
 def test_kept_decisions_are_read_by_hour(spark, tmp_path):
     at = lambda hours: START + dt.timedelta(hours=hours)
     schema, folder = "log_id long, event_ts timestamp, source string, category string", f"{tmp_path}/kept"
