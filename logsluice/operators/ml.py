@@ -11,10 +11,11 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.ml import Estimator, Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, OneVsRest
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, SQLTransformer
+from pyspark.ml import Estimator, PipelineModel
+from pyspark.ml.classification import GBTClassifier, OneVsRest, OneVsRestModel
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, NGram, RegexTokenizer, SQLTransformer
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,13 +35,25 @@ def label_decoded(index: Column) -> Column:
     return F.coalesce(F.get(F.array(*map(F.lit, LABELS)), index.cast("int")), F.lit("routine"))
 
 
-def text_features(text: str = "message", grams: int = 3, most: int = 10_000, least_docs: int = 2) -> list:
-    """Stages: words, 1..n-grams, counts, inverse document frequencies."""
+def text_features(points: DataFrame, text: str = "message", copies: str = "copies", grams: int = 3, most: int = 10_000, least_docs: int = 2, most_share: float = 0.95) -> list:
+    """Fitted stages: words, 1..n-grams, counts of the most frequent terms, times their inverse document frequencies.
+
+    points has each different text once or more, for so many copies; frequencies count the copies. The vocabulary alone comes to the driver.
+    """
     parts = [RegexTokenizer(inputCol=text, outputCol="_w1", pattern=r"[^\p{L}\p{N}_]+", minTokenLength=2)]
     parts += [NGram(n=n, inputCol="_w1", outputCol=f"_w{n}") for n in range(2, grams + 1)]
     joined = ", ".join(f"_w{n}" for n in range(1, grams + 1))
     parts.append(SQLTransformer(statement=f"SELECT *, concat({joined}) AS _grams FROM __THIS__"))
-    return [*parts, CountVectorizer(inputCol="_grams", outputCol="_tf", vocabSize=most, minDF=least_docs, maxDF=0.95), IDF(inputCol="_tf", outputCol="features")]
+    told = PipelineModel(parts).transform(points.select(text, copies))
+    each = lambda xs, tf, df: F.transform(xs, lambda x: F.struct(x.alias("term"), F.lit(tf).alias("tf"), F.lit(df).alias("df")))
+    terms = told.select(copies, F.inline(F.concat(each(F.col("_grams"), 1, 0), each(F.array_distinct("_grams"), 0, 1))))
+    n = points.agg(F.sum(copies)).first()[0] or 0
+    counts = terms.groupBy("term").agg(F.sum(F.col("tf") * F.col(copies)).alias("tf"), F.sum(F.col("df") * F.col(copies)).alias("df"))
+    found = counts.filter((F.col("df") >= least_docs) & (F.col("df") <= most_share * n)).orderBy(F.desc("tf"), "term").limit(most).collect()
+    if not found:
+        raise ValueError(f"no term comes in {least_docs} texts and in no more than {most_share:.0%} of them")
+    counter = CountVectorizerModel.from_vocabulary([r.term for r in found], "_grams", "_tf")
+    return [*parts, counter, ElementwiseProduct(inputCol="_tf", outputCol="features", scalingVec=Vectors.dense([math.log((n + 1) / (r.df + 1)) for r in found]))]
 
 
 def boosted_trees(rounds: int = 200, depth: int = 6, rate: float = 0.1, weight: str | None = "weight", validation: str | None = None) -> OneVsRest:
@@ -51,25 +64,48 @@ def boosted_trees(rounds: int = 200, depth: int = 6, rate: float = 0.1, weight:
     return out.setWeightCol(weight) if weight else out
 
 
-def train(df: DataFrame, text: str, label: str, classifier: Estimator | None = None, rows_a_task: int = 20_000, **features) -> PipelineModel:
+def train(df: DataFrame, text: str, label: str, classifier: Estimator | None = None, rows_a_task: int = 20_000, copies: str | None = None, **features) -> PipelineModel:
     """A pipeline from text to prediction, with balanced class weights. Rows without a known label or text do not count.
 
-    Trees are grown in many short passes over the rows, so these are dealt out to no more tasks than their number asks for.
+    Rows that are equal in all that the classifier sees are one point with the sum of their weights, so passes over the points cost
+    what the different texts cost, whatever the rows are. copies names a column that tells for how many rows a row stands.
+    Trees are grown in many short passes over the points, so these are dealt out to no more tasks than their number asks for.
     """
+    from ..sources.scratch import kept_table
     from . import rows
 
+    classifier = classifier or boosted_trees()
+    inner = classifier.getClassifier() if isinstance(classifier, OneVsRest) else classifier
+    seen = [inner.getValidationIndicatorCol()] if inner.hasParam("validationIndicatorCol") and inner.isDefined("validationIndicatorCol") else []
     known = label_indexed(df, label).filter(F.col("label").isNotNull() & (F.trim(text) != ""))
-    weighted = known.join(F.broadcast(rows.class_weights(known, label).select(label, "weight")), label)  # a row for each class
-    tasks = max(1, -(-known.count() // rows_a_task))
+    points = kept_table(known.groupBy(text, label, "label", *seen).agg((F.sum(copies) if copies else F.count("*")).alias("copies")), "points")
+    weighted = points.join(F.broadcast(rows.class_weights(points, label, "copies").select(label, "weight")), label)  # a row for each class
+    weighted = weighted.withColumn("weight", F.col("weight") * F.col("copies"))
+    tasks = max(1, -(-points.count() // rows_a_task))
     weighted = weighted.coalesce(tasks) if tasks < df.sparkSession.sparkContext.defaultParallelism else weighted
-    return Pipeline(stages=[*text_features(text, **features), classifier or boosted_trees()]).fit(weighted)
+    if classifier.hasParam("weightCol") and not classifier.isDefined("weightCol"):
+        classifier = classifier.copy().setWeightCol("copies")
+    stages = text_features(points, text, **features)
+    return PipelineModel([*stages, classifier.fit(PipelineModel(stages).transform(weighted))])
+
+
+def predicted(model: PipelineModel, df: DataFrame) -> DataFrame:
+    """df with prediction and _raw, the classifier's raw score of each class. One-vs-rest models are asked one by one: the
+    combined one takes every row through Python for each of its classes."""
+    last = model.stages[-1]
+    if not isinstance(last, OneVsRestModel):
+        return model.transform(df).withColumn("_raw", vector_to_array("rawPrediction"))
+    out = PipelineModel(model.stages[:-1]).transform(df)
+    for k, one in enumerate(last.models):
+        out = one.copy().setRawPredictionCol(f"_raw{k}").setPredictionCol("").setProbabilityCol("").transform(out)
+    out = out.withColumn("_raw", F.array(*[F.get(vector_to_array(f"_raw{k}"), F.lit(1)) for k in range(len(last.models))]))
+    return out.withColumn("prediction", (F.array_position("_raw", F.array_max("_raw")) - 1).cast("double"))
 
 
 def scored(model: PipelineModel, df: DataFrame) -> DataFrame:
     """df with category, confidence and four probabilities: the softmax of the classifier's raw scores."""
-    out = model.transform(df)
-    raw = vector_to_array("rawPrediction")
-    up = F.transform(raw, lambda x: F.exp(x - F.array_max(raw)))
+    out = predicted(model, df)
+    up = F.transform("_raw", lambda x: F.exp(x - F.array_max("_raw")))
     out = out.withColumn("_p", up).withColumn("_sum", F.aggregate("_p", F.lit(0.0), lambda a, x: a + x))
     shares = {f"p_{c}": F.get("_p", F.lit(k)) / F.col("_sum") for k, c in enumerate(LABELS)}
     out = out.withColumns(shares).withColumns({"category": label_decoded(F.col("prediction")), "confidence": F.greatest(*[F.coalesce(F.col(c), F.lit(0.0)) for c in shares])})
@@ -85,13 +121,20 @@ def importances(model: PipelineModel, n: int = 50) -> list[tuple[str, float]]:
 
 
 def cross_validated(df: DataFrame, key: str, text: str, label: str, classifier: Estimator | None = None, most: int = 5, **features) -> DataFrame:
-    """(fold, n, accuracy): at most so many folds, of ten rows at least; a row's fold is a hash of its key. One fold is tested on itself."""
+    """(fold, n, accuracy): at most so many folds, of ten rows at least; a row's fold is a hash of its key. One fold is tested on itself.
+
+    After one pass over the rows, folds consist of different texts and labels with their numbers.
+    """
+    from ..sources.scratch import kept_table
+
     folds = max(1, min(most, df.count() // 10))
-    placed, out = df.withColumn("fold", F.pmod(F.xxhash64(key), F.lit(folds))), None
+    placed = df.withColumn("fold", F.pmod(F.xxhash64(key), F.lit(folds)))
+    placed, out = kept_table(placed.groupBy("fold", text, label).agg(F.count("*").alias("times")), "folds"), None
     for k in range(folds):
-        model = train(placed.filter((F.col("fold") != k) | F.lit(folds == 1)).drop("fold"), text, label, classifier or boosted_trees(rounds=50), **features)
-        right = model.transform(label_indexed(placed.filter(F.col("fold") == k), label)).filter("label IS NOT NULL")
-        one = right.agg(F.lit(k).alias("fold"), F.count("*").alias("n"), F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"))
+        model = train(placed.filter((F.col("fold") != k) | F.lit(folds == 1)).drop("fold"), text, label, classifier or boosted_trees(rounds=50), copies="times", **features)
+        tested = predicted(model, label_indexed(placed.filter(F.col("fold") == k), label)).filter("label IS NOT NULL")
+        n, right = F.coalesce(F.sum("times"), F.lit(0)), F.sum(F.when(F.col("prediction") == F.col("label"), F.col("times")).otherwise(0))
+        one = tested.agg(F.lit(k).alias("fold"), n.alias("n"), F.try_divide(right, F.sum("times")).alias("accuracy"))
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -63,9 +63,9 @@ def stratified_split(df: DataFrame, key: str, label: str, shares: tuple[float, f
     return both.withColumn("split", split).drop("_h", "_label", "_c0", "_c1")
 
 
-def class_weights(df: DataFrame, label: str) -> DataFrame:
-    """Balanced weight of each class: rows / (classes * its rows)."""
-    counts = df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n"))
+def class_weights(df: DataFrame, label: str, copies: str | None = None) -> DataFrame:
+    """Balanced weight of each class: rows / (classes * its rows). copies names a column that tells for how many rows a row stands."""
+    counts = df.filter(F.col(label).isNotNull()).groupBy(label).agg((F.sum(copies) if copies else F.count("*")).alias("n"))
     everything = Window.partitionBy()
     return counts.withColumn("weight", F.sum("n").over(everything) / (F.count("*").over(everything) * F.col("n")))  # a row for each class
 

@@ -440,17 +440,25 @@ def _once(spark, sf, kind, make):
     return _models[key]
 
 
+def _split(spark, sf):
+    """The logs with normalised message and split, stored once for a session and folder."""
+
+    def make():
+        logs = views.logs(spark, sf).select("log_id", text.normalised(F.col("message"), text.NORMALISE_TRAIN).alias("message"), "expected_category")
+        return kept_table(rows.stratified_split(logs, "log_id", "expected_category"), "split")
+
+    return _once(spark, sf, "split", make)
+
+
 def _trained(spark, sf):
     """The logs with their split, and the model of its full size, trained once for a session and folder: 200 rounds of depth 6 at most, stopped by
     the validation split, on the 10,000 most frequent terms of one to three words of the normalised message."""
 
     def make():
-        logs = views.logs(spark, sf).select("log_id", text.normalised(F.col("message"), text.NORMALISE_TRAIN).alias("message"), "expected_category")
-        logs = rows.stratified_split(logs, "log_id", "expected_category")
-        fitted = logs.filter("split <> 'test'").withColumn("is_val", F.col("split") == "val")
-        return logs, ml.train(fitted, "message", "expected_category", ml.boosted_trees(validation="is_val"))
+        fitted = _split(spark, sf).filter("split <> 'test'").withColumn("is_val", F.col("split") == "val")
+        return ml.train(fitted, "message", "expected_category", ml.boosted_trees(validation="is_val"))
 
-    return _once(spark, sf, "text", make)
+    return _split(spark, sf), _once(spark, sf, "text", make)
 
 
 def _published(spark, sf):
@@ -497,7 +505,9 @@ def boosted_tree_train(spark, sf):
     """By split: how many rows, and whether the model is as good as it has to be."""
     logs, model = _trained(spark, sf)
     right = F.col("category") == F.col("expected_category")
-    out = ml.scored(model, logs).groupBy("split").agg(F.count("*").alias("n"), F.avg(right.cast("double")).alias("a"), F.avg(F.when(F.col("expected_category") == "critical", right.cast("double"))).alias("r"))
+    points = logs.groupBy("split", "message", "expected_category").agg(F.count("*").alias("copies"))  # equal logs have equal scores
+    share = lambda of: F.sum(F.when(of & right, F.col("copies")).otherwise(0)) / F.sum(F.when(of, F.col("copies")))
+    out = ml.scored(model, points).groupBy("split").agg(F.sum("copies").alias("n"), share(F.col("expected_category").isNotNull()).alias("a"), share(F.col("expected_category") == "critical").alias("r"))
     return out.select("split", "n", (F.col("a") >= 0.95).alias("accuracy_from_95"), (F.col("r") >= 0.99).alias("critical_recall_from_99"))
 
 
@@ -516,8 +526,7 @@ def feature_importance_topk(spark, sf):
 @book.query("cross_validate", on_logs("SELECT least(5, count(*) // 10) AS folds, count(*) AS n, true AS accuracy_from_90 FROM split WHERE split = 'test'", SPLIT))
 def cross_validate(spark, sf):
     """Boosted trees of 50 rounds on folds of the test split."""
-    logs, _ = _trained(spark, sf)
-    out = ml.cross_validated(logs.filter("split = 'test'").drop("split"), "log_id", "message", "expected_category")
+    out = ml.cross_validated(_split(spark, sf).filter("split = 'test'").drop("split"), "log_id", "message", "expected_category")
     return out.agg(F.count("*").alias("folds"), F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("accuracy")) / F.sum("n") >= 0.9).alias("accuracy_from_90"))
 
 
@@ -527,12 +536,13 @@ def model_save_load(spark, sf):
     logs, model = _trained(spark, sf)
     ml.save(model, path, {"name": "v1", "categories": list(values.CATEGORIES), "terms": len(next(s.vocabulary for s in model.stages if hasattr(s, "vocabulary")))})
     back, manifest = ml.load(spark, path)
+    points = kept_table(logs.groupBy("message").agg(F.count("*").alias("copies")), "points")  # equal logs have equal scores
     again = [F.col(f"p_{c}").alias(f"again_{c}") for c in ml.LABELS]
-    out = ml.scored(back, logs).select("log_id", *again).join(ml.scored(model, logs), "log_id")
+    out = ml.scored(back, points).select("message", *again).join(ml.scored(model, points), "message")
     same = F.lit(True)
     for c in ml.LABELS:
         same = same & (F.abs(F.col(f"again_{c}") - F.col(f"p_{c}")) < 1e-9)
-    return out.agg(F.lit(manifest["name"]).alias("name"), F.count("*").alias("n"), F.count_if(same).alias("equal"))
+    return out.agg(F.lit(manifest["name"]).alias("name"), F.sum("copies").alias("n"), F.sum(F.when(same, F.col("copies")).otherwise(0)).alias("equal"))
 
 
 def _forest(spark, sf):

@@ -38,6 +38,27 @@ def test_models_score_in_one_narrow_plan(spark, logs, paths):
     assert out.select("log_id", "confidence").exceptAll(given.select("log_id", "confidence")).count() > 0
 
 
+def test_training_costs_what_different_texts_cost(spark, monkeypatch):
+    """A hundred copies of each log make the same trees as one, from as many points; each one-vs-rest score equals Spark's own."""
+    seen, fit = [], ml.OneVsRest.fit
+    monkeypatch.setattr(ml.OneVsRest, "fit", lambda self, df, *a: (seen.append(df.count()), fit(self, df, *a))[1])
+    rows_ = [(f"{w} of disk {k} on host", c) for k in "abcd" for w, c in (("failure", "critical"), ("check", "noise"), ("login", "routine"), ("odd use", "suspicious"))] + [("failure of disk a on host", "noise"), (" ", "noise"), ("no label", None)]
+    one = spark.createDataFrame(rows_, "message string, label_ string")
+    few, many = (ml.train(df, "message", "label_", ml.boosted_trees(rounds=3, depth=3), least_docs=1) for df in (one, one.crossJoin(spark.range(100)).drop("id")))
+    assert seen == [17, 17]
+    assert {x: round(y, 9) for x, y in ml.importances(few)} == {x: round(y, 9) for x, y in ml.importances(many)}
+    shares = lambda model: {r.message: [round(r[f"p_{c}"], 9) for c in ml.LABELS] for r in ml.scored(model, one).collect()}
+    assert shares(few) == shares(many)
+    own = {r.message: r.prediction for r in many.transform(one).collect()}
+    assert own == {r.message: r.prediction for r in ml.predicted(many, one).collect()}
+
+
+def test_folds_count_copies(spark):
+    df = spark.range(60).select(F.col("id").alias("k"), F.when(F.col("id") % 3 == 0, "disk failure").otherwise("all fine").alias("m"), F.when(F.col("id") % 3 == 0, "critical").when(F.col("id") % 3 == 1, "noise").alias("c"))
+    found = ml.cross_validated(df, "k", "m", "c", LogisticRegression(maxIter=3), grams=1).collect()
+    assert len(found) == 5 and sum(r.n for r in found) == 40 and all(r.accuracy == 1.0 for r in found)
+
+
 def test_weights_of_three_models(spark, logs, paths):
     """The confidence is the weighted mean of what the three say."""
     models = scoring.models_at(spark, paths)
