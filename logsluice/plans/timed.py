@@ -227,14 +227,12 @@ def correlate_all(spark, sf):
 
 @book.query("false_negatives", on_logs("SELECT DISTINCT log_id FROM matches WHERE score >= 0.5 AND category IN ('routine', 'noise')", decided(), _OFF, _ALL))
 def false_negatives(spark, sf):
-    d, o = _both(spark, sf)
-    return d.join(correlate.correlated(d, o, 0.5).filter("is_false_negative").select("log_id"), "log_id", "left_semi").select("log_id")
+    return correlate.correlated(*_both(spark, sf), least=0.5).filter("is_false_negative").select("log_id").distinct()
 
 
 @book.query("fn_report", on_logs("SELECT offense_type_name, category, count(*) AS n FROM matches WHERE score >= 0.5 AND category IN ('routine', 'noise') GROUP BY GROUPING SETS ((offense_type_name), (category), ())", decided(), _OFF, _ALL))
 def fn_report(spark, sf):
-    d, o = _both(spark, sf)
-    return correlate.miss_report(correlate.correlated(d, o, 0.5).join(o.select("offense_id", "offense_type_name"), "offense_id"))
+    return correlate.miss_report(correlate.correlated(*_both(spark, sf), least=0.5, keep=("offense_type_name",)))
 
 
 @book.query("recent_false_negatives", on_logs("SELECT offense_id, log_id, category FROM matches WHERE score >= 0.5 AND category IN ('routine', 'noise') ORDER BY log_id DESC, offense_id DESC LIMIT 20", decided(), _OFF, _ALL))

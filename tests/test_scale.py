@@ -1,6 +1,7 @@
 """Operators that must not depend on one task, one row or one group: names, running sums, runs."""
 
 import random
+import re
 import time
 
 import numpy as np
@@ -38,6 +39,23 @@ def test_a_name_of_100000_letters_and_many_names(spark):
     assert len(found) - 2 == sum(str(k).startswith("7") for k in range(200_000)) and time.time() - began < 120
 
 
+def test_pairs_of_correlation_are_not_shuffled(spark):
+    """Every log is in the window of every offense: what is shuffled grows with the logs and not with the pairs, which equal a nested loop's."""
+    logs = [(k, "2024-01-01 12:00:00", ("web-1", "db", None)[k % 3], (f"10.0.0.{k % 7}", None)[k % 11 == 0], ("noise", "critical")[k % 5 == 0]) for k in range(200)]
+    hits = [(k, "2024-01-01 12:02:00", 5 + k % 5, [f"10.0.0.{k % 9}", None], (["WEB 1", "web", "nope"], ["x-db", None], ["none"])[k % 3]) for k in range(30)]
+    d = spark.createDataFrame(logs, "log_id long, event_ts string, source string, source_ip string, category string").withColumn("event_ts", F.col("event_ts").cast("timestamp"))
+    o = spark.createDataFrame(hits, "offense_id long, start_time string, severity int, source_ips array<string>, log_sources array<string>").withColumn("start_time", F.col("start_time").cast("timestamp"))
+    fits = lambda n, s: n is not None and s is not None and (s in (low := n.lower().replace(" ", "_")) or low in s)
+    kind = lambda x, y: "ip_match" if x[3] and x[3] in y[3] else "source_match" if any(fits(n, x[2]) for n in y[4]) else "time_window" if y[2] >= 7 and x[4] == "noise" else None
+    value = lambda s, y: 0.5 if s == "time_window" else {"ip_match": 0.4, "source_match": 0.3}[s] + 0.21 + y[2] * 0.02
+    wanted = [(y[0], x[0], s, round(value(s, y), 6)) for x in logs for y in hits if (s := kind(x, y))]
+    for least in (0.3, 0.5, 0.601):
+        out = correlate.correlated(d, o, least)
+        assert sorted((r.offense_id, r.log_id, r.strategy, round(r.score, 6)) for r in out.collect()) == sorted(w for w in wanted if w[3] >= least)
+        assert not re.search(r"hashpartitioning\(offense_id#\d+L, log_id#", plan(out))
+        assert ("time_window" in plan(out)) == (least <= 0.5)
+
+
 def runs_of(failed):
     out, n = [], 0
     for f in failed:
