@@ -400,7 +400,7 @@ def stream_pending_timeout(spark, sf):
     d = views.decisions(spark, sf).select("log_id", "event_ts", "category")
     hours = F.when(F.col("log_id") % 5 == 0, F.expr("INTERVAL 25 HOURS")).otherwise(F.expr("INTERVAL 1 HOUR"))
     outcomes = d.filter("log_id % 3 <> 0").select("log_id", (F.col("event_ts") + hours).alias("outcome_ts"))
-    out = stateful.pending(jobs.replayed(d, files_a_batch=2, key="log_id"), jobs.replayed(outcomes, "outcome_ts", 2, "log_id"), late="60 days", shares=8)
+    out = stateful.pending(jobs.replayed(d, files_a_batch=2, key="log_id", ordered=False), jobs.replayed(outcomes, "outcome_ts", 2, "log_id", ordered=False), late="60 days", shares=8)
     return jobs.finished(out, "pending").filter("log_id >= 0").select("log_id", "state", F.unix_timestamp("ended_at").alias("ended_at"))
 
 
