@@ -9,6 +9,8 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -160,49 +162,103 @@ def pending(decisions: DataFrame, outcomes: DataFrame, hours: int = 24, late: st
     return out.select("log_id", "state", F.timestamp_micros("decided").alias("decided_at"), F.timestamp_micros("ended").alias("ended_at"))
 
 
+def _ipc(rows: pa.Table) -> bytes:
+    """Rows as one compressed Arrow stream."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def _rows(packed: list[bytes]) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in packed])
+
+
+#: Rows of one queue that a packet holds at most.
+PACKET = 10_000
+
+
+def _packets(queued: DataFrame, names: list[str]) -> DataFrame:
+    """Rows (destination, category, lane, n, rows): the rows of each queue that stand in one Arrow batch, packed, without row by row Python."""
+
+    def run(batches):
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            codes = np.unique(np.stack([np.asarray(pc.fill_null(pc.cast(c, pa.string()), "\0").dictionary_encode().combine_chunks().indices) for c in (table["destination"], table["category"], table["lane"])]), axis=1, return_inverse=True)[1].ravel()
+            order = np.argsort(codes, kind="stable")
+            table, cuts = table.take(pa.array(order)), np.flatnonzero(np.diff(codes[order], prepend=-1))
+            out = []
+            for at, end in zip(cuts, [*cuts[1:], len(order)]):
+                for k in range(at, end, PACKET):
+                    part = table.slice(k, min(PACKET, end - k))
+                    out.append(({c: part[c][0].as_py() for c in ("destination", "category", "lane")} | {"n": part.num_rows, "rows": _ipc(part.select(names))}))
+            if out:
+                yield pa.RecordBatch.from_pylist(out, pa.schema([("destination", pa.string()), ("category", pa.string()), ("lane", pa.int32()), ("n", pa.int64()), ("rows", pa.binary())]))
+
+    return queued.mapInArrow(run, "destination string, category string, lane int, n long, rows binary")
+
+
+def _unpacked(sent: DataFrame, schema: T.StructType) -> DataFrame:
+    """The rows of the packets (first, size, n, rows): all of them in batches of size rows, numbered from first."""
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                first, size, data = (batch.column(c)[k].as_py() for c in ("first", "size", "rows"))
+                table = _rows([data])
+                numbers = pa.array(first + np.arange(table.num_rows, dtype=np.int64) // size)
+                table = table.append_column("batch_number", numbers).append_column("batch_rows", pa.array(np.full(table.num_rows, size, np.int64)))
+                yield from table.combine_chunks().to_batches()
+
+    return sent.mapInArrow(run, schema)
+
+
 class _Batches(StatefulProcessor):
-    """State of a queue: the rows of the batch that is not full yet, its number, and when it has waited long enough."""
+    """State of a queue: the rows of the batch that is not full yet, packed, the next batch's number, and when it has waited long enough.
 
-    def __init__(self, schema: T.StructType, sizes: dict[str, int], seconds: float | None) -> None:
-        self.schema, self.sizes, self.wait = schema, sizes, None if seconds is None else int(seconds * 1000)
-        self.names = schema.fieldNames()
+    Rows come and go in packets, so Python's work is by packet and the rows of a queue are never all in memory.
+    """
+
+    def __init__(self, sizes: dict[str, int], seconds: float | None) -> None:
+        self.sizes, self.wait = sizes, None if seconds is None else int(seconds * 1000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.schema)
+        self.waiting = handle.getValueState("waiting", "n long, rows binary")
         self.number = handle.getValueState("number", "n long")
         self.due = handle.getValueState("due", "ms long")
 
-    def _sent(self, rows: list[tuple]) -> Iterator[Row]:
-        n = self.number.get()[0] if self.number.exists() else 0
-        self.number.update((n + 1,))
-        for r in rows:
-            yield Row(**dict(zip(self.names, r)), batch_number=n, batch_rows=len(rows))
-
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         size, flush = self.sizes.get(key[1], 100), False
-        batch = [tuple(x) for x in self.waiting.get()] if self.waiting.exists() else []
-        held = len(batch)
+        number = first = self.number.get()[0] if self.number.exists() else 0
+        waiting, packed = self.waiting.get() if self.waiting.exists() else (0, None)
+        held, kept = waiting, [packed] if waiting else []
         for r in rows:
-            if r._flush:
+            if r.rows is None:
                 flush = True
                 continue
-            batch.append(tuple(r[c] for c in self.names))
-            if len(batch) >= size:
-                yield from self._sent(batch)
-                batch, held = [], -1
-        if flush and batch:
-            yield from self._sent(batch)
-            batch, held = [], -1
-        if batch and held != len(batch):
-            self.waiting.put(batch)
-        elif not batch and held:
+            kept.append(bytes(r.rows))
+            waiting += r.n
+            if waiting >= size:
+                whole = waiting // size
+                table, waiting = _rows(kept), waiting - whole * size
+                yield Row(first=number, size=size, n=whole * size, rows=_ipc(table.slice(0, whole * size)))
+                number, held = number + whole, -1
+                kept = [_ipc(table.slice(whole * size))] if waiting else []
+        if flush and waiting:
+            yield Row(first=number, size=waiting, n=waiting, rows=_ipc(_rows(kept)))
+            number, waiting, held = number + 1, 0, -1
+        if number != first:
+            self.number.update((number,))
+        if waiting and held != waiting:
+            self.waiting.update((waiting, _ipc(_rows(kept))))
+        elif not waiting and held:
             self.waiting.clear()
         if self.wait is None:
             return
-        if batch and (held <= 0 or not self.due.exists()):
+        if waiting and (held <= 0 or not self.due.exists()):
             self._reset(timerValues.getCurrentProcessingTimeInMs() + self.wait)
-        elif not batch:
+        elif not waiting:
             self._reset(None)
 
     def _reset(self, ms: int | None) -> None:
@@ -215,11 +271,13 @@ class _Batches(StatefulProcessor):
             self.handle.registerTimer(ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        batch = [tuple(x) for x in self.waiting.get()] if self.waiting.exists() else []
+        waiting = self.waiting.get() if self.waiting.exists() else None
         self.due.clear()
         self.waiting.clear()
-        if batch:
-            yield from self._sent(batch)
+        if waiting:
+            number = self.number.get()[0] if self.number.exists() else 0
+            self.number.update((number + 1,))
+            yield Row(first=number, size=waiting[0], n=waiting[0], rows=bytes(waiting[1]))
 
     def close(self) -> None:
         pass
@@ -238,16 +296,15 @@ def batched(routed: DataFrame, lane: Column, lanes: int, flush: DataFrame | None
     """
     routes = routes or values.ROUTES
     sizes = {c: n for c, (_, _, n) in routes.items()}
-    names = routed.columns
     at_once = F.col("method") == "immediate"
     direct = routed.filter(at_once).select("*", F.lit(None).cast("int").alias("lane"), F.lit(None).cast("long").alias("batch_number"), F.lit(1).cast("long").alias("batch_rows"))
-    queued = routed.filter(~at_once).select("*", F.coalesce(lane.cast("int"), F.lit(0)).alias("lane"), F.lit(False).alias("_flush"))
+    queued = routed.filter(~at_once).select("*", F.coalesce(lane.cast("int"), F.lit(0)).alias("lane"))
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in queued.schema])
+    packets = _packets(queued, queued.columns)
     if flush is not None:
         queues = [F.struct(F.lit(d).alias("destination"), F.lit(c).alias("category"), F.lit(k).alias("lane")) for c, (m, ds, _) in routes.items() if m != "immediate" for d in ds for k in range(lanes)]
         key = flush.select(F.inline(F.array(*queues)))
-        empty = [F.col(f.name) if f.name in ("destination", "category") else F.lit(None).cast(f.dataType).alias(f.name) for f in routed.schema]
-        queued = queued.unionByName(key.select(*empty, "lane", F.lit(True).alias("_flush")))
-    schema = T.StructType([T.StructField(f.name, f.dataType) for f in queued.schema if f.name in (*names, "lane")])
+        packets = packets.unionByName(key.select("destination", "category", "lane", F.lit(0).cast("long").alias("n"), F.lit(None).cast("binary").alias("rows")))
     out = T.StructType([*schema, T.StructField("batch_number", T.LongType()), T.StructField("batch_rows", T.LongType())])
-    sent = queued.groupBy("destination", "category", "lane").transformWithState(_Batches(schema, sizes, seconds), out, "Append", "None" if seconds is None else "ProcessingTime")
-    return sent.unionByName(direct.select(*out.fieldNames()))
+    sent = packets.groupBy("destination", "category", "lane").transformWithState(_Batches(sizes, seconds), "first long, size long, n long, rows binary", "Append", "None" if seconds is None else "ProcessingTime")
+    return _unpacked(sent, out).unionByName(direct.select(*out.fieldNames()))

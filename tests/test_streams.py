@@ -189,3 +189,14 @@ def test_kept_decisions_are_read_by_hour(spark, tmp_path):
 
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_queues_take_packets_and_not_rows(spark):
+    rows = [(k, None if k % 7 == 0 else 2**60 + k, "noise" if k % 2 else None, ["summary", "cold_storage"][k % 3 == 0], k % 2, START + dt.timedelta(microseconds=k)) for k in range(25_000)]
+    df = spark.createDataFrame(rows, "log_id long, n long, category string, destination string, lane int, at timestamp").coalesce(1)
+    packets = stateful._packets(df, df.columns).collect()
+    assert len(packets) <= 4 * 3 and sum(p.n for p in packets) == 25_000
+    held = spark.createDataFrame([(5, 100, p.n, p.rows) for p in packets], "first long, size long, n long, rows binary")
+    out = stateful._unpacked(held, df.withColumns({c: F.lit(0).cast("long") for c in ("batch_number", "batch_rows")}).schema).collect()
+    assert {r.log_id: (r.n, r.category, r.destination, r.lane, r["at"]) for r in out} == {r[0]: r[1:] for r in rows}
+    assert len(out) == 25_000 and min(r.batch_number for r in out) == 5
