@@ -140,3 +140,35 @@ def test_terms_of_three_words_equal_a_full_count(spark, monkeypatch, few):
         found = rows.gram_scores(spark.createDataFrame(texts, "doc_id int, text string"), "doc_id", "text", most=most)
         got = {(r.doc_id, r.term): (r.tf, r.df, round(r.score, 9)) for r in found.collect()}
         assert got == {(k, t): (c[t], df[t], round((1 + np.log(c[t])) * (np.log((1 + len(texts)) / (1 + df[t])) + 1), 9)) for k, c in grams.items() for t in kept if t in c}
+
+
+def test_terms_are_summed_before_the_shuffle(spark, monkeypatch):
+    """What is kept of the terms does not grow with documents of the same words."""
+    rng, write, sizes = random.Random(3), rows.kept_table, {}
+    words = [f"w{k}" for k in range(30)]
+    texts = [" ".join(rng.choices(words, k=60)) for _ in range(150)]
+
+    def counted(df, name):
+        out = write(df, name)
+        sizes[name] = sizes.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(rows, "kept_table", counted)
+    kept = []
+    for copies in (1, 3):
+        sizes.clear()
+        docs = spark.createDataFrame([(1000 * c + k, t) for c in range(copies) for k, t in enumerate(texts)], "doc_id int, text string")
+        assert rows.gram_scores(docs, "doc_id", "text", most=100).select("doc_id").distinct().count() == len(texts) * copies
+        kept.append(sum(n for name, n in sizes.items() if name != "words"))
+    assert kept[1] <= kept[0] * 1.1
+
+
+def test_rows_of_one_key_are_one_document_of_terms(spark):
+    rng = random.Random(5)
+    words = ["Ärger", "été", "x", "東京", "a_b", "n1", "der", "im"]
+    texts = [(rng.choice([None, 1, 1, 1, 2, 3, *range(4, 20)]), rng.choice(["-", " ", ", ", "\n\t"]).join(rng.choices(words, k=rng.randrange(25)))) for _ in range(70)]
+    docs = spark.createDataFrame([*texts, (7, None), (90, ""), (None, "?")], "doc_id int, text string")
+    for most in (6, 50):
+        found, plain = (sorted((str(r.doc_id), r.term, r.tf, r.df, round(r.score, 9)) for r in f.collect()) for f in (rows.gram_scores(docs, "doc_id", "text", most=most), rows._joined_gram_scores(docs, "doc_id", "text", 3, most, 2, 0.95)))
+        assert found == plain and len(found) > 20
+    assert rows.gram_scores(docs.limit(0), "doc_id", "text").count() == 0
