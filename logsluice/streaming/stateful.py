@@ -89,64 +89,151 @@ def spc(series: DataFrame, size: int = 60, sigma: float = 3.0, least: int = 30,
     return out.select("metric_name", F.timestamp_micros("us").alias("ts"), "value", "n", "mean", "std", "z", "is_anomaly")
 
 
+#: A decision or an outcome that waits.
+_WAITS = np.dtype([("log_id", "<i8"), ("us", "<i8"), ("outcome", "?")])
+#: How a decision ended.
+_ENDED = np.dtype([("log_id", "<i8"), ("decided", "<i8"), ("ended", "<i8"), ("timeout", "?")])
+#: Parts of a share's state, by hash of the log: a micro-batch reads and writes those alone that its logs are in.
+SLOTS = 256
+_NEVER = np.iinfo(np.int64).max
+
+
+def _matched(rows: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """What ends among the rows of some logs, and what waits on: the first decision of each log takes the first outcome in its window.
+
+    Outcomes without decision wait, and those before it, for an earlier decision may come yet.
+    """
+    rows = rows[np.lexsort((rows["us"], rows["outcome"], rows["log_id"]))]
+    group = np.cumsum(np.diff(rows["log_id"], prepend=rows["log_id"][:1]) != 0)
+    first = np.flatnonzero(np.diff(group, prepend=-1))
+    decided = ~rows["outcome"][first]
+    at, known = rows["us"][first][group], decided[group]
+    fits = np.flatnonzero(rows["outcome"] & known & (rows["us"] >= at) & (rows["us"] <= at + window))
+    over, nearest = np.unique(group[fits], return_index=True)
+    ended = np.zeros(len(over), _ENDED)
+    ended["log_id"], ended["decided"], ended["ended"] = rows["log_id"][first][over], rows["us"][first][over], rows["us"][fits[nearest]]
+    waits = rows["outcome"] & (~known | (rows["us"] < at))
+    waits[first[decided]] = True
+    return ended, rows[waits & ~np.isin(group, over)]
+
+
 class _Pending(StatefulProcessor):
-    """State of a share of all logs: decisions without outcome, and outcomes that came before their decision."""
+    """State of a share of all logs: decisions without outcome and outcomes that came before their decision, packed by slots; the time
+    at which the first row of each slot is over; and the one timer that is set.
+
+    Rows come, wait and go in packets, so Python's calls are by slot and packet, not by log.
+    """
 
     def __init__(self, window: int, grain: int) -> None:
         self.window, self.grain = window, grain  # microseconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.decisions = handle.getMapState("decisions", "log_id long", "us long")
-        self.outcomes = handle.getMapState("outcomes", "log_id long", "us long")
+        self.waiting = handle.getMapState("waiting", "slot int", "rows binary")
+        self.least = handle.getValueState("least", "us binary")
+        self.due = handle.getValueState("due", "ms long")
 
-    def _timer(self, us: int) -> None:
-        self.handle.registerTimer(-(-us // self.grain) * (self.grain // 1000))
+    def _over(self, rows: np.ndarray) -> np.ndarray:
+        """When the rows are over: a decision with its window, an outcome at its time."""
+        return np.where(rows["outcome"], rows["us"], rows["us"] + self.window)
+
+    def _times(self) -> np.ndarray:
+        return np.frombuffer(bytes(self.least.get()[0]), "<i8").copy() if self.least.exists() else np.full(SLOTS, _NEVER)
+
+    def _held(self, slot: int) -> np.ndarray:
+        return np.frombuffer(bytes(self.waiting.getValue((slot,))[0]), _WAITS)
+
+    def _hold(self, slot: int, rows: np.ndarray, least: np.ndarray) -> None:
+        if len(rows):
+            self.waiting.updateValue((slot,), (rows.tobytes(),))
+        elif least[slot] != _NEVER:
+            self.waiting.removeKey((slot,))
+        least[slot] = self._over(rows).min(initial=_NEVER)
+
+    def _set(self, least: np.ndarray) -> None:
+        """Keep the slots' times, and one timer: at the grain after the first of them."""
+        self.least.update((least.tobytes(),))
+        before = self.due.get()[0] if self.due.exists() else None
+        us = int(least.min())
+        ms = None if us == _NEVER else -(-us // self.grain) * (self.grain // 1000)
+        if ms == before:
+            return
+        if before is not None:
+            self.handle.deleteTimer(before)
+        if ms is None:
+            self.due.clear()
+        else:
+            self.due.update((ms,))
+            self.handle.registerTimer(ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        decided: dict[int, int] = {}
-        known: dict[int, list[int]] = {}
-        for r in rows:
-            if r.decision:
-                decided[r.log_id] = min(r.us, decided.get(r.log_id, r.us))
-            else:
-                known.setdefault(r.log_id, []).append(r.us)
-        for log_id in decided.keys() | known.keys():
-            at = decided.get(log_id)
-            if self.decisions.containsKey((log_id,)):
-                before = self.decisions.getValue((log_id,))[0]
-                at = before if at is None else min(at, before)
-            came = known.get(log_id, [])
-            held = self.outcomes.containsKey((log_id,))
-            if held:
-                came = [*came, self.outcomes.getValue((log_id,))[0]]
-            fits = [us for us in came if at is not None and at <= us <= at + self.window]
-            if fits:
-                yield Row(log_id=log_id, state="outcome", decided=at, ended=min(fits))
-                if log_id not in decided or self.decisions.containsKey((log_id,)):
-                    self.decisions.removeKey((log_id,))
-                if held:
-                    self.outcomes.removeKey((log_id,))
-            elif at is not None:
-                self.decisions.updateValue((log_id,), (at,))
-                self._timer(at + self.window)
-            elif came:  # no decision yet: the latest outcome has the best chance
-                self.outcomes.updateValue((log_id,), (max(came),))
-                self._timer(max(came))
+        new = np.concatenate([np.frombuffer(bytes(r.rows), _WAITS) for r in rows])
+        new = new[new["us"] > timerValues.getCurrentWatermarkInMs() * 1000]  # others are too late
+        slots = (new["log_id"].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)).astype(np.int64) % SLOTS
+        order, least = np.argsort(slots, kind="stable"), self._times()
+        cuts = np.searchsorted(slots[order], np.arange(SLOTS + 1))
+        for slot in np.unique(slots).tolist():
+            own = new[order[cuts[slot] : cuts[slot + 1]]]
+            if least[slot] != _NEVER:
+                own = np.concatenate([self._held(slot), own])
+            ended, waits = _matched(own, self.window)
+            self._hold(slot, waits, least)
+            if len(ended):
+                yield Row(rows=ended.tobytes())
+        if len(new):
+            self._set(least)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
-        over = [(k[0], v[0]) for k, v in self.decisions.iterator() if v[0] + self.window <= passed]
-        for log_id, at in over:
-            self.decisions.removeKey((log_id,))
-            yield Row(log_id=log_id, state="timeout", decided=at, ended=at + self.window)
-        for log_id in [k[0] for k, v in self.outcomes.iterator() if v[0] <= passed]:
-            self.outcomes.removeKey((log_id,))
+        passed, least = timerValues.getCurrentWatermarkInMs() * 1000, self._times()
+        self.due.clear()  # it is this timer
+        for slot in np.flatnonzero(least <= passed).tolist():
+            rows = self._held(slot)
+            over = self._over(rows) <= passed
+            gone = rows[over & ~rows["outcome"]]
+            self._hold(slot, rows[~over], least)
+            if len(gone):
+                ended = np.zeros(len(gone), _ENDED)
+                ended["log_id"], ended["decided"], ended["ended"], ended["timeout"] = gone["log_id"], gone["us"], gone["us"] + self.window, True
+                yield Row(rows=ended.tobytes())
+        self._set(least)
 
     def close(self) -> None:
         pass
 
 
+def _waits(rows: DataFrame, outcome: bool) -> DataFrame:
+    """Rows (share, at, rows) of rows (share, log_id, us): the rows of each share that stand in one Arrow batch, packed, with their latest time."""
+
+    def run(batches):
+        for batch in batches:
+            share = batch.column(0).to_numpy(zero_copy_only=False)
+            own = np.zeros(len(share), _WAITS)
+            own["log_id"], own["us"], own["outcome"] = batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False), outcome
+            order = np.argsort(share, kind="stable")
+            cuts = np.flatnonzero(np.diff(share[order], prepend=-1))
+            parts = [own[order[k : min(k + PACKET, end)]] for at, end in zip(cuts, [*cuts[1:], len(order)]) for k in range(at, end, PACKET)]
+            whose = [share[order[k]] for at, end in zip(cuts, [*cuts[1:], len(order)]) for k in range(at, end, PACKET)]
+            latest = pa.array([int(p["us"].max()) for p in parts], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(whose, pa.int64()), latest, pa.array([p.tobytes() for p in parts], pa.binary())], ["share", "us", "rows"])
+
+    return rows.mapInArrow(run, "share long, us long, rows binary").select("share", F.timestamp_micros("us").alias("at"), "rows")
+
+
+def _told(ended: DataFrame) -> DataFrame:
+    """Rows (log_id, state, decided_at, ended_at) of packets of ended decisions."""
+
+    def run(batches):
+        for batch in batches:
+            for data in batch.column(0):
+                rows = np.frombuffer(data.as_py(), _ENDED)
+                columns = [pa.array(np.ascontiguousarray(rows[c])) for c in ("log_id", "timeout", "decided", "ended")]
+                yield pa.RecordBatch.from_arrays(columns, ["log_id", "timeout", "decided", "ended"])
+
+    out = ended.mapInArrow(run, "log_id long, timeout boolean, decided long, ended long")
+    state = F.when(F.col("timeout"), "timeout").otherwise("outcome").alias("state")
+    return out.select("log_id", state, F.timestamp_micros("decided").alias("decided_at"), F.timestamp_micros("ended").alias("ended_at"))
+
+
 def pending(decisions: DataFrame, outcomes: DataFrame, hours: int = 24, late: str = "10 minutes", shares: int = 64, grain_seconds: int = 60) -> DataFrame:
     """(log_id, state, decided_at, ended_at): a row for each decision, once an outcome has come within the hours after it (state outcome),
     or once the watermark has passed that time (timeout). decisions has log_id and event_ts, outcomes log_id and outcome_ts.
@@ -155,11 +242,19 @@ def pending(decisions: DataFrame, outcomes: DataFrame, hours: int = 24, late: st
     for a decision until the watermark has passed them. Timers are set in grains, so a timeout may be told that much later.
     Rows without id or time do not count; the first of several decisions on one log does.
     """
-    one = lambda df, at, decision: df.filter(F.col("log_id").isNotNull()).select(F.col("log_id").cast("long").alias("log_id"), F.col(at).alias("at")).withWatermark("at", late).withColumn("decision", F.lit(decision))
-    both = one(decisions, "event_ts", True).unionByName(one(outcomes, "outcome_ts", False)).filter("at IS NOT NULL")
-    keyed = both.withColumns({"us": F.unix_micros("at"), "share": F.pmod(F.xxhash64("log_id"), F.lit(shares))})
-    out = keyed.groupBy("share").transformWithState(_Pending(hours * 3_600_000_000, grain_seconds * 1_000_000), "log_id long, state string, decided long, ended long", "Append", "EventTime")
-    return out.select("log_id", "state", F.timestamp_micros("decided").alias("decided_at"), F.timestamp_micros("ended").alias("ended_at"))
+
+    def one(df: DataFrame, at: str, outcome: bool) -> DataFrame:
+        known = df.select(F.col("log_id").cast("long").alias("log_id"), F.unix_micros(F.col(at).cast("timestamp")).alias("us")).filter("log_id IS NOT NULL AND us IS NOT NULL")
+        # A packet's time is its latest row's, so the watermark follows all rows; the late rows of a packet are passed over with its state.
+        return _waits(known.select(F.pmod(F.xxhash64("log_id"), F.lit(shares)).alias("share"), "log_id", "us"), outcome).withWatermark("at", late)
+
+    both = one(decisions, "event_ts", False).unionByName(one(outcomes, "outcome_ts", True))
+    ended = both.groupBy("share").transformWithState(_Pending(hours * 3_600_000_000, grain_seconds * 1_000_000), "rows binary", "Append", "EventTime")
+    return _told(ended)
+
+
+#: Rows of one queue, or of one share, that a packet holds at most.
+PACKET = 10_000
 
 
 def _ipc(rows: pa.Table) -> bytes:
@@ -174,10 +269,6 @@ def _rows(packed: list[bytes]) -> pa.Table:
     return pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in packed])
 
 
-#: Rows of one queue that a packet holds at most.
-PACKET = 10_000
-
-
 def _packets(queued: DataFrame, names: list[str]) -> DataFrame:
     """Rows (destination, category, lane, n, rows): the rows of each queue that stand in one Arrow batch, packed, without row by row Python."""
 

@@ -4,6 +4,7 @@ import datetime as dt
 import random
 import time
 
+import numpy as np
 import pytest
 from logsluice.operators import windows
 from logsluice.streaming import jobs, retained, ruled, stateful
@@ -63,6 +64,42 @@ def test_decisions_leave_by_outcome_or_timer(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out").count() == 7
 
 
+def test_many_decisions_wait_in_few_packets(spark, tmp_path):
+    """What waits is packed: state and timers are as many as slots and shares, not as logs; every outcome before its decision counts."""
+    at = lambda hours: START + dt.timedelta(hours=hours)
+    decisions, outcomes = "log_id long, event_ts timestamp", "log_id long, outcome_ts timestamp"
+    put(spark, [(-1, at(0))], decisions, f"{tmp_path}/d")
+    put(spark, [(k, at(30)) for k in range(0, 4000, 4)] + [(k, at(5)) for k in range(0, 4000, 2)], outcomes, f"{tmp_path}/o")
+    read = lambda schema, name: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{name}")
+    out = lambda: stateful.pending(read(decisions, "d"), read(outcomes, "o"), late="60 days", shares=2)
+    run(spark, out(), str(tmp_path))
+    put(spark, [(k, at(4) + dt.timedelta(seconds=k % 3600)) for k in range(4000)], decisions, f"{tmp_path}/d")
+    query = run(spark, out(), str(tmp_path))
+    assert query.lastProgress.stateOperators[0].numRowsTotal <= 2 * (stateful.SLOTS + 8)
+    put(spark, [(-2, at(9000))], decisions, f"{tmp_path}/d")
+    put(spark, [(-3, at(9000))], outcomes, f"{tmp_path}/o")
+    run(spark, out(), str(tmp_path))
+    told = sorted((r.log_id, r.state, (r.ended_at - START).total_seconds()) for r in spark.read.parquet(f"{tmp_path}/out").collect() if r.log_id >= 0)
+    assert told == [(k, "timeout", 28 * 3600 + k % 3600) if k % 2 else (k, "outcome", 5 * 3600) for k in range(4000)]
+
+
+def test_matching_against_one_log_after_another():
+    rng, window = random.Random(4), 10
+    for _ in range(60):
+        rows = [(rng.randrange(12), rng.randrange(40), rng.random() < 0.6) for _ in range(rng.randrange(60))]
+        ended, waits = stateful._matched(np.array(rows, stateful._WAITS), window)
+        told, wait = [], []
+        for log_id in range(12):
+            decided = min((us for k, us, outcome in rows if k == log_id and not outcome), default=None)
+            came = [us for k, us, outcome in rows if k == log_id and outcome]
+            fits = [us for us in came if decided is not None and decided <= us <= decided + window]
+            if fits:
+                told.append((log_id, decided, min(fits), False))
+            else:
+                wait += [(log_id, decided, False)] * (decided is not None) + [(log_id, us, True) for us in came if decided is None or us < decided]
+        assert ended.tolist() == told and sorted(waits.tolist()) == sorted(wait)
+
+
 ROUTED = "log_id long, category string, method string, destination string, at timestamp"
 
 
